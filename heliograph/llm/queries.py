@@ -6,10 +6,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokens
+from . import licenses, media, packing, secrets, tokens, warc
 from .common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["base"])
+    n = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(F.concat_ws(",", c).alias(c) for c in ("sentence_ids", "licenses", "remaining")))
+
+
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return made.select("record_id", "type", "refers_to", "target_uri", "content_type", F.octet_length("block").cast("long").alias("content_length"), "block_digest", "source_block_digest", "source_payload_digest")
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = media.media_columns(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
@@ -25,6 +48,6 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op6_packing, op7_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_warc_derivatives, op4_token_counts, op5_media_columns, op6_packing, op7_bpe_codec)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_license_scan": licenses.oracle_sql(), "op3_warc_derivatives": warc.oracle_sql()}
