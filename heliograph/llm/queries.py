@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, media, packing, quality, secrets, tokens, warc
+from . import licenses, media, packing, pii, quality, secrets, tokens, warc
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["base"])
+    n = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(n(k).alias(f"n_{k}") for k in pii.BASE_KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(spans).alias("spans"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *(F.concat_ws(",", c).alias(c) for c in ("sentence_ids", "licenses", "remaining")))
@@ -53,6 +61,6 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_warc_derivatives, op4_token_counts, op5_media_columns, op6_packing, op7_bpe_codec, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_warc_derivatives, op4_token_counts, op5_media_columns, op6_packing, op7_bpe_codec, op8_quality_rules, op10_personal_data)}
 
 ORACLES = {"op2_license_scan": licenses.oracle_sql(), "op3_warc_derivatives": warc.oracle_sql(), "op8_quality_rules": quality.oracle_sql()}
