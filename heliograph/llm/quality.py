@@ -60,17 +60,26 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(hashes, of_hashes)).cast("long")
 
 
+def counted(text: Column) -> list[Column]:
+    """The counts of a text that isn't null, as columns w and l (structs), n_symbols and n_shouts."""
+    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
+    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    return [
+        of_words.alias("w"), of_lines.alias("l"), F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
+    ]
+
+
+def layer(stratum: str) -> Column:
+    return F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")
+
+
 def features(df: DataFrame, stratum: str = "lang") -> DataFrame:
     """doc_id, stratum and the counts of every row."""
-    source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    words = F.filter(F.split("text", SPACE + "+"), lambda w: w != "")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counted = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
-    lined = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    return source.select(
-        "doc_id", "stratum", counted.alias("w"), lined.alias("l"), F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).cast("long").alias("n_shouts"),
-    ).select("doc_id", "stratum", "w.*", "l.*", "n_symbols", "n_shouts")
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), layer(stratum), *counted(F.coalesce(F.col("text"), F.lit(""))))
+    return rows.select("doc_id", "stratum", "w.*", "l.*", "n_symbols", "n_shouts")
 
 
 def judged(counts: DataFrame) -> DataFrame:
@@ -118,12 +127,28 @@ def verdicts(df: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: flo
     counts = common.written(features(df, stratum), "quality")
     rates = judged(counts)
     limits = cutoffs(rates, labels, alpha, delta)
-    out = rates.join(limits, "stratum", "left")
+    return with_verdict(rates, limits).drop(*RATES)
+
+
+def with_verdict(rates: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds kept."""
     over = [F.coalesce(F.col(r) > F.col("limits")[r], F.lit(False)) for r in RATES]
     rejected = over[0]
     for x in over[1:]:
         rejected = rejected | x
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("limits", *RATES)
+    return rates.join(limits, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected).drop("limits")
+
+
+def keep(df: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+    """The kept rows with all their columns.
+
+    Counts are made once for the cutoffs, of which only ids and numbers are written, and once more in each row, so that
+    texts needn't be shuffled and rows needn't have unique ids. The cutoffs are one small row per stratum.
+    """
+    limits = common.written(cutoffs(judged(common.written(features(df, stratum), "quality")), labels, alpha, delta), "cutoffs")
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), layer(stratum), *counted(F.coalesce(F.col("text"), F.lit(""))))
+    rates = judged(whole.select("row", "stratum", "w.*", "l.*", "n_symbols", "n_shouts"))
+    return with_verdict(rates, limits).where("kept").select("row.*")
 
 
 def oracle_sql(alpha: float = 0.005, delta: float = 0.05) -> str:
