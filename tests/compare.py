@@ -38,6 +38,15 @@ def rows(columns: list[str], data) -> list[tuple]:
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
+#: Names of types as both engines give them.
+KINDS = {"bigint": "long", "int": "int", "integer": "int", "double": "double", "string": "text", "varchar": "text", "boolean": "bool", "timestamp": "time", "timestamp_ntz": "time", "date": "date", "float": "float", "hugeint": "hugeint"}
+
+
+def kind(name: str) -> str:
+    name = str(name).lower().split("(")[0]
+    return "array" if name.endswith("[]") or name.startswith("array") else KINDS.get(name, name)
+
+
 def compare(spark, name: str, query, sql: str, sf_dir: str) -> str:
     """'' if both give the same rows, else what differs."""
     df = query(spark, sf_dir)
@@ -49,6 +58,10 @@ def compare(spark, name: str, query, sql: str, sf_dir: str) -> str:
         return f"columns {sorted(df.columns)} / {sorted(columns)}"
     if len(got) != len(want):
         return f"{len(got)} rows / {len(want)}: {got[:2]} / {want[:2]}"
+    kinds = {c: kind(k) for c, k in df.dtypes}
+    other = {d[0]: kind(d[1]) for d in cur.description}
+    if kinds != other:
+        return f"types {[(c, kinds[c], other[c]) for c in kinds if kinds[c] != other[c]]}"
     bad = [(a, b) for a, b in zip(got, want, strict=True) if a != b]
     return f"{len(bad)} of {len(got)} rows differ, such as {bad[:2]}" if bad else ""
 
