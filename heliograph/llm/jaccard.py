@@ -37,15 +37,16 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .tokens import Table
 
 BLOCK = 1024
 #: Keys of sets that a task has already sent; when full it is emptied, and a set may be sent again.
 SENT_KEPT = 500_000
 
 U = np.uint64
+#: Multipliers, all odd.
 PRIMES = [U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-WORDS = Table(xxhash.xxh3_64_intdigest)
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+BASE = U(0x9E6C63D0876A9A47)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -57,17 +58,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+LETTERS = mixed(np.arange(1, 257, dtype=U) * PRIMES[6])
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as far as a text has needed them."""
+
+    up, down = np.ones(1, U), np.ones(1, U)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            steps = np.empty((2, 1 << (n - 1).bit_length()), U)
+            steps[0], steps[1], steps[:, 0] = BASE, U(pow(int(BASE), -1, 1 << 64)), 1
+            cls.up, cls.down = np.cumprod(steps, axis=1, dtype=U)
+        return cls.up[:n], cls.down
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words of a text, A-Z as a-z: polynomials over random letter values, from one running sum."""
+    letters = np.frombuffer(text.encode().lower(), np.uint8)
+    space = np.ones(len(letters) + 2, np.int8)
+    space[1:-1] = SPACES[letters]
+    edges = np.flatnonzero(np.diff(space))
+    starts, ends = edges[::2], edges[1::2]
+    up, down = Powers.to(len(letters) + 1)
+    sums = np.zeros(len(letters) + 1, U)
+    np.cumsum(LETTERS[letters] * up[:-1], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts])
+
+
 def shingles(text: str, n: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct n-grams of a text."""
-    words = text.encode().lower().split()
-    if not words:
+    """Sorted 64-bit hashes of the distinct n-grams of a text; with fewer words, of all of them."""
+    h = word_hashes(text)
+    if not len(h):
         return np.empty(0, U)
-    h = np.fromiter(map(WORDS.__getitem__, words), U, len(words))
-    m = min(n, len(words))
-    total = np.full(len(words) - m + 1, m, U)
+    m = min(n, len(h))
+    total = np.full(len(h) - m + 1, m, U)
     for i in range(m):
-        total += h[i : len(words) - m + 1 + i] * PRIMES[i % len(PRIMES)] + U(i)
-    return np.unique(mixed(total))
+        total += mixed(h[i : len(h) - m + 1 + i] + U(i)) if i >= len(PRIMES) else h[i : len(h) - m + 1 + i] * PRIMES[i] + U(i)
+    total = np.sort(mixed(total))
+    first = np.ones(len(total), bool)
+    first[1:] = total[1:] != total[:-1]
+    return total[first]
 
 
 class PartEnum:
@@ -116,9 +149,9 @@ class PartEnum:
 
 
 def sketch(features: np.ndarray) -> bytes:
-    """Parities of the numbers of features by cell, in at least two cells a feature, a power of two."""
+    """Parities of the numbers of features by cell, in at least four cells a feature, a power of two."""
     cells = 64
-    while cells < 2 * len(features):
+    while cells < 4 * len(features):
         cells *= 2
     odd = np.bincount((features >> U(20)).astype(np.int64) & (cells - 1), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
