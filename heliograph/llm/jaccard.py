@@ -10,8 +10,8 @@ their symmetric difference has at most ``(100 - percent) / (100 + percent)`` of
   first-level partition holds at most one difference, and one of its subsets of one part none. The hash of each such
   subset's features is a signature. Empty subsets say nothing and are left out as long as the set fills more than ``k``
   others, which makes some shared one a filled one; otherwise they are kept.
-* Sets that share a signature are compared with the smallest of them. Where that leaves several components in a
-  signature's group, all its pairs across components are compared. A pair first has its parity sketches compared: the
+* Sets that share a signature are compared with the smallest of them. Where that leaves several components
+  around a smallest set, all pairs across them are compared. A pair first has its parity sketches compared: the
   bits in which they differ are never more than the difference of the sets, hence no link is lost; what passes is
   verified on the sets themselves, which are made again from the texts.
 
@@ -364,16 +364,17 @@ def similarity_groups(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links = common.written(verified(near, docs, n, percent), "links")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    # groups that are still in several components: all pairs across them, in blocks
+    # Where the sets that share signatures with one smallest set are still in several components: all pairs across these,
+    # in blocks. Signatures with the same smallest set go together, since near copies share many, and each pair is made once.
     narrow = classes.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    placed = groups.select("signature", "key").join(narrow, "key")
-    open_groups = placed.groupBy("signature").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 AND low < high")
+    placed = groups.select("first", "key").distinct().join(narrow, "key")
+    open_groups = placed.groupBy("first").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 AND low < high")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep"), F.lit(1) * blocks).cast("int")
     own = F.array(F.struct(mine.alias("i"), mine.alias("j"), F.lit(0).alias("side")))
     others = F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: b != mine), lambda b: F.struct(F.least(b, mine).alias("i"), F.greatest(b, mine).alias("j"), F.when(mine < b, 1).otherwise(2).alias("side")))
-    unresolved = common.written(placed.join(open_groups.select("signature", "size"), "signature").select("signature", "key", "root", F.explode(F.concat(own, others)).alias("g")), "open")
-    grouped = unresolved.join(classes, "key").select(F.xxhash64("signature", "g.i", "g.j").alias("group"), "rep", "root", "n", "sketch", F.col("g.side").alias("side"))
+    unresolved = placed.join(open_groups.select("first", "size"), "first").select("first", "key", "root", F.explode(F.concat(own, others)).alias("g"))
+    grouped = unresolved.join(classes, "key").select(F.xxhash64("first", "g.i", "g.j").alias("group"), "rep", "root", "n", "sketch", F.col("g.side").alias("side"))
     more = across(grouped.repartition("group").sortWithinPartitions("group", "rep"), percent)
     all_links = common.written(verified(more, docs, n, percent), "links").unionByName(links)
     final = components(all_links.select(F.col("a").alias("u"), F.col("b").alias("v")))
