@@ -43,3 +43,35 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", que
     met = each.groupBy("part", "block").cogroup(spread.groupBy("part", "block")).applyInArrow(near, f"query_id long, {row_id} long, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def ivf_index(rows: DataFrame, lists: int = 16, sample_rows: int = 20_000, seed: int = 42, row_id: str = "vec_id", vector: str = "embedding"):
+    """Inverted lists for approximate search: centroids, fitted to at most about ``sample_rows`` unit vectors, and every row with its nearest one.
+
+    Returns the centroids (``lists`` arrays, a fixed number, held by the driver) and the rows with column ``list``.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    from ..functions import scores
+
+    v = F.col(vector).cast("array<double>")
+    size = F.sqrt(scores.dot(v, v))
+    unit = rows.select(row_id, vector, F.when(size > 0, F.transform(v, lambda x: x / size)).otherwise(v).alias("unit"))
+    n = max(1, rows.count())
+    sample = unit.select(array_to_vector("unit").alias("features")).sample(min(1.0, sample_rows / n), seed)
+    model = KMeans(k=lists, seed=seed, maxIter=10).fit(sample)
+    indexed = model.transform(unit.withColumn("features", array_to_vector("unit"))).select(row_id, vector, "unit", F.col("prediction").alias("list"))
+    return [list(map(float, c)) for c in model.clusterCenters()], indexed
+
+
+def ivf_search(centroids: list, indexed: DataFrame, queries: DataFrame, k: int, probes: int = 10, row_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
+    """The k best rows among the ``probes`` lists nearest to each query: query_id, row_id, similarity, rank. Lists are met by an equi-join on the list."""
+    from ..functions import scores
+
+    v = F.col(vector).cast("array<double>")
+    near = F.array(*(F.struct((-scores.dot(v, F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(centroids)))
+    probed = queries.select(F.col(query_id).alias("query_id"), v.alias("q"), F.explode(F.slice(F.array_sort(near), 1, probes)).alias("p")).select("query_id", "q", F.col("p.list").alias("list"))
+    found = probed.join(indexed, "list").select("query_id", row_id, scores.cosine(F.col("q"), F.col("unit")).alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -205,3 +205,37 @@ def similar_sources(spark, d):
     pairs = set_similarity_join(toks, "item_id", "tokens", 0.3)
     pairs = pairs.join(trust.toDF("a", "ta"), "a").join(trust.toDF("b", "tb"), "b")
     return pairs.select(F.when(F.col("tb") > F.col("ta"), F.col("a")).otherwise(F.col("b")).alias("dropped")).distinct()
+
+
+@query("j09_approximate_knn")
+def approximate_knn(spark, d):
+    """Inverted-list search in place of a graph index; tests hold its recall against the exact one."""
+    e = table(spark, d, "embeddings")
+    centroids, indexed = vectors.ivf_index(e)
+    return vectors.ivf_search(centroids, indexed, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10).select("query_id", "vec_id", "rank")
+
+
+@query("j14_claim_pairs", r"""WITH c AS (SELECT conv_id, turn, regexp_matches(lower(text), '(^|\s)(not|no|pas|nicht)(\s|$)') AS neg, list_distinct([w FOR w IN regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+') IF length(w) >= 3]) AS ws FROM conversations)
+SELECT a.conv_id, a.turn AS first, b.turn AS second FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn AND a.neg <> b.neg WHERE len(list_intersect(a.ws, b.ws)) >= 2""")
+def claim_pairs(spark, d):
+    """Pairs i < j of one conversation's turns, one negated, that share two words or more; only opposite ones meet."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike(r"(^|\s)(not|no|pas|nicht)(\s|$)").alias("neg"), F.filter(text.words(F.col("text")), lambda x: F.length(x) >= 3).alias("ws"))
+    yes, no = c.where("neg").toDF("conv_id", "t1", "n1", "w1"), c.where("NOT neg").toDF("conv_id", "t2", "n2", "w2")
+    return yes.join(no, "conv_id").where("size(array_intersect(w1, w2)) >= 2").select("conv_id", F.least("t1", "t2").alias("first"), F.greatest("t1", "t2").alias("second"))
+
+
+@query("j15_source_attribution", rf"""WITH t AS (SELECT conv_id, turn, role, {TOK.format("text")} AS ws FROM conversations), p AS (SELECT q.conv_id, q.turn, s.turn AS source, CASE WHEN len(q.ws) = 0 THEN 0 ELSE len(list_intersect(q.ws, s.ws)) / len(q.ws) END AS recall FROM t q JOIN t s ON q.conv_id = s.conv_id AND q.role = 'assistant' AND s.role <> 'assistant')
+SELECT conv_id, turn, source, round(recall, 6) AS recall FROM p WHERE recall >= 0.1 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY recall DESC, source) <= 10""")
+def source_attribution(spark, d):
+    t = table(spark, d, "conversations").select("conv_id", "turn", "role", F.filter(text.words(F.col("text")), lambda w: F.length(w) > 2).alias("ws"))
+    q = t.where("role = 'assistant'").select("conv_id", "turn", F.col("ws").alias("qs"))
+    s = t.where("role <> 'assistant'").select("conv_id", F.col("turn").alias("source"), F.col("ws").alias("ss"))
+    p = q.join(s, "conv_id").select("conv_id", "turn", "source", text.recall(F.col("qs"), F.col("ss")).alias("recall")).where("recall >= 0.1")
+    return relational.top_per_group(p, ["conv_id", "turn"], [F.desc("recall"), F.col("source")], 10).select("conv_id", "turn", "source", F.round("recall", 6).alias("recall"))
+
+
+@query("j18_midpoint_turn", "SELECT event_id, CASE WHEN mid < 3 THEN 'A' WHEN mid < 10 THEN 'B' ELSE 'C' END AS speaker FROM (SELECT event_id, (value + value + 2) / 2 AS mid FROM events)")
+def midpoint_turn(spark, d):
+    mid = (F.col("value") + F.col("value") + 2) / 2
+    turns = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("s")) for a, b, s in ((-1e9, 3.0, "A"), (3.0, 10.0, "B"), (10.0, 1e9, "C"))))
+    return table(spark, d, "events").select("event_id", F.get(F.filter(turns, lambda t: (mid >= t["a"]) & (mid < t["b"])), F.lit(0))["s"].alias("speaker"))

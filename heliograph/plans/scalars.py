@@ -349,3 +349,24 @@ def ucb1(spark, d):
     g = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("arm")).agg(F.count("*").alias("n"), F.avg(F.when(F.col("l_returnflag") == "N", 1.0).otherwise(0.0)).alias("rate"))
     both = g.join(F.broadcast(g.agg(F.sum("n").alias("total"))))
     return both.select("arm", F.round(scores.ucb1(F.col("rate"), F.col("n"), F.col("total")), 6).alias("score"))
+
+
+@query("f42_changelog_normalise", r"SELECT item_id, CASE WHEN regexp_matches(text, '(^|\n)#+ ') THEN 'headings' WHEN contains(text, chr(10)) THEN 'free' ELSE 'single' END AS form FROM benchmark")
+def changelog_normalise(spark, d):
+    t = F.col("text")
+    return table(spark, d, "benchmark").select("item_id", F.when(t.rlike(r"(^|\n)#+ "), "headings").when(F.contains(t, F.lit("\n")), "free").otherwise("single").alias("form"))
+
+
+@query("f44_section_segments")
+def section_segments(spark, d):
+    """Paragraphs of a document in sections of at least 100 characters; short ones join the section before."""
+    from ..operators.folds import ordered_fold
+
+    def step(state, row):
+        section, size = state
+        if size >= 100:
+            section, size = section + 1, 0
+        return (section, size + len(row["part"])), {"section": section}
+
+    parts = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "part"))
+    return ordered_fold(parts, ["doc_id"], ["place"], lambda: (0, 0), step, "section long").groupBy("doc_id", "section").agg(F.sum(F.length("part")).alias("chars"))

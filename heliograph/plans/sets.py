@@ -177,3 +177,13 @@ def community_edges(spark, d):
     return table(spark, d, "lineitem").join(o, "l_orderkey").join(s, "l_suppkey").groupBy((F.col("a") == F.col("b")).alias("internal")).agg(F.count("*").alias("edges"))
 
 
+
+
+@query("cl04_density_tree")
+def density_tree(spark, d):
+    """Components of mutual reachability over each query row's 10 nearest, in place of a full density tree: an edge counts if it is within 1.2 times both core distances."""
+    e = table(spark, d, "embeddings")
+    near = vectors.knn(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10).where("query_id <> vec_id")
+    core = near.groupBy("query_id").agg(F.max(1 - F.col("similarity")).alias("core"))
+    edges = near.join(core, "query_id").where("1 - similarity <= 1.2 * core").select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"))
+    return graphs.connected_components(edges)

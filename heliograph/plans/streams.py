@@ -85,3 +85,50 @@ def thread_expansion(spark, d):
     c = table(spark, d, "conversations")
     seeds = c.where("turn = 0 AND length(text) > 100").select("conv_id")
     return c.where("turn <= 50").join(seeds, "conv_id", "left_semi").select("conv_id", "turn")
+
+
+@query("st10_threshold_steps")
+def threshold_steps(spark, d):
+    """The noise threshold of each user: a step of .02 up or down after every five outcomes, within .1 and .9."""
+    from ..operators.folds import ordered_fold
+
+    def step(state, row):
+        level, bad, n = state
+        bad, n = bad + (row["event_type"] == "error"), n + 1
+        if n == 5:
+            level, bad, n = min(0.9, max(0.1, level + (0.02 if bad >= 2 else -0.02))), 0, 0
+        return (level, bad, n), {"threshold": level}
+
+    e = table(spark, d, "events").select("user_id", F.unix_micros("ts").alias("at"), "event_id", "event_type")
+    return ordered_fold(e, ["user_id"], ["at", "event_id"], lambda: (0.5, 0, 0), step, "threshold double").select("event_id", F.round("threshold", 6).alias("threshold"))
+
+
+@query("st12_token_bucket")
+def token_bucket(spark, d):
+    """Which events a bucket of 5 tokens, refilled by one every ten minutes, lets through."""
+    from ..operators.folds import ordered_fold
+
+    def step(state, row):
+        tokens, last = state
+        tokens = 5.0 if last is None else min(5.0, tokens + (row["at"] - last) / 600e6)
+        ok = tokens >= 1
+        return (tokens - ok, row["at"]), {"allowed": ok}
+
+    e = table(spark, d, "events").select("user_id", F.unix_micros("ts").alias("at"), "event_id")
+    return ordered_fold(e, ["user_id"], ["at", "event_id"], lambda: (5.0, None), step, "allowed boolean").select("event_id", "allowed")
+
+
+@query("st11_stream_clusters")
+def stream_clusters(spark, d):
+    """Event clusters as they arrive: a new one for each user and type after an hour of silence."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("user_id", "event_type").orderBy("at", "event_id")
+    e = table(spark, d, "events").select("user_id", "event_type", F.unix_micros("ts").alias("at"), "event_id")
+    new = F.when(F.col("at") - F.lag("at").over(w) > 3_600_000_000, 1).otherwise(0)
+    return e.withColumn("new", new).select("event_id", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cluster"))
+
+
+@query("st16_chain_tips", "SELECT user_id, count(*) AS length, max(epoch_us(ts)) AS latest FROM events GROUP BY user_id")
+def chain_tips(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("length"), F.max(F.unix_micros("ts")).alias("latest"))

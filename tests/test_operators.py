@@ -123,3 +123,24 @@ def test_digests(spark):
     df = spark.createDataFrame([("T<", ["a&b", "c"])], "t string, i array<string>")
     assert df.select(sinks.digest_html(F.col("t"), F.col("i"))).first()[0] == "<h2>T&lt;</h2><ul><li>a&amp;b</li><li>c</li></ul>"
     assert df.select(sinks.digest_markdown(F.col("t"), F.col("i"))).first()[0] == "## T<\n\n- a&b\n- c\n"
+
+
+def test_approximate_search_recall(spark):
+    rnd = random.Random(3)
+    centres = [[rnd.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    data = [(i, [x + rnd.gauss(0, 0.6) for x in centres[i % 12]]) for i in range(1500)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    q = df.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(r["query_id"], r["vec_id"]) for r in vectors.knn(df, q, 10).collect()}
+    centroids, indexed = vectors.ivf_index(df)
+    assert indexed.count() == 1500
+    found = {(r["query_id"], r["vec_id"]) for r in vectors.ivf_search(centroids, indexed, q, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_table_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(r["query_id"], r["vec_id"]) for r in vectors.knn(e, q, 10).collect()}
+    found = {(r["query_id"], r["vec_id"]) for r in vectors.ivf_search(*vectors.ivf_index(e), q, 10).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
