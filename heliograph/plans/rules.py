@@ -25,10 +25,10 @@ def pain_points(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(",", classes(PAINS, "general")).alias("pains"))
 
 
-@query("r02_current_tool", r"SELECT conv_id, turn, coalesce(nullif(regexp_extract(text, '(?i)using (\w+)', 1), ''), nullif(regexp_extract(text, '(?i)\bthe (\w+)', 1), ''), nullif(regexp_extract(text, '(?i)\bla (\w+)', 1), '')) AS tool FROM conversations")
+@query("r02_current_tool", r"SELECT conv_id, turn, coalesce(nullif(regexp_extract(text, '(?i)using (\w+)', 1), ''), nullif(regexp_extract(text, '(?i)(?:^|[^a-z])the (\w+)', 1), ''), nullif(regexp_extract(text, '(?i)(?:^|[^a-z])la (\w+)', 1), '')) AS tool FROM conversations")
 def current_tool(spark, d):
     first = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(first(r"(?i)using (\w+)"), first(r"(?i)\bthe (\w+)"), first(r"(?i)\bla (\w+)")).alias("tool"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(first(r"(?i)using (\w+)"), first(r"(?i)(?:^|[^a-z])the (\w+)"), first(r"(?i)(?:^|[^a-z])la (\w+)")).alias("tool"))
 
 
 @query("r03_requirements", "SELECT conv_id, turn, regexp_matches(lower(text), '\\$|budget|price') AS budget, regexp_matches(lower(text), 'asap|urgent|now') AS urgent FROM conversations")
@@ -166,9 +166,9 @@ def episode_entities(spark, d):
     return relational.top_per_group(e, ["conv_id"], [F.desc("n"), F.col("entity")], 50).drop("rank")
 
 
-@query("r25_paper_claims", r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\b(limitation|of)\b') THEN 'limitation' WHEN regexp_matches(lower(text), '\b(future|de)\b') THEN 'future' WHEN regexp_matches(lower(text), '\b(propose|und)\b') THEN 'contribution' ELSE 'default' END AS class FROM documents")
+@query("r25_paper_claims", r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(?:^|[^a-z])(?:limitation|of)(?:[^a-z]|$)') THEN 'limitation' WHEN regexp_matches(lower(text), '(?:^|[^a-z])(?:future|de)(?:[^a-z]|$)') THEN 'future' WHEN regexp_matches(lower(text), '(?:^|[^a-z])(?:propose|und)(?:[^a-z]|$)') THEN 'contribution' ELSE 'default' END AS class FROM documents")
 def paper_claims(spark, d):
-    has = lambda p: F.lower("text").rlike(rf"\b({p})\b")
+    has = lambda p: F.lower("text").rlike(rf"(?:^|[^a-z])(?:{p})(?:[^a-z]|$)")
     return table(spark, d, "documents").select("doc_id", F.when(has("limitation|of"), "limitation").when(has("future|de"), "future").when(has("propose|und"), "contribution").otherwise("default").alias("class"))
 
 
@@ -177,9 +177,9 @@ def risk_escalation(spark, d):
     return signals(spark, d).groupBy("user_id").agg(F.bool_or((F.col("signal_type") == "1-URGENT") & (F.col("action_score") > 0.5)).alias("escalate"))
 
 
-@query("r27_media_evidence", r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)\.(png|jpe?g|gif|mp4|webm)\b')) AS BIGINT) AS media FROM pages")
+@query("r27_media_evidence", r"SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)\.(?:png|jpe?g|gif|mp4|webm)(?:[^a-z0-9]|$)')) AS BIGINT) AS media FROM pages")
 def media_evidence(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?i)\.(png|jpe?g|gif|mp4|webm)\b")).cast("long").alias("media"))
+    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?i)\.(?:png|jpe?g|gif|mp4|webm)(?:[^a-z0-9]|$)")).cast("long").alias("media"))
 
 
 @query("r28_token_expiry", "SELECT o_orderkey AS id, o_orderdate + INTERVAL 5 MINUTE >= TIMESTAMP '1998-01-01' AS valid FROM orders")

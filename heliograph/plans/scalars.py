@@ -222,28 +222,28 @@ def platform_priors(spark, d):
     return table(spark, d, "documents").select("doc_id", "source").join(F.broadcast(priors), "source").select("doc_id", "class", "prior")
 
 
-@query("f35_claim_type", r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\d+%') THEN 'statistical' WHEN regexp_matches(lower(text), '\b(than|versus)\b') THEN 'comparative' WHEN regexp_matches(lower(text), '\b(will|going to)\b') THEN 'predictive' ELSE 'factual' END AS claim_type, regexp_matches(lower(text), '\b(not|no|never|pas|nicht)\b') AS negated FROM conversations""")
+@query("f35_claim_type", r"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\d+%') THEN 'statistical' WHEN regexp_matches(lower(text), '(?:^|[^a-z])(?:than|versus)(?:[^a-z]|$)') THEN 'comparative' WHEN regexp_matches(lower(text), '(?:^|[^a-z])(?:will|going to)(?:[^a-z]|$)') THEN 'predictive' ELSE 'factual' END AS claim_type, regexp_matches(lower(text), '(?:^|[^a-z])(?:not|no|never|pas|nicht)(?:[^a-z]|$)') AS negated FROM conversations""")
 def claim_type(spark, d):
     t, low = F.col("text"), F.lower("text")
-    kind = F.when(t.rlike(r"\d+%"), "statistical").when(low.rlike(r"\b(than|versus)\b"), "comparative").when(low.rlike(r"\b(will|going to)\b"), "predictive").otherwise("factual")
-    return table(spark, d, "conversations").select("conv_id", "turn", kind.alias("claim_type"), low.rlike(r"\b(not|no|never|pas|nicht)\b").alias("negated"))
+    kind = F.when(t.rlike(r"\d+%"), "statistical").when(low.rlike(r"(?:^|[^a-z])(?:than|versus)(?:[^a-z]|$)"), "comparative").when(low.rlike(r"(?:^|[^a-z])(?:will|going to)(?:[^a-z]|$)"), "predictive").otherwise("factual")
+    return table(spark, d, "conversations").select("conv_id", "turn", kind.alias("claim_type"), low.rlike(r"(?:^|[^a-z])(?:not|no|never|pas|nicht)(?:[^a-z]|$)").alias("negated"))
 
 
 @query("f36_uncertainty", r"""WITH s AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s FROM conversations)
-SELECT conv_id, turn, round(avg(CASE WHEN regexp_matches(lower(s), '\b(unknown|unclear)\b') THEN 1.0 WHEN regexp_matches(lower(s), '\b(reportedly|allegedly)\b') THEN 0.75 WHEN regexp_matches(lower(s), '\b(might|may|the)\b') THEN 0.5 WHEN regexp_matches(lower(s), '\b(will|would|of)\b') THEN 0.25 END), 6) AS uncertainty FROM s WHERE s <> '' GROUP BY ALL""")
+SELECT conv_id, turn, round(avg(CASE WHEN regexp_matches(lower(s), '(?:^|[^a-z])(?:unknown|unclear)(?:[^a-z]|$)') THEN 1.0 WHEN regexp_matches(lower(s), '(?:^|[^a-z])(?:reportedly|allegedly)(?:[^a-z]|$)') THEN 0.75 WHEN regexp_matches(lower(s), '(?:^|[^a-z])(?:might|may|the)(?:[^a-z]|$)') THEN 0.5 WHEN regexp_matches(lower(s), '(?:^|[^a-z])(?:will|would|of)(?:[^a-z]|$)') THEN 0.25 END), 6) AS uncertainty FROM s WHERE s <> '' GROUP BY ALL""")
 def uncertainty(spark, d):
     s = F.lower("s")
-    level = F.when(s.rlike(r"\b(unknown|unclear)\b"), 1.0).when(s.rlike(r"\b(reportedly|allegedly)\b"), 0.75).when(s.rlike(r"\b(might|may|the)\b"), 0.5).when(s.rlike(r"\b(will|would|of)\b"), 0.25)
+    level = F.when(s.rlike(r"(?:^|[^a-z])(?:unknown|unclear)(?:[^a-z]|$)"), 1.0).when(s.rlike(r"(?:^|[^a-z])(?:reportedly|allegedly)(?:[^a-z]|$)"), 0.75).when(s.rlike(r"(?:^|[^a-z])(?:might|may|the)(?:[^a-z]|$)"), 0.5).when(s.rlike(r"(?:^|[^a-z])(?:will|would|of)(?:[^a-z]|$)"), 0.25)
     each = table(spark, d, "conversations").select("conv_id", "turn", F.explode(text.sentences(F.col("text"))).alias("s"))
     return each.groupBy("conv_id", "turn").agg(F.round(F.avg(level), 6).alias("uncertainty"))
 
 
-@query("f37_contradictions", r"""WITH c AS (SELECT conv_id, turn, regexp_matches(lower(text), '\b(not|no|pas|nicht)\b') AS neg, list_distinct([w FOR w IN regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+') IF length(w) >= 3]) AS ws FROM conversations)
+@query("f37_contradictions", r"""WITH c AS (SELECT conv_id, turn, regexp_matches(lower(text), '(?:^|[^a-z])(?:not|no|pas|nicht)(?:[^a-z]|$)') AS neg, list_distinct([w FOR w IN regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+') IF length(w) >= 3]) AS ws FROM conversations)
 SELECT a.conv_id, a.turn, 'MAJOR' AS severity FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.neg <> b.neg AND len(list_intersect(a.ws, b.ws)) >= 2""")
 def contradictions(spark, d):
     """Neighbouring turns of which one is negated, with two shared words or more."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike(r"\b(not|no|pas|nicht)\b").alias("neg"), F.filter(text.words(F.col("text")), lambda x: F.length(x) >= 3).alias("ws"))
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike(r"(?:^|[^a-z])(?:not|no|pas|nicht)(?:[^a-z]|$)").alias("neg"), F.filter(text.words(F.col("text")), lambda x: F.length(x) >= 3).alias("ws"))
     c = c.withColumns({"neg2": F.lead("neg").over(w), "ws2": F.lead("ws").over(w), "turn2": F.lead("turn").over(w)})
     return c.where("turn2 = turn + 1 AND neg <> neg2 AND size(array_intersect(ws, ws2)) >= 2").select("conv_id", "turn", F.lit("MAJOR").alias("severity"))
 
@@ -284,10 +284,10 @@ def table_values(spark, d):
     return table(spark, d, "documents").where(F.contains("text", F.lit("|"))).select("doc_id", F.regexp_count("text", F.lit(r"[^|\n]+\|")).cast("long").alias("cells"))
 
 
-@query("f46_paper_novelty", r"SELECT doc_id, round(0.4 * least(len(regexp_extract_all(lower(text), '\b(novel|new|the)\b')) / 10, 1) + 0.25 * least(len(regexp_extract_all(lower(text), '\b(propose|and)\b')) / 10, 1), 6) AS novelty FROM documents")
+@query("f46_paper_novelty", r"SELECT doc_id, round(0.4 * least(len(regexp_extract_all(lower(text), '(?:^|[^a-z])(?:novel|new|the)(?:[^a-z]|$)')) / 10, 1) + 0.25 * least(len(regexp_extract_all(lower(text), '(?:^|[^a-z])(?:propose|and)(?:[^a-z]|$)')) / 10, 1), 6) AS novelty FROM documents")
 def paper_novelty(spark, d):
     hits = lambda p: F.least(F.regexp_count(F.lower("text"), F.lit(p)) / 10, F.lit(1.0))
-    return table(spark, d, "documents").select("doc_id", F.round(0.4 * hits(r"\b(novel|new|the)\b") + 0.25 * hits(r"\b(propose|and)\b"), 6).alias("novelty"))
+    return table(spark, d, "documents").select("doc_id", F.round(0.4 * hits(r"(?:^|[^a-z])(?:novel|new|the)(?:[^a-z]|$)") + 0.25 * hits(r"(?:^|[^a-z])(?:propose|and)(?:[^a-z]|$)"), 6).alias("novelty"))
 
 
 @query("f47_speaker_turns", "SELECT conv_id, turn, CAST(sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS speaker_turn FROM (SELECT conv_id, turn, role <> lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS changed FROM conversations)")
