@@ -78,7 +78,7 @@ def gate(spark, d):
 
 @query("e10_temperature_fit")
 def temperature_fit(spark, d):
-    """Ten of the reference step's iterations; each is one aggregate."""
+    """Ten steps; each is one aggregate."""
     t = ev.fit_temperature(predictions(spark, d), "p", "y", 0.01, 10)
     return spark.range(1).select(F.round(F.lit(t), 6).alias("temperature"))
 
