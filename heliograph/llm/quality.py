@@ -146,8 +146,10 @@ def keep(df: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float =
     texts needn't be shuffled and rows needn't have unique ids. The cutoffs are one small row per stratum.
     """
     limits = common.written(cutoffs(judged(common.written(features(df, stratum), "quality")), labels, alpha, delta), "cutoffs")
-    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), layer(stratum), *counted(F.coalesce(F.col("text"), F.lit(""))))
-    rates = judged(whole.select("row", "stratum", "w.*", "l.*", "n_symbols", "n_shouts"))
+    # a generator, through which the filter isn't pushed down: it would make the counts anew for each of its conditions
+    made = F.explode(F.array(F.struct(*counted(F.coalesce(F.col("text"), F.lit(""))))))
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), layer(stratum), made.alias("c"))
+    rates = judged(whole.select("row", "stratum", "c.w.*", "c.l.*", "c.n_symbols", "c.n_shouts"))
     return with_verdict(rates, limits).where("kept").select("row.*")
 
 
