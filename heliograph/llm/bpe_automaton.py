@@ -192,9 +192,10 @@ class SymbolTransducer:
         if len(self.states) > self.max_states:
             self.reset()
         state, path = self.start, []
+        append = path.append
         for s in word[:-1]:
             state = state[s]
-            path.append(state.last)
+            append(state.last)
         token = state[word[-1] + self.end].last
         at, out, length = len(word) - self.length[token], [token], self.length
         while at:

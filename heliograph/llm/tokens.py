@@ -7,7 +7,6 @@ length is handled whole; memory grows with the longest single text only. Null id
 from __future__ import annotations
 
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -21,9 +20,10 @@ from . import common
 from .bpe_automaton import SymbolTransducer, Vocabulary
 
 #: Words kept in a worker's table of results; when full it is emptied, which costs time only.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 900_000
 #: Code points from here on may have other classes or lower-case forms in another version of Unicode, so the library is asked.
 ASK_FROM = 0x250
+STOPS = frozenset(".,;:!?")
 
 #: Controls that str.split() takes for white space and the pattern doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -76,18 +76,34 @@ class WordCodec:
         pattern = next(p["pattern"]["Regex"] for p in vocab.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
         self.vocab, self.split, self.run = vocab, special_split(vocab), SymbolTransducer(vocab)
-        self.ids_of = Table(lambda w: array("I", self.run.encode(w.encode())).tobytes())
-        self.part_ids = Table(lambda part: b"".join(map(self.ids_of.__getitem__, self.words_in(part))))
+        self.part_ids = Table(self.ids_in)
         self.library = Tokenizer.from_file(path)
         names = vocab.names | {i: s for s, i in vocab.special.items()}
         self.names = names
         self.decoded_of = Table(lambda ids: " ".join([names[i] for i in array("I", ids)]))
 
+    def encoded(self, word: str) -> bytes:
+        return array("I", self.run.encode(word.encode())).tobytes()
+
+    def ids_in(self, part: str) -> bytes:
+        """Ids of a part without white space.
+
+        Letters alone are one word, with a stop behind them two; the pattern is for the rest. A word that is looked up
+        is a part itself, so that one table serves both.
+        """
+        table = self.part_ids
+        if part.isascii() or ord(max(part)) < ASK_FROM:
+            low = part.lower()
+            if low.isalpha():
+                return self.encoded(low) if low == part else table[low]
+            if part[-1] in STOPS and low[:-1].isalpha():
+                return table[low[:-1]] + table[part[-1]]
+        return b"".join([self.encoded(w) for w in self.words_in(part)])
+
     def words_in(self, text: str) -> list[str]:
-        if text.isascii():
+        # below ASK_FROM there is nothing to compose
+        if text.isascii() or not text or ord(max(text)) < ASK_FROM:
             return self.words(text.lower())
-        if ord(max(text)) < ASK_FROM:
-            return self.words(unicodedata.normalize("NFC", text).lower())
         text = self.library.normalizer.normalize_str(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -98,7 +114,7 @@ class WordCodec:
             if k % 2:
                 out.append(array("I", [self.vocab.special[part]]).tobytes())
             elif SEPARATORS.search(part):
-                out += map(self.ids_of.__getitem__, self.words_in(part))
+                out += [self.encoded(w) for w in self.words_in(part)]
             else:
                 out += map(self.part_ids.__getitem__, part.split())
         return out
