@@ -124,7 +124,8 @@ def votes(kind: str, s: Column) -> dict[str, Column]:
     value, before, after = s["value"], s["before"], s["after"]
     number = digits(value)
     form = {
-        "email": (value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,24}$"), value.rlike(r"\.\.|@-|^[.]")),
+        # the group in this pattern takes stack for each label, so that an address of any length isn't for it
+        "email": (F.when(F.length(value) <= 254, value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]*\.)+[A-Za-z]{2,24}$")).otherwise(F.lit(False)), value.rlike(r"\.\.|@-|^[.]")),
         "ip": (value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), value.rlike(r"[0-9]{4}|(?:^|\.)0[0-9]")),
         "card": (value.rlike(rf"^(?:[0-9]{{13,16}}|[0-9]{{4}}(?:[ {JOINER}-][0-9]{{4}}){{3}})$"), F.length(number).isin(12, 18)),
         "phone": (value.rlike(r"^\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}$|^\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}$"), value.rlike(r"  |\.\.|--")),
