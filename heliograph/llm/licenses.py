@@ -1,7 +1,8 @@
 """License scan by sentence rules, on DataFrame functions only.
 
-A text is cut into sentences, which are normalised (lower case, letters and digits only, single spaces). Known licence
-sentences have identifiers. The identifiers of a text, in order, are then matched against an ordered list of rules, each
+A text is normalised to words (lower case, letters and digits only) with marks between them where a line or a sentence
+ends. A known licence sentence, which has an identifier, begins and ends at such marks and may run over line ends, with or
+without comment leaders, and over semicolons and colons, but not over full stops and blank lines. The identifiers of a text, in order, are then matched against an ordered list of rules, each
 a sequence of identifiers; what a rule has matched is taken out, so that long rules come before the references they hold.
 Identifiers that no rule takes are reported as remaining.
 
@@ -82,7 +83,11 @@ RULES = [
     ("Unlicense", ["Unlicense"]),
 ]
 
-#: A sentence ends at a stop before white space or the end, or at a line's end, which lines wrapped by comments don't change.
+#: What begins a line and isn't part of its sentence: signs, words that begin comments, the letter or number of an item.
+LEADER = r"(?<![^\n])[^a-z0-9\n]*+(?:(?:rem|dnl|c)(?![^ \t\r\n])[^a-z0-9\n]*+)?(?:(?:[a-z]|[0-9]{1,2}|[ivx]{2,4})\)[ \t]++)?"
+#: The marks X, S and N (texts are in lower case): a full stop, a semicolon or colon, and a line end; then, of all between two words, X or N.
+MARKS = [(LEADER, ""), (r"[.!?](?=[ \t\r\n])", "X"), (r"[;:](?=[ \t\r\n])", "S"), (r"\n", "N"), ("[^a-z0-9XSN]+", " "), (r"(?<![ XSN])[ S]*+(?:N[ S]*+)?+[XN][ XSN]*+", "X"), (r"(?<![ XSN]) *+[SN][ SN]*+", "N")]
+#: Sentence ends of the SQL, which reads lines one by one.
 SENTENCE_END = r"[.!?;:]+[ \t\r]*\n|[.!?;:]+[ \t\r]+|\n[ \t\r]*\n|\n"
 #: Words that every known sentence has one of; a cheap test before sentences are normalised.
 TELLING = sorted({"licen", "permission", "redistribut", "warrant", "copy", "rights", "public", "provided", "mozilla", "cc0", "free software", "liable", "endorse", "bsd", "agreed", "granted"})
@@ -97,8 +102,18 @@ def sequence(ids: list[str]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def marked(text: Column) -> Column:
+    """The words of a text with one character between two of them: a space, N for an end that sentences may run over, or X."""
+    text = F.concat(F.lit("\n\n"), F.lower(text), F.lit("\n\n"))
+    for pattern, mark in MARKS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
+
+
+def pattern() -> str:
+    """Any known sentence, the longest first, in a marked text; the stop of "v. 2.0" ends nothing."""
+    words = (s.replace(" ", "[ N]").replace("v[ N]2", "v[ NX]2") for s in sorted(known(), key=len, reverse=True))
+    return f"(?<=[NX])(?:{'|'.join(words)})(?=[NX])"
 
 
 def scan(df: DataFrame) -> DataFrame:
@@ -111,8 +126,7 @@ def scan(df: DataFrame) -> DataFrame:
         F.replace(acc["left"], rule["ids"], F.lit("")).alias("left"),
         F.when(F.contains(acc["left"], rule["ids"]), F.concat(acc["found"], F.array(rule["name"]))).otherwise(acc["found"]).alias("found"),
     )
-    sentences = F.filter(F.split("text", SENTENCE_END), lambda s: s.rlike(telling))
-    ids = F.filter(F.transform(sentences, lambda s: F.element_at(table, normalised(s))), lambda i: i.isNotNull())
+    ids = F.transform(F.regexp_extract_all(marked(F.col("text")), F.lit(pattern()), F.lit(0)), lambda s: F.element_at(table, F.translate(s, "NX", "  ")))
     matched = common.texts(df).select("doc_id", F.when(F.col("text").rlike(telling), ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     done = matched.select("doc_id", "sentence_ids", F.aggregate(rules, start(F.col("sentence_ids")), step).alias("m"))
     return done.select("doc_id", "sentence_ids", F.array_distinct("m.found").alias("licenses"), F.filter(F.split(F.regexp_replace("m.left", "[<>]+", " "), " "), lambda x: x != "").alias("remaining"))

@@ -128,6 +128,80 @@ def test_license_rules(spark):
     assert got[4]["sentence_ids"] == got[5]["sentence_ids"] == []
 
 
+GRANT = """Copyright (c) 2020 A B
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, ..."""
+WRAPPED = {"MIT": GRANT, "BSD-3-Clause": BSD, "GPL-3.0-or-later": GPL, "GPL-2.0-or-later": GPL.replace("version 3", "version 2").replace("software:", "software;"), "Apache-2.0": APACHE, "ISC": ISC, "MPL-2.0": MPL}
+
+
+def test_wrapped_and_commented_licenses(spark):
+    rows = []
+    for first, leader, last in (("", "", ""), ("/*\n", " * ", "\n */"), ("", "// ", "\nint x;"), ("#!/bin/sh\n", "# ", ""), ("", ";; ", ""), ("", "REM ", "\r\n"), ("", "dnl ", ""), ("<!--\n", "  ", "\n-->")):
+        for name, text in WRAPPED.items():
+            body = "\n".join((leader + line).rstrip() for line in text.split("\n"))
+            rows.append((len(rows), first + body + last, name))
+    rows += [(1000, BSD.replace("1. ", "(a) ").replace("2. ", "(b) ").replace("3. ", "(c) "), "BSD-3-Clause"), (1001, "All rights.\n\nReserved.", ""), (1002, "x\nAll rights\nreserved\ny", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string")
+    got = by_id(licenses.scan(df))
+    for d, text, name in rows:
+        assert ",".join(got[d]["licenses"]) == name and (not name or got[d]["remaining"] == []), (text, got[d])
+    assert got[1001]["remaining"] == [] and got[1002]["remaining"] == ["AllRights"]
+
+
 def test_known_sentences_pass_the_quick_test():
     for s in licenses.known():
         assert any(w in s for w in licenses.TELLING), s
