@@ -2,8 +2,9 @@
 
 Base spans come from three patterns. The method adds ``literal`` spans: source and configuration text is read as
 assignments (``name = value``, ``name: value``, ``"name" => "value"``, attributes and the like); each right side is lexed
-into string literals, bare values and names; constants are carried along, through names, concatenations and ``${name}``
-inside strings, in the order of the text; and a literal that reaches a name is scored by how sensitive that name's words are and
+into string literals, bare values and names, over line ends inside brackets and strings, at continuations, beside joining
+operators and where the value begins on the next line; constants are carried along, through names, concatenations and
+``${name}`` inside strings, in the order of the text; and a literal that reaches a name is scored by how sensitive that name's words are and
 how much the literal looks like key material.
 
 Defined results: null and empty texts have no spans; a null doc_id is kept; repeated rows give repeated results; an
@@ -39,10 +40,22 @@ ASSIGN_LEAST = 12
 
 NAME = re.compile(r"""(?:(?P<q>["'`])(?P<quoted>[A-Za-z_$][\w$. -]{0,63})(?P=q)\]?|(?P<plain>[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*))[ \t]*\Z""")
 OPERATOR = re.compile(r"(?::=|=>|<-|(?<![=!<>])=(?![=~])|:(?![:/=]))[ \t]*")
-STRING = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`((?:[^`\\]|\\.)*)`')
+STRING = re.compile(r"""(?:[rbufRBUF]{1,2}(?=["']))?(?:\"{3}((?:[^"\\]|\\[\s\S]|"(?!""))*)\"{3}|'{3}((?:[^'\\]|\\[\s\S]|'(?!''))*)'{3}|"((?:[^"\\]|\\[\s\S])*)"|'((?:[^'\\]|\\[\s\S])*)'|`((?:[^`\\]|\\[\s\S])*)`)""")
 WORD = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*")
 BARE = re.compile(r"[^\s\"'`,;()\[\]{}<>#&]+")
-JOIN = re.compile(r"[ \t]*(?:\+|\.(?=[ \t]*[\"'])|\|\||\\\n)[ \t]*|[ \t]+(?=[\"'])")
+#: White space, line ends and comments, where an expression goes on.
+GAP = re.compile(r"(?:\s|#[^\n]*|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*")
+#: Operators that join; what joins without one; the same inside brackets, after a gap.
+PLUS = re.compile(r"""[ \t]*(?:\\?\r?\n[ \t]+)?(?:\+(?![+=])|\|\||\.(?=\s*["']))""")
+NEXT = re.compile(r"""[ \t]+(?=["'])|[ \t]*\\\r?\n[ \t]*(?=["'`])|\\\r?\n(?=\S)""")
+PLUS_INSIDE = re.compile(r"""\+(?![+=])|\|\||\.(?=\s*["'])|\\\r?\n""")
+#: The end of a line before its value, the head of a block value, and a name that has a value of its own.
+LINE_END = re.compile(r"\r?\n[ \t]*(?=\S)")
+BLOCK = re.compile(r"[|>][-+0-9]{0,2}[ \t]*(?:#[^\n]*)?\r?\n")
+NESTED = re.compile(r"""(?:[A-Za-z_$][\w$. -]*?(?:=>|:=|<-|:(?=\s|\Z)|=(?!=*[ \t\r]*(?:\n|\Z)))|(["'`])[\w$. -]*\1[ \t]*(?:=>|:|=(?!=)))""")
+ALONE = re.compile(r"[,;]?[ \t\r]*(?:\n|\Z)")
+INDENT = re.compile(r"[ \t]*")
+LINES = re.compile(r"[^\n]+")
 INSIDE = re.compile(r"\$\{(\w+)\}|\{(\w+)\}|\$(\w+)")
 #: Characters before an operator in which its name is looked for.
 NAME_REACH = 96
@@ -92,45 +105,98 @@ class Lexer:
     def __init__(self, text: str):
         self.text, self.constants = text, {}
 
-    def value(self, at: int, end: int) -> tuple[list[tuple[int, int, bool]], int]:
-        """Literals (start, end, bare) of the expression that begins at ``at``, and where it ends."""
-        text, spans = self.text, []
-        while at < end:
-            if m := STRING.match(text, at, end):
-                group = m.lastindex
-                if m.end(group) > m.start(group):
-                    spans.append((m.start(group), m.end(group), False))
+    def lines(self, start: int, end: int) -> list[tuple[int, int, bool]]:
+        """The lines of a literal without blanks and backslashes around them; several lines are no quoted values."""
+        text, found = self.text, []
+        if text.find("\n", start, end) < 0:
+            return [(start, end, False)] if end > start else []
+        for m in LINES.finditer(text, start, end):
+            a, b = m.span()
+            while a < b and text[a].isspace():
+                a += 1
+            while b > a and (text[b - 1].isspace() or text[b - 1] == "\\"):
+                b -= 1
+            if b > a:
+                found.append((a, b, True))
+        return [(a, b, False) for a, b, _ in found] if len(found) == 1 else found
+
+    def block(self, at: int, name_at: int) -> list[tuple[int, int, bool]]:
+        """The lines of a block value, which are indented deeper than the line of its name."""
+        text = self.text
+        indent = lambda i: INDENT.match(text, i).end() - i
+        least, end = indent(text.rfind("\n", 0, name_at) + 1), at
+        while end < len(text):
+            stop = text.find("\n", end)
+            stop = len(text) if stop < 0 else stop
+            if text[end:stop].strip() and indent(end) <= least:
+                break
+            end = stop + 1
+        return self.lines(at - 1, min(end, len(text)))
+
+    def value(self, at: int, name_at: int) -> list[tuple[int, int, bool]]:
+        """Literals (start, end, bare) of the expression that begins at ``at``."""
+        text, spans, depth = self.text, [], 0
+        if m := BLOCK.match(text, at):
+            return self.block(m.end(), name_at)
+        below = LINE_END.match(text, at)
+        at = below.end() if below else at
+        while True:
+            while text.startswith(("(", "["), at):
+                depth, at = depth + 1, GAP.match(text, at + 1).end()
+            if (below or depth) and NESTED.match(text, at):
+                break
+            quoted = False
+            if m := STRING.match(text, at):
+                quoted, group = True, m.lastindex
+                spans += self.lines(*m.span(group))
                 for inner in INSIDE.finditer(text, m.start(group), m.end(group)):
                     spans += self.constants.get(inner[inner.lastindex], ())
-            elif (m := WORD.match(text, at, end)) and m[0] in self.constants and not text.startswith("(", m.end()):
+            elif (m := WORD.match(text, at)) and m[0] in self.constants and not text.startswith("(", m.end()):
                 spans += self.constants[m[0]]
-            elif m := INSIDE.match(text, at, end):
+            elif m := INSIDE.match(text, at):
                 spans += self.constants.get(m[m.lastindex], ())
-            elif (m := BARE.match(text, at, end)) and not text.startswith(("(", "["), m.end()):
+            elif (m := BARE.match(text, at)) and not text.startswith(("(", "["), m.end()):
                 stop = m.end()
+                if text.startswith("\\", stop - 1) and text.startswith(("\n", "\r\n"), stop):
+                    m = BARE.match(text, at, stop - 1) or m
+                    stop = m.end()
                 while stop > at and text[stop - 1] in ".!?:":
                     stop -= 1
+                if below and not depth and not spans and not ALONE.match(text, m.end()):
+                    break
                 if stop > at:
                     spans.append((at, stop, True))
-            else:
+            elif not (depth and text.startswith((")", "]"), at)):
                 break
-            at = m.end()
-            if not (m := JOIN.match(text, at, end)):
+            at = m.end() if m else at
+            goes_on = False
+            while depth and not goes_on:
+                to = GAP.match(text, at).end()
+                if text.startswith((")", "]"), to):
+                    depth, at = depth - 1, to + 1
+                elif text.startswith(",", to) or (m := PLUS_INSIDE.match(text, to)):
+                    at, goes_on = GAP.match(text, to + 1 if text.startswith(",", to) else m.end()).end(), True
+                elif text.startswith(('"', "'", "`"), to):
+                    at, goes_on = to, True
+                else:
+                    return spans
+            if goes_on:
+                continue
+            if m := PLUS.match(text, at):
+                at = GAP.match(text, m.end()).end()
+            elif m := NEXT.match(text, at):
+                at = m.end()
+            elif not (quoted and text.startswith(('"', "'"), at)):
                 break
-            at = m.end()
-        return spans, at
+        return spans
 
     def pairs(self) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
         text = self.text
         for op in OPERATOR.finditer(text):
             name = NAME.search(text, max(0, op.start() - NAME_REACH), op.start())
-            if not name:
-                continue
-            end = text.find("\n", op.end())
-            spans, _ = self.value(op.end(), len(text) if end < 0 else end)
-            if spans:
+            if name and (spans := self.value(op.end(), name.start())):
                 target = name["quoted"] or name["plain"]
-                self.constants[target] = spans
+                self.constants[target] = spans = list(dict.fromkeys(spans))
                 yield target, spans
 
 

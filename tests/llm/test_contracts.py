@@ -108,6 +108,30 @@ def test_secret_assignments(text, secret):
     assert secret in [text[s["start"] : s["end"]] for s in secrets.scan_text(text) if s["kind"] == "literal"]
 
 
+@pytest.mark.parametrize(
+    "text, secrets_in",
+    [
+        ("db_secret_key = 'hunter2Zx!9q' \\\n    'zz81LmQp02'", ["hunter2Zx!9q", "zz81LmQp02"]),
+        ("db_auth = `\n  hunter2Zx!9q\n`", ["hunter2Zx!9q"]),
+        ("db_auth =\n    'hunter2Zx!9q'", ["hunter2Zx!9q"]),
+        ("db_auth:\n  hunter2Zx9q\nuser: x", ["hunter2Zx9q"]),
+        ("privateKey = 'zz81LmQp02' +  // one\n  'Qm9vZ2llV29v'", ["zz81LmQp02", "Qm9vZ2llV29v"]),
+        ("privateKey = 'zz81LmQp02'\n  + 'Qm9vZ2llV29v';", ["zz81LmQp02", "Qm9vZ2llV29v"]),
+        ("privateKey = (\n  'zz81LmQp02'  # one\n  'Qm9vZ2llV29v'\n)", ["zz81LmQp02", "Qm9vZ2llV29v"]),
+        ("privateKey = [\n  'zz81LmQp02',\n  'Qm9vZ2llV29v',\n]", ["zz81LmQp02", "Qm9vZ2llV29v"]),
+        ('privateKey = """\nzz81LmQp02Rt\nQm9vZ2llV29v\n"""', ["zz81LmQp02Rt", "Qm9vZ2llV29v"]),
+        ("a:\n  privateKey: |\n    zz81LmQp02Rt\n    Qm9vZ2llV29v\n  user: Zx81Lm02QpYY", ["zz81LmQp02Rt", "Qm9vZ2llV29v"]),
+        ('privateKey = "zz81LmQp02Rt\\\nQm9vZ2llV29v"', ["zz81LmQp02Rt", "Qm9vZ2llV29v"]),
+        ("part = (\n  'q1w2e3r4t5y6'\n)\nsigning_key = part", ["q1w2e3r4t5y6"]),
+        ("db_auth:\n  user1234: hunter2Zx9q", []),
+        ("db_auth:\nroom1234x is closed", []),
+        ("-db_auth = x\n+other1234 = y", []),
+    ],
+)
+def test_secret_values_over_lines(text, secrets_in):
+    assert [text[s["start"] : s["end"]] for s in secrets.scan_text(text) if s["kind"] == "literal"] == secrets_in
+
+
 @pytest.mark.parametrize("text", ["the secret: something nice happened", "color = 'blue'", "password = 'changeme123'", "token: none", "at 12:30 we met", "see http://a.b/c", "monkey = 'abc123XYZ789'"])
 def test_no_secret(text):
     assert [s for s in secrets.scan_text(text) if not s["base"]] == []
