@@ -4,8 +4,8 @@ Base spans come from three patterns. The method adds ``literal`` spans: source a
 assignments (``name = value``, ``name: value``, ``"name" => "value"``, attributes and the like); each right side is lexed
 into string literals, bare values and names, over line ends inside brackets and strings, at continuations, beside joining
 operators and where the value begins on the next line; constants are carried along, through names, concatenations and
-``${name}`` inside strings, in the order of the text; and a literal that reaches a name is scored by how sensitive that name's words are and
-how much the literal looks like key material.
+``${name}`` inside strings, in the order of the text; and what reaches a name, each literal and all of them joined, is scored by how
+sensitive that name's words are and how much it looks like key material. A joined value that passes gives all its literals.
 
 Defined results: null and empty texts have no spans; a null doc_id is kept; repeated rows give repeated results; an
 empty table gives no rows; texts are read whole. Offsets are code points, ends exclusive. A literal that a base span
@@ -99,13 +99,50 @@ def strength(value: str, bare: bool) -> float:
     return min(1.0, n / 12) * min(1.0, entropy / 3.0)
 
 
+Span = tuple[int, int, bool]
+
+
+class Value:
+    """What an expression may give: the literals, and the parts of each value that is joined from several."""
+
+    def __init__(self):
+        self.spans: list[Span] = []
+        self.joined: list[list[Span]] = [[]]
+
+    def add(self, spans: list[Span], parts: list[Span] | None = None) -> None:
+        self.spans += spans
+        self.joined[-1] += spans if parts is None else parts
+
+    def add_constant(self, other: Value | None) -> None:
+        if other:
+            self.spans += other.spans
+            if len(other.joined) == 1:
+                self.joined[-1] += other.joined[0]
+            else:
+                self.joined[:0] = other.joined
+
+    def done(self) -> Value:
+        """Each literal once, and parts again only while a value is short: repeats add little to its strength, and could double at each name."""
+        self.spans = list(dict.fromkeys(self.spans))
+        for i, parts in enumerate(self.joined):
+            kept, seen, size = [], set(), 0
+            for p in parts:
+                if p not in seen or size < 256:
+                    kept.append(p)
+                    seen.add(p)
+                    size += p[1] - p[0]
+            self.joined[i] = kept
+        self.joined = [list(x) for x in dict.fromkeys(map(tuple, self.joined)) if x]
+        return self
+
+
 class Lexer:
     """Name-literal pairs of one text, with constants carried along."""
 
     def __init__(self, text: str):
         self.text, self.constants = text, {}
 
-    def lines(self, start: int, end: int) -> list[tuple[int, int, bool]]:
+    def lines(self, start: int, end: int) -> list[Span]:
         """The lines of a literal without blanks and backslashes around them; several lines are no quoted values."""
         text, found = self.text, []
         if text.find("\n", start, end) < 0:
@@ -120,7 +157,7 @@ class Lexer:
                 found.append((a, b, True))
         return [(a, b, False) for a, b, _ in found] if len(found) == 1 else found
 
-    def block(self, at: int, name_at: int) -> list[tuple[int, int, bool]]:
+    def block(self, at: int, name_at: int) -> list[Span]:
         """The lines of a block value, which are indented deeper than the line of its name."""
         text = self.text
         indent = lambda i: INDENT.match(text, i).end() - i
@@ -133,11 +170,27 @@ class Lexer:
             end = stop + 1
         return self.lines(at - 1, min(end, len(text)))
 
-    def value(self, at: int, name_at: int) -> list[tuple[int, int, bool]]:
-        """Literals (start, end, bare) of the expression that begins at ``at``."""
-        text, spans, depth = self.text, [], 0
+    def literal(self, value: Value, start: int, end: int) -> None:
+        """Add a string literal, whose known names are replaced where it is joined."""
+        text, parts, at = self.text, [], start
+        lines = self.lines(start, end)
+        value.add(lines, [])
+        for inner in (*INSIDE.finditer(text, start, end), None):
+            known = inner and self.constants.get(inner[inner.lastindex])
+            if inner is None or known:
+                stop = inner.start() if inner else end
+                parts = [(max(a, at), min(b, stop), bare) for a, b, bare in lines if max(a, at) < min(b, stop)]
+                value.add([], parts)
+                if known:
+                    value.add_constant(known)
+                    at = inner.end()
+
+    def value(self, at: int, name_at: int) -> Value:
+        """The expression that begins at ``at``; literals are (start, end, bare)."""
+        text, value, depth, plus = self.text, Value(), 0, False
         if m := BLOCK.match(text, at):
-            return self.block(m.end(), name_at)
+            value.add(self.block(m.end(), name_at))
+            return value.done()
         below = LINE_END.match(text, at)
         at = below.end() if below else at
         while True:
@@ -148,13 +201,11 @@ class Lexer:
             quoted = False
             if m := STRING.match(text, at):
                 quoted, group = True, m.lastindex
-                spans += self.lines(*m.span(group))
-                for inner in INSIDE.finditer(text, m.start(group), m.end(group)):
-                    spans += self.constants.get(inner[inner.lastindex], ())
+                self.literal(value, *m.span(group))
             elif (m := WORD.match(text, at)) and m[0] in self.constants and not text.startswith("(", m.end()):
-                spans += self.constants[m[0]]
+                value.add_constant(self.constants[m[0]])
             elif m := INSIDE.match(text, at):
-                spans += self.constants.get(m[m.lastindex], ())
+                value.add_constant(self.constants.get(m[m.lastindex]))
             elif (m := BARE.match(text, at)) and not text.startswith(("(", "["), m.end()):
                 stop = m.end()
                 if text.startswith("\\", stop - 1) and text.startswith(("\n", "\r\n"), stop):
@@ -162,42 +213,47 @@ class Lexer:
                     stop = m.end()
                 while stop > at and text[stop - 1] in ".!?:":
                     stop -= 1
-                if below and not depth and not spans and not ALONE.match(text, m.end()):
+                if below and not depth and not value.spans and not ALONE.match(text, m.end()):
                     break
                 if stop > at:
-                    spans.append((at, stop, True))
+                    # Beside an operator, a word is a name that isn't known.
+                    unknown = (plus or PLUS.match(text, m.end())) and WORD.fullmatch(text, at, stop)
+                    value.add([(at, stop, True)], [] if unknown else None)
             elif not (depth and text.startswith((")", "]"), at)):
                 break
             at = m.end() if m else at
-            goes_on = False
+            goes_on = plus = False
             while depth and not goes_on:
                 to = GAP.match(text, at).end()
                 if text.startswith((")", "]"), to):
                     depth, at = depth - 1, to + 1
-                elif text.startswith(",", to) or (m := PLUS_INSIDE.match(text, to)):
-                    at, goes_on = GAP.match(text, to + 1 if text.startswith(",", to) else m.end()).end(), True
+                elif text.startswith(",", to):
+                    at, goes_on = GAP.match(text, to + 1).end(), True
+                    value.joined.append([])
+                elif m := PLUS_INSIDE.match(text, to):
+                    at, goes_on, plus = GAP.match(text, m.end()).end(), True, True
                 elif text.startswith(('"', "'", "`"), to):
                     at, goes_on = to, True
                 else:
-                    return spans
+                    return value.done()
             if goes_on:
                 continue
             if m := PLUS.match(text, at):
-                at = GAP.match(text, m.end()).end()
+                at, plus = GAP.match(text, m.end()).end(), True
             elif m := NEXT.match(text, at):
                 at = m.end()
             elif not (quoted and text.startswith(('"', "'"), at)):
                 break
-        return spans
+        return value.done()
 
-    def pairs(self) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
+    def pairs(self) -> Iterator[tuple[str, Value]]:
         text = self.text
         for op in OPERATOR.finditer(text):
             name = NAME.search(text, max(0, op.start() - NAME_REACH), op.start())
-            if name and (spans := self.value(op.end(), name.start())):
+            if name and (value := self.value(op.end(), name.start())).spans:
                 target = name["quoted"] or name["plain"]
-                self.constants[target] = spans = list(dict.fromkeys(spans))
-                yield target, spans
+                self.constants[target] = value
+                yield target, value
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -213,12 +269,16 @@ def scan_text(text: str, least: float = 0.5) -> list[dict]:
     found = [{"kind": k, "start": a, "end": b, "base": True, "name": None, "score": 1.0} for k, a, b in base]
     best: dict[tuple[int, int], tuple[float, str]] = {}
     if "=" in text or ":" in text or "<-" in text:
-        for name, spans in Lexer(text).pairs():
+        for name, value in Lexer(text).pairs():
             if weight := sensitivity(name):
-                for a, b, bare in spans:
-                    score = weight * strength(text[a:b], bare)
-                    if score >= least and score > best.get((a, b), (0.0, ""))[0]:
-                        best[a, b] = score, name
+                scored = [(weight * strength(text[a:b], bare), [(a, b, bare)]) for a, b, bare in value.spans]
+                for parts in value.joined:
+                    if len(parts) > 1:
+                        scored.append((weight * strength("".join(text[a:b] for a, b, _ in parts), all(bare for *_, bare in parts)), parts))
+                for score, parts in scored:
+                    for a, b, _ in parts:
+                        if score >= least and score > best.get((a, b), (0.0, ""))[0]:
+                            best[a, b] = score, name
     for (a, b), (score, name) in best.items():
         if not any(x <= a and b <= y for _, x, y in base):
             found.append({"kind": "literal", "start": a, "end": b, "base": False, "name": name, "score": score})

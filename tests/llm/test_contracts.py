@@ -132,6 +132,29 @@ def test_secret_values_over_lines(text, secrets_in):
     assert [text[s["start"] : s["end"]] for s in secrets.scan_text(text) if s["kind"] == "literal"] == secrets_in
 
 
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("db_auth = password = 'hun' + 'ter2Z' + 'x!9q'", "db_auth = password = '#' + '#' + '#'"),
+        ("A = 'k9Q'\nB = 'zz81L'\nC = 'mQp02'\nclient_secret = A + B + C", "A = '#'\nB = '#'\nC = '#'\nclient_secret = A + B + C"),
+        ("PREFIX = 'k9Q'\nKEY_BODY = 'zz81LmQp02'\nclient_secret = PREFIX + KEY_BODY", "PREFIX = '#'\nKEY_BODY = '#'\nclient_secret = PREFIX + KEY_BODY"),
+        ("part = 'w2e3r4'\nsigning_key = \"q1${part}t5Y6\"", "part = '#'\nsigning_key = \"#\""),
+        ("p = 'aB3'\nx_secret = p + p + p + p", "p = '#'\nx_secret = p + p + p + p"),
+        ("x_secret = ['k9Q', 'zz8', '1Lm', 'Qp0']", None),
+        ("x_secret = 'Hello' + user1 + name2", None),
+        ("password = 'chan' + 'geme' + '1234'", None),
+        ("title = 'hun' + 'ter2Z' + 'x!9q'", None),
+    ],
+)
+def test_secret_values_joined(text, clean):
+    assert secrets.redacted(text, "#", 0.5) == (text if clean is None else clean)
+
+
+def test_secret_constants_that_double():
+    text = "a0 = 'k9Q'\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(200)) + "my_secret = a200 + 'zz81LmQp02'"
+    assert {text[s["start"] : s["end"]] for s in secrets.scan_text(text)} == {"k9Q", "zz81LmQp02"}
+
+
 @pytest.mark.parametrize("text", ["the secret: something nice happened", "color = 'blue'", "password = 'changeme123'", "token: none", "at 12:30 we met", "see http://a.b/c", "monkey = 'abc123XYZ789'"])
 def test_no_secret(text):
     assert [s for s in secrets.scan_text(text) if not s["base"]] == []
