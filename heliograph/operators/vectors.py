@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graphs import connected_components
+from .state import cut
+
 
 def knn(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", query_id: str = "query_id", vector: str = "embedding", block: int = 256, part_rows: int = 20_000) -> DataFrame:
     """The k rows nearest to each query by cosine, exactly: query_id, row_id, similarity, rank.
@@ -45,6 +49,90 @@ def knn(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", que
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def block_pairs(rows: DataFrame, n: int, block: int, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str, row_id: str, vector: str, *others: str) -> DataFrame:
+    """``fn`` over every unordered pair of blocks of about ``block`` of the ``n`` rows, a block with itself included; all pairs of rows meet once."""
+    blocks = max(1, -(-n // block))
+    b, o = F.pmod(F.xxhash64(row_id), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("o")
+    dealt = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).alias("v"), *others, b).select("*", o)
+    dealt = dealt.select("id", "v", *others, "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+
+    def meet(t: pa.Table) -> pa.Table:
+        at, i, j = np.array(t["b"]), t["i"][0].as_py(), t["j"][0].as_py()
+        return fn(t.filter(pa.array(at == i)), t.filter(pa.array(at == j)))
+
+    return dealt.repartition(max(1, min(2000, blocks * (blocks + 1) // 2)), "i", "j").groupBy("i", "j").applyInArrow(meet, schema)
+
+
+def close(left: pa.Table, right: pa.Table, eps: float) -> np.ndarray:
+    """Which rows of the two tables are within cosine distance ``eps``; a row is always close to itself."""
+
+    def unit(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        x = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+    return (1 - unit(left["v"]) @ unit(right["v"]).T <= eps) | (np.array(left["id"])[:, None] == np.array(right["id"])[None, :])
+
+
+def forest(links: np.ndarray) -> list[tuple[int, int]]:
+    """Links (left, right) of a spanning forest of a bipartite graph, each row of the matrix read once."""
+    found, open_left, open_right = [], np.ones(links.shape[0], bool), links.any(0)
+    for root in range(links.shape[0]):
+        todo = [root] if open_left[root] else []
+        open_left[root] = False
+        while todo:
+            a = todo.pop()
+            for b in np.flatnonzero(links[a] & open_right):
+                open_right[b] = False
+                found.append((a, int(b)))
+                more = np.flatnonzero(links[:, b] & open_left)
+                open_left[more] = False
+                found += [(int(x), int(b)) for x in more]
+                todo += more.tolist()
+    return found
+
+
+def density_clusters(rows: DataFrame, eps: float = 0.5, least: int = 5, row_id: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """DBSCAN by cosine distance over all rows, exactly: node and component (its smallest core row); noise has no row.
+
+    A row with ``least`` rows within ``eps``, itself included, is a core row. All pairs are compared, twice, in blocks;
+    a pair of blocks gives counts and then only a spanning forest of its links. A row that isn't core has fewer than ``least``
+    links and goes to the component with the smallest core row that it is close to.
+    """
+    n = rows.count()
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        links = close(left, right, eps)
+        ids, sums = list(left["id"].to_pylist()), list(links.sum(1))
+        if left["b"][0] != right["b"][0]:
+            ids, sums = ids + right["id"].to_pylist(), sums + list(links.sum(0))
+        return pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array(map(int, sums), pa.int64())})
+
+    def link(left: pa.Table, right: pa.Table) -> pa.Table:
+        links, a, b = close(left, right, eps), np.array(left["id"]), np.array(right["id"])
+        core_a, core_b = np.array(left["core"]), np.array(right["core"])
+        found = forest(links & core_a[:, None] & core_b[None, :])
+        src, dst, edge = [int(a[x]) for x, _ in found], [int(b[y]) for _, y in found], [True] * len(found)
+        x, y = np.nonzero(links & ~core_a[:, None] & core_b[None, :])
+        src, dst = src + a[x].tolist(), dst + b[y].tolist()
+        x, y = np.nonzero(links & core_a[:, None] & ~core_b[None, :])
+        src, dst = src + b[y].tolist(), dst + a[x].tolist()
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "core": pa.array(edge + [False] * (len(src) - len(edge)), pa.bool_())})
+
+    def some(fn: Callable[[pa.Table, pa.Table], pa.Table], empty: dict[str, pa.DataType]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        return lambda left, right: fn(left, right) if len(left) and len(right) else pa.table({c: pa.array([], t) for c, t in empty.items()})
+
+    v = rows.select(row_id, vector)
+    counted = block_pairs(v, n, block, some(count, {"id": pa.int64(), "n": pa.int64()}), "id long, n long", row_id, vector)
+    cores = cut(counted.groupBy("id").agg((F.sum("n") >= least).alias("core")))
+    flagged = v.join(cores.withColumnRenamed("id", row_id), row_id)
+    links = cut(block_pairs(flagged, n, block, some(link, {"src": pa.int64(), "dst": pa.int64(), "core": pa.bool_()}), "src long, dst long, core boolean", row_id, vector, "core"))
+    found = connected_components(links.where("core").select("src", "dst"))
+    border = links.where("NOT core").join(found.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("component"))
+    return found.unionByName(border)
+
+
 def ivf_index(rows: DataFrame, lists: int = 16, sample_rows: int = 20_000, seed: int = 42, row_id: str = "vec_id", vector: str = "embedding"):
     """Inverted lists for approximate search: centroids, fitted to at most about ``sample_rows`` unit vectors, and every row with its nearest one.
 

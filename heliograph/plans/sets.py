@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text
 from ..operators import graphs, relational, setjoin, vectors
 from ..operators.folds import ordered_fold
+from ..operators.state import cut
 from .registry import query, table
 
 LISTS = "SELECT user_id, event_type AS item, row_number() OVER (PARTITION BY user_id ORDER BY {o}, event_type) AS r FROM (SELECT user_id, event_type, sum(value) AS s, count(*) AS n FROM events GROUP BY ALL)"
@@ -154,10 +155,8 @@ def cluster_statistics(spark, d):
 
 @query("cl05_density_clusters")
 def density_clusters(spark, d):
-    """DBSCAN-like components of a nearest-neighbour graph: the 10 nearest of each query row that are within cosine distance .5."""
-    e = table(spark, d, "embeddings")
-    near = vectors.knn(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10).where("similarity >= 0.5 AND query_id <> vec_id")
-    return graphs.connected_components(near.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst")))
+    """DBSCAN over all rows with the reference's eps and min_samples."""
+    return vectors.density_clusters(table(spark, d, "embeddings"), 0.5, 5)
 
 
 @query("cl08_bisecting")
@@ -181,9 +180,10 @@ def community_edges(spark, d):
 
 @query("cl04_density_tree")
 def density_tree(spark, d):
-    """Components of mutual reachability over each query row's 10 nearest, in place of a full density tree: an edge counts if it is within 1.2 times both core distances."""
+    """Components of mutual reachability over each row's 10 nearest, in place of a full density tree: an edge counts if it is within 1.2 times both core distances."""
     e = table(spark, d, "embeddings")
-    near = vectors.knn(e, e.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 10).where("query_id <> vec_id")
-    core = near.groupBy("query_id").agg(F.max(1 - F.col("similarity")).alias("core"))
-    edges = near.join(core, "query_id").where("1 - similarity <= 1.2 * core").select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst"))
-    return graphs.connected_components(edges)
+    near = vectors.knn(e, e.withColumnRenamed("vec_id", "query_id"), 10, block=2048, part_rows=5000).where("query_id <> vec_id")
+    near = cut(near.select("query_id", "vec_id", (1 - F.col("similarity")).alias("distance")))
+    core = near.groupBy("query_id").agg(F.max("distance").alias("core"))
+    edges = near.join(core, "query_id").join(core.toDF("vec_id", "other"), "vec_id").where("distance <= 1.2 * least(core, other)")
+    return graphs.connected_components(edges.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst")))

@@ -144,3 +144,24 @@ def test_table_recall(spark):
     exact = {(r["query_id"], r["vec_id"]) for r in vectors.knn(e, q, 10).collect()}
     found = {(r["query_id"], r["vec_id"]) for r in vectors.ivf_search(*vectors.ivf_index(e), q, 10).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_density_clusters_against_brute_force(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    centres = rnd.normal(size=(6, 8))
+    x = np.vstack([centres[i % 6] + rnd.normal(size=8) * (0.1 + 0.12 * (i % 9)) for i in range(150)] + [np.zeros(8)])
+    for eps in (0.05, 0.12, 0.5):
+        unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        near = (1 - unit @ unit.T <= eps) | np.eye(len(x), dtype=bool)
+        core, want = near.sum(1) >= 5, {}
+        for root in np.flatnonzero(core):
+            todo = [] if root in want else [root]
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()]):
+                    if j not in want:
+                        want[j] = root
+                        todo += [j] if core[j] else []
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        assert {r[0]: r[1] for r in vectors.density_clusters(df, eps, 5, block=40).collect()} == {int(a): int(b) for a, b in want.items()}
