@@ -10,13 +10,13 @@ their symmetric difference has at most ``(100 - percent) / (100 + percent)`` of
   first-level partition holds at most one difference, and one of its subsets of one part none. The hash of each such
   subset's features is a signature. Empty subsets say nothing and are left out as long as the set fills more than ``k``
   others, which makes some shared one a filled one; otherwise they are kept.
-* Sets that share a signature are compared with the smallest of them. Where that leaves several components
-  around a smallest set, all pairs across them are compared. A pair first has its parity sketches compared: the
-  bits in which they differ are never more than the difference of the sets, hence no link is lost; what passes is
-  verified on the sets themselves, which are made again from the texts.
+* Sets that share a signature are compared with the smallest of them. Where that leaves several components around a
+  smallest set, all pairs across them are compared in blocks, which end as soon as nothing is apart, and give only links
+  that join components. A pair first has its parity sketches compared: the bits in which they differ are never more than
+  the difference of the sets, hence no link is lost; what passes is verified on the sets themselves, which are made again from the texts.
 
 Equal sets are one class, by a 64-bit hash, from the start, so that copies aren't compared. Groups are read as sorted streams;
-the pairwise step splits groups of more than ``BLOCK`` classes into pairs of blocks. No pair is left out.
+the pairwise step splits groups of more than ``BLOCK`` features into pairs of blocks. No pair across components is left out.
 
 Defined results: a null or empty text has an empty set and links with nothing; a text with fewer words than ``n`` has one
 feature, its words; repeated rows are copies; rows with the same id are one document; a null id has no component; an
@@ -36,9 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import apart, components
 
-BLOCK = 1024
+#: Features (8 bytes each) in a block of a group, about.
+BLOCK = 1_000_000
 #: Keys of sets that a task has already sent; when full it is emptied, and a set may be sent again.
 SENT_KEPT = 500_000
 
@@ -289,50 +290,65 @@ def promising(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs that may link across components, from rows (group, rep, root, n, sketch, side) sorted by group.
+    """Links (a, b) that join components, from rows (group, rep, root, weight, side, features) sorted by group.
 
-    side tells which pairs to make: 0 with 0, or 1 with 2.
+    side tells which pairs to make: 0 with 0, 1 with 2, and 3, the hub, with all. The rows of a group start as the
+    components they are in; a pair is compared only while its two rows are still apart, and a link is emitted only if it
+    joins two components, hence a group gives fewer links than it has components. Hubs, which share most signatures, come first.
     """
 
     def of_group(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        rep, root, n = (np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3))
-        side = np.array([r[5] for r in rows])
-        size = min(len(r[4]) for r in rows) // 8
-        bits = np.stack([folded(r[4], size) for r in rows])
+        rows = sorted(rows, key=lambda r: (r[4] != 3, -r[3], r[1]))
+        rep, side = (np.array([r[i] for r in rows], np.int64) for i in (1, 4))
+        label = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        sets = [np.frombuffer(r[5], U) for r in rows]
+        n = np.array([len(x) for x in sets])
+        sketches = [sketch(x) for x in sets]
+        size = min(len(x) for x in sketches) // 8
+        bits = np.stack([folded(x, size) for x in sketches])
+        place = np.arange(len(rows))
         for i in range(len(rows)):
-            other = (np.arange(len(rows)) > i) if side[i] == 0 else (side == 2) if side[i] == 1 else None
-            if other is None:
+            if side[i] == 2:
                 continue
-            other = other & (root != root[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            other = (label != label[i]) & ((side == 2) if side[i] == 1 else (place > i)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             at = np.flatnonzero(other)
-            if len(at):
-                for j in at[possible(bits[i], bits[at], n[i], n[at], percent)]:
+            if not len(at):
+                continue
+            for j in at[possible(bits[i], bits[at], n[i], n[at], percent)]:
+                if label[j] != label[i] and linked(sets[i], sets[j], percent):
                     yield int(rep[i]), int(rep[j])
+                    label[label == label[j]] = label[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("group", "rep", "root", "weight", "side", "features")
+
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("group", "rep", "root", "n", "sketch", "side")), strict=True)
+                yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
 
-        for _, members in groupby(rows(), key=lambda r: r[0]):
-            found = list(of_group(list(members)))
+        for _, same in groupby(rows(), key=lambda r: r[0]):
+            found = list(of_group(list(same)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return common.map_arrow(members, run, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs of ids (a, b) whose texts' sets link. Texts are read again for the ids in question only."""
-    pairs = common.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    wanted = common.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
-    texts = docs.where("doc_id IS NOT NULL").join(wanted.where(f"id > {-(1 << 63)}"), docs["doc_id"] == F.col("id"))
+def features_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """id and features (bytes of the sorted hashes) of the wanted ids, from their texts."""
+    texts = docs.where("doc_id IS NOT NULL").join(wanted, docs["doc_id"] == F.col("id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([shingles(t, n).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["id", "features"])
 
-    made = common.map_arrow(texts.select("id", "text"), sets, "id long, features binary")
+    return common.map_arrow(texts.select("id", "text"), sets, "id long, features binary")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs of ids (a, b) whose texts' sets link. Texts are read again for the ids in question only."""
+    pairs = common.written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    made = features_of(docs, common.written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted"), n)
     left, right = (made.select(F.col("id").alias(c), F.col("features").alias(f"features_{c}")) for c in ("a", "b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,6 +363,26 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
     return common.map_arrow(pairs.join(left, "a").join(right, "b").select("a", "b", "features_a", "features_b"), check, "a long, b long")
 
 
+def in_blocks(placed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """group, rep, root, weight and side of the sets of every group that still holds several components.
+
+    A group is cut into blocks of about BLOCK features, and goes once to each pair of blocks; its hub, the set that
+    shares most signatures with the group's smallest set, goes to all of them.
+    """
+    narrow = classes.select("key", "rep", "n").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
+    members = common.written(placed.join(narrow, "key"), "members")
+    hub = F.max(F.when(F.col("key") != F.col("first"), F.struct("weight", "key")))["key"].alias("hub")
+    still_open = members.groupBy("first").agg(F.sum("n").alias("size"), hub, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    own = F.array(F.struct(mine.alias("i"), mine.alias("j"), F.lit(0).alias("side")))
+    with_others = F.transform(F.filter(every, lambda b: b != mine), lambda b: F.struct(F.least(b, mine).alias("i"), F.greatest(b, mine).alias("j"), F.when(mine < b, 1).otherwise(2).alias("side")))
+    with_all = F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, blocks - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), F.lit(3).alias("side")))))
+    g = F.explode(F.when(F.col("key") == F.col("hub"), with_all).otherwise(F.concat(own, with_others))).alias("g")
+    return apart(members, still_open.select("first", "size", "hub"), "first").select("first", "rep", "root", "weight", g).select(F.xxhash64("first", "g.i", "g.j").alias("group"), "rep", "root", "weight", "g.side")
+
+
 def similarity_groups(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every row."""
     docs = common.texts(df)
@@ -355,29 +391,23 @@ def similarity_groups(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         listed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")).where("sketch IS NOT NULL"), "classes"
     )
     rows = signature_rows(docs.where("doc_id IS NOT NULL"), n, percent)
-    groups = common.written(shared(rows.repartition("signature").sortWithinPartitions("signature", "key")), "signatures")
+    # the sets that share signatures with the smallest one of these, and how many each shares: near copies share many
+    groups = shared(rows.repartition("signature").sortWithinPartitions("signature", "key"))
+    placed = common.written(groups.groupBy("first", "key").agg(F.count("*").alias("weight")), "signatures")
 
     # each set with the smallest of its group
     side = lambda c: classes.select(F.col("key").alias(f"key_{c}"), F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
-    stars = groups.where("key <> first").select(F.col("first").alias("key_a"), F.col("key").alias("key_b")).distinct()
+    stars = placed.where("key <> first").select(F.col("first").alias("key_a"), F.col("key").alias("key_b"))
     near = promising(stars.join(side("a"), "key_a").join(side("b"), "key_b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b"), percent)
-    links = common.written(verified(near, docs, n, percent), "links")
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    # Where the sets that share signatures with one smallest set are still in several components: all pairs across these,
-    # in blocks. Signatures with the same smallest set go together, since near copies share many, and each pair is made once.
-    narrow = classes.select("key", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    placed = groups.select("first", "key").distinct().join(narrow, "key")
-    open_groups = placed.groupBy("first").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("size > 2 AND low < high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.lit(1) * blocks).cast("int")
-    own = F.array(F.struct(mine.alias("i"), mine.alias("j"), F.lit(0).alias("side")))
-    others = F.transform(F.filter(F.sequence(F.lit(0), blocks - 1), lambda b: b != mine), lambda b: F.struct(F.least(b, mine).alias("i"), F.greatest(b, mine).alias("j"), F.when(mine < b, 1).otherwise(2).alias("side")))
-    unresolved = placed.join(open_groups.select("first", "size"), "first").select("first", "key", "root", F.explode(F.concat(own, others)).alias("g"))
-    grouped = unresolved.join(classes, "key").select(F.xxhash64("first", "g.i", "g.j").alias("group"), "rep", "root", "n", "sketch", F.col("g.side").alias("side"))
-    more = across(grouped.repartition("group").sortWithinPartitions("group", "rep"), percent)
-    all_links = common.written(verified(more, docs, n, percent), "links").unionByName(links)
-    final = components(all_links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    links = verified(near, docs, n, percent)
+    roots = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+
+    # where the sets around one smallest set are still in several components: all pairs across these, in blocks
+    unresolved = common.written(in_blocks(placed, roots, classes), "blocks")
+    made = features_of(docs, common.written(unresolved.select(F.col("rep").alias("id")).distinct(), "wanted"), n)
+    grouped = unresolved.join(made, F.col("rep") == F.col("id")).select("group", "rep", "root", "weight", "side", "features")
+    joins = common.written(across(grouped.repartition("group").sortWithinPartitions("group"), percent), "links")
+    final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(joins.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     keyed = classes.select(F.col("key").alias("class"), "rep").join(final, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("root"))
     out = listed.join(keyed, F.when(F.col("doc_id").isNotNull(), F.col("key")) == F.col("class"), "left")

@@ -422,7 +422,7 @@ def near_copies(seed, groups=12, size=9):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_components(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "BLOCK", 200)
     texts = dict(enumerate(near_copies(seed) + [t or "" for t in ODD]))
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     want = brute.components(texts)
@@ -432,6 +432,32 @@ def test_jaccard_components(spark, seed, monkeypatch):
     assert {r["doc_id"] for r in jaccard.keep_one(df).collect()} == set(want.values())
 
 
+def test_jaccard_of_many_near_copies(spark, monkeypatch):
+    """500 copies of one text, each with changes of its own: hardly two link, and all link with the original, which is the largest id."""
+    monkeypatch.setattr(jaccard, "BLOCK", 10_000)
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
+    base = [word() for _ in range(120)]
+    texts = {}
+    for i in range(500):
+        mine = list(base)
+        for at in rnd.sample(range(0, 120, 5), 3):
+            mine[at] = word()
+        texts[i] = " ".join(mine)
+    texts |= {500: " ".join(base), 501: " ".join(word() for _ in range(50)), -(1 << 63): "one two three four five six seven", 7_000: "one two three four five six seven", (1 << 63) - 1: " ".join(base[:119])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(7)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.similarity_groups(df).collect()} == brute.components(texts)
+
+
+def test_across_emits_joining_links_only(spark):
+    """A block of n components gives n - 1 links at most, whatever the number of pairs that link."""
+    feats = [bytes(jaccard.shingles("a b c d e f g h i j k l m n o p q r s t u v w x y z", 5).tobytes())] * 60
+    rows = [(1, i, i, 1, 3 if i == 7 else 0, f) for i, f in enumerate(feats)]
+    df = spark.createDataFrame(rows, "group long, rep long, root long, weight long, side int, features binary").coalesce(1)
+    got = jaccard.across(df, 80).collect()
+    assert len(got) == 59 and {r["a"] for r in got} == {7}
+
+
 def test_partenum_shares_a_signature():
     """Any two sets at the threshold share a signature, whatever differs."""
     import numpy as np
