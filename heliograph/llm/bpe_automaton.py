@@ -14,13 +14,19 @@ Two layers:
   end here, each with the last token before it and the token count there, relative to now. Its arcs are compiled when
   first needed, kept in a table, and annotated with the number of emitted tokens (the change of the prefix's token
   count, which can be negative) and with the last token of the prefix, from which the tokens are read backwards.
+
+Words of no bytes have no tokens; there are no nulls at this level.
 """
 
 from __future__ import annotations
 
 import json
 
+import numpy as np
+
 ROOT = 0
+#: States and answers about arcs that a worker keeps; when full, they are made anew. A state takes some 300 bytes.
+STATES_KEPT, ARCS_KEPT = 200_000, 200_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -37,7 +43,8 @@ class Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.spec, vocab = spec, model["vocab"]
+        vocab = model["vocab"]
+        self.spec = {k: v for k, v in spec.items() if k != "model"}
         self.suffix = model.get("end_of_word_suffix") or ""
         self.names = {i: s for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -82,7 +89,7 @@ class TokenAutomaton:
         key = (t, x)
         known = self._known.get(key)
         if known is None:
-            if len(self._known) > 1_000_000:
+            if len(self._known) > ARCS_KEPT:
                 self._known.clear()
             known = self._known[key] = self._arc(t, x)
         return known
@@ -108,99 +115,172 @@ class TokenAutomaton:
         return True
 
 
-class State(dict):
-    """Symbol -> next state; a missing arc is compiled when first asked for."""
-
-    __slots__ = ("machine", "key", "last", "emits")
-
-    def __missing__(self, symbol: int) -> State:
-        return self.machine.compile(self, symbol)
-
-
 class SymbolTransducer:
-    """Table-driven word encoder and token counter; the table holds the arcs met so far and is emptied at ``max_states``.
+    """Table-driven encoder and token counter for many words at a time.
 
     A beginning that can go on is kept in a state's key as one integer: its place in the token trie, the token before it
-    plus one, and the token count before it relative to now.
+    plus one, and the token count before it relative to now. Arcs lie in an open hash table of arrays, so that all words
+    take a step at once; those met for the first time are compiled. The table is emptied at ``max_states``.
     """
 
-    def __init__(self, vocab: Vocabulary, max_states: int = 300_000):
-        self.vocab, self.tokens, self.max_states = vocab, TokenAutomaton(vocab), max_states
-        self.child: list[dict[int, int]] = [{}]
+    def __init__(self, vocab: Vocabulary, max_states: int = STATES_KEPT):
+        self.tokens, self.max_states, self.end = TokenAutomaton(vocab), max_states, 256 if vocab.suffix else 0
+        self.child: dict[int, int] = {}
         self.token_at: list[int] = [-1]
         made = {c for _, _, c in vocab.merges} | set(vocab.symbol_token.values())
         for i in sorted(made):
             node = ROOT
             for s in vocab.symbols[i]:
-                nxt = self.child[node].get(s)
+                nxt = self.child.get(node << 9 | s)
                 if nxt is None:
-                    nxt = self.child[node][s] = len(self.child)
-                    self.child.append({})
+                    nxt = self.child[node << 9 | s] = len(self.token_at)
                     self.token_at.append(-1)
                 node = nxt
             self.token_at[node] = i
-        self.length = {i: len(vocab.symbols[i]) for i in made}
-        self.end = 256 if vocab.suffix else 0
+        self.goes_on = {k >> 9 for k in self.child}
+        self.length = np.zeros(max(made) + 1, np.int64)
+        for i in made:
+            self.length[i] = len(vocab.symbols[i])
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, State] = {}
-        self.start = self.state((self.packed(ROOT, -1, 0),), -1, 0)
+        self.numbers: dict[tuple, int] = {}
+        self.keys: list[tuple] = []
+        self.last, self.emits = np.empty(1024, np.int32), np.empty(1024, np.int64)
+        self.arcs, self.arc_from, self.arc_to = 0, np.full(1 << 14, -1, np.int64), np.empty(1 << 14, np.int32)
+        self.state((self.packed(ROOT, -1, 0),), -1, 0)  # number 0, where words begin
 
     @staticmethod
     def packed(node: int, before: int, n: int) -> int:
         return node << 40 | (before + 1) << 16 | (n + 32768)
 
-    def state(self, key: tuple, last: int, emits: int) -> State:
+    def state(self, key: tuple, last: int, emits: int) -> int:
         # the annotations are of the arc into the state, so they tell states apart, too
-        got = self.states.get((key, last, emits))
+        got = self.numbers.get((key, last, emits))
         if got is None:
-            got = self.states[key, last, emits] = State()
-            got.machine, got.key, got.last, got.emits = self, key, last, emits
+            got = self.numbers[key, last, emits] = len(self.keys)
+            self.keys.append(key)
+            if got == len(self.last):
+                self.last, self.emits = np.resize(self.last, 2 * got), np.resize(self.emits, 2 * got)
+            self.last[got], self.emits[got] = last, emits
         return got
 
-    def compile(self, state: State, symbol: int) -> State:
+    def compiled(self, state: int, symbol: int) -> int:
         last, count, still = -1, 0, []
-        for entry in state.key:
+        for entry in self.keys[state]:
             node, before, n = entry >> 40, (entry >> 16 & 0xFFFFFF) - 1, (entry & 0xFFFF) - 32768
-            nxt = self.child[node].get(symbol)
+            nxt = self.child.get(node << 9 | symbol)
             if nxt is None:
                 continue
             token = self.token_at[nxt]
             if last < 0 and token >= 0 and self.tokens.allows(before, token):
                 last, count = token, n + 1
-            if self.child[nxt]:
+            if nxt in self.goes_on:
                 still.append((nxt, before, n))
         if last < 0:
             raise ValueError(f"no token for symbol {symbol}")
         key = (*(self.packed(node, before, n - count) for node, before, n in still), self.packed(ROOT, last, 0))
-        got = state[symbol] = self.state(key, last, count)
-        return got
+        return self.state(key, last, count)
 
-    def count(self, word: bytes) -> int:
-        """Number of tokens of a non-empty word: the sum of the arcs' annotations."""
-        if len(self.states) > self.max_states:
-            self.reset()
-        state, total = self.start, 0
-        for s in word[:-1]:
-            state = state[s]
-            total += state.emits
-        return total + state[word[-1] + self.end].emits
-
-    def encode(self, word: bytes) -> list[int]:
-        """Token ids of a non-empty word."""
-        if len(self.states) > self.max_states:
+    def slots(self, arcs: np.ndarray) -> np.ndarray:
+        bits = len(self.arc_from).bit_length() - 1
+        return (arcs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def found(self, arcs: np.ndarray) -> np.ndarray:
+        """Slot of each arc, or the free one where its search ends."""
+        slot, mask = self.slots(arcs), len(self.arc_from) - 1
+        there = self.arc_from[slot]
+        on = np.flatnonzero((there != arcs) & (there >= 0))
+        while len(on):
+            slot[on] = (slot[on] + 1) & mask
+            there = self.arc_from[slot[on]]
+            on = on[(there != arcs[on]) & (there >= 0)]
+        return slot
+
+    def add(self, arcs: np.ndarray, to: np.ndarray) -> None:
+        """Put new arcs, each once, into the table."""
+        if 2 * (self.arcs + len(arcs)) > len(self.arc_from):
+            size = 1 << (4 * (self.arcs + len(arcs))).bit_length()
+            old = self.arc_from >= 0
+            arcs, to = np.concatenate([self.arc_from[old], arcs]), np.concatenate([self.arc_to[old], to])
+            self.arcs, self.arc_from, self.arc_to = 0, np.full(size, -1, np.int64), np.empty(size, np.int32)
+        self.arcs += len(arcs)
+        while len(arcs):  # of arcs that find the same free slot, the last gets it and the others go on
+            slot = self.found(arcs)
+            self.arc_from[slot], self.arc_to[slot] = arcs, to
+            left = self.arc_from[slot] != arcs
+            arcs, to = arcs[left], to[left]
+
+    def step(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        arcs = states.astype(np.int64) << 9 | symbols
+        slot = self.found(arcs)
+        missing = self.arc_from[slot] != arcs
+        if missing.any():
+            new = np.unique(arcs[missing])
+            self.add(new, np.array([self.compiled(arc >> 9, arc & 511) for arc in new.tolist()], np.int32))
+            slot = self.found(arcs)
+        return self.arc_to[slot]
+
+    def walk(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        """Steps of all words together: which words took one, the place of its byte and the states. Lengths are at least 1."""
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths = starts[order], lengths[order]
+        least, states = -lengths, np.zeros(len(order), np.int32)
+        for k in range(int(lengths[0]) if len(lengths) else 0):
+            n = int(np.searchsorted(least, -k))  # words with more than k bytes
+            at = starts[:n] + k
+            states = self.step(states[:n], data[at] + np.where(lengths[:n] == k + 1, self.end, 0))
+            yield order[:n], at, states
+
+    def walk_alone(self, data: np.ndarray, start: int, length: int) -> np.ndarray:
+        """The states of one long word."""
+        arcs: dict[int, int] = {}
+        state, path = 0, np.empty(length, np.int32)
+        for k, symbol in enumerate(data[start : start + length].tolist()):
+            arc = state << 9 | (symbol + self.end if k == length - 1 else symbol)
+            state = arcs.get(arc)
+            if state is None:
+                state = arcs[arc] = int(self.step(np.array([arc >> 9]), np.array([arc & 511]))[0])
+            path[k] = state
+        return path
+
+    def groups(self, lengths: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Words that go together, and long ones, in which numpy's cost of a step would count for each byte."""
+        if len(self.keys) > self.max_states:
             self.reset()
-        state, path = self.start, []
-        append = path.append
-        for s in word[:-1]:
-            state = state[s]
-            append(state.last)
-        token = state[word[-1] + self.end].last
-        at, out, length = len(word) - self.length[token], [token], self.length
-        while at:
-            token = path[at - 1]
-            out.append(token)
-            at -= length[token]
-        out.reverse()
-        return out
+        return np.flatnonzero((lengths > 0) & (lengths <= 64)), np.flatnonzero(lengths > 64).tolist()
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Number of tokens of each word, the bytes between two offsets: the sum of the annotations of its arcs."""
+        lengths, data = np.diff(offsets), data.astype(np.int64)
+        total = np.zeros(len(lengths), np.int64)
+        together, alone = self.groups(lengths)
+        for which, _, states in self.walk(data, offsets[together], lengths[together]):
+            total[together[which]] += self.emits[states]
+        for i in alone:
+            total[i] = self.emits[self.walk_alone(data, int(offsets[i]), int(lengths[i]))].sum()
+        return total
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all words, one after another, and the number of each word's."""
+        lengths, data = np.diff(offsets), data.astype(np.int64)
+        last, ends = np.zeros(len(data), np.int64), np.zeros(len(data) + 1, bool)
+        together, alone = self.groups(lengths)
+        for _, at, states in self.walk(data, offsets[together], lengths[together]):
+            last[at] = self.last[states]
+        # backwards from the last token of each word to the one before it
+        begin, at = offsets[together], offsets[together] + lengths[together]
+        while len(at):
+            ends[at - 1] = True
+            at = at - self.length[last[at - 1]]
+            more = at > begin
+            begin, at = begin[more], at[more]
+        for i in alone:
+            start, at = int(offsets[i]), int(offsets[i] + lengths[i])
+            path = self.last[self.walk_alone(data, start, at - start)]
+            last[start:at] = path
+            while at > start:
+                ends[at - 1] = True
+                at -= int(self.length[path[at - 1 - start]])
+        upto = np.concatenate([[0], np.cumsum(ends[:-1])])
+        return last[ends[:-1]], np.diff(upto[offsets])

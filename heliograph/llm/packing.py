@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import common
-from .tokens import WordCodec, loaded
+from .tokens import WordCodec, binary_of, loaded
 
 #: Sequence ids of a partition begin at its number times this.
 PARTITION_STRIDE = 1 << 40
+#: Bytes of ids that are sent at a time, about.
+ROW_BYTES = 2_000_000
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -116,14 +118,15 @@ def pack(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, blo
         def made(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-        rows: list[tuple] = []
+        rows, held = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for row in packer.add(doc_id, codec.encode(text) + end):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), binary_of(*codec.encode(batch.column("text"))).to_pylist(), strict=True):
+                for row in packer.add(doc_id, ids + end):
                     rows.append(row)
-                    if len(rows) >= 1000:
+                    held += len(row[3])
+                    if held >= ROW_BYTES:
                         yield made(rows)
-                        rows = []
+                        rows, held = [], 0
         rows += packer.end()
         if rows:
             yield made(rows)

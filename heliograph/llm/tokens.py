@@ -7,11 +7,11 @@ length is handled whole; memory grows with the longest single text only. Null id
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -19,15 +19,10 @@ from tokenizers import Tokenizer
 from . import common
 from .bpe_automaton import SymbolTransducer, Vocabulary
 
-#: Words kept in a worker's table of results; when full it is emptied, which costs time only.
-WORDS_KEPT = 900_000
 #: Code points from here on may have other classes or lower-case forms in another version of Unicode, so the library is asked.
 ASK_FROM = 0x250
 STOPS = frozenset(".,;:!?")
 
-#: Controls that str.split() takes for white space and the pattern doesn't.
-SEPARATORS = re.compile("[\x1c-\x1f]")
-
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -39,18 +34,24 @@ def loaded(kind, path: str):
     return _loaded[key]
 
 
-class Table(dict):
-    """Word -> result, computed when missing."""
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``starts``, one run after another."""
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(len(at))
+    return at
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, word):
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        got = self[word] = self.make(word)
-        return got
+def gathered(flat: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted runs of ``flat``, which holds runs of so many values, one after another, and their lengths."""
+    each = counts[wanted]
+    return flat[runs((np.cumsum(counts) - counts)[wanted], each)], each
+
+
+def buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string array."""
+    _, offsets, data = words.cast(pa.large_string()).buffers()
+    places = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8), places
 
 
 def special_split(vocab: Vocabulary):
@@ -66,7 +67,8 @@ class WordCodec:
     """Encoder and decoder of a lower-casing vocabulary with word ends.
 
     Words are found as the file's normaliser and pre-tokenizer say (NFC, lower case, then its pattern). No word holds white
-    space, so that a text is first split there and each distinct part is worked on once while it is in the table.
+    space, so that texts are first split at ASCII blanks. Each distinct part of a batch is cut into words once, and
+    each distinct word runs through the automaton once, together with all others.
     """
 
     def __init__(self, path: str):
@@ -75,56 +77,78 @@ class WordCodec:
             raise ValueError(f"{path} is no lower-casing vocabulary with word ends")
         pattern = next(p["pattern"]["Regex"] for p in vocab.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
-        self.vocab, self.split, self.run = vocab, special_split(vocab), SymbolTransducer(vocab)
-        self.part_ids = Table(self.ids_in)
+        self.special, self.split, self.run = vocab.special, special_split(vocab), SymbolTransducer(vocab)
         self.library = Tokenizer.from_file(path)
         names = vocab.names | {i: s for s, i in vocab.special.items()}
-        self.names = names
-        self.decoded_of = Table(lambda ids: " ".join([names[i] for i in array("I", ids)]))
-
-    def encoded(self, word: str) -> bytes:
-        return array("I", self.run.encode(word.encode())).tobytes()
+        self.names = pa.array([names.get(i, "") for i in range(max(names) + 1)])
 
-    def ids_in(self, part: str) -> bytes:
-        """Ids of a part without white space.
-
-        Letters alone are one word, with a stop behind them two; the pattern is for the rest. A word that is looked up
-        is a part itself, so that one table serves both.
-        """
-        table = self.part_ids
+    def words_in(self, part: str) -> list[str]:
+        """Words of a part. Letters alone are one, with a stop behind them two; the pattern is for the rest."""
+        # below ASK_FROM there is nothing to compose
         if part.isascii() or ord(max(part)) < ASK_FROM:
             low = part.lower()
             if low.isalpha():
-                return self.encoded(low) if low == part else table[low]
-            if part[-1] in STOPS and low[:-1].isalpha():
-                return table[low[:-1]] + table[part[-1]]
-        return b"".join([self.encoded(w) for w in self.words_in(part)])
-
-    def words_in(self, text: str) -> list[str]:
-        # below ASK_FROM there is nothing to compose
-        if text.isascii() or not text or ord(max(text)) < ASK_FROM:
-            return self.words(text.lower())
-        text = self.library.normalizer.normalize_str(text)
+                return [low]
+            if low[-1:] in STOPS and low[:-1].isalpha():
+                return [low[:-1], low[-1]]
+            return self.words(low)
+        text = self.library.normalizer.normalize_str(part)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
-    def pieces(self, text: str) -> list[bytes]:
-        """Ids of each part or word that has any, as little-endian 32-bit integers."""
-        out: list[bytes] = []
-        for k, part in enumerate(self.split(text)):
-            if k % 2:
-                out.append(array("I", [self.vocab.special[part]]).tobytes())
-            elif SEPARATORS.search(part):
-                out += [self.encoded(w) for w in self.words_in(part)]
-            else:
-                out += map(self.part_ids.__getitem__, part.split())
-        return out
+    def with_specials(self, texts: pa.Array) -> np.ndarray:
+        """Which texts hold a special token's string."""
+        found = np.zeros(len(texts), bool)
+        for s in self.special:
+            found |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (unsigned 32-bit) of all texts, one after another, and the number of each text's."""
+        special = self.with_specials(texts)
+        if special.any():
+            return self.encode_specials(texts, special)
+        parts = pc.ascii_split_whitespace(texts)
+        coded = parts.flatten().dictionary_encode()
+        number: dict[str, int] = {}
+        at, n_words = [], []
+        for part in coded.dictionary.to_pylist():
+            words = self.words_in(part) if part else ()
+            n_words.append(len(words))
+            for w in words:
+                at.append(number.setdefault(w, len(number)))
+        flat, counts = self.run.encode(*buffers(pa.array(number, pa.string())))
+        n_words, at = np.array(n_words, np.int64), np.array(at, np.int64)
+        # from words to parts, from parts to texts
+        flat, each = gathered(flat.astype(np.uint32), counts, at)
+        edges = np.concatenate([[0], np.cumsum(n_words)])
+        flat, each = gathered(flat, np.diff(np.concatenate([[0], np.cumsum(each)])[edges]), coded.indices.to_numpy())
+        return flat, np.diff(np.concatenate([[0], np.cumsum(each)])[parts.offsets.to_numpy() - parts.offsets[0].as_py()])
+
+    def encode_specials(self, texts: pa.Array, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with texts cut at special tokens, which have ids of their own."""
+        pieces, between, n_pieces = [], [], []
+        for text, cut in zip(texts.to_pylist(), special.tolist(), strict=True):
+            got = self.split(text) if cut else [text]
+            pieces += got[::2]
+            between += [[self.special[s]] for s in got[1::2]] + [[]]  # nothing after the last piece
+            n_pieces.append(len(got[::2]))
+        flat, counts = self.encode(pa.array(pieces, pa.string()))
+        ends = np.cumsum(counts)
+        after = np.fromiter(map(len, between), np.int64, len(between))
+        flat = np.insert(flat, ends[after > 0], np.array([x[0] for x in between if x], np.uint32)) if after.any() else flat
+        edges = np.concatenate([[0], np.cumsum(n_pieces)]).astype(np.int64)
+        return flat, np.diff(np.concatenate([[0], np.cumsum(counts + after)])[edges])
+
+    def decode(self, flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The labels of the arcs taken, as the library joins them for a file without decoder."""
+        ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(ends, self.names.take(pa.array(flat))), " ")
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.pieces(text))
 
-    def decode(self, pieces: list[bytes]) -> str:
-        """The labels of the arcs taken, as the library joins them for a file without decoder."""
-        return " ".join(map(self.decoded_of.__getitem__, pieces))
+def binary_of(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Each text's ids as little-endian 32-bit integers."""
+    edges = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(np.ascontiguousarray(flat, "<u4").tobytes())])
 
 
 def encode_decode(df: DataFrame, tokenizer: str) -> DataFrame:
@@ -133,13 +157,9 @@ def encode_decode(df: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = loaded(WordCodec, tokenizer)
         for batch in batches:
-            ids, decoded = [], []
-            for text in batch.column("text").to_pylist():
-                pieces = codec.pieces(text)
-                ids.append(b"".join(pieces))
-                decoded.append(codec.decode(pieces))
+            flat, counts = codec.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), binary_of(flat, counts).cast(pa.binary()), codec.decode(flat, counts)],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
 
@@ -149,16 +169,19 @@ def encode_decode(df: DataFrame, tokenizer: str) -> DataFrame:
 # -- counting by transducers -------------------------------------------------------------------------------------------
 
 #: Classes of characters that the byte-level pattern tells apart; E also ends 're and 've, MID are s t m d.
-SPACE, WHITE, LETTER, NUMBER, OTHER, QUOTE, MID, R, V, E, LL, EDGE = range(12)
+#: EDGE stands behind each text, PAD only behind an edge.
+SPACE, WHITE, LETTER, NUMBER, OTHER, QUOTE, MID, R, V, E, LL, EDGE, PAD = range(13)
 #: States: after an edge or a full contraction, in a run, after white space (one or more, ending in a space or not), and in a possible contraction.
 (FREE, IN_L, IN_N, IN_O, ONE_S, ONE_X, MANY_S, MANY_X, APOS, APOS_R, APOS_V, APOS_L) = range(12)
 #: Annotations: a word begins at this character, or at the one before it.
 HERE, BEFORE = 1, 2
+#: No position.
+NOWHERE = -1
 
 
 def word_transducer() -> tuple[np.ndarray, np.ndarray]:
     """Arcs of the byte-level word pattern: the next state and the annotation, by class and state."""
-    to, says = np.zeros((12, 12), np.uint8), np.zeros((12, 12), np.uint8)
+    to, says = np.full((13, 12), FREE, np.uint8), np.zeros((13, 12), np.uint8)
     fresh = {SPACE: ONE_S, WHITE: ONE_X, LETTER: IN_L, NUMBER: IN_N, OTHER: IN_O, QUOTE: APOS, MID: IN_L, R: IN_L, V: IN_L, E: IN_L, LL: IN_L, EDGE: FREE}
     letters = (LETTER, MID, R, V, E, LL)
 
@@ -227,83 +250,139 @@ class CharacterClasses:
 
 
 class TokenCounter:
-    """Counts byte-level tokens: a transducer marks the words, another one counts each word's tokens.
+    """Counts byte-level tokens with state maps that carry counts.
 
-    The characters of many texts are cut into chunks of ``width``. All chunks run through the word transducer at the
-    same time, from every state, which gives each chunk's state map. Maps are composed by a parallel prefix scan, which
-    gives the state in which each chunk begins; a second run from there reads the annotations.
+    The characters of many texts are cut into chunks of ``width``. All chunks run through the word transducer at the same
+    time, from every state. A chunk's map tells for each state before it: the state after it, the tokens of the words that
+    begin and end inside, and where the first and the last word begin. Maps are composed by a parallel prefix scan: counts
+    add up, and the word over the seam, which begins last on the left and ends where the first one on the right
+    begins, is counted. Token counts of words are sums of the annotations of the byte transducer's arcs.
     """
 
-    def __init__(self, path: str, width: int = 256):
+    def __init__(self, path: str, width: int = 512):
         vocab = Vocabulary(path)
         if vocab.suffix or vocab.spec["normalizer"] is not None:
             raise ValueError(f"{path} is no byte-level vocabulary")
-        self.vocab, self.width, self.split, self.run = vocab, width, special_split(vocab), SymbolTransducer(vocab)
+        self.width, self.split, self.run = width, special_split(vocab), SymbolTransducer(vocab)
         self.to, self.says = word_transducer()
         self.classes = CharacterClasses(Tokenizer.from_file(path))
-        self.count_of = Table(lambda w: self.run.count(w.encode()))
-
-    def state_maps(self, chunks: np.ndarray) -> np.ndarray:
-        """chunks: width x n classes. The state after each chunk, for each state before it: n x states."""
-        maps = np.broadcast_to(np.arange(len(self.to[0]), dtype=np.uint8), (chunks.shape[1], self.to.shape[1])).copy()
-        flat, n = self.to.ravel(), self.to.shape[1]
-        for row in chunks:
-            maps = flat[row.astype(np.uint16)[:, None] * n + maps]
-        return maps
-
-    @staticmethod
-    def scan(maps: np.ndarray) -> np.ndarray:
-        """Inclusive prefix composition of state maps, by doubling steps."""
-        done, step = maps.copy(), 1
-        while step < len(done):
-            done[step:] = np.take_along_axis(done[step:], done[:-step], axis=1)
-            step *= 2
-        return done
 
-    def word_starts(self, classes: np.ndarray) -> np.ndarray:
-        """Positions at which words begin, in order; edges count as words of their own."""
-        size, w = len(classes), self.width
-        n = -(-size // w)
-        padded = np.full(n * w, EDGE, np.uint8)
-        padded[:size] = classes
-        chunks = np.ascontiguousarray(padded.reshape(n, w).T)
-        state = np.concatenate([[FREE], self.scan(self.state_maps(chunks))[:-1, FREE]]).astype(np.uint8)
-        said, k = np.empty((w, n), np.uint8), self.to.shape[1]
+    def tokens_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Tokens of the words from the character positions a to b; an edge has none."""
+        x, n = self.at[a], self.at[b] - self.at[a]
+        offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.data[runs(x, n)].tobytes())).dictionary_encode()
+        counts = self.run.counts(*buffers(words.dictionary))[words.indices.to_numpy()]
+        counts[self.kinds[a] == EDGE] = 0
+        return counts
+
+    def tokens_between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The same in any shape and with repeats; none where b isn't behind a."""
+        out, some = np.zeros(a.shape, np.int64), b > a
+        pairs, which = np.unique(a[some] << 32 | b[some], return_inverse=True)
+        out[some] = self.tokens_of(pairs >> 32, pairs & 0xFFFFFFFF)[which]
+        return out
+
+    def maps(self, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """chunks: width x n classes. For each chunk and state before it: the state after it, the tokens inside, the first and the last beginning (NOWHERE if none)."""
+        w, n = chunks.shape
+        k = self.to.shape[1]
+        state = np.broadcast_to(np.arange(k, dtype=np.uint8), (n, k)).copy()
+        first, last, inside = np.full((n, k), NOWHERE), np.full((n, k), NOWHERE), np.zeros((n, k), np.int64)
         to, says = self.to.ravel(), self.says.ravel()
+        origin = np.arange(n) * w
+        every, one = np.arange(n), None
+        apart = every  # chunks whose states still differ by the state before them
+        begins = np.zeros((w + 1, n), bool)  # of the common path; row i is position i - 1
         for i, row in enumerate(chunks):
-            at = row.astype(np.uint16) * k + state
-            said[i] = says[at]
-            state = to[at]
-        said = said.T.ravel()
-        begins = (said & HERE) > 0
-        begins[:-1] |= (said[1:] & BEFORE) > 0
-        return np.flatnonzero(begins[:size])
+            if len(apart):
+                at = row[apart].astype(np.int64)[:, None] * k + state[apart]
+                for mark, place in ((BEFORE, i - 1), (HERE, i)):
+                    here = (says[at] & mark) > 0
+                    if here.any():
+                        x, y = np.nonzero(here)
+                        c = apart[x]
+                        where = origin[c] + place
+                        old = last[c, y]
+                        more = old >= 0
+                        inside[c[more], y[more]] += self.tokens_between(old[more], where[more])
+                        first[c[~more], y[~more]] = where[~more]
+                        last[c, y] = where
+                state[apart] = to[at]
+            if one is None or len(one) + len(apart) < n:
+                one = np.setdiff1d(every, apart, assume_unique=True)
+            if len(one):
+                at = row[one].astype(np.int64) * k + state[one, 0]
+                said = says[at]
+                begins[i, one] |= (said & BEFORE) > 0
+                begins[i + 1, one] |= (said & HERE) > 0
+                state[one, 0] = to[at]
+            if len(apart):
+                apart = apart[(state[apart] != state[apart, :1]).any(axis=1)]
+        # the states of a common path are kept in the first column only
+        settled = np.setdiff1d(every, apart, assume_unique=True)
+        state[settled] = state[settled, :1]
+        # words of the common paths, and those that lead into them
+        chunk, row = np.nonzero(begins.T)
+        if len(chunk):
+            where = origin[chunk] + row - 1
+            new = np.ones(len(chunk), bool)
+            new[1:] = chunk[1:] != chunk[:-1]
+            counts = np.zeros(len(chunk), np.int64)
+            inner = np.flatnonzero(~new)
+            counts[inner] = self.tokens_of(where[inner - 1], where[inner])
+            starts = np.flatnonzero(new)
+            c, lead = chunk[starts], where[starts][:, None]
+            old = last[c]
+            inside[c] += np.add.reduceat(counts, starts)[:, None] + np.where(old >= 0, self.tokens_between(np.where(old >= 0, old, lead), np.broadcast_to(lead, old.shape)), 0)
+            first[c] = np.where(old >= 0, first[c], lead)
+            ends = np.append(starts[1:], len(chunk)) - 1
+            last[c] = where[ends][:, None]
+        return state, inside, first, last
+
+    def composed(self, left: tuple, right: tuple) -> tuple:
+        """The maps of pairs of neighbours."""
+        after = left[0].astype(np.int64)
+        state, inside, first, last = (np.take_along_axis(x, after, axis=1) for x in right)
+        seam = (left[3] >= 0) & (first >= 0)
+        over = self.tokens_between(np.where(seam, left[3], 0), np.where(seam, first, 0))
+        return state, left[1] + inside + over, np.where(left[2] >= 0, left[2], first), np.where(last >= 0, last, left[3])
+
+    def scan(self, maps: tuple) -> tuple:
+        """Inclusive prefix composition, by doubling steps."""
+        done, step = tuple(x.copy() for x in maps), 1
+        while step < len(done[0]):
+            new = self.composed(tuple(x[:-step] for x in done), tuple(x[step:] for x in done))
+            for x, y in zip(done, new, strict=True):
+                x[step:] = y
+            step *= 2
+        return done
 
     def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text."""
+        """Tokens of each text. Each begins a chunk."""
+        if not texts:
+            return []
         parts, owner, extra = [], [], [0] * len(texts)
         for i, text in enumerate(texts):
             cut = self.split(text)
             extra[i] = len(cut) // 2
             parts += cut[::2]
             owner += [i] * len(cut[::2])
-        # each part follows an edge, and one more ends the last
-        joined = "\n" + "\n".join(parts) + "\n"
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        edges = np.concatenate([[0], np.cumsum(lengths + 1)])
-        classes = self.classes.of(np.frombuffer(joined.encode("utf-32-le"), np.uint32))
-        classes[edges] = EDGE
-        starts = self.word_starts(classes)
-        a = starts.tolist()
-        a.append(len(joined))
-        lookup = self.count_of
-        is_edge = np.isin(starts, edges, assume_unique=True)
-        words = [joined[x:y] for x, y in zip(a, a[1:], strict=False)]
-        counts = np.fromiter(map(lookup.__getitem__, words), np.int64, len(words))
-        counts[is_edge] = 0
-        sums = np.add.reduceat(counts, np.flatnonzero(is_edge)[:-1]) if parts else []
-        for i, n in zip(owner, sums, strict=True):
-            extra[i] += int(n)
+        # an edge behind each part, then blanks to the end of its last chunk
+        w, sizes = self.width, np.fromiter(map(len, parts), np.int64, len(parts))
+        n_chunks = (sizes + w) // w
+        joined = "".join(x for p, n, c in zip(parts, sizes.tolist(), n_chunks.tolist(), strict=True) for x in (p, "\n" * (c * w - n)))
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        bytes_of = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        self.at, self.data = np.concatenate([[0], np.cumsum(bytes_of)]), np.frombuffer(joined.encode(), np.uint8)
+        self.kinds, ends = self.classes.of(points), np.cumsum(n_chunks)
+        edges = (ends - n_chunks) * w + sizes
+        self.kinds[runs(edges, ends * w - edges)] = PAD
+        self.kinds[edges] = EDGE
+        _, inside, _, _ = self.scan(self.maps(np.ascontiguousarray(self.kinds.reshape(-1, w).T)))
+        upto = inside[ends - 1, FREE]
+        for i, n in zip(owner, np.diff(np.concatenate([[0], upto])).tolist(), strict=True):
+            extra[i] += n
         return extra
 
 

@@ -7,6 +7,7 @@ from array import array
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -295,10 +296,13 @@ def test_token_counts(spark, sf):
 def test_codec(spark, sf):
     lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     codec = tokens.WordCodec(public_tokenizers.path("word_bpe_49k.json"))
-    for t, x in zip(texts := fuzz(4000, 5) + [t or "" for t in ODD], lib.encode_batch(texts, add_special_tokens=False), strict=True):
-        pieces = codec.pieces(t)
-        assert b"".join(pieces) == array("I", x.ids).tobytes(), t
-        assert codec.decode(pieces) == lib.decode(x.ids, skip_special_tokens=False)
+    texts = fuzz(4000, 5) + [t or "" for t in ODD]
+    for some in (texts, texts[:1], texts[7:9], [], [t for t in texts if "<|" in t], [t for t in texts if "<|" not in t]):
+        flat, counts = codec.encode(pa.array(some, pa.string()))
+        want = lib.encode_batch(some, add_special_tokens=False)
+        for t, x, ids, decoded in zip(some, want, tokens.binary_of(flat, counts).to_pylist(), codec.decode(flat, counts).to_pylist(), strict=True):
+            assert ids == array("I", x.ids).tobytes(), t
+            assert decoded == lib.decode(x.ids, skip_special_tokens=False)
     text = texts_of(spark, sf)
     for d, r in by_id(queries.op7_bpe_codec(spark, sf)).items():
         ids = lib.encode(text[d], add_special_tokens=False).ids
@@ -309,9 +313,19 @@ def test_states_may_be_dropped():
     path = public_tokenizers.path("word_bpe_49k.json")
     small = tokens.SymbolTransducer(tokens.Vocabulary(path), max_states=50)
     whole = tokens.SymbolTransducer(tokens.Vocabulary(path))
-    for w in ("internationalisation", "thththththth", "aaaaaaaaaaaaa", "ouaimentelle"):
-        assert small.encode(w.encode()) == whole.encode(w.encode())
-        assert small.count(w.encode()) == len(whole.encode(w.encode()))
+    for words in (["internationalisation", "thththththth", ""], ["aaaaaaaaaaaaa"], ["ouaimentelle", "x" * 70, "abc" * 100], [], ["ouaimentelle", "zyxwvu"]):
+        args = tokens.buffers(pa.array(words, pa.string()))
+        (a, m), (b, n) = small.encode(*args), whole.encode(*args)
+        assert a.tolist() == b.tolist() and m.tolist() == n.tolist() == small.counts(*args).tolist()
+
+
+def test_state_maps_carry_counts():
+    """Whatever the width of the chunks, composed maps give the counts of the whole, in any grouping."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = fuzz(300, 8) + ["it's we're  they'll" * 40, "", "é" * 200]
+    want = tokens.TokenCounter(path, width=4096).count(texts)
+    for width in (1, 2, 3, 64):
+        assert tokens.TokenCounter(path, width=width).count(texts) == want
 
 
 def check_packing(rows, text, length=2048):
