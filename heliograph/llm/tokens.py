@@ -269,12 +269,10 @@ class TokenCounter:
 
     def tokens_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Tokens of the words from the character positions a to b; an edge has none."""
-        x, n = self.at[a], self.at[b] - self.at[a]
+        x, n = self.at[a], np.where(self.kinds[a] == EDGE, 0, self.at[b] - self.at[a])
         offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets.tobytes()), pa.py_buffer(self.data[runs(x, n)].tobytes())).dictionary_encode()
-        counts = self.run.counts(*buffers(words.dictionary))[words.indices.to_numpy()]
-        counts[self.kinds[a] == EDGE] = 0
-        return counts
+        return self.run.counts(*buffers(words.dictionary))[words.indices.to_numpy()]
 
     def tokens_between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The same in any shape and with repeats; none where b isn't behind a."""
