@@ -1,10 +1,10 @@
 """Secret scan by assignment-aware lexing.
 
 Base spans come from three patterns. The method adds ``literal`` spans: source and configuration text is read as
-assignments (``name = value``, ``name: value``, ``"name" => "value"``, attributes and the like); each right side is lexed
-into string literals, bare values and names, over line ends inside brackets and strings, at continuations, beside joining
+assignments (``name = value``, ``name: value``, ``"name" => "value"``, attributes, elements, arguments of a call by the
+function's name or after a quoted name, items of a list below a name and the like); each right side is lexed into string literals, bare values and names, over line ends inside brackets and strings, at continuations, beside joining
 operators and where the value begins on the next line; constants are carried along, through names, concatenations and
-``${name}`` inside strings, in the order of the text; and what reaches a name, each literal and all of them joined, is scored by how
+``${name}`` inside strings, in the order of the text and within the function that sets them; and what reaches a name, each literal and all of them joined, is scored by how
 sensitive that name's words are and how much it looks like key material. A joined value that passes gives all its literals.
 
 Defined results: null and empty texts have no spans; a null doc_id is kept; repeated rows give repeated results; an
@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from bisect import bisect_right
+from collections import ChainMap, Counter
 from collections.abc import Iterator
+from heapq import merge
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +40,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]{14,}")
 HEX = re.compile("(?<![0-9a-f])[0-9a-f]{16,}")
 ASSIGN_LEAST = 12
 
-NAME = re.compile(r"""(?:(?P<q>["'`])(?P<quoted>[A-Za-z_$][\w$. -]{0,63})(?P=q)\]?|(?P<plain>[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*))[ \t]*\Z""")
+NAME = re.compile(r"""(?:(?P<q>["'`])(?P<quoted>[A-Za-z_$][\w$. -]*)(?P=q)\]?|(?P<plain>[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*))[ \t]*\Z""")
 OPERATOR = re.compile(r"(?::=|=>|<-|(?<![=!<>])=(?![=~])|:(?![:/=]))[ \t]*")
 STRING = re.compile(r"""(?:[rbufRBUF]{1,2}(?=["']))?(?:\"{3}((?:[^"\\]|\\[\s\S]|"(?!""))*)\"{3}|'{3}((?:[^'\\]|\\[\s\S]|'(?!''))*)'{3}|"((?:[^"\\]|\\[\s\S])*)"|'((?:[^'\\]|\\[\s\S])*)'|`((?:[^`\\]|\\[\s\S])*)`)""")
 WORD = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*")
@@ -57,8 +59,16 @@ ALONE = re.compile(r"[,;]?[ \t\r]*(?:\n|\Z)")
 INDENT = re.compile(r"[ \t]*")
 LINES = re.compile(r"[^\n]+")
 INSIDE = re.compile(r"\$\{(\w+)\}|\{(\w+)\}|\$(\w+)")
-#: Characters before an operator in which its name is looked for.
+#: Characters before an operator in which its name is looked for first; a name that may begin before them is looked for in twice as many.
 NAME_REACH = 96
+#: An element with text, the bracket of a call, a quoted name before a quoted value, and list items below a name.
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>([^<>]+)(?=</\1\s*>)")
+CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*)(?=\()")
+KEYED = re.compile(r"""[(\[,{]\s*(["'`])([A-Za-z_$][\w$. -]*)\1\s*,\s*(?=["'`])""")
+ITEMS = re.compile(r"(?:\r?\n[ \t]*- +[^\n]*)+")
+ITEM = re.compile(r"""- +(?:(["'`])(.*?)\1|([^\s"'`#]+))[ \t\r]*(?:#[^\n]*)?$""", re.M)
+#: The head of a function, whose constants end with it.
+FUNCTION = re.compile(r"^([ \t]*)(?:(?:export|default|async|public|private|protected|static|final|pub|local|override|suspend)[ \t]+)*(?:def|function|func|fn|fun|sub|void|proc)\b[^\n]*", re.M)
 
 #: Words of sensitive names with their weights.
 SENSITIVE = {
@@ -69,7 +79,7 @@ SENSITIVE = {
 #: Words that make a following "key" sensitive.
 KEY_BEFORE = {"api", "access", "private", "secret", "signing", "encryption", "master", "service", "account", "shared", "storage"}
 #: What stands in for a secret.
-PLACEHOLDERS = re.compile(r"(?i)change.?me|example|placeholder|your|dummy|sample|todo|xxx|\*\*\*|^(?:none|null|true|false|undefined|password|secret|token|test)\d*$|^<.*>$")
+PLACEHOLDERS = re.compile(r"(?i)change.?me|example|placeholder|your|dummy|sample|todo|xxx|\*\*\*|^(?:none|null|true|false|undefined|password|secret|token|test)\d*$|^<.*>$|^\$\{?[\w.:-]+\}?$|^\{\{.*\}\}$|^%\w+%$")
 CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -79,35 +89,70 @@ def sensitivity(name: str) -> float:
     best = 0.0
     for i, w in enumerate(words):
         weight = SENSITIVE.get(w, 0.0)
-        if w == "key" and i and words[i - 1] in KEY_BEFORE:
-            weight = 1.0
+        if w == "key" and i:
+            weight = 1.0 if words[i - 1] in KEY_BEFORE else 0.4
         best = max(best, weight)
     return best
 
 
-def strength(value: str, bare: bool) -> float:
-    """How much a literal looks like key material: length, kinds of characters and entropy, 0 for placeholders and prose."""
-    if len(value) < 8 or PLACEHOLDERS.search(value) or any(c.isspace() for c in value):
-        return 0.0
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
-    if kinds < 2 and (bare or len(value) < 16):
-        return 0.0
-    if bare and not re.search("[0-9]", value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, n / 12) * min(1.0, entropy / 3.0)
-
-
 Span = tuple[int, int, bool]
+#: A value longer than TEXT_KEPT isn't kept as text; its ends of EDGE characters are, in which placeholders over a seam are found.
+TEXT_KEPT, EDGE = 512, 64
+
+
+class Looks:
+    """What tells whether a value looks like key material; of two values joined, it follows from theirs."""
+
+    __slots__ = ("length", "counts", "bare", "odd", "head", "tail", "text")
+
+    def __init__(self, text: str, bare: bool):
+        self.length, self.counts, self.bare = len(text), Counter(text), bare
+        self.odd = bool(PLACEHOLDERS.search(text)) if len(text) > TEXT_KEPT else False
+        self.head, self.tail, self.text = text[:EDGE], text[-EDGE:], text if len(text) <= TEXT_KEPT else None
+
+    def joined(self, other: Looks) -> Looks:
+        both = Looks.__new__(Looks)
+        both.bare, both.length = self.bare and other.bare, self.length + other.length
+        # so long a value, from constants that double, keeps the frequencies that it has
+        both.counts = self.counts + other.counts if both.length < 1 << 50 else self.counts
+        both.odd = self.odd or other.odd
+        both.head, both.tail = (self.head + other.head)[:EDGE], (self.tail + other.tail)[-EDGE:]
+        both.text = self.text + other.text if self.text is not None and other.text is not None and both.length <= TEXT_KEPT else None
+        if both.text is None:
+            both.odd = both.odd or bool(PLACEHOLDERS.search(f" {self.tail}{other.head} "))
+        return both
+
+    def strength(self) -> float:
+        """Length, kinds of characters and entropy; 0 for placeholders and prose."""
+        n = self.length
+        if n < 8 or any(c.isspace() for c in self.counts):
+            return 0.0
+        if PLACEHOLDERS.search(self.text) if self.text is not None else self.odd or PLACEHOLDERS.search(f"{self.head}{self.tail}"):
+            return 0.0
+        kinds = {0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in self.counts}
+        if len(kinds) < 2 and (self.bare or n < 16):
+            return 0.0
+        if self.bare and 2 not in kinds:
+            return 0.0
+        total = sum(self.counts.values())
+        entropy = -sum(c / total * math.log2(c / total) for c in self.counts.values())
+        return min(1.0, n / 12) * min(1.0, entropy / 3.0)
 
 
 class Value:
-    """What an expression may give: the literals, and the parts of each value that is joined from several."""
+    """What an expression may give: its literals, the constants in it, and what each value that it joins consists of.
+
+    Constants are kept as such, not copied, so that a chain of assignments takes no more room than its text.
+    """
+
+    __slots__ = ("spans", "constants", "joined", "looks", "scored", "marked")
 
     def __init__(self):
         self.spans: list[Span] = []
-        self.joined: list[list[Span]] = [[]]
+        self.constants: list[Value] = []
+        self.joined: list[list[Span | Value]] = [[]]
+        self.looks: list[Looks | None] = []
+        self.scored = self.marked = 0.0
 
     def add(self, spans: list[Span], parts: list[Span] | None = None) -> None:
         self.spans += spans
@@ -115,27 +160,61 @@ class Value:
 
     def add_constant(self, other: Value | None) -> None:
         if other:
-            self.spans += other.spans
+            self.constants.append(other)
             if len(other.joined) == 1:
-                self.joined[-1] += other.joined[0]
-            else:
-                self.joined[:0] = other.joined
+                self.joined[-1].append(other)
+
+    def some(self) -> bool:
+        return bool(self.spans or self.constants)
 
-    def done(self) -> Value:
-        """Each literal once, and parts again only while a value is short: repeats add little to its strength, and could double at each name."""
-        self.spans = list(dict.fromkeys(self.spans))
-        for i, parts in enumerate(self.joined):
-            kept, seen, size = [], set(), 0
+    def done(self, text: str) -> Value:
+        self.joined = [x for x in self.joined if x]
+        for parts in self.joined:
+            looks = None
             for p in parts:
-                if p not in seen or size < 256:
-                    kept.append(p)
-                    seen.add(p)
-                    size += p[1] - p[0]
-            self.joined[i] = kept
-        self.joined = [list(x) for x in dict.fromkeys(map(tuple, self.joined)) if x]
+                one = p.looks[0] if isinstance(p, Value) else Looks(text[p[0] : p[1]], p[2])
+                looks = looks.joined(one) if looks else one
+            self.looks.append(looks)
         return self
 
 
+class Scores:
+    """The best score of each literal. A value is gone through again only for a higher weight or score."""
+
+    def __init__(self, text: str, least: float):
+        self.text, self.least, self.best = text, least, {}
+
+    def literal(self, span: Span, score: float, name: str) -> None:
+        if score >= self.least and score > self.best.get(span[:2], (0.0, ""))[0]:
+            self.best[span[:2]] = score, name
+
+    def mark(self, parts: list, score: float, name: str) -> None:
+        """All literals that a joined value consists of."""
+        left = [parts]
+        while left:
+            for p in left.pop():
+                if not isinstance(p, Value):
+                    self.literal(p, score, name)
+                elif p.marked < score:
+                    p.marked = score
+                    left.append(p.joined[0])
+
+    def reached(self, value: Value, weight: float, name: str) -> None:
+        """A name with this weight is given the value."""
+        left = [value]
+        while left:
+            v = left.pop()
+            if v.scored >= weight:
+                continue
+            v.scored = weight
+            left += v.constants
+            for span in v.spans:
+                self.literal(span, weight * Looks(self.text[span[0] : span[1]], span[2]).strength(), name)
+            for parts, looks in zip(v.joined, v.looks, strict=True):
+                if len(parts) > 1 and (score := round(weight * looks.strength(), 2)) >= self.least:
+                    self.mark(parts, score, name)
+
+
 class Lexer:
     """Name-literal pairs of one text, with constants carried along."""
 
@@ -190,7 +269,7 @@ class Lexer:
         text, value, depth, plus = self.text, Value(), 0, False
         if m := BLOCK.match(text, at):
             value.add(self.block(m.end(), name_at))
-            return value.done()
+            return value.done(text)
         below = LINE_END.match(text, at)
         at = below.end() if below else at
         while True:
@@ -213,7 +292,7 @@ class Lexer:
                     stop = m.end()
                 while stop > at and text[stop - 1] in ".!?:":
                     stop -= 1
-                if below and not depth and not value.spans and not ALONE.match(text, m.end()):
+                if below and not depth and not value.some() and not ALONE.match(text, m.end()):
                     break
                 if stop > at:
                     # Beside an operator, a word is a name that isn't known.
@@ -235,7 +314,7 @@ class Lexer:
                 elif text.startswith(('"', "'", "`"), to):
                     at, goes_on = to, True
                 else:
-                    return value.done()
+                    return value.done(text)
             if goes_on:
                 continue
             if m := PLUS.match(text, at):
@@ -244,15 +323,83 @@ class Lexer:
                 at = m.end()
             elif not (quoted and text.startswith(('"', "'"), at)):
                 break
-        return value.done()
+        return value.done(text)
+
+    def items(self, at: int) -> Value | None:
+        """The items of a list below a name, each a value of its own."""
+        value, found = Value(), ITEMS.match(self.text, at)
+        for m in ITEM.finditer(self.text, *found.span()) if found else ():
+            value.joined.append([])
+            value.add([(*m.span(3), True)] if m[3] else [(*m.span(2), False)] if m[2] else [])
+        return value.done(self.text) if value.some() else None
+
+    def name_before(self, end: int, bound: int) -> re.Match | None:
+        """The name that ends before an operator and begins at ``bound`` at the earliest, however long."""
+        reach = NAME_REACH
+        while True:
+            low = max(bound, end - reach)
+            m = NAME.search(self.text, low, end)
+            if low == bound or (m and m.start() > low):
+                return m
+            tail = self.text[low:end].rstrip(" \t")
+            if not m and tail and tail[-1] not in "\"'`]":
+                return None
+            reach *= 2
+
+    def scopes(self) -> list[tuple[int, int]]:
+        """Begin and end of each function: its head and the lines below that are indented deeper, or blank."""
+        out = []
+        for m in FUNCTION.finditer(self.text):
+            at = m.end()
+            while at < len(self.text):
+                stop = self.text.find("\n", at + 1)
+                stop = len(self.text) if stop < 0 else stop
+                line = self.text[at + 1 : stop]
+                if line.strip() and len(line) - len(line.lstrip(" \t")) <= len(m[1]):
+                    break
+                at = stop
+            out.append((m.start(), at))
+        return out
 
-    def pairs(self) -> Iterator[tuple[str, Value]]:
+    def places(self) -> Iterator[tuple[int, int, str, re.Match]]:
+        """Where a value may begin, in order: after operators and in elements, calls and arguments after a quoted name."""
         text = self.text
-        for op in OPERATOR.finditer(text):
-            name = NAME.search(text, max(0, op.start() - NAME_REACH), op.start())
-            if name and (value := self.value(op.end(), name.start())).spans:
+        found = [((m.start(), 0, "operator", m) for m in OPERATOR.finditer(text))]
+        if "</" in text:
+            found.append((m.start(2), 1, "element", m) for m in ELEMENT.finditer(text))
+        if "(" in text or "," in text:
+            found.append((m.end(), 2, "call", m) for m in CALL.finditer(text) if sensitivity(m[1]))
+            found.append((m.end(), 3, "keyed", m) for m in KEYED.finditer(text) if sensitivity(m[2]))
+        return merge(*found, key=lambda p: p[:2])
+
+    def pairs(self) -> Iterator[tuple[str, Value]]:
+        text, bound = self.text, 0
+        scopes, inside = self.scopes()[::-1], []
+        self.constants = ChainMap()
+        for at, _, kind, m in self.places():
+            while inside and inside[-1] <= at:
+                inside.pop()
+                self.constants = self.constants.parents
+            while scopes and scopes[-1][0] <= at:
+                if scopes[-1][1] > at:
+                    inside.append(scopes[-1][1])
+                    self.constants = self.constants.new_child()
+                scopes.pop()
+            if kind == "operator":
+                name, bound = self.name_before(at, max(bound, text.rfind("\n", 0, at) + 1)), m.end()
+                if not name:
+                    continue
                 target = name["quoted"] or name["plain"]
-                self.constants[target] = value
+                value = self.items(m.end()) or self.value(m.end(), name.start())
+                if value.some():
+                    self.constants[target] = value
+            elif kind == "element":
+                target, value = m[1], Value()
+                value.add([(a, b, True) for a, b, _ in self.lines(*m.span(2))], [])
+                value.done(text)
+            else:
+                target, value = m[m.lastindex], self.value(at, m.start())
+            if value.some():
                 yield target, value
 
 
@@ -267,20 +414,17 @@ def scan_text(text: str, least: float = 0.5) -> list[dict]:
     """All spans of a text by start, then kind: kind, start, end, base, name (the sensitive target), score."""
     base = base_spans(text)
     found = [{"kind": k, "start": a, "end": b, "base": True, "name": None, "score": 1.0} for k, a, b in base]
-    best: dict[tuple[int, int], tuple[float, str]] = {}
-    if "=" in text or ":" in text or "<-" in text:
+    scores = Scores(text, least)
+    if any(sign in text for sign in ("=", ":", "<", "(", ",")):
         for name, value in Lexer(text).pairs():
             if weight := sensitivity(name):
-                scored = [(weight * strength(text[a:b], bare), [(a, b, bare)]) for a, b, bare in value.spans]
-                for parts in value.joined:
-                    if len(parts) > 1:
-                        scored.append((weight * strength("".join(text[a:b] for a, b, _ in parts), all(bare for *_, bare in parts)), parts))
-                for score, parts in scored:
-                    for a, b, _ in parts:
-                        if score >= least and score > best.get((a, b), (0.0, ""))[0]:
-                            best[a, b] = score, name
-    for (a, b), (score, name) in best.items():
-        if not any(x <= a and b <= y for _, x, y in base):
+                scores.reached(value, weight, name)
+    starts, reach = sorted((a, b) for _, a, b in base), []
+    for _, b in starts:
+        reach.append(max(b, reach[-1]) if reach else b)
+    for (a, b), (score, name) in scores.best.items():
+        before = bisect_right(starts, (a, len(text)))
+        if not before or reach[before - 1] < b:
             found.append({"kind": "literal", "start": a, "end": b, "base": False, "name": name, "score": score})
     found.sort(key=lambda s: (s["start"], KINDS.index(s["kind"]), s["end"]))
     return found

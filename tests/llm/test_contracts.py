@@ -151,6 +151,75 @@ def test_secret_values_joined(text, clean):
     assert secrets.redacted(text, "#", 0.5) == (text if clean is None else clean)
 
 
+@pytest.mark.parametrize(
+    "text, secrets_in",
+    [
+        ("<config><dbPassphrase>Zx81Lm02QpYY</dbPassphrase><user>Zx81Lm02QpYY</user></config>", ["Zx81Lm02QpYY"]),
+        ("client.setPassphrase('Zx81Lm02QpYY')", ["Zx81Lm02QpYY"]),
+        ("os.environ.setdefault('DB_PASSPHRASE', 'Zx81Lm02QpYY')", ["Zx81Lm02QpYY"]),
+        ("credentials:\n  - Zx81Lm02QpYY\n  - 'q1w2e3r4t5y6'\nusers:\n  - r5t6y7u8i9o0", ["Zx81Lm02QpYY", "q1w2e3r4t5y6"]),
+        ("connect(host='a', db_pass=('Zx81Lm02QpYY'))", ["Zx81Lm02QpYY"]),
+        ("credential_" + "x" * 300 + " = 'Zx81Lm02QpYY'", ["Zx81Lm02QpYY"]),
+        ("'credential " + "x y" * 100 + "': 'Zx81Lm02QpYY'", ["Zx81Lm02QpYY"]),
+        ("db_passphrase" + " " * 300 + "= 'Zx81Lm02QpYY'", ["Zx81Lm02QpYY"]),
+        ("def f():\n    part = 'Zx81Lm02QpYY'\n    use(part)\n\ndef g(part):\n    my_credential = part\n", []),
+        ("part = 'Zx81Lm02QpYY'\ndef g():\n    my_credential = part\n", ["Zx81Lm02QpYY"]),
+        ("names = ['credential', 'signature', 'passphrase']", []),
+        ("<p>Zx81Lm02QpYY</p> f('a', 'Zx81Lm02QpYY') g('Zx81Lm02QpYY')", []),
+    ],
+)
+def test_secret_forms(text, secrets_in):
+    assert [text[s["start"] : s["end"]] for s in secrets.scan_text(text) if s["kind"] == "literal"] == secrets_in
+
+
+def labelled_secrets(n=3000, seed=12):
+    """Texts with the secrets they hold: names, forms and values drawn at random, a part of them harmless."""
+    rnd = random.Random(seed)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    forms = ["{n} = '{v}'", '{n}: "{v}"', '{{"{n}": "{v}"}}', "export {n}={v}", "<{n}>{v}</{n}>", "set('{n}', '{v}')", "{n} := `{v}`", "{n}:\n  {v}", "{n} = (\n  '{a}'\n  '{b}'\n)", "x = '{v}'\n{n} = x", "{n} = '{a}' + '{b}'", "{n}=\n  '{v}'", "<add {n}='{v}'/>", "{n}:\n  - {v}"]
+    sensitive = ["db_passphrase", "authToken", "CLIENT_CREDENTIAL", "privateKey", "storage-access-key", "bearer", "service_pwd", "signingKey"]
+    harmless = ["title", "user_name", "colorKey", "monkey", "author", "buildId", "path", "passenger"]
+    prose = ["please", "reset", "the", "your", "welcome", "monthly", "report", "is", "ready", "today"]
+    for _ in range(n):
+        bad = rnd.random() < 0.5
+        name, form = rnd.choice(sensitive if bad or rnd.random() < 0.5 else harmless), rnd.choice(forms)
+        if bad or name in harmless:
+            v = "".join(rnd.choice(letters) for _ in range(rnd.randint(14, 32))) + rnd.choice("23456789") + rnd.choice("abc") + rnd.choice("XYZ")
+        else:  # a sensitive name with a harmless value
+            v = rnd.choice([" ".join(rnd.sample(prose, 4)), "changeme123", "<your-key-here>", "none", "short", "${SECRET_NAME}", "true"])
+        h = len(v) // 2
+        text = rnd.choice(["", "some words before\n", "# note\n"]) + form.format(n=name, v=v, a=v[:h], b=v[h:]) + "\nand after\n"
+        yield text, [v] if bad and "{v}" in form else [v[:h], v[h:]] if bad else []
+
+
+def test_secret_recall_and_precision():
+    """Measured on generated texts; README has the figures."""
+    hit = missed = wrong = 0
+    for text, want in labelled_secrets():
+        spans = [(s["start"], s["end"]) for s in secrets.scan_text(text)]
+        for v in want:
+            at = text.index(v)
+            got = any(a <= at and at + len(v) <= b for a, b in spans)
+            hit, missed = hit + got, missed + (not got)
+        wrong += sum(not any(v in text[a:b] or text[a:b] in v for v in want) for a, b in spans)
+    print(f"recall {hit / (hit + missed):.3f}, precision {hit / (hit + wrong):.3f}")
+    assert hit >= 0.95 * (hit + missed) and hit >= 0.95 * (hit + wrong)
+
+
+@pytest.mark.parametrize("unit", ["password=abcdef1234567890 ", "x = 'a'; ", "a.b(", "<t>x</t>", "'a', ", "key: |\n", "x = (", "def f():\n", "- a\n", "a" * 50 + "-", "secret: [", "a = b + "])
+def test_secret_scan_takes_linear_time(unit):
+    import time
+
+    def seconds(n):
+        text, start = unit * (n // len(unit)), time.perf_counter()
+        secrets.scan_text(text)
+        return time.perf_counter() - start
+
+    seconds(1000)
+    small, large = seconds(30_000), seconds(240_000)
+    assert large < max(1.0, 20 * small), (small, large)
+
+
 def test_secret_constants_that_double():
     text = "a0 = 'k9Q'\n" + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(200)) + "my_secret = a200 + 'zz81LmQp02'"
     assert {text[s["start"] : s["end"]] for s in secrets.scan_text(text)} == {"k9Q", "zz81LmQp02"}
