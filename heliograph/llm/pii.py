@@ -3,12 +3,13 @@
 Candidates are the matches of base patterns, checked or not, and of further patterns for what the base ones lose (a
 number that runs into its neighbour, a phone number without its plus sign, other kinds). Five labelers vote on each one
 (1, 0 for none, -1): the strict form, checksum or range, gazetteers, the words before it, and the characters around it.
-Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is and how likely each
-pattern is personal data; a logistic span classifier is then fitted to these probabilities and scores each candidate. A
-base span that passes its check stays in any case; other candidates are added if their score is high enough and
+For each kind, expectation-maximisation over the counts of vote patterns estimates how reliable its labelers are and how
+likely each pattern is personal data, starting from what is known of the labelers (a checksum hardly ever fails true numbers);
+a logistic span classifier is then fitted to these probabilities, on the votes and on features that no labeler sees, and
+scores each candidate. A base span that passes its check stays in any case; other candidates are added if their score is high enough and
 they touch no base span.
 
-The rows that are counted on the driver are distinct vote patterns, at most 3^5 for each kind, whatever the input.
+The rows that are counted on the driver are distinct patterns of votes and features, at most 3^5 * 2^4 for each kind, whatever the input.
 
 Defined results: null and empty texts have no spans; a null doc_id is kept; repeated rows give repeated results; an
 empty table gives no rows. Offsets are code points, ends exclusive.
@@ -16,8 +17,7 @@ empty table gives no rows. Offsets are code points, ends exclusive.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +27,17 @@ from .common import let
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "ssn", "iban")
 LABELERS = ("form", "check", "gazetteer", "context", "edges")
+#: Features of a candidate besides the votes, each 0 or 1: a base pattern's match, parted by signs, long for its kind, and right behind a line's begin or a label.
+FEATURES = ("own", "parted", "long", "labelled")
+#: Characters (digits of numbers) from which a candidate is long.
+LONG = {"email": 24, "ip": 13, "card": 16, "phone": 11, "ssn": 12, "iban": 20}
+#: What is known of the labelers before any count: votes of 1, 0 and -1 for true and false candidates, as so many candidates seen.
+PRIORS = {
+    "form": ((14, 4, 2), (6, 7, 7)), "check": ((17, 2, 1), (10, 5, 5)), "gazetteer": ((15, 4, 1), (8, 6, 6)),
+    "context": ((120, 76, 4), (15, 105, 80)), "edges": ((16, 3, 1), (9, 5, 6)),
+}
+#: The same for a check that true ones pass by rule: a checksum, a range, a length.
+BY_RULE, RULED = ((190, 8, 2), (30, 20, 150)), {"email", "ip", "card", "phone"}
 #: Characters before a candidate that the context labeler sees.
 REACH = 40
 #: Stands for a single separator between digits; texts that hold it get another control in its place first.
@@ -129,7 +140,7 @@ def votes(kind: str, s: Column) -> dict[str, Column]:
         "ip": (value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), value.rlike(r"[0-9]{4}|(?:^|\.)0[0-9]")),
         "card": (value.rlike(rf"^(?:[0-9]{{13,16}}|[0-9]{{4}}(?:[ {JOINER}-][0-9]{{4}}){{3}})$"), F.length(number).isin(12, 18)),
         "phone": (value.rlike(r"^\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}$|^\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}$"), value.rlike(r"  |\.\.|--")),
-        "ssn": (F.lit(True), F.lit(False)),
+        "ssn": (F.lit(False), F.lit(False)),  # the pattern is the form
         "iban": (F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34), F.lit(False)),
     }[kind]
     check = {
@@ -155,21 +166,31 @@ def votes(kind: str, s: Column) -> dict[str, Column]:
     }
 
 
-CANDIDATE = "array<struct<kind:string,start:int,end:int,base:boolean,votes:array<tinyint>>>"
+CANDIDATE = "array<struct<kind:string,start:int,end:int,base:boolean,votes:array<tinyint>,features:array<tinyint>>>"
+
+
+def features(kind: str, own: bool, s: Column) -> dict[str, Column]:
+    value = s["value"]
+    size = F.length(value) if kind in ("email", "iban") else F.length(digits(value))
+    flag = lambda c: c.cast("tinyint")
+    return {
+        "own": F.lit(int(own)).cast("tinyint"), "parted": flag(value.rlike(rf"[ ()+{JOINER}-]|[0-9A-Za-z]\.[A-Za-z0-9.]*@")),
+        "long": flag(size >= LONG[kind]), "labelled": flag(s["before"].rlike(r"(?:^|\n|[A-Za-z][:=#] ?)$")),
+    }
 
 
 def candidates_of(text: Column, kind: str, pattern: str, base: bool, when: Column) -> Column:
     none = F.array().cast(CANDIDATE)
 
     def made(s: Column) -> Column:
-        says = votes(kind, s)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (checked(kind, s["value"]) if base else F.lit(False)).alias("base"), F.array(*(says[x] for x in LABELERS)).alias("votes"))
+        says, has = votes(kind, s), features(kind, base, s)
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (checked(kind, s["value"]) if base else F.lit(False)).alias("base"), F.array(*(says[x] for x in LABELERS)).alias("votes"), F.array(*(has[x] for x in FEATURES)).alias("features"))
 
     return F.when(when, F.transform(matches(text, pattern), made).cast(CANDIDATE)).otherwise(none)
 
 
 def candidates(df: DataFrame) -> DataFrame:
-    """doc_id and found: candidates with kind, start, end, base (a base span that passed its check) and votes.
+    """doc_id and found: candidates with kind, start, end, base (a base span that passed its check), votes and features.
 
     Cards: single separators between digits are first replaced by JOINER, so that a card is a run of two classes.
     """
@@ -191,68 +212,88 @@ def candidates(df: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.concat(*parts).alias("found"))
 
 
-def reliabilities(patterns: dict[tuple[int, ...], float], rounds: int = 200) -> tuple[dict[tuple[int, ...], float], list[dict[str, dict[int, float]]], float]:
-    """Expectation-maximisation over weighted vote patterns: probability of each pattern, vote rates of each labeler for true and false candidates, and the share of true ones."""
-    total = sum(patterns.values())
-    p = {v: 1 / (1 + math.exp(-1.5 * sum(v) + 1.5)) for v in patterns}
-    rates: list[dict[str, dict[int, float]]] = []
-    share = 0.5
+Pattern = tuple[int, ...]
+
+
+def reliabilities(patterns: dict[Pattern, float], kind: str = "card", rounds: int = 200) -> tuple[dict[Pattern, float], np.ndarray, float]:
+    """Expectation-maximisation over one kind's weighted vote patterns.
+
+    Returns each pattern's probability, the vote rates (labeler, true or false, vote + 1) and the share of true candidates.
+    """
+    votes = np.array(list(patterns), int).reshape(-1, len(LABELERS)) + 1
+    weight = np.array(list(patterns.values()))
+    priors = PRIORS | ({"check": BY_RULE} if kind in RULED else {})
+    known = np.array([[side[::-1] for side in priors[x]] for x in LABELERS], float)
+    rates, share, labeler = known / known.sum(axis=2, keepdims=True), 0.5, np.arange(len(LABELERS))
+    p = np.zeros(len(votes))
     for _ in range(rounds):
-        true = sum(n * p[v] for v, n in patterns.items())
-        share = (true + 1) / (total + 2)
-        rates = []
-        for j in range(len(LABELERS)):
-            said = {side: {x: 1.0 for x in (-1, 0, 1)} for side in ("true", "false")}
-            for v, n in patterns.items():
-                said["true"][v[j]] += n * p[v]
-                said["false"][v[j]] += n * (1 - p[v])
-            rates.append({side: {x: c / sum(by.values()) for x, c in by.items()} for side, by in said.items()})
-        new = {}
-        for v in patterns:
-            z = math.log(share / (1 - share)) + sum(math.log(rates[j]["true"][x] / rates[j]["false"][x]) for j, x in enumerate(v))
-            new[v] = 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
-        moved = max((abs(new[v] - p[v]) for v in p), default=0.0)
-        p = new
+        z = np.log(share / (1 - share)) + np.log(rates[labeler, 0, votes] / rates[labeler, 1, votes]).sum(axis=1)
+        new = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        share = (weight @ new + 1) / (weight.sum() + 2)
+        said = known.copy()
+        for j in labeler:
+            np.add.at(said[j, 0], votes[:, j], weight * new)
+            np.add.at(said[j, 1], votes[:, j], weight * (1 - new))
+        rates = said / said.sum(axis=2, keepdims=True)
+        moved, p = np.abs(new - p).max(initial=0.0), new
         if moved < 1e-9:
             break
-    return p, rates, share
+    return dict(zip(patterns, p.tolist(), strict=True)), rates, float(share)
+
+
+def classifier(patterns: dict[tuple[Pattern, Pattern], float], p: dict[Pattern, float], rounds: int = 25, ridge: float = 0.1) -> list[float]:
+    """Logistic weights (the constant, the votes, the features) fitted by Newton's method to the probabilities of (votes, features) patterns."""
+    x = np.array([(1, *v, *f) for v, f in patterns], float).reshape(-1, 1 + len(LABELERS) + len(FEATURES))
+    n, y = np.array(list(patterns.values())), np.array([p[v] for v, _ in patterns])
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds if len(x) else 0):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+        step = np.linalg.solve((x.T * (n * q * (1 - q))) @ x + ridge * np.eye(len(w)), x.T @ (n * (q - y)) + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w.tolist()
 
 
-def classifier(patterns: dict[tuple[int, ...], float], p: dict[tuple[int, ...], float], rounds: int = 300, rate: float = 0.5, ridge: float = 1e-3) -> list[float]:
-    """Logistic weights (the first is the constant) for the votes, fitted to the patterns' probabilities."""
-    total = sum(patterns.values())
-    w = [0.0] * (len(LABELERS) + 1)
-    for _ in range(rounds if total else 0):
-        g = [ridge * x for x in w]
-        for v, n in patterns.items():
-            x = (1.0, *v)
-            e = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True)))) - p[v]
-            for k, b in enumerate(x):
-                g[k] += n / total * e * b
-        w = [a - rate * b for a, b in zip(w, g, strict=True)]
-    return w
+def fitted(counts: list[tuple[str, Pattern, Pattern, float]]) -> dict[str, list[float]]:
+    """The classifier of each kind, from counts of (kind, votes, features)."""
+    weights = {}
+    for kind in KINDS:
+        whole = {(v, f): n for k, v, f, n in counts if k == kind}
+        by_votes: dict[Pattern, float] = {}
+        for (v, _), n in whole.items():
+            by_votes[v] = by_votes.get(v, 0.0) + n
+        weights[kind] = classifier(whole, reliabilities(by_votes, kind)[0])
+    return weights
 
 
-def score(votes: Column, weights: list[float]) -> Column:
-    z = F.lit(weights[0])
-    for j, w in enumerate(weights[1:]):
-        z = z + F.lit(w) * votes[j]
-    return 1 / (1 + F.exp(-z))
+def score(s: Column, weights: dict[str, list[float]]) -> Column:
+    """A candidate's probability, from its kind's classifier."""
+    of_kind = F.create_map(*(x for k, w in weights.items() for x in (F.lit(k), F.array(*map(F.lit, w)))))
+
+    def z(w: Column) -> Column:
+        seen = [s["votes"][j] for j in range(len(LABELERS))] + [s["features"][j] for j in range(len(FEATURES))]
+        total = w[0]
+        for j, x in enumerate(seen, 1):
+            total = total + w[j] * x
+        return 1 / (1 + F.exp(-total))
+
+    return let(of_kind[s["kind"]], z)
 
 
 def scan(df: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id and spans: kind, start, end, base and score, by start, then kind. Candidates are written once; no value is."""
     found = common.written(candidates(df), "pii")
-    counted = found.select(F.explode("found.votes").alias("votes")).groupBy("votes").count().orderBy("votes").collect()
-    patterns = {tuple(r["votes"]): float(r["count"]) for r in counted}
-    p, _, _ = reliabilities(patterns)
-    weights = classifier(patterns, p)
+    counted = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes", "c.features").count().orderBy("kind", "votes", "features").collect()
+    weights = fitted([(r["kind"], tuple(r["votes"]), tuple(r["features"]), float(r["count"])) for r in counted])
 
     def choose(cands: Column) -> Column:
-        base = F.filter(cands, lambda s: s["base"])
-        added = let(base, lambda b: F.filter(cands, lambda s: ~s["base"] & (score(s["votes"], weights) >= least) & (s["votes"][1] == 1) & ~F.exists(b, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))))
-        order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
-        keyed = F.transform(F.concat(base, added), lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), score(s["votes"], weights).alias("score")))
+        scored = F.transform(cands, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), score(s, weights).alias("score")))
+        return let(scored, lambda c: let(F.filter(c, lambda s: s["base"]), lambda b: in_order(F.concat(b, F.filter(c, lambda s: ~s["base"] & (s["score"] >= least) & ~F.exists(b, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))))))
+
+    def in_order(spans: Column) -> Column:
+        rank = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
+        keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), rank[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["base"].alias("base"), s["score"].alias("score")))
         return F.transform(F.array_sort(F.array_distinct(keyed)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["score"].alias("score")))
 
     return found.select("doc_id", choose(F.col("found")).alias("spans"))

@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled cutoffs, on DataFrame functions only.
 
 Each rule is a rate of a text; a text whose rate is above the rule's cutoff is rejected. Cutoffs are chosen for each
-stratum on labelled texts so that, with probability ``1 - delta`` for all rules and strata together, each rule falsely
-rejects at most a share ``alpha`` of a stratum's good texts:
+stratum on labelled texts so that, with probability ``1 - delta`` for all strata together, the verdict of all rules falsely
+rejects at most a share ``alpha`` of a stratum's good texts. Each rule may use up an equal part of ``alpha``, so that whatever
+rules reject together stays within it:
 
 * candidates are tested from the most lenient one down, each by the exact binomial probability of at most so many false
-  rejections if the true share were ``alpha``; the first that fails ends the row of tests (a fixed sequence needs no
+  rejections if the true share were ``alpha / rules``; the first that fails ends the row of tests (a fixed sequence needs no
   further correction), and each row gets ``delta / (rules * strata)`` (Bonferroni);
 * of the candidates that passed, the one that rejects most bad less good texts is taken, of equals the most lenient. A
   row without a passed candidate has no cutoff: the rule rejects nothing there.
@@ -102,8 +103,9 @@ def binomial_tail(k: Column, n: Column, alpha: float) -> Column:
     return F.when(k == 0, F.exp(n * F.log(F.lit(1 - alpha)))).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), first, step, lambda acc: acc["total"]))
 
 
-def cutoffs(rates: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+def cutoffs(rates: DataFrame, labels: DataFrame, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """stratum and ``limits`` (map of rule to cutoff), for strata with any certified cutoff."""
+    alpha = alpha / len(RATES)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good")).where("good IS NOT NULL")
     seen = rates.where("NOT base_failed").join(known, "doc_id")
     rules = F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("rate"), F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("cutoff")) for i, c in enumerate(cs))).alias("candidates")) for r, cs in RATES.items()))
@@ -122,7 +124,7 @@ def cutoffs(rates: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: fl
     return chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("limits"))
 
 
-def verdicts(df: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+def verdicts(df: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The counts of every row with base_failed and kept. Counts are written once and serve both the choice of cutoffs and the verdicts."""
     counts = common.written(features(df, stratum), "quality")
     rates = judged(counts)
@@ -139,7 +141,7 @@ def with_verdict(rates: DataFrame, limits: DataFrame) -> DataFrame:
     return rates.join(limits, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected).drop("limits")
 
 
-def keep(df: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
+def keep(df: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The kept rows with all their columns.
 
     Counts are made once for the cutoffs, of which only ids and numbers are written, and once more in each row, so that
@@ -153,8 +155,9 @@ def keep(df: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float =
     return with_verdict(rates, limits).where("kept").select("row.*")
 
 
-def oracle_sql(alpha: float = 0.005, delta: float = 0.05) -> str:
+def oracle_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
     """DuckDB SQL for the verdicts over documents and labels."""
+    alpha = alpha / len(RATES)
     rules = ", ".join(f"('{r}', {i}, {c})" for r, cs in RATES.items() for i, c in enumerate(cs))
     score = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in RATES) + " END"
     return rf"""WITH w AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
