@@ -242,9 +242,13 @@ def reliabilities(patterns: dict[Pattern, float], kind: str = "card", rounds: in
 
 
 def classifier(patterns: dict[tuple[Pattern, Pattern], float], p: dict[Pattern, float], rounds: int = 25, ridge: float = 0.1) -> list[float]:
-    """Logistic weights (the constant, the votes, the features) fitted by Newton's method to the probabilities of (votes, features) patterns."""
+    """Logistic weights (the constant, the votes, the features) fitted by Newton's method to the probabilities of (votes, features) patterns.
+
+    A pattern counts for as much as its probability is sure, so that unsure ones are judged by what sure ones have taught.
+    """
     x = np.array([(1, *v, *f) for v, f in patterns], float).reshape(-1, 1 + len(LABELERS) + len(FEATURES))
-    n, y = np.array(list(patterns.values())), np.array([p[v] for v, _ in patterns])
+    y = np.array([p[v] for v, _ in patterns])
+    n = np.array(list(patterns.values())) * (2 * y - 1) ** 2
     w = np.zeros(x.shape[1])
     for _ in range(rounds if len(x) else 0):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
