@@ -289,46 +289,68 @@ def promising(pairs: DataFrame, percent: int) -> DataFrame:
     return common.map_arrow(pairs, run, "a long, b long")
 
 
+def others(i: int, label: np.ndarray, side: np.ndarray, n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Places of the rows that row i is to be compared with and may link with: still apart, of the right side and size, with a sketch near enough."""
+    at = np.flatnonzero((label != label[i]) & ((side == 2) if side[i] == 1 else (np.arange(len(n)) > i)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+    return at[possible(bits[i], bits[at], n[i], n[at], percent)] if len(at) else at
+
+
+def grouped_rows(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of each group, the hub first, then those that share most signatures, from rows sorted by group (the first column)."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+
+    for _, same in groupby(rows(), key=lambda r: r[0]):
+        yield sorted(same, key=lambda r: (r[4] != 3, -r[3], r[1]))
+
+
+def compared(rows: list[tuple], n: list[int], sketches: list[bytes]) -> tuple[np.ndarray, ...]:
+    """label, side, n and sketches of a group's rows, as ``others`` takes them."""
+    size = min(len(x) for x in sketches) // 8
+    return np.unique([r[2] for r in rows], return_inverse=True)[1], np.array([r[4] for r in rows]), np.array(n), np.stack([folded(x, size) for x in sketches])
+
+
+def with_partner(members: DataFrame, percent: int) -> DataFrame:
+    """The rows (group, rep, root, weight, side, n, sketch), sorted by group, that may link with a row of another component, without n and sketch."""
+    names = ("group", "rep", "root", "weight", "side", "n", "sketch")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in grouped_rows(batches, names):
+            label, side, n, bits = compared(rows, [r[5] for r in rows], [r[6] for r in rows])
+            found = np.zeros(len(rows), bool)
+            for i in np.flatnonzero(side != 2):
+                at = others(i, label, side, n, bits, percent)
+                found[at] = True
+                found[i] |= len(at) > 0
+            if found.any():
+                kept = [rows[i] for i in np.flatnonzero(found)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=list(names[:5]))
+
+    return common.map_arrow(members, run, "group long, rep long, root long, weight long, side int")
+
+
 def across(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that join components, from rows (group, rep, root, weight, side, features) sorted by group.
 
     side tells which pairs to make: 0 with 0, 1 with 2, and 3, the hub, with all. The rows of a group start as the
     components they are in; a pair is compared only while its two rows are still apart, and a link is emitted only if it
-    joins two components, hence a group gives fewer links than it has components. Hubs, which share most signatures, come first.
+    joins two components, hence a group gives fewer links than it has components.
     """
 
     def of_group(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        rows = sorted(rows, key=lambda r: (r[4] != 3, -r[3], r[1]))
-        rep, side = (np.array([r[i] for r in rows], np.int64) for i in (1, 4))
-        label = np.unique([r[2] for r in rows], return_inverse=True)[1]
         sets = [np.frombuffer(r[5], U) for r in rows]
-        n = np.array([len(x) for x in sets])
-        sketches = [sketch(x) for x in sets]
-        size = min(len(x) for x in sketches) // 8
-        bits = np.stack([folded(x, size) for x in sketches])
-        place = np.arange(len(rows))
-        for i in range(len(rows)):
-            if side[i] == 2:
-                continue
-            other = (label != label[i]) & ((side == 2) if side[i] == 1 else (place > i)) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            at = np.flatnonzero(other)
-            if not len(at):
-                continue
-            for j in at[possible(bits[i], bits[at], n[i], n[at], percent)]:
+        label, side, n, bits = compared(rows, [len(x) for x in sets], [sketch(x) for x in sets])
+        for i in np.flatnonzero(side != 2):
+            for j in others(i, label, side, n, bits, percent):
                 if label[j] != label[i] and linked(sets[i], sets[j], percent):
-                    yield int(rep[i]), int(rep[j])
+                    yield rows[i][1], rows[j][1]
                     label[label == label[j]] = label[i]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("group", "rep", "root", "weight", "side", "features")
-
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in names), strict=True)
-
-        for _, same in groupby(rows(), key=lambda r: r[0]):
-            found = list(of_group(list(same)))
-            if found:
+        for rows in grouped_rows(batches, ("group", "rep", "root", "weight", "side", "features")):
+            if found := list(of_group(rows)):
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return common.map_arrow(members, run, "a long, b long")
@@ -364,7 +386,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFra
 
 
 def in_blocks(placed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
-    """group, rep, root, weight and side of the sets of every group that still holds several components.
+    """group, key, rep, root, weight and side of the sets of every group that still holds several components.
 
     A group is cut into blocks of about BLOCK features, and goes once to each pair of blocks; its hub, the set that
     shares most signatures with the group's smallest set, goes to all of them.
@@ -380,7 +402,7 @@ def in_blocks(placed: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFr
     with_others = F.transform(F.filter(every, lambda b: b != mine), lambda b: F.struct(F.least(b, mine).alias("i"), F.greatest(b, mine).alias("j"), F.when(mine < b, 1).otherwise(2).alias("side")))
     with_all = F.flatten(F.transform(every, lambda i: F.transform(F.sequence(i, blocks - 1), lambda j: F.struct(i.alias("i"), j.alias("j"), F.lit(3).alias("side")))))
     g = F.explode(F.when(F.col("key") == F.col("hub"), with_all).otherwise(F.concat(own, with_others))).alias("g")
-    return apart(members, still_open.select("first", "size", "hub"), "first").select("first", "rep", "root", "weight", g).select(F.xxhash64("first", "g.i", "g.j").alias("group"), "rep", "root", "weight", "g.side")
+    return apart(members, still_open.select("first", "size", "hub"), "first").select("first", "key", "rep", "root", "weight", g).select(F.xxhash64("first", "g.i", "g.j").alias("group"), "key", "rep", "root", "weight", "g.side")
 
 
 def similarity_groups(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -402,11 +424,13 @@ def similarity_groups(df: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     links = verified(near, docs, n, percent)
     roots = common.written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
 
-    # where the sets around one smallest set are still in several components: all pairs across these, in blocks
-    unresolved = common.written(in_blocks(placed, roots, classes), "blocks")
-    made = features_of(docs, common.written(unresolved.select(F.col("rep").alias("id")).distinct(), "wanted"), n)
-    grouped = unresolved.join(made, F.col("rep") == F.col("id")).select("group", "rep", "root", "weight", "side", "features")
-    joins = common.written(across(grouped.repartition("group").sortWithinPartitions("group"), percent), "links")
+    # Where the sets around one smallest set are still in several components: all pairs across these, in blocks. Sketches
+    # tell which sets may link at all; only these have their features made again and carried.
+    sketched = in_blocks(placed, roots, classes).join(classes.select("key", "n", "sketch"), "key").select("group", "rep", "root", "weight", "side", "n", "sketch")
+    unresolved = common.written(with_partner(sketched.repartition("group").sortWithinPartitions("group"), percent), "unresolved")
+    made = features_of(docs, unresolved.select(F.col("rep").alias("id")).distinct(), n)
+    whole = unresolved.join(made, F.col("rep") == F.col("id")).select("group", "rep", "root", "weight", "side", "features")
+    joins = common.written(across(whole.repartition("group").sortWithinPartitions("group"), percent), "links")
     final = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(joins.select(F.col("a").alias("u"), F.col("b").alias("v"))))
 
     keyed = classes.select(F.col("key").alias("class"), "rep").join(final, F.col("rep") == F.col("node"), "left").select("class", F.coalesce("root", "rep").alias("root"))
