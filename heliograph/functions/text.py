@@ -15,6 +15,15 @@ STOP_WORDS = (
 TRACKING_PARAMS = "utm_source utm_medium utm_campaign utm_term utm_content utm_id utm_source_platform fbclid gclid msclkid ref source s via _hsenc _hsmi mc_eid".split()
 
 
+#: URL parameters that normalisation of posts drops, and words that fingerprints of texts leave out.
+CLEANED_PARAMS = "utm_source utm_medium utm_campaign utm_term utm_content fbclid gclid msclkid _ga mc_cid mc_eid".split()
+FINGERPRINT_STOP_WORDS = (
+    "the a an is are was were be been being have has had do does did "
+    "will would could should may might shall can this that these those "
+    "it its and or but if in on at to for of from with by about"
+).split()
+
+
 def filled(*columns: Column) -> Column:
     """The first column that is neither null nor empty, else the empty string."""
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns), F.lit(""))
@@ -64,6 +73,36 @@ def normal_url(url: Column, drop: list[str] | None = None, fold_host: bool = Tru
     return F.when(url.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), out).otherwise(url)
 
 
+def cleaned_url(url: Column) -> Column:
+    """The URL without fragment, tracking parameters and parameters without value; the host stays as it is."""
+    pairs = F.filter(F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&"), lambda p: F.contains(p, F.lit("=")) & ~p.endswith("=") & ~F.lower(F.substring_index(p, "=", 1)).isin(*CLEANED_PARAMS))
+    kept = F.concat_ws("&", pairs)
+    return F.concat(F.regexp_extract(url, "^([^?#]*)", 1), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
+
+
+def semver(version: Column) -> Column:
+    """major, minor and patch of a version such as v1.2.3-rc1 or 1.2; zeros if it can't be read."""
+    part = lambda i: F.coalesce(F.regexp_extract(F.trim(version), r"^v?(\d+)\.(\d+)\.?(\d+)?(?:[-+].+)?$", i).try_cast("int"), F.lit(0))
+    return F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"))
+
+
+def version_change(before: Column, after: Column, breaking: Column) -> Column:
+    """breaking, or the highest part of two versions that differs; unknown if none does."""
+    a, b = semver(before), semver(after)
+    return F.when(breaking, "breaking").when(a["major"] != b["major"], "major").when(a["minor"] != b["minor"], "minor").when(a["patch"] != b["patch"], "patch").otherwise("unknown")
+
+
+#: Upgrade urgency by kind of change, and what security fixes and critical changes add.
+URGENCY = {"breaking": 0.80, "major": 0.65, "minor": 0.40, "patch": 0.20, "unknown": 0.30}
+SECURITY_BONUS, CRITICAL_BONUS = 0.3, 0.15
+
+
+def upgrade_urgency(change: Column, security: Column, critical: Column) -> Column:
+    base = F.create_map(*(F.lit(x) for pair in URGENCY.items() for x in pair))[change]
+    secured = F.when(security, F.least(base + SECURITY_BONUS, F.lit(1.0))).otherwise(base)
+    return F.when(critical, F.least(secured + CRITICAL_BONUS, F.lit(1.0))).otherwise(secured)
+
+
 def fingerprint(url: Column, platform: Column, author: Column, body: Column) -> Column:
     """SHA-1 of the canonical URL, or without one of platform, author and the body's first 64 characters."""
     return F.sha1(F.when(F.coalesce(url, F.lit("")) != "", normal_url(url)).otherwise(F.concat_ws("|", platform, F.coalesce(author, F.lit("")), F.substring(F.coalesce(body, F.lit("")), 1, 64))))

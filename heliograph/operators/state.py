@@ -9,8 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir; a local one only where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir; a local one only in local mode."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.conf.get("spark.master").partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        where = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return where
 
 
 def cut(df: DataFrame) -> DataFrame:

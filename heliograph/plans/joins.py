@@ -183,28 +183,38 @@ def registry_lookup(spark, d):
 TOK = "list_distinct([w FOR w IN regexp_split_to_array(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+') IF w <> '' AND length(w) > 2])"
 
 
-@query("j12_similar_titles", rf"""WITH t AS (SELECT item_id, {TOK.format("text")} AS toks FROM benchmark), x AS (SELECT item_id, unnest(toks) AS tok, len(toks) AS n FROM t)
-SELECT a.item_id AS a, b.item_id AS b, round(count(*) / (max(a.n) + max(b.n) - count(*)), 6) AS similarity FROM x a JOIN x b ON a.tok = b.tok AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id HAVING count(*) / (max(a.n) + max(b.n) - count(*)) >= 0.3""")
+TITLE_SQL = f"SELECT doc_id, n_chars AS trust, {TOK.format("regexp_extract(text, '^(?:\\S+\\s+){0,11}\\S*')")} AS toks FROM documents"
+PAIRS_SQL = f"""WITH t AS ({TITLE_SQL}), u AS (SELECT toks, count(*) AS copies, max_by(doc_id, (trust, -doc_id)) AS doc_id, max(trust) AS trust FROM (SELECT doc_id, trust, list_sort(toks) AS toks FROM t WHERE len(toks) > 0) GROUP BY toks),
+x AS (SELECT doc_id, trust, unnest(toks) AS tok, len(toks) AS n FROM u),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, max(a.trust) AS ta, max(b.trust) AS tb, count(*) / (max(a.n) + max(b.n) - count(*)) AS similarity FROM x a JOIN x b ON a.tok = b.tok AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id HAVING count(*) / (max(a.n) + max(b.n) - count(*)) >= 0.7)"""
+
+
+def title_classes(spark, d):
+    """Distinct titles (a text's first twelve words stand for one) as sorted tokens, each with its most trusted document (the longest, of equals the first)."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").alias("trust"), F.array_sort(F.filter(text.words(F.regexp_extract("text", r"^(?:\S+\s+){0,11}\S*", 0)), lambda w: F.length(w) > 2)).alias("tokens"))
+    return docs.where(F.size("tokens") > 0).groupBy("tokens").agg(F.max_by("doc_id", F.struct("trust", -F.col("doc_id"))).alias("doc_id"), F.max("trust").alias("trust"), F.count("*").alias("copies"))
+
+
+@query("j12_similar_titles", rf"{PAIRS_SQL} SELECT a, b, round(similarity, 6) AS similarity FROM p")
 def similar_titles(spark, d):
-    """Pairs meet at the rarest tokens of each title only: with similarity s, any n - ceil(s n) + 1 of n tokens hold a shared one."""
+    """Pairs of distinct titles with similarity .70 or more. They meet at the rarest tokens of each only: with similarity s, any n - ceil(s n) + 1 of n tokens hold a shared one."""
     from ..operators.setjoin import set_similarity_join
 
-    toks = table(spark, d, "benchmark").select("item_id", F.filter(text.words(F.col("text")), lambda w: F.length(w) > 2).alias("tokens"))
-    return set_similarity_join(toks, "item_id", "tokens", 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return set_similarity_join(title_classes(spark, d), "doc_id", "tokens", 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("j13_similar_sources", rf"""WITH t AS (SELECT item_id, length(text) AS trust, {TOK.format("text")} AS toks FROM benchmark), x AS (SELECT item_id, trust, unnest(toks) AS tok, len(toks) AS n FROM t),
-p AS (SELECT a.item_id AS a, b.item_id AS b, max(a.trust) AS ta, max(b.trust) AS tb FROM x a JOIN x b ON a.tok = b.tok AND a.item_id < b.item_id GROUP BY a.item_id, b.item_id HAVING count(*) / (max(a.n) + max(b.n) - count(*)) >= 0.3)
-SELECT DISTINCT CASE WHEN tb > ta THEN a ELSE b END AS dropped FROM p""")
+@query("j13_similar_sources", rf"{PAIRS_SQL} SELECT CASE WHEN tb > ta THEN a ELSE b END AS dropped FROM p UNION SELECT t.doc_id FROM t JOIN u ON list_sort(t.toks) = u.toks WHERE t.doc_id <> u.doc_id")
 def similar_sources(spark, d):
+    """Documents that lose to a more trusted one (of equals, the first) with a title of similarity .70 or more; the equal ones in one aggregate, without pairs."""
     from ..operators.setjoin import set_similarity_join
 
-    b = table(spark, d, "benchmark")
-    toks = b.select("item_id", F.filter(text.words(F.col("text")), lambda w: F.length(w) > 2).alias("tokens"))
-    trust = b.select("item_id", F.length("text").alias("trust"))
-    pairs = set_similarity_join(toks, "item_id", "tokens", 0.3)
-    pairs = pairs.join(trust.toDF("a", "ta"), "a").join(trust.toDF("b", "tb"), "b")
-    return pairs.select(F.when(F.col("tb") > F.col("ta"), F.col("a")).otherwise(F.col("b")).alias("dropped")).distinct()
+    classes = title_classes(spark, d)
+    trust = classes.select("doc_id", "trust")
+    pairs = set_similarity_join(classes, "doc_id", "tokens", 0.7).join(trust.toDF("a", "ta"), "a").join(trust.toDF("b", "tb"), "b")
+    lost = pairs.select(F.when(F.col("tb") > F.col("ta"), F.col("a")).otherwise(F.col("b")).alias("dropped"))
+    titled = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_sort(F.filter(text.words(F.regexp_extract("text", r"^(?:\S+\s+){0,11}\S*", 0)), lambda w: F.length(w) > 2)).alias("tokens"))
+    copies = titled.join(classes.where("copies > 1").select("tokens", "doc_id"), "tokens").where("id <> doc_id").select(F.col("id").alias("dropped"))
+    return lost.union(copies).distinct()
 
 
 @query("j09_approximate_knn")

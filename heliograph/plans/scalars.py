@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rules, scores, text
+from ..operators import relational
 from .registry import SIGNALS, query, signals, table
 
 SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*://"
@@ -19,9 +20,13 @@ def canonical_url(spark, d):
     return table(spark, d, "pages").select("page_id", text.normal_url(F.col("url")).alias("url"))
 
 
-@query("f02_clean_url")
+CLEANED = ", ".join(f"'{p}'" for p in text.CLEANED_PARAMS)
+
+
+@query("f02_clean_url", rf"""WITH u AS (SELECT page_id, url, array_to_string([p FOR p IN string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&') IF contains(p, '=') AND NOT ends_with(p, '=') AND lower(split_part(p, '=', 1)) NOT IN ({CLEANED})], '&') AS q FROM pages)
+SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url FROM u""")
 def clean_url(spark, d):
-    return table(spark, d, "pages").select("page_id", text.normal_url(F.col("url"), text.TRACKING_PARAMS[:11], fold_host=False).alias("url"))
+    return table(spark, d, "pages").select("page_id", text.cleaned_url(F.col("url")).alias("url"))
 
 
 @query("f03_clean_text", r"SELECT page_id, md5(replace(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), chr(0), '')) AS body FROM pages")
@@ -114,9 +119,20 @@ def title_jaccard(spark, d):
     return t.select("conv_id", "turn", F.round(text.jaccard(F.col("ws"), F.col("before")), 6).alias("similarity"))
 
 
-@query("f18_content_fingerprint", "SELECT doc_id, md5(coalesce(nullif(concat_ws(',', lang, source), ''), substr(text, 1, 30))) AS fingerprint FROM documents")
+STOP_SQL = ", ".join(f"'{w}'" for w in text.FINGERPRINT_STOP_WORDS)
+
+
+@query("f18_content_fingerprint", rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents WHERE lang = 'en'),
+c AS (SELECT doc_id, w, count(*) AS n, min(pos) AS first FROM t WHERE length(w) >= 3 AND w NOT IN ({STOP_SQL}) GROUP BY doc_id, w),
+k AS (SELECT doc_id, w FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) <= 30)
+SELECT d.doc_id, CASE WHEN d.lang <> 'en' THEN lower(d.lang) ELSE coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM k WHERE k.doc_id = d.doc_id), '') END AS fingerprint FROM documents d""")
 def content_fingerprint(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.filled(F.concat_ws(",", "lang", "source"), F.substring("text", 1, 30))).alias("fingerprint"))
+    """Topics where there are any (here the languages other than English stand for them), else the 30 most frequent words."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    w = docs.where("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("pos", "w"))
+    counts = w.where((F.length("w") >= 3) & ~F.col("w").isin(*text.FINGERPRINT_STOP_WORDS)).groupBy("doc_id", "w").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    top = relational.top_per_group(counts, ["doc_id"], [F.desc("n"), F.col("first")], 30).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("w")), ",").alias("words"))
+    return docs.select("doc_id", "lang").join(top, "doc_id", "left").select("doc_id", F.when(F.col("lang") != "en", F.lower("lang")).otherwise(F.coalesce("words", F.lit(""))).alias("fingerprint"))
 
 
 @query("f19_levenshtein", "SELECT p_partkey AS id, levenshtein(p_name, p_type) AS distance FROM part")
@@ -253,11 +269,17 @@ def grounded_summary(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("sources"), F.round(F.avg(F.least(F.length("text") / 1000, F.lit(1.0))), 6).alias("confidence"))
 
 
-@query("f39_semver_change", r"SELECT page_id, CASE WHEN v = '' THEN 'unknown' WHEN CAST(v AS INTEGER) >= 500 THEN 'major' WHEN CAST(v AS INTEGER) >= 100 THEN 'minor' ELSE 'patch' END AS change FROM (SELECT page_id, regexp_extract(url, '/(\d+)(\?|$)', 1) AS v FROM pages)")
+@query("f39_semver_change", r"""WITH v AS (SELECT p_partkey AS id, 'v' || p_size % 3 || '.' || p_partkey % 4 || '.' || p_partkey % 5 AS a, p_size % 2 || '.' || p_partkey % 3 || CASE WHEN p_partkey % 7 = 0 THEN '-rc1' WHEN p_partkey % 11 = 0 THEN ' beta' ELSE '.' || p_partkey % 5 END AS b, p_size = 50 AS breaking, p_size > 45 AS security FROM part),
+x AS (SELECT *, regexp_extract(trim(a), '^v?(\d+)\.(\d+)\.?(\d+)?(?:[-+].+)?$', ['x', 'y', 'z']) AS p, regexp_extract(trim(b), '^v?(\d+)\.(\d+)\.?(\d+)?(?:[-+].+)?$', ['x', 'y', 'z']) AS q FROM v),
+c AS (SELECT *, CASE WHEN breaking THEN 'breaking' WHEN coalesce(try_cast(p.x AS INT), 0) <> coalesce(try_cast(q.x AS INT), 0) THEN 'major' WHEN coalesce(try_cast(p.y AS INT), 0) <> coalesce(try_cast(q.y AS INT), 0) THEN 'minor' WHEN coalesce(try_cast(p.z AS INT), 0) <> coalesce(try_cast(q.z AS INT), 0) THEN 'patch' ELSE 'unknown' END AS change FROM x)
+SELECT id, change, CAST(CASE WHEN security THEN least(u + 0.3, 1) ELSE u END AS DOUBLE) AS urgency FROM (SELECT *, CASE change WHEN 'breaking' THEN 0.80 WHEN 'major' THEN 0.65 WHEN 'minor' THEN 0.40 WHEN 'patch' THEN 0.20 ELSE 0.30 END AS u FROM c)""")
 def semver_change(spark, d):
-    v = F.col("v").try_cast("int")
-    change = F.when(F.col("v") == "", "unknown").when(v >= 500, "major").when(v >= 100, "minor").otherwise("patch")
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("url", r"/(\d+)(\?|$)", 1).alias("v")).select("page_id", change.alias("change"))
+    """Versions are put together from the keys and sizes of parts; some can't be read."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    a = F.concat(F.lit("v"), size % 3, F.lit("."), key % 4, F.lit("."), key % 5)
+    b = F.concat(size % 2, F.lit("."), key % 3, F.when(key % 7 == 0, "-rc1").when(key % 11 == 0, " beta").otherwise(F.concat(F.lit("."), key % 5)))
+    change = table(spark, d, "part").select(key.alias("id"), text.version_change(a, b, size == 50).alias("change"), (size > 45).alias("security"))
+    return change.select("id", "change", text.upgrade_urgency(F.col("change"), F.col("security"), F.lit(False)).alias("urgency"))
 
 
 @query("f40_heading_lines", r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations)

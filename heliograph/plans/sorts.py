@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import relational
 from .registry import SIGNALS, query, signals, table
 
@@ -87,14 +88,26 @@ def cluster_rank(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "source").limit(10)
 
 
-@query("s14_key_sentences", r"""WITH s AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) AS pos FROM conversations),
-l AS (SELECT *, lower(substr(s, 1, 80)) AS k, length(s) AS score FROM s WHERE length(s) >= 20), u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY conv_id, k ORDER BY score DESC, turn, pos) = 1)
+S14_STOP = ", ".join(f"'{w}'" for w in text.FINGERPRINT_STOP_WORDS)
+
+
+@query("s14_key_sentences", rf"""WITH s AS (SELECT conv_id, turn, role, unnest(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), 1) AS pos FROM conversations),
+t AS (SELECT conv_id, turn, pos, w FROM (SELECT conv_id, turn, pos, unnest(regexp_extract_all(lower(s), '[a-z0-9]+')) AS w FROM s) WHERE length(w) >= 3 AND w NOT IN ({S14_STOP})),
+tf AS (SELECT conv_id, w, count(*) AS n FROM t GROUP BY conv_id, w),
+l AS (SELECT s.*, lower(substr(s.s, 1, 80)) AS k, coalesce((SELECT sum(n) FROM t JOIN tf USING (conv_id, w) WHERE t.conv_id = s.conv_id AND t.turn = s.turn AND t.pos = s.pos), 0) * CASE WHEN role = 'assistant' THEN 1.3 ELSE 1.0 END AS score FROM s WHERE length(s.s) >= 20),
+u AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY conv_id, k ORDER BY score DESC, turn, pos) = 1)
 SELECT conv_id, s AS sentence, CAST(n AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn, pos) AS n FROM u) WHERE n <= 6""")
 def key_sentences(spark, d):
-    s = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.trim("text"), r"(?<=[.!?])\s+")).alias("pos", "s")).where(F.length("s") >= 20)
-    s = s.withColumns({"k": F.lower(F.substring("s", 1, 80)), "score": F.length("s")})
+    """A sentence scores the frequencies of its words in the conversation, times .5 and the trust in who says it (.8 or .5)."""
+    s = table(spark, d, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split(F.trim("text"), r"(?<=[.!?])\s+")).alias("pos", "s"))
+    t = s.select("conv_id", "turn", "pos", F.explode(F.regexp_extract_all(F.lower("s"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    t = t.where((F.length("w") >= 3) & ~F.col("w").isin(*text.FINGERPRINT_STOP_WORDS)).groupBy("conv_id", "w", "turn", "pos").agg(F.count("*").alias("here"))
+    frequency = t.groupBy("conv_id", "w").agg(F.sum("here").alias("n"))
+    weight = t.join(frequency, ["conv_id", "w"]).groupBy("conv_id", "turn", "pos").agg(F.sum(F.col("here") * F.col("n")).alias("weight"))
+    trust = F.when(F.col("role") == "assistant", 1.3).otherwise(1.0)
+    scored = s.where(F.length("s") >= 20).join(weight, ["conv_id", "turn", "pos"], "left").withColumns({"k": F.lower(F.substring("s", 1, 80)), "score": F.coalesce("weight", F.lit(0)) * trust})
     order = [F.desc("score"), F.col("turn"), F.col("pos")]
-    unique = relational.top_per_group(s, ["conv_id", "k"], order, 1, "first")
+    unique = relational.top_per_group(scored, ["conv_id", "k"], order, 1, "first")
     return relational.top_per_group(unique, ["conv_id"], order, 6).select("conv_id", F.col("s").alias("sentence"), "rank")
 
 

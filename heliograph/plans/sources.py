@@ -72,3 +72,26 @@ def chat_export(spark, d):
 def digest_markdown(spark, d):
     g = table(spark, d, "documents").groupBy("lang").agg(F.array_sort(F.collect_set("source")).alias("items"))
     return g.select("lang", sinks.digest_markdown(F.col("lang"), F.col("items")).alias("section"))
+
+
+def json_lines(spark, d, extra: str = ""):
+    """A dataset as JSON lines in the shared folder, a blank line behind each; ``extra`` is one more line, too."""
+    path = f"{shared_dir(spark).rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    rows = table(spark, d, "documents").select(F.concat(F.to_json(F.struct("doc_id", "lang", "source")), F.lit("\n" + extra)).alias("value"))
+    rows.write.text(path)
+    return path
+
+
+DATASET = "doc_id long, lang string, source string"
+
+
+@query("src18_jsonl_load", "SELECT doc_id, lang, source FROM documents")
+def jsonl_load(spark, d):
+    """A JSON-lines dataset: blank lines are skipped, a bad line is an error."""
+    return connectors.json_lines(spark, json_lines(spark, d), DATASET)
+
+
+@query("r20_audit_log", "SELECT doc_id, lang, source FROM documents")
+def audit_log(spark, d):
+    """An audit log of JSON lines: corrupt lines are skipped."""
+    return connectors.json_lines(spark, json_lines(spark, d, '{"doc_id": 1, "lang": '), DATASET, skip_corrupt=True)

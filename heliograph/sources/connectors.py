@@ -151,3 +151,8 @@ class ItemsSource(DataSource):
                 yield from getattr(importlib.import_module(options["module"]), options["function"])(options)
 
         return Reader()
+
+
+def json_lines(spark: SparkSession, path: str, schema: str, skip_corrupt: bool = False) -> DataFrame:
+    """Rows of JSON lines. Blank lines are skipped; a line that can't be read is an error, or skipped as well."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED" if skip_corrupt else "FAILFAST").json(path)
