@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators."""
+"""Helpers shared by the corpus operators. Texts that are null are read as empty ones; empty tables give empty tables."""
 
 from __future__ import annotations
 
@@ -42,9 +42,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured."""
+    """The folder that driver and executors share; a local one only in local mode."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.conf.get("spark.master").partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", where)
     return where

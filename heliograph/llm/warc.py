@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Iterator
+from html.entities import name2codepoint
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,22 @@ from . import common
 #: Elements whose content is no text, and elements that begin a line.
 SILENT = ["script", "style", "noscript", "template"]
 BLOCKS = "p|div|br|hr|h[1-6]|li|ul|ol|table|tr|td|th|article|section|header|footer|nav|aside|main|blockquote|pre|title|body|dd|dt|dl|form"
-#: Character references, the ampersand last.
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+#: Names of character references that pages use much besides those of markup.
+NAMES = (
+    "copy reg trade deg middot bull sect para hellip mdash ndash lsquo rsquo sbquo ldquo rdquo bdquo laquo raquo euro pound yen cent times divide plusmn frac12 sup2 sup3 micro "
+    "Auml auml Ouml ouml Uuml uuml szlig Agrave agrave Aacute aacute Acirc acirc atilde aring aelig oelig Ccedil ccedil Egrave egrave Eacute eacute Ecirc ecirc euml igrave iacute icirc iuml "
+    "Ntilde ntilde ograve oacute ocirc otilde oslash ugrave uacute ucirc iexcl iquest"
+).split()
+#: Code points that pages write as numbers much.
+NUMBERED = [0x27, 0x22, 0xA9, 0xAE, 0xB7, 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2026]
+#: Character references with what they stand for, the ampersand last, so that no reference is read twice.
+ENTITIES = [
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&#039;", "'"),
+    *((f"&{name};", chr(name2codepoint[name])) for name in NAMES), *((f"&#{n};", chr(n)) for n in NUMBERED), *((f"&#x{n:x};", chr(n)) for n in NUMBERED), ("&amp;", "&"),
+]
 #: What is left out: comments and silent elements, closed or not.
 DROPPED = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{x}\b.*?(?:</{x}\s*>|\z)" for x in SILENT)
-LINE, TAG, LINK, TITLE = rf"(?i)</?(?:{BLOCKS})\b[^>]*>", r"<[A-Za-z/!?][^>]*>", r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'>]*)["']""", r"(?is)<title[^>]*>(.*?)</title"
+LINE, TAG, LINK, TITLE = rf"(?i)</?(?:{BLOCKS})\b[^>]*>", r"<[A-Za-z/!?][^>]*>", r"""(?i)<a\s[^>]*?href\s*=\s*("[^">]*"|'[^'>]*'|[^\s"'>]+)""", r"(?is)<title[^>]*>(.*?)</title"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -72,7 +84,7 @@ def json_string(text: Column) -> Column:
 
 def derivatives(source: DataFrame) -> DataFrame:
     """Metadata and conversion records: record_id, type, refers_to, target_uri, date, content_type, block, block_digest, source_block_digest, source_payload_digest."""
-    links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: json_string(unescaped(x)))
+    links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: json_string(unescaped(F.regexp_replace(x, "^[\"']|[\"']$", ""))))
     title = F.trim(F.regexp_replace(unescaped(F.regexp_extract("payload", TITLE, 1)), "[ \t\r\n\f]+", " "))
     pair = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     metadata = F.concat(
@@ -153,7 +165,8 @@ def oracle_sql(date: str = DATE) -> str:
     text = f"regexp_replace({unesc(text)}, '[ \\t\\r\\f]+', ' ', 'g')"
     text = f"trim(regexp_replace(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g'))"
     title = f"trim(regexp_replace({unesc(f'regexp_extract(payload, {re2(TITLE)}, 1, {q("is")})')}, '[ \\t\\r\\n\\f]+', ' ', 'g'))"
-    links = f"array_to_string([{js(unesc('x'))} FOR x IN regexp_extract_all(payload, {re2(LINK)}, 1, 'i')], ',')"
+    bare = "regexp_replace(x, '^[\"'']|[\"'']$', '', 'g')"
+    links = f"array_to_string([{js(unesc(bare))} FOR x IN regexp_extract_all(payload, {re2(LINK)}, 1, 'i')], ',')"
     return f"""WITH r0 AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
 r1 AS (SELECT *, {uuid("'response|' || page_id || '|' || coalesce(url, '')")} AS response_id, 'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(payload) || chr(13) || chr(10) || chr(13) || chr(10) AS head FROM r0),
 r2 AS (SELECT *, 'sha256:' || sha256(payload) AS payload_digest, 'sha256:' || sha256(head || payload) AS source_digest FROM r1),

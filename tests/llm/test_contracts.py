@@ -338,6 +338,22 @@ def test_warc_round_trip(spark):
         assert head["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
 
 
+def test_warc_references_and_links(spark):
+    html = "<title>Caf&eacute; &copy; 2020</title><p>It&#8217;s &amp;lt; &uuml;ber &mdash; ok</p><a href=/a>x</a><a class='c' href=\"it's\">y</a><a href='say \"q\"'>z</a>"
+    rows = {r["type"]: r["block"] for r in warc.derivatives(warc.responses(spark.createDataFrame([(1, "http://a", html)], "page_id long, url string, html string"))).collect()}
+    assert rows["conversion"] == "Caf\u00e9 \u00a9 2020\nIt\u2019s &lt; \u00fcber \u2014 ok\nxyz"
+    assert '"links":["/a","it\'s","say \\"q\\""]' in rows["metadata"] and '"title":"Caf\u00e9 \u00a9 2020"' in rows["metadata"]
+
+
+def test_warc_awkward_tables(spark):
+    """Null and empty pages, repeated rows, a long page and columns whose names the operator uses: two records for each row, none for no rows."""
+    rows = [(1, "u", None, "x", 1), (None, None, "", "y", 2), (3, "v", "<p>a</p>" * 50_000, None, 3), (3, "v", "<p>a</p>" * 50_000, None, 3), (4, "w", "<!-- open", "z", 4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, block string, record_id long")
+    made = warc.derivatives(warc.responses(df)).where("type = 'conversion'").collect()
+    assert sorted(len(r["block"]) for r in made) == [0, 0, 0, 99_999, 99_999]
+    assert warc.derivatives(warc.responses(df.where("false"))).count() == 0
+
+
 def test_warc_reading(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
     (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block))
