@@ -23,19 +23,9 @@ from . import common
 #: Elements whose content is no text, and elements that begin a line.
 SILENT = ["script", "style", "noscript", "template"]
 BLOCKS = "p|div|br|hr|h[1-6]|li|ul|ol|table|tr|td|th|article|section|header|footer|nav|aside|main|blockquote|pre|title|body|dd|dt|dl|form"
-#: Names of character references that pages use much besides those of markup.
-NAMES = (
-    "copy reg trade deg middot bull sect para hellip mdash ndash lsquo rsquo sbquo ldquo rdquo bdquo laquo raquo euro pound yen cent times divide plusmn frac12 sup2 sup3 micro "
-    "Auml auml Ouml ouml Uuml uuml szlig Agrave agrave Aacute aacute Acirc acirc atilde aring aelig oelig Ccedil ccedil Egrave egrave Eacute eacute Ecirc ecirc euml igrave iacute icirc iuml "
-    "Ntilde ntilde ograve oacute ocirc otilde oslash ugrave uacute ucirc iexcl iquest"
-).split()
-#: Code points that pages write as numbers much.
-NUMBERED = [0x27, 0x22, 0xA9, 0xAE, 0xB7, 0x2013, 0x2014, 0x2018, 0x2019, 0x201C, 0x201D, 0x2022, 0x2026]
-#: Character references with what they stand for, the ampersand last, so that no reference is read twice.
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&#039;", "'"),
-    *((f"&{name};", chr(name2codepoint[name])) for name in NAMES), *((f"&#{n};", chr(n)) for n in NUMBERED), *((f"&#x{n:x};", chr(n)) for n in NUMBERED), ("&amp;", "&"),
-]
+#: Named character references (the 252 names of HTML 4, and apos); a no-break space is read as a space.
+ENTITIES = {name: chr(point) for name, point in sorted(name2codepoint.items())} | {"apos": "'", "nbsp": " "}
+DECIMAL, HEXADECIMAL = "^#[0-9]{1,7}$", "^#[xX][0-9A-Fa-f]{1,6}$"
 #: What is left out: comments and silent elements, closed or not.
 DROPPED = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{x}\b.*?(?:</{x}\s*>|\z)" for x in SILENT)
 LINE, TAG, LINK, TITLE = rf"(?i)</?(?:{BLOCKS})\b[^>]*>", r"<[A-Za-z/!?][^>]*>", r"""(?i)<a\s[^>]*?href\s*=\s*("[^">]*"|'[^'>]*'|[^\s"'>]+)""", r"(?is)<title[^>]*>(.*?)</title"
@@ -63,9 +53,18 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def unescaped(text: Column) -> Column:
-    for ref, char in ENTITIES:
-        text = F.replace(text, F.lit(ref), F.lit(char))
-    return text
+    """Named and numeric character references decoded, each once; what isn't one stays as it is."""
+    known = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+
+    def char(name: Column) -> Column:
+        point = F.when(name.rlike(DECIMAL), F.substr(name, F.lit(2))).when(name.rlike(HEXADECIMAL), F.conv(F.substr(name, F.lit(3)), 16, 10)).cast("int")
+        as_text = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(known, name), F.when(point == 160, " ").when(point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF), as_text))
+
+    def part(p: Column, i: Column) -> Column:
+        return common.let(F.substring_index(p, ";", 1), lambda name: F.coalesce(F.when((i > 0) & (F.length(name) < F.length(p)), F.concat(char(name), F.substr(p, F.length(name) + 2))), F.when(i > 0, F.concat(F.lit("&"), p)).otherwise(p)))
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), part), "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
@@ -150,10 +149,12 @@ def oracle_sql(date: str = DATE) -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     re2 = lambda s: q(s.replace("(?is)", "").replace("(?i)", ""))
 
-    def unesc(x: str) -> str:
-        for ref, char in ENTITIES:
-            x = f"replace({x}, {q(ref)}, {q(char)})"
-        return x
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in ENTITIES.items()) + "}"
+    decimal, hexadecimal = (f"regexp_matches(split_part(p, ';', 1), '{x}')" for x in (DECIMAL, HEXADECIMAL))
+    digits = "lower(substr(split_part(p, ';', 1), 3))"
+    point = f"CASE WHEN {decimal} THEN CAST(substr(split_part(p, ';', 1), 2) AS BIGINT) WHEN {hexadecimal} THEN CAST(list_sum([(instr('0123456789abcdef', substr({digits}, k, 1)) - 1) * CAST(power(16, length({digits}) - k) AS BIGINT) FOR k IN range(1, length({digits}) + 1)]) AS BIGINT) END"
+    numeric = f"CASE WHEN {point} = 160 THEN ' ' WHEN {point} BETWEEN 1 AND 55295 OR {point} BETWEEN 57344 AND 1114111 THEN chr(CAST({point} AS INTEGER)) END"
+    unesc = lambda x: f"array_to_string([CASE WHEN i > 1 AND contains(p, ';') THEN coalesce(coalesce({names}[split_part(p, ';', 1)], {numeric}) || substr(p, strpos(p, ';') + 1), '&' || p) WHEN i > 1 THEN '&' || p ELSE p END FOR p, i IN string_split({x}, '&')], '')"
 
     def js(x: str) -> str:
         for a, b in (("'\\'", "'\\\\'"), ("'\"'", "'\\\"'"), ("chr(10)", "'\\n'"), ("chr(13)", "'\\r'"), ("chr(9)", "'\\t'")):

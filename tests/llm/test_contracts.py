@@ -339,9 +339,9 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_references_and_links(spark):
-    html = "<title>Caf&eacute; &copy; 2020</title><p>It&#8217;s &amp;lt; &uuml;ber &mdash; ok</p><a href=/a>x</a><a class='c' href=\"it's\">y</a><a href='say \"q\"'>z</a>"
+    html = "<title>Caf&eacute; &copy; 2020</title><p>It&#8217;s &amp;lt; &uuml;ber &mdash; ok &#x1F600;&#55296;&nope;&</p><a href=/a>x</a><a class='c' href=\"it's\">y</a><a href='say \"q\"'>z</a>"
     rows = {r["type"]: r["block"] for r in warc.derivatives(warc.responses(spark.createDataFrame([(1, "http://a", html)], "page_id long, url string, html string"))).collect()}
-    assert rows["conversion"] == "Caf\u00e9 \u00a9 2020\nIt\u2019s &lt; \u00fcber \u2014 ok\nxyz"
+    assert rows["conversion"] == "Caf\u00e9 \u00a9 2020\nIt\u2019s &lt; \u00fcber \u2014 ok \U0001f600&#55296;&nope;&\nxyz"
     assert '"links":["/a","it\'s","say \\"q\\""]' in rows["metadata"] and '"title":"Caf\u00e9 \u00a9 2020"' in rows["metadata"]
 
 
