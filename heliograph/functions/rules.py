@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -107,3 +108,21 @@ def repo_health(days: Column, stars: Column, issues: Column, ci: Column, license
     """.30 recency, .25 community, .20 issues, .15 tests and .10 licence."""
     community = F.least(F.log1p(stars) / F.log1p(F.lit(star_scale)), F.lit(1.0))
     return clamp(0.30 * F.exp(-days / 120.0) + 0.25 * community + 0.20 * (1 - F.least(issues / issue_scale, F.lit(1.0)) * 0.7) + 0.15 * ci + 0.10 * F.when(licensed, 1.0).otherwise(0.0))
+
+
+def page_bounds(page: int, size: int, most: int = 100) -> tuple[int, int]:
+    """Limit and offset of a page, numbered from 1; a ValueError says what is out of range."""
+    if page < 1:
+        raise ValueError(f"pages are numbered from 1, not {page}")
+    if not 1 <= size <= most:
+        raise ValueError(f"a page has 1 to {most} rows, not {size}")
+    return size, (page - 1) * size
+
+
+def date_range(start: str | None, end: str | None) -> tuple[datetime | None, datetime | None]:
+    """Both ends of a range of ISO times, open where one is missing; times without a zone are read as UTC."""
+    read = lambda t: datetime.fromisoformat(t) if t else None
+    first, last = (t.replace(tzinfo=t.tzinfo or timezone.utc) if t else None for t in (read(start), read(end)))
+    if first and last and first > last:
+        raise ValueError(f"{start} is after {end}")
+    return first, last

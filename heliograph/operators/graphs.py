@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .state import cut
 
+#: Rounds of a search that are kept as tables of their own.
+ROUNDS = 8
+
 
 def bfs_distances(edges: DataFrame, starts: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """node and dist, the least number of edges from any start (column node). Each round is a join of the frontier only."""
-    seen = cut(starts.select("node").distinct().withColumn("dist", F.lit(0).cast("long")))
-    frontier, depth = seen, 0
+    """node and dist, the least number of edges from any start (column node).
+
+    The edges are computed once. Each round is a join of the frontier only and writes what is new; rounds are written
+    together again when there are ``ROUNDS`` of them.
+    """
+    edges = cut(edges.select("src", "dst"))
+    frontier = cut(starts.select("node").distinct().withColumn("dist", F.lit(0).cast("long")))
+    parts, depth = [frontier], 0
     while depth < most:
         depth += 1
         reached = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        new = cut(reached.join(seen.select("node"), "node", "left_anti").withColumn("dist", F.lit(depth).cast("long")))
-        if new.isEmpty():
+        seen = reduce(DataFrame.unionByName, parts)
+        frontier = cut(reached.join(seen.select("node"), "node", "left_anti").withColumn("dist", F.lit(depth).cast("long")))
+        if frontier.isEmpty():
             break
-        seen, frontier = cut(seen.unionByName(new)), new
-    return seen
+        parts = [*parts, frontier] if len(parts) < ROUNDS else [cut(seen), frontier]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def shortest_path(edges: DataFrame, source, target, most: int = 1_000_000) -> list | None:
@@ -50,7 +61,7 @@ def crawl(edges: DataFrame, starts: DataFrame, depth: int = 3, children: int = 5
     """Bounded breadth-first crawl over edges (src, dst, priority): node, depth. Each node passes on its best ``children``; a node keeps its first depth."""
     kept = edges.where(F.col("priority") >= least_priority)
     w = Window.partitionBy("src").orderBy(F.desc("priority"), "dst")
-    kept = cut(kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= children).select("src", "dst"))
+    kept = kept.withColumn("place", F.row_number().over(w)).where(F.col("place") <= children).select("src", "dst")
     return bfs_distances(kept, starts, depth).select("node", F.col("dist").alias("depth"))
 
 

@@ -39,6 +39,33 @@ def acquisition_filter(df: DataFrame, platforms: Sequence[str] = (), block: Sequ
     return marked.withColumn("drop_stage", stage).drop("_early", "_fp", "_at", "_again")
 
 
+def char_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], chars: str, most: int) -> DataFrame:
+    """Adds taken: whether a row still fits its key's budget. Rows are tried in order; one that doesn't fit is skipped and uses nothing up."""
+
+    def step(used: int, row: dict):
+        size = row[chars] or 0
+        fits = used + size <= most
+        return used + (size if fits else 0), {"taken": fits}
+
+    return ordered_fold(df, keys, order, lambda: 0, step, "taken boolean")
+
+
+def connector_filter(df: DataFrame, order: Sequence[str], most_chars: int, **stages) -> DataFrame:
+    """Adds drop_stage as ``acquisition_filter`` does for what a connector fetched, then ``char_budget`` for posts that their user's budget has no room for.
+
+    ``engagement`` and ``is_trending`` are taken as 0 and false where they are missing; image and video captions
+    (``visual_text``, where there is such a column) are read behind a post's own text.
+    """
+    made = df
+    for name, default in (("engagement", F.lit(0)), ("is_trending", F.lit(False))):
+        made = made.withColumn(name, F.coalesce(name, default) if name in df.columns else default)
+    if "visual_text" in df.columns:
+        made = made.withColumn("raw_text", F.nullif(F.concat_ws("\n", "raw_text", "visual_text"), F.lit("")))
+    marked = acquisition_filter(made, **stages).withColumn("_chars", F.when(F.col("drop_stage").isNull(), F.length(text.filled(F.col("raw_text"), F.col("title")))).otherwise(0))
+    tried = char_budget(marked, ["user_id"], order, "_chars", most_chars)
+    return tried.withColumn("drop_stage", F.coalesce("drop_stage", F.when(~F.col("taken"), "char_budget"))).drop("_chars", "taken")
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group, with their rank. Spark limits each partition before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -75,3 +102,25 @@ def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column)
     out = df.withColumns({"_flag": flag, "_island": island})
     inside = Window.partitionBy(*keys, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return out.withColumn("run", F.sum(F.when(F.col("_flag"), 1).otherwise(0)).over(inside)).drop("_flag", "_island")
+
+
+def trailing_counts(df: DataFrame, keys: Sequence[str], at: str, spans: dict[str, int], width: int) -> DataFrame:
+    """Adds for each name in ``spans`` the number of the key's rows from ``span`` before a row up to it, equal times included.
+
+    ``at`` is a whole number such as microseconds; a row without one counts 0. A key's rows are cut into slices of ``width``, so that a
+    hot key isn't one task's: a row enters at its time and leaves a span later, running sums of both run within a slice,
+    and what came before a slice is a running sum over one row a slice. Ties go to one task.
+    """
+    names = list(spans)
+    leaves = [F.struct((F.col(at) + s + 1).alias("_at"), F.lit(False).alias("_own"), *(F.lit(-1 if m == n else 0).alias(f"_{m}") for m in names)) for n, s in spans.items()]
+    enters = F.struct(F.col(at).alias("_at"), F.lit(True).alias("_own"), *(F.lit(1).alias(f"_{n}") for n in names))
+    marks = df.select("*", enters.alias("_m")).unionByName(df.select(*keys, F.explode(F.array(*leaves)).alias("_m")), allowMissingColumns=True)
+    marks = marks.select(*df.columns, "_m.*").withColumn("_slice", F.expr(f"(_at - pmod(_at, {width}L)) div {width}L"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    running = marks.withColumns({f"_{n}": F.sum(f"_{n}").over(inside) for n in names}).where("_own")
+    per = marks.groupBy(*keys, "_slice").agg(*(F.sum(f"_{n}").alias(f"_{n}") for n in names))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = per.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)), F.col("_slice").alias("_of"), *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in names))
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    out = running.join(base, [F.col("_slice").eqNullSafe(F.col("_of")), *same])
+    return out.select(*df.columns, *((F.col(f"_{n}") + F.col(f"_base_{n}")).alias(n) for n in names))

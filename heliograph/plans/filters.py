@@ -192,14 +192,25 @@ def publication_gate(spark, d):
     return both.select("doc_id", F.coalesce(*steps, F.lit("published")).alias("step"))
 
 
-@query("flt05_char_budget")
-def char_budget(spark, d):
-    from ..operators.folds import ordered_fold
-
-    def step(used: int, row: dict):
-        fits = used + row["n_chars"] <= 100_000
-        return used + (row["n_chars"] if fits else 0), {"taken": fits}
-
-    return ordered_fold(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], lambda: 0, step, "taken boolean")
+#: Greedy budget per key over rows o (key, i, doc_id, n_chars), i from 1: a row that doesn't fit is skipped.
+BUDGET = """SELECT key, doc_id, i, n_chars <= {most} AS taken, CASE WHEN n_chars <= {most} THEN n_chars ELSE 0 END AS used FROM o WHERE i = 1
+ UNION ALL SELECT o.key, o.doc_id, o.i, r.used + o.n_chars <= {most}, r.used + CASE WHEN r.used + o.n_chars <= {most} THEN o.n_chars ELSE 0 END FROM r JOIN o ON o.key = r.key AND o.i = r.i + 1"""
 
 
+@query("flt05_char_budget", f"""WITH RECURSIVE o AS (SELECT source AS key, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents), r AS ({BUDGET.format(most=100_000)})
+SELECT key AS source, doc_id, n_chars, taken FROM r JOIN documents USING (doc_id)""")
+def char_budget(spark, d):
+    return relational.char_budget(table(spark, d, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], "n_chars", 100_000)
+
+
+@query("flt06_connector_filter", rf"""WITH RECURSIVE p AS (SELECT doc_id, lang, source, text, CASE WHEN source = 'src9' THEN 'platform_gate' WHEN contains(lower(text), 'thing') THEN 'keyword_blocklist' END AS early, sha1(source || '||' || substr(text, 1, 64)) AS fp FROM documents),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang, fp, early IS NULL ORDER BY doc_id) AS n, length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS u, length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) AS l FROM p),
+s AS (SELECT doc_id, lang, length(text) AS c, CASE WHEN early IS NOT NULL THEN early WHEN n > 1 THEN 'deduplication' WHEN u >= 0.7 * l AND l > 0 THEN 'bot_detection' WHEN c < 20 THEN 'min_text_length' END AS stage FROM q),
+o AS (SELECT lang AS key, doc_id, CASE WHEN stage IS NULL THEN c ELSE 0 END AS n_chars, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM s), r AS ({BUDGET.format(most=200_000)})
+SELECT doc_id, coalesce(stage, CASE WHEN NOT taken THEN 'char_budget' END) AS drop_stage FROM s JOIN r USING (doc_id)""")
+def connector_filter(spark, d):
+    """Documents as what a connector fetched for four users, a millisecond apart."""
+    at = F.timestamp_micros(F.lit(1_705_320_000_000_000) + F.col("doc_id") * 1000)
+    docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("user_id"), F.col("source").alias("platform"), *(F.lit(None).cast("string").alias(c) for c in ("author", "url", "title")), F.col("text").alias("raw_text"), at.alias("seen_at"))
+    found = relational.connector_filter(docs, ["doc_id"], 200_000, platforms=[f"src{i}" for i in range(20) if i != 9], block=["thing"])
+    return found.select("doc_id", "drop_stage")

@@ -55,7 +55,7 @@ def components(spark, d):
 def bloom(spark, d):
     """Customers of each order in a Bloom filter of the customers with a high balance."""
     rich = table(spark, d, "customer").where("c_acctbal > 5000")
-    bits, k = sketches.bloom_size(100_000, 0.01)
+    bits, k = sketches.bloom_size(max(rich.count(), 1), 0.01)
     filt = sketches.bloom(rich, F.col("c_custkey"), bits, k)
     asked = table(spark, d, "orders").select("o_custkey").distinct()
     return sketches.might_contain(asked, F.col("o_custkey"), "o_custkey", filt, bits, k)

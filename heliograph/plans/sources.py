@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import rules
+from ..operators import relational
 from ..operators.state import shared_dir
 from ..sources import connectors, sinks
-from .registry import query, table
+from .registry import SIGNALS, query, signals, table
 
 
 @query("src14_changelog_sections", r"""SELECT item_id, count(*) AS versions FROM (SELECT item_id, unnest(string_split(text, '. ')) AS part FROM benchmark) WHERE regexp_matches(part, '^[A-Z]') GROUP BY item_id""")
@@ -32,8 +34,8 @@ def entity_kb(spark, d):
 
 @query("src22_robots", r"SELECT DISTINCT url, NOT (regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) = 'ththre.example.com' AND starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1), '/fr')) AS allowed FROM pages")
 def robots(spark, d):
-    rules = spark.createDataFrame([("ththre.example.com", "/fr", False), ("ththre.example.com", "/", True)], "host string, path string, allow boolean")
-    return connectors.robots_allowed(table(spark, d, "pages").select("url"), rules)
+    allowed = spark.createDataFrame([("ththre.example.com", "/fr", False), ("ththre.example.com", "/", True)], "host string, path string, allow boolean")
+    return connectors.robots_allowed(table(spark, d, "pages").select("url"), allowed)
 
 
 @query("src23_config_scan", "SELECT c_custkey AS id, c_mktsegment AS segment FROM customer WHERE c_nationkey = 3")
@@ -95,3 +97,30 @@ def jsonl_load(spark, d):
 def audit_log(spark, d):
     """An audit log of JSON lines: corrupt lines are skipped."""
     return connectors.json_lines(spark, json_lines(spark, d, '{"doc_id": 1, "lang": '), DATASET, skip_corrupt=True)
+
+
+@query("snk02_insert_signals", f"SELECT id, user_id, status, signal_type, action_score FROM ({SIGNALS}) WHERE status <> 'ACTED'")
+def insert_signals(spark, d):
+    """Open signals appended to a table in two batches, one a status; a later batch adds rows and changes none."""
+    path = f"{shared_dir(spark).rstrip('/')}/signals-{uuid.uuid4().hex}"
+    for status in ("NEW", "IN_PROGRESS"):
+        signals(spark, d).where(F.col("status") == status).write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("id", "user_id", "status", "signal_type", "action_score")
+
+
+@query("snk11_state_snapshot", "SELECT user_id, count(*) AS n, max(event_id) AS latest FROM events GROUP BY user_id")
+def state_snapshot(spark, d):
+    """Each user's state written as JSON and loaded again by its schema."""
+    path = f"{shared_dir(spark).rstrip('/')}/state-{uuid.uuid4().hex}"
+    state = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("latest"))
+    state.write.json(path)
+    return spark.read.schema(state.schema).json(path)
+
+
+@query("r29_page_of_range", "SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-12' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 100")
+def page_of_range(spark, d):
+    """The third page of the events in a range of dates, newest first; a bad page or range is an error."""
+    limit, offset = rules.page_bounds(3, 50)
+    first, last = rules.date_range("2024-01-05", "2024-01-12")
+    found = table(spark, d, "events").where(F.col("ts").between(F.lit(first), F.lit(last)))
+    return relational.page(found.select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], limit, offset)

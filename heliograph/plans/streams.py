@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import streams
+from ..operators import streams, workflows
 from ..operators.state import shared_dir
 from .registry import SIGNALS, query, signals, table
 
@@ -132,3 +132,21 @@ def stream_clusters(spark, d):
 @query("st16_chain_tips", "SELECT user_id, count(*) AS length, max(epoch_us(ts)) AS latest FROM events GROUP BY user_id")
 def chain_tips(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("length"), F.max(F.unix_micros("ts")).alias("latest"))
+
+
+@query("st17_workflow", f"""WITH s AS (SELECT id, signal_type, action_score, CAST(substr(signal_type, 1, 1) AS INT) AS urgency FROM ({SIGNALS}) WHERE status = 'NEW'),
+t AS (SELECT *, CASE WHEN action_score >= 0.2 THEN round(action_score / urgency, 9) END AS score FROM s)
+SELECT id, score, CASE WHEN score > 0.5 THEN 'FAILED' ELSE 'COMPLETED' END AS status, CASE WHEN score > 0.5 THEN 'needs approval' END AS error,
+ 'analyze:COMPLETED,' || CASE WHEN action_score >= 0.2 THEN 'score:COMPLETED' ELSE 'score:SKIPPED' END || CASE WHEN score > 0.5 THEN ',decide:FAILED' WHEN score IS NULL THEN ',decide:COMPLETED,notify:SKIPPED' ELSE ',decide:COMPLETED,notify:COMPLETED' END AS steps FROM t""")
+def workflow(spark, d):
+    """New signals through four steps: analyze, score (of those with a high action score), decide (which fails above a limit) and notify."""
+    known = workflows.Registry()
+    score = F.col("score")
+    known.register("triage", [
+        workflows.Step("analyze", F.substring("signal_type", 1, 1).cast("int")),
+        workflows.Step("score", F.round(F.col("action_score") / F.col("analyze"), 9), F.col("action_score") >= 0.2),
+        workflows.Step("decide", F.coalesce(score, F.lit(0.0)) > 0.1, error=F.when(score > 0.5, "needs approval")),
+        workflows.Step("notify", F.concat_ws(" ", F.lit("signal"), "id"), score.isNotNull()),
+    ])
+    ran = known.run("triage", signals(spark, d).where("status = 'NEW'").drop("status"))
+    return ran.select("id", "score", "status", "error", F.concat_ws(",", F.transform("steps", lambda s: F.concat_ws(":", s["step"], s["status"]))).alias("steps"))

@@ -24,8 +24,8 @@ def events(spark, d):
 @query("w01_trending_score", """WITH c AS (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS day, count(*) OVER (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 604800000000 PRECEDING AND CURRENT ROW) AS week FROM events)
 SELECT event_id, round(CASE WHEN week < 5 THEN 0 ELSE day / (3 * week / 7) END, 6) AS score FROM c""")
 def trending_score(spark, d):
-    w = lambda s: Window.partitionBy("event_type").orderBy("at").rangeBetween(-s * 1_000_000, 0)
-    e = events(spark, d).withColumns({"day": F.count("*").over(w(DAY)), "week": F.count("*").over(w(7 * DAY))})
+    spans = {"day": DAY * 1_000_000, "week": 7 * DAY * 1_000_000}
+    e = relational.trailing_counts(events(spark, d).select("event_id", "event_type", "at"), ["event_type"], "at", spans, 3600 * 1_000_000)
     return e.select("event_id", F.round(F.when(F.col("week") < 5, 0.0).otherwise(F.col("day") / (3 * F.col("week") / 7)), 6).alias("score"))
 
 

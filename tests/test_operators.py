@@ -7,7 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from heliograph.operators import evaluation, folds, graphs, relational, setjoin, sketches, vectors
+from heliograph.functions import rules
+from heliograph.operators import evaluation, folds, graphs, relational, setjoin, sketches, vectors, workflows
 from heliograph.sources import connectors, sinks
 
 
@@ -165,3 +166,58 @@ def test_density_clusters_against_brute_force(spark):
                         todo += [j] if core[j] else []
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
         assert {r[0]: r[1] for r in vectors.density_clusters(df, eps, 5, block=40).collect()} == {int(a): int(b) for a, b in want.items()}
+
+
+def test_trailing_counts_of_hot_keys_ties_and_nulls(spark):
+    rng = random.Random(3)
+    rows = [(i, "hot" if i % 3 else rng.choice(["a", None]), rng.randrange(-500, 500)) for i in range(600)] + [(600, "hot", None), (601, "b", 7)]
+    spans = {"short": 20, "long": 333}
+    got = {r["id"]: (r["short"], r["long"]) for r in relational.trailing_counts(spark.createDataFrame(rows, "id int, k string, at long"), ["k"], "at", spans, 50).collect()}
+    for i, k, at in rows:
+        want = tuple(0 if at is None else sum(q == k and t is not None and at - s <= t <= at for _, q, t in rows) for s in spans.values())
+        assert got[i] == want
+
+
+def test_trailing_counts_of_no_rows(spark):
+    df = spark.createDataFrame([], "k string, at long")
+    assert relational.trailing_counts(df, ["k"], "at", {"n": 5}, 10).collect() == []
+
+
+def test_bfs_over_more_rounds_than_are_kept_apart(spark):
+    n = 2 * graphs.ROUNDS + 3
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(5, 0), (2, 2)], "src int, dst int")
+    got = {r["node"]: r["dist"] for r in graphs.bfs_distances(edges, spark.createDataFrame([(0,), (0,)], "node int")).collect()}
+    assert got == {i: i for i in range(n + 1)}
+
+
+def test_connector_filter_fills_in_columns_and_skips_what_does_not_fit(spark):
+    at = datetime(2024, 1, 15, 12)
+    rows = [("u", "p", "a", None, None, body, seen, at) for body, seen in [("first words " * 5, None), (None, "a caption that is long enough to be kept"), ("second " * 40, None), ("third words " * 3, "x"), ("short", None)]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, user_id string, platform string, author string, url string, title string, raw_text string, visual_text string, seen_at timestamp")
+    got = {r["id"]: r["drop_stage"] for r in relational.connector_filter(df, ["id"], 150).collect()}
+    assert got == {0: None, 1: None, 2: "char_budget", 3: None, 4: "min_text_length"}
+
+
+def test_workflow_skips_fails_and_stops(spark):
+    df = spark.createDataFrame([(1, 5), (2, -1), (3, None)], "id int, x int")
+    x = F.col("x")
+    known = workflows.Registry()
+    known.register("w", [workflows.Step("double", x * 2), workflows.Step("root", F.sqrt("double"), x != 5, F.when(x < 0, "negative")), workflows.Step("last", F.lit("done"))])
+    got = {r["id"]: r for r in known.run("w", df).collect()}
+    states = {i: [s["status"] for s in r["steps"]] for i, r in got.items()}
+    assert states == {1: ["COMPLETED", "SKIPPED", "COMPLETED"], 2: ["COMPLETED", "FAILED"], 3: ["COMPLETED"] * 3}
+    assert [(got[i]["status"], got[i]["error"], got[i]["last"]) for i in (1, 2, 3)] == [("COMPLETED", None, "done"), ("FAILED", "negative", None), ("COMPLETED", None, "done")]
+    with pytest.raises(ValueError):
+        known.register("w", [])
+
+
+def test_page_and_range_checks():
+    assert rules.page_bounds(3, 50) == (50, 100)
+    for page, size in ((0, 10), (1, 0), (1, 101)):
+        with pytest.raises(ValueError):
+            rules.page_bounds(page, size)
+    assert rules.date_range(None, "2024-01-01T00:00:00Z")[0] is None
+    assert rules.date_range("2024-01-01", "2024-01-01T00:00:00Z")
+    for ends in (("2024-02-01", "2024-01-01"), ("soon", None)):
+        with pytest.raises(ValueError):
+            rules.date_range(*ends)
