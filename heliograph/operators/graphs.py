@@ -71,18 +71,24 @@ def without_node(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select(*edges.columns)
 
 
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Join of many edges with one row a node. The second key, which follows from the first, gives both sides exchanges of their own, which adaptive execution can split at a hub."""
+    also = F.xxhash64("src").alias("_also")
+    return edges.select("*", also).join(least.select("*", also), ["src", "_also"]).drop("_also")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) by alternating large and small stars; edges are undirected."""
 
     def large(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         least = both.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("m"))
-        return both.where("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        return with_least(both.where("dst > src"), least).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
         least = down.groupBy("src").agg(F.min("dst").alias("m"))
-        across = down.join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        across = with_least(down, least).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         return across.unionByName(least.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct()
 
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()

@@ -244,8 +244,22 @@ def source_attribution(spark, d):
     return relational.top_per_group(p, ["conv_id", "turn"], [F.desc("recall"), F.col("source")], 10).select("conv_id", "turn", "source", F.round("recall", 6).alias("recall"))
 
 
-@query("j18_midpoint_turn", "SELECT event_id, CASE WHEN mid < 3 THEN 'A' WHEN mid < 10 THEN 'B' ELSE 'C' END AS speaker FROM (SELECT event_id, (value + value + 2) / 2 AS mid FROM events)")
+@query("j18_midpoint_turn", """WITH t AS (SELECT conv_id, turn, role, coalesce(sum(n) OVER w, 0) - n AS a, sum(n) OVER w AS b FROM (SELECT *, coalesce(length(text), 0) AS n FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT conv_id, CAST(i // 200 AS BIGINT) AS segment, (i + least(i + 200, total)) / 2 AS mid FROM (SELECT conv_id, total, unnest(range(0, total, 200)) AS i FROM (SELECT conv_id, CAST(max(b) AS BIGINT) AS total FROM t GROUP BY conv_id)))
+SELECT s.conv_id, segment, arg_min(t.role, t.turn) AS speaker FROM s JOIN t ON t.conv_id = s.conv_id AND mid BETWEEN a AND b GROUP BY s.conv_id, segment""")
 def midpoint_turn(spark, d):
-    mid = (F.col("value") + F.col("value") + 2) / 2
-    turns = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("s")) for a, b, s in ((-1e9, 3.0, "A"), (3.0, 10.0, "B"), (10.0, 1e9, "C"))))
-    return table(spark, d, "events").select("event_id", F.get(F.filter(turns, lambda t: (mid >= t["a"]) & (mid < t["b"])), F.lit(0))["s"].alias("speaker"))
+    """Who speaks at the midpoint of each 200-character segment of a conversation, whose turns follow each other.
+
+    Turns and midpoints meet in one ordered pass a conversation. A midpoint on a border belongs to the turn before.
+    """
+    ordered = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    turns = turns.withColumn("b", F.sum("n").over(ordered))
+    total = turns.groupBy("conv_id").agg(F.max("b").alias("total")).where("total > 0")
+    i = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1, F.lit(200).cast("long")))
+    segments = total.select("conv_id", "total", i.alias("i")).select("conv_id", F.expr("i div 200").alias("segment"), ((F.col("i") + F.least(F.col("i") + 200, F.col("total"))) / 2).alias("at"))
+    starts = turns.select("conv_id", (F.col("b") - F.col("n")).cast("double").alias("at"), "turn", "role")
+    both = starts.unionByName(segments, allowMissingColumns=True)
+    so_far = Window.partitionBy("conv_id").orderBy("at", F.col("turn").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    named = both.withColumn("speaker", F.last(F.when(F.col("turn").isNotNull(), F.struct("role")), ignorenulls=True).over(so_far)["role"])
+    return named.where("segment IS NOT NULL").select("conv_id", "segment", "speaker")
