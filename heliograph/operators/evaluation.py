@@ -37,10 +37,17 @@ def ranking(df: DataFrame, keys: Sequence[str], order: Sequence[Column], relevan
 
 
 def first_hit(df: DataFrame, keys: Sequence[str], order: Sequence[Column], relevance: str, k: int) -> DataFrame:
-    """Whether the top k hold a relevant row, and the reciprocal rank of the first one, 0 if there is none."""
+    """Whether the top k hold a relevant row, the reciprocal rank of the first one (0 if there is none), and nDCG at k.
+
+    A row is relevant or not; the ideal order has as many relevant rows in front as the group has. Without any, nDCG is 0.
+    """
     ranked = df.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    first = F.min(F.when(F.col(relevance) > 0, F.col("k")))
-    return ranked.groupBy(*keys).agg(F.coalesce(first <= k, F.lit(False)).alias("hit"), F.coalesce(1.0 / first, F.lit(0.0)).alias("mrr"))
+    found = F.col(relevance) > 0
+    first = F.min(F.when(found, F.col("k")))
+    gain = F.sum(F.when(found & (F.col("k") <= k), 1 / F.log2(F.col("k") + 1)))
+    each = ranked.groupBy(*keys).agg(F.coalesce(first <= k, F.lit(False)).alias("hit"), F.coalesce(1.0 / first, F.lit(0.0)).alias("mrr"), gain.alias("_gain"), F.count_if(found).alias("_n"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("_n"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
+    return each.withColumn("ndcg", F.coalesce(F.col("_gain") / ideal, F.lit(0.0))).drop("_gain", "_n")
 
 
 def fit_temperature(df: DataFrame, p: str, y: str, rate: float, steps: int, start: float = 1.0) -> float:

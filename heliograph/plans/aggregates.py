@@ -205,9 +205,14 @@ def queue_stats(spark, d):
     return signals(spark, d).groupingSets([["signal_type"], ["status"]], "signal_type", "status").agg(F.count("*").alias("n"))
 
 
-@query("ag31_bandit_stats", "SELECT l_shipmode AS arm, n, rate FROM (SELECT l_returnflag AS l_shipmode, count(*) AS n, round(avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END), 6) AS rate FROM lineitem GROUP BY ALL)")
+@query("ag31_bandit_stats", """SELECT arm, n, round(rate, 6) AS rate, row_number() OVER (ORDER BY rate DESC, n DESC, arm DESC) = 1 AS best
+ FROM (SELECT l_returnflag AS arm, count(*) AS n, avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END) AS rate FROM lineitem GROUP BY ALL)""")
 def bandit_stats(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("arm")).agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("l_discount") >= 0.05, 1.0).otherwise(0.0)), 6).alias("rate"))
+    """Pulls and success rate of each arm, and which is best: of equal rates, the one pulled more often."""
+    reward = F.when(F.col("l_discount") >= 0.05, 1.0).otherwise(0.0)
+    arms = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("arm")).agg(F.count("*").alias("n"), F.avg(reward).alias("rate"))
+    place = F.row_number().over(Window.orderBy(F.desc("rate"), F.desc("n"), F.desc("arm")))  # one row an arm
+    return arms.select("arm", "n", F.round("rate", 6).alias("rate"), (place == 1).alias("best"))
 
 
 @query("ag32_ingestion_metrics", "SELECT source AS platform, count(*) AS items, round(avg(n_chars), 4) AS avg_chars, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")

@@ -54,10 +54,11 @@ def ranking(spark, d):
 
 
 @query("e06_retrieval", """WITH r AS (SELECT user_id, event_type = 'purchase' AS rel, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events)
-SELECT user_id, bool_or(rel AND k <= 10) AS hit, round(coalesce(1.0 / min(CASE WHEN rel THEN k END), 0), 6) AS mrr FROM r GROUP BY user_id""")
+SELECT user_id, bool_or(rel AND k <= 10) AS hit, round(coalesce(1.0 / min(CASE WHEN rel THEN k END), 0), 6) AS mrr,
+ round(coalesce(sum(1 / log2(k + 1)) FILTER (rel AND k <= 10) / list_sum([1 / log2(i + 1) FOR i IN range(1, 1 + greatest(1, least(10, count(*) FILTER (rel))))]), 0), 6) AS ndcg FROM r GROUP BY user_id""")
 def retrieval(spark, d):
     e = table(spark, d, "events").withColumn("rel", F.when(F.col("event_type") == "purchase", 1.0).otherwise(0.0))
-    return ev.first_hit(e, ["user_id"], [F.desc("value"), F.col("event_id")], "rel", 10).select("user_id", "hit", F.round("mrr", 6).alias("mrr"))
+    return ev.first_hit(e, ["user_id"], [F.desc("value"), F.col("event_id")], "rel", 10).select("user_id", "hit", F.round("mrr", 6).alias("mrr"), F.round("ndcg", 6).alias("ndcg"))
 
 
 @query("e07_drafts", "SELECT role, round(avg(CASE WHEN contains(text, '@') THEN 1.0 ELSE 0.0 END), 6) AS violation_rate, round(avg(CASE WHEN length(text) BETWEEN 100 AND 2000 THEN 1.0 ELSE 0.0 END), 6) AS length_rate FROM conversations GROUP BY role")

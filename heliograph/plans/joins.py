@@ -108,11 +108,11 @@ def point_in_interval(spark, d):
     return table(spark, d, "events").select("event_id", F.get(F.filter(bands, lambda b: F.col("value").between(b["low"], b["high"])), F.lit(0))["topic"].alias("topic"))
 
 
-@query("j17_interval_overlap", """SELECT a.conv_id, a.turn, CAST(count(b.turn) AS BIGINT) AS overlapping, string_agg(b.role, ',' ORDER BY b.turn) AS roles FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn <= a.turn + 1 AND b.turn + 1 >= a.turn GROUP BY a.conv_id, a.turn""")
+@query("j17_interval_overlap", """SELECT a.conv_id, a.turn, CAST(count(b.turn) AS BIGINT) AS overlapping, string_agg(b.role, ',' ORDER BY b.turn) AS roles, arg_min(b.role, b.turn) AS first_speaker FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn <= a.turn + 1 AND b.turn + 1 >= a.turn GROUP BY a.conv_id, a.turn""")
 def interval_overlap(spark, d):
     """Intervals [turn, turn + 1] of one conversation that touch; the band is a range frame, not a join."""
     w = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(-1, 1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.count("*").over(w).alias("overlapping"), F.concat_ws(",", F.collect_list("role").over(w)).alias("roles"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.count("*").over(w).alias("overlapping"), F.concat_ws(",", F.collect_list("role").over(w)).alias("roles"), F.first("role").over(w).alias("first_speaker"))
 
 
 @query("j19_temporal_follows", """SELECT a.o_orderkey AS earlier, b.o_orderkey AS later FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate < b.o_orderdate AND b.o_orderdate <= a.o_orderdate + INTERVAL 90 DAY""")
