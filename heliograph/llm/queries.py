@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, jaccard, licenses, media, packing, pii, quality, secrets, tokens, warc
+from . import collocations, jaccard, licenses, media, packing, pii, quality, secrets, tokens, vafile, warc
 from .common import table
 
 
@@ -69,6 +69,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_warc_derivatives, op4_token_counts, op5_media_columns, op6_packing, op7_bpe_codec, op8_quality_rules, op9_jaccard_groups, op10_personal_data, op11_collocations)}
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.with_inertia(vafile.cluster(table(spark, sf_dir, "embeddings")))
 
-ORACLES = {"op2_license_scan": licenses.oracle_sql(), "op3_warc_derivatives": warc.oracle_sql(), "op8_quality_rules": quality.oracle_sql(), "op9_jaccard_groups": jaccard.oracle_sql(), "op11_collocations": collocations.oracle_sql()}
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_warc_derivatives, op4_token_counts, op5_media_columns, op6_packing, op7_bpe_codec, op8_quality_rules, op9_jaccard_groups, op10_personal_data, op11_collocations, op13_centroid_clusters)}
+
+ORACLES = {"op2_license_scan": licenses.oracle_sql(), "op3_warc_derivatives": warc.oracle_sql(), "op8_quality_rules": quality.oracle_sql(), "op9_jaccard_groups": jaccard.oracle_sql(), "op11_collocations": collocations.oracle_sql(), "op13_centroid_clusters": vafile.oracle_sql()}
