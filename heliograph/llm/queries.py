@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, jaccard, licenses, media, packing, pii, quality, secrets, tokens, vafile, warc
+from . import collocations, jaccard, language, licenses, media, packing, pii, quality, secrets, tokens, vafile, warc
 from .common import table
 
 
@@ -69,10 +69,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False)).alias("held_out")
+    model = language.fit(docs.where(~held_out).select("text", "lang"))
+    return language.predict(docs, model, "text", F.col("doc_id"), held_out)
+
+
 def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.with_inertia(vafile.cluster(table(spark, sf_dir, "embeddings")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_warc_derivatives, op4_token_counts, op5_media_columns, op6_packing, op7_bpe_codec, op8_quality_rules, op9_jaccard_groups, op10_personal_data, op11_collocations, op13_centroid_clusters)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_warc_derivatives, op4_token_counts, op5_media_columns, op6_packing, op7_bpe_codec, op8_quality_rules, op9_jaccard_groups, op10_personal_data, op11_collocations, op12_language_id, op13_centroid_clusters)}
 
 ORACLES = {"op2_license_scan": licenses.oracle_sql(), "op3_warc_derivatives": warc.oracle_sql(), "op8_quality_rules": quality.oracle_sql(), "op9_jaccard_groups": jaccard.oracle_sql(), "op11_collocations": collocations.oracle_sql(), "op13_centroid_clusters": vafile.oracle_sql()}
