@@ -224,5 +224,5 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", *keep: Column
             found = [held.value.predict(t) for t in b["_text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
-    return common.map_arrow(read, run, f"{kinds}, lang_pred string, score double")
+    kinds = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1]), "lang_pred string", "score double"]
+    return common.map_arrow(read, run, ", ".join(kinds))
