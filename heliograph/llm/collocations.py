@@ -205,7 +205,7 @@ def counted(lang: str, depth: int, rows: list[tuple[bytes, bytes]], least: int)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(f), pa.string()), pa.array(phrase, pa.string()) if isinstance(phrase, list) else phrase.cast(pa.string()), pa.array(words, pa.int32()), pa.array(f, pa.int64())], names=["lang", "phrase", "words", "f"])
 
 
-def phrase_counts(docs: DataFrame, least: int = 10, most: int = 3, text_col: str = "text", lang_col: str = "lang", flush: int = 12_000_000, bucket_bytes: int = 8_000_000) -> DataFrame:
+def phrase_counts(docs: DataFrame, least: int = 10, most: int = 3, text_col: str = "text", lang_col: str = "lang", flush: int = 5_000_000, bucket_bytes: int = 4_000_000) -> DataFrame:
     """lang, phrase, words, f: phrases of 1 to ``most`` (2 or more) words that occur ``least`` times; ``words`` 0 has the number of all words in parts.
 
     Tasks merge pointers over ``flush`` bytes of text at a time. A bucket stands for about ``bucket_bytes`` of text, so that its
@@ -226,6 +226,7 @@ def phrase_counts(docs: DataFrame, least: int = 10, most: int = 3, text_col: str
                 if size >= flush:
                     yield from routed(names, texts, most, buckets)
                     names, texts, size = [], [], 0
+                    pa.default_memory_pool().release_unused()
         if texts:
             yield from routed(names, texts, most, buckets)
 
@@ -236,6 +237,7 @@ def phrase_counts(docs: DataFrame, least: int = 10, most: int = 3, text_col: str
                 if row[:3] != key:
                     if rows:
                         yield from counted(*key[:2], rows, least)
+                        pa.default_memory_pool().release_unused()
                     key, rows = row[:3], []
                 rows.append(row[3:])
         if rows:
