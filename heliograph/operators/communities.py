@@ -16,10 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import connected_components
-from .state import cut
+from .state import written
 
 
-def local_moves(nodes: DataFrame, edges: DataFrame, total: float, resolution: float, rounds: int, inside: bool = False, least: float = 1e-6) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    return written(df, "communities")
+
+
+def local_moves(nodes: DataFrame, edges: DataFrame, total: float, resolution: float, rounds: int, inside: bool = False, least: float = 1e-4) -> DataFrame:
     """nodes (node, k, own, within, comm) with the communities that moves by gain of modularity lead to; edges (src, dst, w) in both directions.
 
     ``own`` is the weight of a node's edges to itself. With ``inside`` only communities in the same ``within`` are considered. A
@@ -45,7 +49,7 @@ def local_moves(nodes: DataFrame, edges: DataFrame, total: float, resolution: fl
             F.max(F.when(here, F.col("w"))).alias("w_in"),
         )
         better = F.col("go.gain") > F.col("stay") + 1e-12
-        scored = cut(scored.select("node", "k", "own", "within", "comm", F.when(better, F.col("go.to")).otherwise(F.col("comm")).alias("next"), better.alias("moves"), "w_in"))
+        scored = kept(scored.select("node", "k", "own", "within", "comm", F.when(better, F.col("go.to")).otherwise(F.col("comm")).alias("next"), better.alias("moves"), "w_in"))
         parts = scored.groupBy("comm").agg(F.sum(F.col("w_in") + F.col("own")).alias("w_in"), F.sum("k").alias("all_k"), F.sum(F.col("moves").cast("long")).alias("moves"))
         state = parts.agg(F.sum(F.col("w_in") / total - resolution * (F.col("all_k") / total) ** 2).alias("q"), F.sum("moves").alias("moves")).first()
         q = state["q"] or 0.0
@@ -55,21 +59,21 @@ def local_moves(nodes: DataFrame, edges: DataFrame, total: float, resolution: fl
             flat = 0
         if best_q is None or q > best_q:
             best, best_q = scored.select("node", "k", "own", "within", "comm"), q
-        if flat >= 3 or (not state["moves"] and r % 2):
+        if flat >= 2 or (not state["moves"] and r % 2):
             break
         nodes = scored.select("node", "k", "own", "within", F.col("next").alias("comm"))
     return best
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 10) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 8) -> DataFrame:
     """edges (src, dst, weight), undirected -> node and community (its smallest node)."""
     clean = edges.where("src IS NOT NULL AND dst IS NOT NULL AND weight > 0").select("src", "dst", F.col("weight").cast("double").alias("w"))
-    both = cut(clean.unionByName(clean.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
+    both = kept(clean.unionByName(clean.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
     total = both.agg(F.sum("w")).first()[0]
     if not total:
         return both.select(F.col("src").alias("node"), F.col("src").alias("community")).limit(0)
     own = F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0))
-    nodes = cut(both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"), own.alias("own")))
+    nodes = kept(both.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"), own.alias("own")))
     apart = both.where("src <> dst")
     names = nodes.select("node", F.col("node").alias("now"))
     nodes = nodes.withColumn("within", F.lit(None).cast(nodes.schema["node"].dataType)).withColumn("comm", F.col("node"))
@@ -77,15 +81,15 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, lev
     for _ in range(levels):
         moved = local_moves(nodes, apart, total, resolution, rounds)
         alone = moved.select("node", "k", "own", F.col("comm").alias("within"), F.col("node").alias("comm"))
-        fine = cut(local_moves(alone, apart, total, resolution, max(2, rounds // 4), inside=True))
+        fine = kept(local_moves(alone, apart, total, resolution, 2, inside=True))
         to = fine.select(F.col("node"), F.col("comm").alias("fine"), "within")
-        names = cut(names.join(to.select(F.col("node").alias("now"), F.col("fine"), "within"), "now").select("node", F.col("fine").alias("now"), "within"))
+        names = kept(names.select("node", "now").join(to.select(F.col("node").alias("now"), F.col("fine"), "within"), "now").select("node", F.col("fine").alias("now"), "within"))
         ends = apart.join(to.select(F.col("node").alias("src"), F.col("fine").alias("a")), "src").join(to.select(F.col("node").alias("dst"), F.col("fine").alias("b")), "dst")
-        joined = cut(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+        joined = kept(ends.groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
         inner = joined.where("src = dst").select(F.col("src").alias("node"), F.col("w").alias("inner"))
         nodes = fine.groupBy(F.col("comm").alias("node")).agg(F.sum("k").alias("k"), F.sum("own").alias("own"), F.first("within").alias("comm"))
         nodes = nodes.join(inner, "node", "left").select("node", "k", (F.col("own") + F.coalesce("inner", F.lit(0.0))).alias("own"), F.lit(None).cast(nodes.schema["node"].dataType).alias("within"), "comm")
-        nodes, apart = cut(nodes), joined.where("src <> dst")
+        nodes, apart = kept(nodes), joined.where("src <> dst")
         left = nodes.count()
         if left == n:
             break
