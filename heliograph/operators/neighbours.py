@@ -65,15 +65,23 @@ def linked(v: np.ndarray, links: int) -> list[np.ndarray]:
     return [np.array(sorted({*a, *spread(b)} - {i}), np.int32) for i, (a, b) in enumerate(zip(chosen, back, strict=True))]
 
 
-def walk(v: np.ndarray, links: list, q: np.ndarray, allowed: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and similarities of about the k best allowed rows for each query, -1 where there are fewer."""
+def walk(v: np.ndarray, links: list, q: np.ndarray, allowed: np.ndarray, k: int, beam: int, groups: np.ndarray | None = None, apart: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and similarities of about the k best allowed rows for each query, -1 where there are fewer.
+
+    With ``groups`` of the rows a query finds only rows of other groups than its own, ``apart``, and walks along these only.
+    """
     n = len(v)
     k = min(k, n)
     if n <= 4 * beam or allowed.sum() < n // 8:  # few rows that count: look at all of them
-        at = np.flatnonzero(allowed)
-        s = q @ v[at].T
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        return at[best] if len(at) else np.full((len(q), 0), -1), np.take_along_axis(s, best, 1)
+        at, out, sims = np.flatnonzero(allowed), [], []
+        for begin in range(0, len(q) if len(at) else 0, TOGETHER):
+            s = q[begin : begin + TOGETHER] @ v[at].T
+            if groups is not None:
+                s[groups[at][None, :] == apart[begin : begin + TOGETHER, None]] = -np.inf
+            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            sims.append(np.take_along_axis(s, best, 1))
+            out.append(np.where(np.isfinite(sims[-1]), at[best], -1))
+        return (np.concatenate(out), np.concatenate(sims)) if out else (np.full((len(q), 0), -1), np.zeros((len(q), 0)))
     width = max(map(len, links))
     table = np.full((n + 1, width), n, np.int32)
     for i, ids in enumerate(links):
@@ -84,11 +92,13 @@ def walk(v: np.ndarray, links: list, q: np.ndarray, allowed: np.ndarray, k: int,
         some = q[begin : begin + TOGETHER]
         rows = np.arange(len(some))[:, None]
         seen = np.zeros((len(some), n + 1), bool)
-        s = some @ v[first].T
+        if groups is not None:
+            seen[:, :n] = groups[None, :] == apart[begin : begin + TOGETHER, None]
+        s = np.where(seen[:, first], -np.inf, some @ v[first].T)
         top = np.argsort(-s, axis=1, kind="stable")[:, :ENTRIES]
         ids, s = first[top], np.take_along_axis(s, top, 1)
         seen[:, n], seen[rows, ids] = True, True
-        done = np.zeros(ids.shape, bool)
+        done = ~np.isfinite(s)
         found, found_s = ids, np.where(allowed[ids], s, -np.inf)
         while True:
             order = np.argsort(-np.where(done, -np.inf, s), axis=1, kind="stable")[:, :WIDTH]
@@ -179,20 +189,20 @@ class NeighbourGraph:
         head = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
         return cls(spark.read.parquet(f"{path}/rows"), [list(r["centroid"]) for r in head if r["centroid"]], head[0]["row_id"], head[0]["vector"])
 
-    def search(self, queries: DataFrame, k: int, where: Column | None = None, query_id: str = "query_id", vector: str | None = None, probes: int = 8, beam: int = 96, block: int = 20_000) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, where: Column | None = None, query_id: str = "query_id", vector: str | None = None, probes: int = 8, beam: int = 96, block: int = 20_000, apart: str | None = None) -> DataFrame:
         """query_id, row id, similarity and rank of about the k nearest rows that ``where``, a condition on stored columns, allows.
 
-        A part is met by blocks of about ``block`` queries, each in one task.
+        With ``apart``, a column of the rows and of the queries, only rows with another value of it are found. A part is met by blocks of about ``block`` queries, each in one task.
         """
         row_id, own = self.row_id, self.vector
-        asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector or own).alias("_q")).where("_q IS NOT NULL")
+        asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector or own).alias("_q"), (F.col(apart) if apart else F.lit(0)).alias("_own")).where("_q IS NOT NULL")
         cells = self.nearest(self.cells, F.col("_q"), probes) if self.cells else F.array(F.lit(0))
-        asked = asked.select("query_id", "_q", F.explode(cells).alias("_cell"))
+        asked = asked.select("query_id", "_q", "_own", F.explode(cells).alias("_cell"))
         counts = self.rows.groupBy("_cell", "_part").agg(F.count("*").alias("n")).select("_cell", "_part")
         blocks = asked.groupBy("_cell").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
         places = counts.join(blocks, "_cell")
-        met = asked.join(places, "_cell").select("query_id", "_q", "_cell", "_part", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int").alias("_block"))
-        held = self.rows.select(row_id, own, "_cell", "_part", "_at", "_links", (F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)).alias("_allowed"))
+        met = asked.join(places, "_cell").select("query_id", "_q", "_own", "_cell", "_part", F.pmod(F.xxhash64("query_id"), F.col("_blocks")).cast("int").alias("_block"))
+        held = self.rows.select(row_id, own, "_cell", "_part", "_at", "_links", (F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)).alias("_allowed"), (F.col(apart) if apart else F.lit(0)).alias("_group"))
         held = held.join(places, ["_cell", "_part"]).select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).drop("_blocks")
         kinds = StructType([StructField("query_id", asked.schema["query_id"].dataType), StructField(row_id, self.rows.schema[row_id].dataType), *StructType.fromDDL("similarity double").fields])
 
@@ -200,15 +210,20 @@ class NeighbourGraph:
             if not len(rows) or not len(some):
                 return pa.table({"query_id": some["query_id"][:0], row_id: rows[row_id][:0], "similarity": pa.array([], pa.float64())})
             rows = rows.sort_by("_at")
-            at, s = walk(unit(rows[own]), rows["_links"].combine_chunks().to_numpy(zero_copy_only=False), unit(some["_q"]), np.array(rows["_allowed"], bool), k, max(beam, 2 * k))
+            at, s = walk(unit(rows[own]), rows["_links"].combine_chunks().to_numpy(zero_copy_only=False), unit(some["_q"]), np.array(rows["_allowed"], bool), k, max(beam, 2 * k), *((np.array(rows["_group"]), np.array(some["_own"])) if apart else ()))
             there = at >= 0
             which = np.repeat(np.arange(len(some)), there.sum(1))
             return pa.table({"query_id": some["query_id"].combine_chunks().take(pa.array(which)), row_id: rows[row_id].combine_chunks().take(pa.array(at[there])), "similarity": pa.array(s[there].astype(float))})
 
+        met = met.select("query_id", "_q", "_own", *(F.col(c).alias(c) for c in ("_cell", "_part", "_block")))  # other columns than those of the rows
         found = held.groupBy("_cell", "_part", "_block").cogroup(met.groupBy("_cell", "_part", "_block")).applyInArrow(near, kinds)
         w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
+    def labelled(self, labels: DataFrame, name: str) -> NeighbourGraph:
+        """The index with one more stored column, from a table of row id and value; rows without a value have none."""
+        return NeighbourGraph(self.rows.join(labels, self.row_id, "left").select(*self.rows.columns, name), self.cells, self.row_id, self.vector)
+
     def near_pairs(self, k: int, **options) -> DataFrame:
         """src, dst and distance (1 - cosine): each row with about its k nearest others."""
         rows = self.rows.select(F.col(self.row_id).alias("query_id"), self.vector)
