@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..operators import graphs, relational, setjoin, vectors
+from ..operators import agglomerative, communities, density, graphs, relational, setjoin
 from ..operators.folds import ordered_fold
-from ..operators.state import cut
+from ..operators.state import written
+from .joins import neighbour_index
 from .registry import query, table
 
 LISTS = "SELECT user_id, event_type AS item, row_number() OVER (PARTITION BY user_id ORDER BY {o}, event_type) AS r FROM (SELECT user_id, event_type, sum(value) AS s, count(*) AS n FROM events GROUP BY ALL)"
@@ -155,8 +156,37 @@ def cluster_statistics(spark, d):
 
 @query("cl05_density_clusters")
 def density_clusters(spark, d):
-    """DBSCAN over all rows with the reference's eps and min_samples."""
-    return vectors.density_clusters(table(spark, d, "embeddings"), 0.5, 5)
+    """DBSCAN with the reference's eps .5 and min_samples 5, largest clusters first: size, density and coherence."""
+    return figures(spark, d, 0.5, 5)
+
+
+@query("cl05_loose_density_clusters")
+def loose_density_clusters(spark, d):
+    """DBSCAN with an eps at which the given vectors, which are nearly unrelated, have dense rows."""
+    return figures(spark, d, 0.62, 3)
+
+
+def figures(spark, d, eps, least):
+    e = table(spark, d, "embeddings")
+    found = density.cluster_figures(e, density.dense_clusters(neighbour_index(spark, d), eps, least))
+    return found.select("component", "size", F.size("centroid").alias("dims"), F.round("density", 5).alias("density"), F.round("coherence", 5).alias("coherence"))
+
+
+@query("cl07_communities")
+def graph_communities(spark, d):
+    """Communities among vectors linked with their ten nearest ones, weighted by similarity: size, internal and external links, share of the modularity."""
+    near = neighbour_index(spark, d).near_pairs(10)
+    ends = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (1 - F.col("distance")).alias("weight"))
+    edges = written(ends.groupBy("src", "dst").agg(F.max("weight").alias("weight")), "links")
+    found = written(communities.communities(edges), "communities")
+    return communities.modularity(edges, found).select("community", "size", "internal_edges", "external_edges", F.round("modularity", 6).alias("modularity"))
+
+
+@query("cl08_ward")
+def ward(spark, d):
+    """Eight Ward clusters, merged along the links of each vector's ten nearest ones."""
+    links = neighbour_index(spark, d).near_pairs(10).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    return agglomerative.ward_clusters(table(spark, d, "embeddings"), links, 8)
 
 
 @query("cl08_bisecting")
@@ -176,14 +206,7 @@ def community_edges(spark, d):
     return table(spark, d, "lineitem").join(o, "l_orderkey").join(s, "l_suppkey").groupBy((F.col("a") == F.col("b")).alias("internal")).agg(F.count("*").alias("edges"))
 
 
-
-
 @query("cl04_density_tree")
 def density_tree(spark, d):
-    """Components of mutual reachability over each row's 10 nearest, in place of a full density tree: an edge counts if it is within 1.2 times both core distances."""
-    e = table(spark, d, "embeddings")
-    near = vectors.knn(e, e.withColumnRenamed("vec_id", "query_id"), 10, block=2048, part_rows=5000).where("query_id <> vec_id")
-    near = cut(near.select("query_id", "vec_id", (1 - F.col("similarity")).alias("distance")))
-    core = near.groupBy("query_id").agg(F.max("distance").alias("core"))
-    edges = near.join(core, "query_id").join(core.toDF("vec_id", "other"), "vec_id").where("distance <= 1.2 * least(core, other)")
-    return graphs.connected_components(edges.select(F.col("query_id").alias("src"), F.col("vec_id").alias("dst")))
+    """HDBSCAN as the reference sets it: cosine distance, clusters of two rows or more, noise left out."""
+    return density.tree_clusters(neighbour_index(spark, d), 2, 1)

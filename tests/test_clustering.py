@@ -234,3 +234,29 @@ def test_communities_of_planted_groups_and_figures(spark):
     assert sum(r["modularity"] for r in figures) == pytest.approx(quality(edges, comm))
     assert sum(r["internal_edges"] for r in figures) + sum(r["external_edges"] for r in figures) / 2 == len(edges)
     assert communities.communities(df.where("false")).count() == 0
+
+
+def brute_ward(x):
+    clusters, out = {i: (1, v) for i, v in enumerate(x)}, []
+    while len(clusters) > 1:
+        d, a, b = min((np.sqrt(2 * n * m / (n + m) * ((c - e) ** 2).sum()), a, b) for (a, (n, c)), (b, (m, e)) in itertools.combinations(sorted(clusters.items()), 2))
+        (n, c), (m, e) = clusters[a], clusters.pop(b)
+        clusters[a] = (n + m, (n * c + m * e) / (n + m))
+        out.append((a, b, n + m, d))
+    return out
+
+
+def test_ward_against_brute_force(spark):
+    from heliograph.operators import agglomerative
+
+    x = blobs(60, 4, 5, 0.4, 9)
+    links = spark.createDataFrame(list(itertools.combinations(range(len(x)), 2)), "u long, v long")
+    got = agglomerative.ward_merges(frame(spark, x), links).collect()
+    want = brute_ward(x)
+    assert sorted((r["a"], r["b"], r["size"]) for r in got) == sorted(w[:3] for w in want)
+    assert np.allclose(sorted(r["height"] for r in got), sorted(w[3] for w in want))
+    comp = {i: i for i in range(len(x))}
+    for a, b, *_ in sorted(want, key=lambda w: w[3])[: len(x) - 4]:
+        comp = {i: a if c == b else c for i, c in comp.items()}
+    cut = agglomerative.ward_clusters(frame(spark, x), links, 4).collect()
+    assert {r["node"]: r["cluster"] for r in cut} == comp
