@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import streams, workflows
+from ..operators import stateful, streams, workflows
 from ..operators.state import shared_dir
 from .registry import SIGNALS, query, signals, table
 
@@ -150,3 +150,44 @@ def workflow(spark, d):
     ])
     ran = known.run("triage", signals(spark, d).where("status = 'NEW'").drop("status"))
     return ran.select("id", "score", "status", "error", F.concat_ws(",", F.transform("steps", lambda s: F.concat_ws(":", s["step"], s["status"]))).alias("steps"))
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    return streams.read_stream(spark, f"{d}/events.parq[u]et", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def work_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+@query("st07_ring_buffer", """SELECT event_type, CAST(max(seen) AS BIGINT) AS seen, count(*) AS held, round(avg(value), 6) AS mean, list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS BIGINT)] AS percentile
+FROM (SELECT *, count(*) OVER (PARTITION BY event_type) AS seen, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS back FROM events WHERE value IS NOT NULL) WHERE back <= 1000 GROUP BY event_type""")
+def ring_buffer(spark, d):
+    """The last 1 000 values of each event type; the operator's own size is 10 000, which small tables don't fill."""
+    rings = stateful.ring_buffer(event_stream(spark, d), "event_type", F.col("ts"), F.col("event_id"), F.col("value"), 1000)
+    out = stateful.latest(stateful.run_batches(rings, work_folder(spark), "update", state=True), "event_type")
+    return out.select("event_type", "seen", "held", F.round("mean", 6).alias("mean"), "percentile")
+
+
+@query("st16_audit_chain", """WITH RECURSIVE e AS (SELECT user_id, event_id, '{"entry_id": ' || event_id || ', "event_type": "' || event_type || '", "tenant_id": ' || user_id || '}' AS text, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+f AS (SELECT user_id, event_id, seq, sha256('GENESIS' || text) AS hash FROM e WHERE seq = 1 UNION ALL SELECT e.user_id, e.event_id, e.seq, sha256(f.hash || e.text) FROM f JOIN e ON e.user_id = f.user_id AND e.seq = f.seq + 1)
+SELECT user_id, seq, event_id, hash, TRUE AS verified FROM f""")
+def audit_chain(spark, d):
+    """Each tenant's events in a hash chain whose tip is stream state, and whether each entry verifies."""
+    text = F.concat(F.lit('{"entry_id": '), "event_id", F.lit(', "event_type": "'), "event_type", F.lit('", "tenant_id": '), "user_id", F.lit("}"))
+    chain = stateful.run_batches(stateful.chained(event_stream(spark, d), "user_id", "ts", "event_id", text), work_folder(spark))
+    bad = stateful.broken_links(chain, "user_id")
+    return chain.join(bad, ["user_id", "seq"], "left").select("user_id", "seq", F.col("id").alias("event_id"), "hash", F.col("wrong").isNull().alias("verified"))
+
+
+@query("st15_feedback_temperature")
+def feedback_temperature(spark, d):
+    """Events with the event of the next number as their outcome, if it comes within a day, and the temperature each user and class learns from them."""
+    e = event_stream(spark, d)
+    views = e.select(F.col("event_id").alias("id"), "user_id", F.col("event_type").alias("class"), F.least(F.col("value") / 50, F.lit(1.0)).alias("p"), F.col("ts").alias("at"))
+    told = event_stream(spark, d).select((F.col("event_id") - 1).alias("of"), F.col("event_id").alias("outcome_id"), F.col("event_type").isin("click", "purchase").alias("right"), F.col("ts").alias("told"))
+    joined = stateful.feedback(views, told, "1 day", "1 day")
+    out = stateful.latest(stateful.run_batches(stateful.user_temperatures(joined), work_folder(spark)), "user_id", "class")
+    score = stateful.calibrated(F.lit(0.8), F.col("temperature"), F.col("steps"))
+    return out.select("user_id", "class", F.round("temperature", 8).alias("temperature"), "steps", F.round(score, 8).alias("calibrated"))
