@@ -45,8 +45,7 @@ OPERATOR = re.compile(r"(?::=|=>|<-|(?<![=!<>])=(?![=~])|:(?![:/=]))[ \t]*")
 STRING = re.compile(r"""(?:[rbufRBUF]{1,2}(?=["']))?(?:\"{3}((?:[^"\\]|\\[\s\S]|"(?!""))*)\"{3}|'{3}((?:[^'\\]|\\[\s\S]|'(?!''))*)'{3}|"((?:[^"\\]|\\[\s\S])*)"|'((?:[^'\\]|\\[\s\S])*)'|`((?:[^`\\]|\\[\s\S])*)`)""")
 WORD = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)*")
 BARE = re.compile(r"[^\s\"'`,;()\[\]{}<>#&]+")
-#: White space, line ends and comments, where an expression goes on.
-GAP = re.compile(r"(?:\s|#[^\n]*|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*")
+SPACES = re.compile(r"\s*")
 #: Operators that join; what joins without one; the same inside brackets, after a gap.
 PLUS = re.compile(r"""[ \t]*(?:\\?\r?\n[ \t]+)?(?:\+(?![+=])|\|\||\.(?=\s*["']))""")
 NEXT = re.compile(r"""[ \t]+(?=["'])|[ \t]*\\\r?\n[ \t]*(?=["'`])|\\\r?\n(?=\S)""")
@@ -67,6 +66,15 @@ CALL = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*(?:(?:\.|->|::)[A-Za-z_$][\w$]*)
 KEYED = re.compile(r"""[(\[,{]\s*(["'`])([A-Za-z_$][\w$. -]*)\1\s*,\s*(?=["'`])""")
 ITEMS = re.compile(r"(?:\r?\n[ \t]*- +[^\n]*)+")
 ITEM = re.compile(r"""- +(?:(["'`])(.*?)\1|([^\s"'`#]+))[ \t\r]*(?:#[^\n]*)?$""", re.M)
+#: A macro, an option of a command and a named attribute with its value beside it.
+DEFINE = re.compile(r"^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)[ \t]+(?=\S)", re.M)
+OPTION = re.compile(r"(?<!\S)--([A-Za-z][\w-]*)[ \t]+(?=[^\s-])")
+ATTRIBUTE = re.compile(r"""\b(?:key|name)[ \t]*=[ \t]*["']([^"'\n]*)["'][ \t]+value[ \t]*=[ \t]*(?=["'])""")
+#: Values that their surroundings name: the password of a URL, the token of a header.
+NAMED = re.compile(r"""(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*://[^\s/:@'"]*:(?P<password>[^\s/@'"]+)@|(?<![A-Za-z])[Bb]earer[ \t]+(?P<bearer>[A-Za-z0-9._~+/=-]+)""")
+#: A type between a name and its value, with the words that begin declarations of the form name, type.
+TYPE = re.compile(r"[ \t]*[A-Za-z_*&\[][\w.$<>\[\], |?&*]*")
+DECLARED = re.compile(r"(?:^|[^\w$])(?:const|var|let|val|static|final)[ \t]+\Z")
 #: The head of a function, whose constants end with it.
 FUNCTION = re.compile(r"^([ \t]*)(?:(?:export|default|async|public|private|protected|static|final|pub|local|override|suspend)[ \t]+)*(?:def|function|func|fn|fun|sub|void|proc)\b[^\n]*", re.M)
 
@@ -79,7 +87,9 @@ SENSITIVE = {
 #: Words that make a following "key" sensitive.
 KEY_BEFORE = {"api", "access", "private", "secret", "signing", "encryption", "master", "service", "account", "shared", "storage"}
 #: What stands in for a secret.
-PLACEHOLDERS = re.compile(r"(?i)change.?me|example|placeholder|your|dummy|sample|todo|xxx|\*\*\*|^(?:none|null|true|false|undefined|password|secret|token|test)\d*$|^<.*>$|^\$\{?[\w.:-]+\}?$|^\{\{.*\}\}$|^%\w+%$")
+PLACEHOLDERS = re.compile(r"(?i)change.?me|example|placeholder|your|dummy|sample|todo|xxx|\*\*\*")
+#: Words that alone, or with digits behind them, stand in for a secret.
+STANDS_ALONE = re.compile(r"(?i)none|null|true|false|undefined|password|secret|token|test")
 CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -96,38 +106,52 @@ def sensitivity(name: str) -> float:
 
 
 Span = tuple[int, int, bool]
-#: A value longer than TEXT_KEPT isn't kept as text; its ends of EDGE characters are, in which placeholders over a seam are found.
-TEXT_KEPT, EDGE = 512, 64
+#: Characters kept of either end of a value: no placeholder and no head of one is longer.
+EDGE = 16
 
 
 class Looks:
-    """What tells whether a value looks like key material; of two values joined, it follows from theirs."""
+    """What tells whether a value of any length looks like key material; of two values joined, it follows from theirs."""
 
-    __slots__ = ("length", "counts", "bare", "odd", "head", "tail", "text")
+    __slots__ = ("length", "counts", "bare", "odd", "head", "tail")
 
     def __init__(self, text: str, bare: bool):
         self.length, self.counts, self.bare = len(text), Counter(text), bare
-        self.odd = bool(PLACEHOLDERS.search(text)) if len(text) > TEXT_KEPT else False
-        self.head, self.tail, self.text = text[:EDGE], text[-EDGE:], text if len(text) <= TEXT_KEPT else None
+        self.odd = bool(PLACEHOLDERS.search(text))
+        self.head, self.tail = text[:EDGE], text[-EDGE:]
 
     def joined(self, other: Looks) -> Looks:
         both = Looks.__new__(Looks)
         both.bare, both.length = self.bare and other.bare, self.length + other.length
         # so long a value, from constants that double, keeps the frequencies that it has
         both.counts = self.counts + other.counts if both.length < 1 << 50 else self.counts
-        both.odd = self.odd or other.odd
-        both.head, both.tail = (self.head + other.head)[:EDGE], (self.tail + other.tail)[-EDGE:]
-        both.text = self.text + other.text if self.text is not None and other.text is not None and both.length <= TEXT_KEPT else None
-        if both.text is None:
-            both.odd = both.odd or bool(PLACEHOLDERS.search(f" {self.tail}{other.head} "))
+        both.odd = self.odd or other.odd or bool(PLACEHOLDERS.search(self.tail + other.head))
+        both.head = self.head if self.length >= EDGE else (self.head + other.head)[:EDGE]
+        both.tail = other.tail if other.length >= EDGE else (self.tail + other.tail)[-EDGE:]
         return both
 
+    def stands_in(self) -> bool:
+        """Whether the whole value is a placeholder: a known word with digits, <...>, $name, ${name}, {{...}} or %name%."""
+        n, head, tail, counts = self.length, self.head, self.tail, self.counts
+        of = lambda known: sum(k for c, k in counts.items() if known(c))
+        name = lambda c: c.isalnum() or c == "_"
+        if (m := STANDS_ALONE.match(head)) and of(str.isdecimal) == n - m.end():
+            return True
+        if head[:1] == "<" and tail[-1:] == ">" or (n >= 4 and head[:2] == "{{" and tail[-2:] == "}}"):
+            return True
+        if head[:1] == "%" == tail[-1:] and n > 2 and of(name) == n - 2:
+            return True
+        if head[:1] == "$":
+            around = 1 + (head[1:2] == "{") + (tail[-1:] == "}")
+            return n > around and of(lambda c: name(c) or c in ".:-") == n - around
+        return False
+
     def strength(self) -> float:
         """Length, kinds of characters and entropy; 0 for placeholders and prose."""
         n = self.length
         if n < 8 or any(c.isspace() for c in self.counts):
             return 0.0
-        if PLACEHOLDERS.search(self.text) if self.text is not None else self.odd or PLACEHOLDERS.search(f"{self.head}{self.tail}"):
+        if self.odd or self.stands_in():
             return 0.0
         kinds = {0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in self.counts}
         if len(kinds) < 2 and (self.bare or n < 16):
@@ -220,6 +244,28 @@ class Lexer:
 
     def __init__(self, text: str):
         self.text, self.constants = text, {}
+        self.marks: dict[str, tuple[int, int]] = {}
+
+    def next_mark(self, mark: str, at: int) -> int:
+        """Where ``mark`` comes next, -1 if not at all; a search that has been made isn't made again."""
+        begin, found = self.marks.get(mark, (at + 1, 0))
+        if not (begin <= at and (found < 0 or at <= found)):
+            begin, found = at, self.text.find(mark, at)
+            self.marks[mark] = begin, found
+        return found
+
+    def gap(self, at: int) -> int:
+        """The end of white space, line ends and closed comments, where an expression goes on."""
+        text = self.text
+        while True:
+            at = SPACES.match(text, at).end()
+            if text.startswith(("#", "//"), at):
+                end = self.next_mark("\n", at)
+                at = len(text) if end < 0 else end
+            elif text.startswith("/*", at) and (end := self.next_mark("*/", at + 2)) >= 0:
+                at = end + 2
+            else:
+                return at
 
     def lines(self, start: int, end: int) -> list[Span]:
         """The lines of a literal without blanks and backslashes around them; several lines are no quoted values."""
@@ -274,7 +320,7 @@ class Lexer:
         at = below.end() if below else at
         while True:
             while text.startswith(("(", "["), at):
-                depth, at = depth + 1, GAP.match(text, at + 1).end()
+                depth, at = depth + 1, self.gap(at + 1)
             if (below or depth) and NESTED.match(text, at):
                 break
             quoted = False
@@ -303,14 +349,14 @@ class Lexer:
             at = m.end() if m else at
             goes_on = plus = False
             while depth and not goes_on:
-                to = GAP.match(text, at).end()
+                to = self.gap(at)
                 if text.startswith((")", "]"), to):
                     depth, at = depth - 1, to + 1
                 elif text.startswith(",", to):
-                    at, goes_on = GAP.match(text, to + 1).end(), True
+                    at, goes_on = self.gap(to + 1), True
                     value.joined.append([])
                 elif m := PLUS_INSIDE.match(text, to):
-                    at, goes_on, plus = GAP.match(text, m.end()).end(), True, True
+                    at, goes_on, plus = self.gap(m.end()), True, True
                 elif text.startswith(('"', "'", "`"), to):
                     at, goes_on = to, True
                 else:
@@ -318,7 +364,7 @@ class Lexer:
             if goes_on:
                 continue
             if m := PLUS.match(text, at):
-                at, plus = GAP.match(text, m.end()).end(), True
+                at, plus = self.gap(m.end()), True
             elif m := NEXT.match(text, at):
                 at = m.end()
             elif not (quoted and text.startswith(('"', "'"), at)):
@@ -370,10 +416,21 @@ class Lexer:
         if "(" in text or "," in text:
             found.append((m.end(), 2, "call", m) for m in CALL.finditer(text) if sensitivity(m[1]))
             found.append((m.end(), 3, "keyed", m) for m in KEYED.finditer(text) if sensitivity(m[2]))
+        for sign, pattern in (("define", DEFINE), ("--", OPTION), ("value", ATTRIBUTE)):
+            if sign in text:
+                found.append((m.end(), 4, "keyed", m) for m in pattern.finditer(text) if sensitivity(m[1]))
+        if "://" in text or "earer" in text:
+            found.append((m.start(m.lastgroup), 5, "named", m) for m in NAMED.finditer(text))
         return merge(*found, key=lambda p: p[:2])
 
+    def declared(self, name: re.Match, bound: int) -> str | None:
+        """The name before ``name``, where that is the type in a declaration."""
+        before = self.name_before(name.start(), bound) if name.start() > bound and self.text[name.start() - 1] in " \t*[]" else None
+        return before["plain"] if before and before["plain"] and DECLARED.search(self.text, max(bound, before.start() - 10), before.start()) else None
+
     def pairs(self) -> Iterator[tuple[str, Value]]:
         text, bound = self.text, 0
+        typed: tuple[int, str] = 0, ""  # where a type may begin behind a name and its colon
         scopes, inside = self.scopes()[::-1], []
         self.constants = ChainMap()
         for at, _, kind, m in self.places():
@@ -386,10 +443,18 @@ class Lexer:
                     self.constants = self.constants.new_child()
                 scopes.pop()
             if kind == "operator":
-                name, bound = self.name_before(at, max(bound, text.rfind("\n", 0, at) + 1)), m.end()
-                if not name:
+                low = max(bound, text.rfind("\n", 0, at) + 1)
+                name, bound, equal = self.name_before(at, low), m.end(), m[0].strip() == "="
+                with_type = equal and typed[0] and low == typed[0] and TYPE.fullmatch(text, typed[0], at)
+                if not name and not with_type:
                     continue
-                target = name["quoted"] or name["plain"]
+                nearest = name and (name["quoted"] or name["plain"])
+                if with_type and not (nearest and sensitivity(nearest)):
+                    target = typed[1]
+                else:
+                    target = (equal and self.declared(name, low)) or nearest
+                typed = (m.end(), name["plain"]) if m[0].strip() == ":" and name and name["plain"] else (0, "")
+                name = name or m
                 value = self.items(m.end()) or self.value(m.end(), name.start())
                 if value.some():
                     self.constants[target] = value
@@ -397,6 +462,10 @@ class Lexer:
                 target, value = m[1], Value()
                 value.add([(a, b, True) for a, b, _ in self.lines(*m.span(2))], [])
                 value.done(text)
+            elif kind == "named":
+                target, value = m.lastgroup, Value()
+                value.add([(*m.span(m.lastgroup), True)])
+                value.done(text)
             else:
                 target, value = m[m.lastindex], self.value(at, m.start())
             if value.some():
@@ -415,7 +484,7 @@ def scan_text(text: str, least: float = 0.5) -> list[dict]:
     base = base_spans(text)
     found = [{"kind": k, "start": a, "end": b, "base": True, "name": None, "score": 1.0} for k, a, b in base]
     scores = Scores(text, least)
-    if any(sign in text for sign in ("=", ":", "<", "(", ",")):
+    if any(sign in text for sign in ("=", ":", "<", "(", ",", "--", "define", "earer")):
         for name, value in Lexer(text).pairs():
             if weight := sensitivity(name):
                 scores.reached(value, weight, name)

@@ -109,6 +109,46 @@ def test_secret_assignments(text, secret):
     assert secret in [text[s["start"] : s["end"]] for s in secrets.scan_text(text) if s["kind"] == "literal"]
 
 
+@pytest.mark.parametrize("form", ['const apiKey string = "{}"', 'const apiKey: string = "{}"', "token: Optional[str] = '{}'", '#define API_SECRET "{}"', '<add key="password" value="{}"/>', "{{'Authorization': 'Bearer {}'}}", "postgres://bob:{}@h/db", "mysql --password {}", 'size: int = 5; password: str = "{}"'])
+def test_secret_forms_of_other_languages(form):
+    secret = "Zx81Lm02QpR7"
+    text = form.format(secret)
+    assert secret in [text[s["start"] : s["end"]] for s in secrets.scan_text(text)]
+    for word in ("apiKey", "token", "API_SECRET", "password", "Authorization", "Bearer"):
+        text = text.replace(word, "colour")
+    assert "://" in text or not secrets.scan_text(text)
+
+
+def test_placeholders_over_seams_at_any_length():
+    forms = ["secret_key = '{0}-example-{0}' + '{0}{0}'", "secret_key = '{0}-exam' + 'ple-{0}'", "secret_key = 'aB3x' + '{0}'", "secret_key = '<aB3' + '{0}>'", "secret_key = '{0}'"]
+    for form in forms:
+        spans = {len(secrets.scan_text(form.format("aB3" * n))) for n in (30, 50, 70, 200, 3000)}
+        assert len(spans) == 1, form
+
+
+def test_whole_placeholders():
+    for x in ("null12345678", "${NAME_12345}", "$NAME.12345", "<aB3aB3aB3aB3>", "{{aB3aB3aB3aB3}}", "%aB3aB3aB3aB3%"):
+        whole = secrets.Looks(x, False)
+        split = secrets.Looks(x[:5], False).joined(secrets.Looks(x[5:], False))
+        assert whole.strength() == split.strength() == 0
+    assert secrets.Looks("nullaB345678", False).strength() > 0
+
+
+def test_secret_scan_is_linear_in_open_comments():
+    import time
+
+    took = []
+    for n in (25_000, 100_000):
+        began = time.time()
+        secrets.scan_text("x = ( /* " * n)
+        took.append(time.time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_secret_again(text="db_password = 'hunter2Zx!9q'", secret="hunter2Zx!9q"):
+    assert secret in [text[s["start"] : s["end"]] for s in secrets.scan_text(text) if s["kind"] == "literal"]
+
+
 @pytest.mark.parametrize(
     "text, secrets_in",
     [
