@@ -138,7 +138,7 @@ class NeighbourGraph:
         self.rows, self.cells, self.row_id, self.vector = rows, cells, row_id, vector
 
     @classmethod
-    def build(cls, rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding", keep: Sequence[str] = (), links: int = 16, part_rows: int = 20_000, lists: int = 256, sample_rows: int = 50_000, seed: int = 42) -> NeighbourGraph:
+    def build(cls, rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding", keep: Sequence[str] = (), links: int = 16, part_rows: int = 65_536, lists: int = 256, sample_rows: int = 50_000, seed: int = 42) -> NeighbourGraph:
         """Index every row. Cells are fitted on about ``sample_rows`` rows; one task builds the graph of one part, about ``part_rows`` rows. Null vectors have no place."""
         read = rows.select(row_id, vector, *keep).where(F.col(vector).isNotNull())
         n = read.count()
@@ -189,7 +189,7 @@ class NeighbourGraph:
         head = spark.read.parquet(f"{path}/cells").orderBy("cell").collect()
         return cls(spark.read.parquet(f"{path}/rows"), [list(r["centroid"]) for r in head if r["centroid"]], head[0]["row_id"], head[0]["vector"])
 
-    def search(self, queries: DataFrame, k: int, where: Column | None = None, query_id: str = "query_id", vector: str | None = None, probes: int = 8, beam: int = 96, block: int = 20_000, apart: str | None = None) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, where: Column | None = None, query_id: str = "query_id", vector: str | None = None, probes: int = 8, beam: int = 96, block: int = 5_000, apart: str | None = None) -> DataFrame:
         """query_id, row id, similarity and rank of about the k nearest rows that ``where``, a condition on stored columns, allows.
 
         With ``apart``, a column of the rows and of the queries, only rows with another value of it are found. A part is met by blocks of about ``block`` queries, each in one task.
