@@ -52,10 +52,47 @@ SENTENCES = {
     "CC0ref": ["licensed under cc0 1 0", "this work has been dedicated to the public domain under cc0 1 0"],
     "Unlicense": ["this is free and unencumbered software released into the public domain"],
     "AllRights": ["all rights reserved"],
+    "GPL1title": ["gnu general public license version 1 february 1989"],
+    "GPL2title": ["gnu general public license version 2 june 1991"],
+    "GPL3title": ["gnu general public license version 3 29 june 2007"],
+    "LGPL2title": ["gnu library general public license version 2 june 1991"],
+    "LGPL21title": ["gnu lesser general public license version 2 1 february 1999"],
+    "LGPL3title": ["gnu lesser general public license version 3 29 june 2007"],
+    "AGPL3title": ["gnu affero general public license version 3 19 november 2007"],
+    "GFDL12title": ["gnu free documentation license version 1 2 november 2002"],
+    "GFDL13title": ["gnu free documentation license version 1 3 3 november 2008"],
+    "Apache2title": ["apache license version 2 0 january 2004", "apache license version 2 0 january 2004 http www apache org licenses"],
+    "MPL11title": ["mozilla public license version 1 1"],
+    "MPL2title": ["mozilla public license version 2 0"],
+    "CC0title": ["creative commons legal code cc0 1 0 universal", "cc0 1 0 universal"],
+    "Artistic1": ["the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control over the development of the package while giving the users of the package the right to use and distribute the package in a more or less customary fashion plus the right to make reasonable modifications"],
+    "PSF2title": ["python software foundation license version 2"],
 }
 
+#: Sentences with slots, as patterns over normalised words; what matches is known as the identifier's sentence.
+SLOTS = {"BSDendorse": [r"(?:neither|the|no|nor|use) (?:[a-z0-9]+ ){1,60}?endorse or promote products derived from this software(?: [a-z0-9]+){0,12}"]}
+
 #: Ordered rules, each a licence and the sequence of identifiers that states it.
 RULES = [
+    ("GPL-2.0", ["GPL2title", "GPL2free", "GPLhope", "GPLsee", "GPLcopy"]),
+    ("GPL-3.0", ["GPL3title", "GPLfree", "GPLhope", "GPLsee", "GPLcopy"]),
+    ("GPL-2.0", ["GPL2title"]),
+    ("GPL-3.0", ["GPL3title"]),
+    ("GPL-1.0", ["GPL1title"]),
+    ("LGPL-2.0", ["LGPL2title"]),
+    ("LGPL-2.1", ["LGPL21title"]),
+    ("LGPL-3.0", ["LGPL3title"]),
+    ("AGPL-3.0", ["AGPL3title"]),
+    ("GFDL-1.2", ["GFDL12title"]),
+    ("GFDL-1.3", ["GFDL13title"]),
+    ("Apache-2.0", ["Apache2title", "Apache2ref", "Apache2use", "Apache2copy", "Apache2asis", "Apache2see"]),
+    ("Apache-2.0", ["Apache2title"]),
+    ("MPL-1.1", ["MPL11title"]),
+    ("MPL-2.0", ["MPL2title", "MPL2ref"]),
+    ("MPL-2.0", ["MPL2title"]),
+    ("CC0-1.0", ["CC0title"]),
+    ("Artistic-1.0", ["Artistic1"]),
+    ("PSF-2.0", ["PSF2title"]),
     ("MIT", ["MITgrant", "MITnotice", "MITasis", "MITliable"]),
     ("MIT", ["MITgrant", "MITnotice", "MITasis"]),
     ("Apache-2.0", ["Apache2ref", "Apache2use", "Apache2copy", "Apache2asis", "Apache2see"]),
@@ -90,7 +127,7 @@ MARKS = [(LEADER, ""), (r"[.!?](?=[ \t\r\n])", "X"), (r"[;:](?=[ \t\r\n])", "S")
 #: Sentence ends of the SQL, which reads lines one by one.
 SENTENCE_END = r"[.!?;:]+[ \t\r]*\n|[.!?;:]+[ \t\r]+|\n[ \t\r]*\n|\n"
 #: Words that every known sentence has one of; a cheap test before sentences are normalised.
-TELLING = sorted({"licen", "permission", "redistribut", "warrant", "copy", "rights", "public", "provided", "mozilla", "cc0", "free software", "liable", "endorse", "bsd", "agreed", "granted"})
+TELLING = sorted({"licen", "permission", "redistribut", "warrant", "copy", "rights", "public", "provided", "mozilla", "cc0", "free software", "liable", "endorse", "bsd", "agreed", "granted", "universal"})
 
 
 def known() -> dict[str, str]:
@@ -112,8 +149,18 @@ def marked(text: Column) -> Column:
 
 def pattern() -> str:
     """Any known sentence, the longest first, in a marked text; the stop of "v. 2.0" ends nothing."""
-    words = (s.replace(" ", "[ N]").replace("v[ N]2", "v[ NX]2") for s in sorted(known(), key=len, reverse=True))
-    return f"(?<=[NX])(?:{'|'.join(words)})(?=[NX])"
+    words = [s.replace(" ", "[ N]").replace("v[ N]2", "v[ NX]2") for s in sorted(known(), key=len, reverse=True)]
+    slots = [p.replace(" ", "[ N]") for patterns in SLOTS.values() for p in patterns]
+    return f"(?<=[NX])(?:{'|'.join(words + slots)})(?=[NX])"
+
+
+def plain(sentence: Column) -> Column:
+    """A sentence as it is known: without marks, and without what stands in slots."""
+    sentence = F.translate(sentence, "NX", "  ")
+    for name, patterns in SLOTS.items():
+        for p in patterns:
+            sentence = F.regexp_replace(sentence, f"^{p}$", SENTENCES[name][0])
+    return sentence
 
 
 def scan(df: DataFrame) -> DataFrame:
@@ -126,7 +173,7 @@ def scan(df: DataFrame) -> DataFrame:
         F.replace(acc["left"], rule["ids"], F.lit("")).alias("left"),
         F.when(F.contains(acc["left"], rule["ids"]), F.concat(acc["found"], F.array(rule["name"]))).otherwise(acc["found"]).alias("found"),
     )
-    ids = F.transform(F.regexp_extract_all(marked(F.col("text")), F.lit(pattern()), F.lit(0)), lambda s: F.element_at(table, F.translate(s, "NX", "  ")))
+    ids = F.transform(F.regexp_extract_all(marked(F.col("text")), F.lit(pattern()), F.lit(0)), lambda s: F.element_at(table, plain(s)))
     matched = common.texts(df).select("doc_id", F.when(F.col("text").rlike(telling), ids).otherwise(F.array().cast("array<string>")).alias("sentence_ids"))
     done = matched.select("doc_id", "sentence_ids", F.aggregate(rules, start(F.col("sentence_ids")), step).alias("m"))
     return done.select("doc_id", "sentence_ids", F.array_distinct("m.found").alias("licenses"), F.filter(F.split(F.regexp_replace("m.left", "[<>]+", " "), " "), lambda x: x != "").alias("remaining"))
@@ -139,10 +186,13 @@ def oracle_sql() -> str:
     for k, (name, ids) in enumerate(RULES, 1):
         steps.append(f"s{k} AS (SELECT doc_id, sentence_ids, replace(rest, '{sequence(ids)}', '') AS rest, CASE WHEN contains(rest, '{sequence(ids)}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})")
         last = f"s{k}"
-    end = SENTENCE_END
+    end, sentence = SENTENCE_END, "trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g'))"
+    for name, patterns in SLOTS.items():
+        for p in patterns:
+            sentence = f"regexp_replace({sentence}, '^{p}$', '{SENTENCES[name][0]}')"
     return f"""WITH known(sentence, id) AS (VALUES {pairs}),
 parts AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{end}')) AS part, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '{end}'), 1) AS pos FROM documents),
-hits AS (SELECT doc_id, pos, id FROM (SELECT doc_id, pos, trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) AS sentence FROM parts) JOIN known USING (sentence)),
+hits AS (SELECT doc_id, pos, id FROM (SELECT doc_id, pos, {sentence} AS sentence FROM parts) JOIN known USING (sentence)),
 grouped AS (SELECT doc_id, string_agg(id, ',' ORDER BY pos) AS sentence_ids, string_agg('<' || id || '>', '' ORDER BY pos) AS rest FROM hits GROUP BY doc_id),
 s0 AS (SELECT d.doc_id, coalesce(g.sentence_ids, '') AS sentence_ids, coalesce(g.rest, '') AS rest, CAST([] AS VARCHAR[]) AS found FROM documents d LEFT JOIN grouped g USING (doc_id)),
 {", ".join(steps)}

@@ -766,3 +766,41 @@ def test_pipeline(spark, sf, monkeypatch):
     clean = {d: secrets.redacted(t, "[SECRET]", 0.5) for d, t in one.items()}
     assert not any(brute.secret_base(t) for t in clean.values())
     check_packing(corpus_pipeline.run(spark, sf).collect(), clean)
+
+
+FULL_TEXTS = {"GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "Apache-2.0": "Apache-2.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause"}
+
+
+def test_whole_license_files(spark):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    names = [n for n in FULL_TEXTS if os.path.exists(f"{folder}/{n}")]
+    if not names:
+        pytest.skip("no license files on this machine")
+    texts = [open(f"{folder}/{n}", errors="replace").read() for n in names]
+    commented = ["\n".join(f"# {line}" for line in t.split("\n")) for t in texts]
+    rows = list(enumerate([*texts, *commented]))
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, name in enumerate(names * 2):
+        assert got[i]["licenses"] == [FULL_TEXTS[name]], name
+
+
+def test_three_clauses_with_a_name_are_not_two(spark):
+    three = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n"
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n"
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+    )
+    ends = ["3. Neither the name of the Example\n   Organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "3. The name of the author may not be used to endorse or promote products derived from this software.", ""]
+    got = by_id(licenses.scan(spark.createDataFrame([(i, three + e) for i, e in enumerate(ends)], "doc_id long, text string")))
+    assert [got[i]["licenses"] for i in range(3)] == [["BSD-3-Clause"], ["BSD-3-Clause"], ["BSD-2-Clause"]]
+
+
+def test_license_scan_of_megabytes(spark):
+    import time
+
+    texts = ["neither " + "the name " * 200_000, "permission is hereby granted " * 40_000, "# license\n" * 100_000, "redistribut" + "\n\n;" * 300_000]
+    began = time.time()
+    assert licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select(F.sum(F.size("licenses"))).first()[0] == 0
+    assert time.time() - began < 90
