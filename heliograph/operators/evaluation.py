@@ -59,3 +59,80 @@ def fit_temperature(df: DataFrame, p: str, y: str, rate: float, steps: int, star
         t = min(100.0, max(0.1, t - rate * g))
     z.unpersist()
     return t
+
+
+def ngrams(words: Column, n: int) -> Column:
+    """The n-grams of an array of words, joined by blanks."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, n)))
+    return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
+
+
+def overlap(pairs: DataFrame, keys: Sequence[str], guess: str, truth: str, n: int) -> DataFrame:
+    """For each pair of texts (arrays of words) the n-grams of both, matches counted no oftener than in the other one: guessed, true, hit."""
+    each = lambda c, g, t: pairs.select(*keys, F.explode(ngrams(F.col(c), n)).alias("gram"), F.lit(g).alias("g"), F.lit(t).alias("t"))
+    both = each(guess, 1, 0).unionByName(each(truth, 0, 1)).groupBy(*keys, "gram").agg(F.sum("g").alias("g"), F.sum("t").alias("t"))
+    return both.groupBy(*keys).agg(F.sum("g").alias("guessed"), F.sum("t").alias("true"), F.sum(F.least("g", "t")).alias("hit"))
+
+
+def f_measure(hit: Column, guessed: Column, true: Column) -> Column:
+    p, r = hit / F.nullif(guessed, F.lit(0)), hit / F.nullif(true, F.lit(0))
+    return F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0))
+
+
+def common_subsequence(guess: list[str], truth: list[str]) -> int:
+    """Length of the longest common subsequence: a bit for each word of the truth, a fold over the words of the guess."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(truth):
+        places[w] = places.get(w, 0) | 1 << i
+    row, full = (1 << len(truth)) - 1, (1 << len(truth)) - 1
+    for w in guess:
+        at = row & places.get(w, 0)
+        row = ((row + at) | (row - at)) & full
+    return len(truth) - row.bit_count()
+
+
+def rouge(pairs: DataFrame, keys: Sequence[str], guess: str, truth: str) -> DataFrame:
+    """keys, rouge1, rouge2 and rougeL: F-measures of shared words, word pairs and the longest common subsequence."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    kept = pairs.select(*keys, F.coalesce(guess, F.array().cast("array<string>")).alias("_g"), F.coalesce(truth, F.array().cast("array<string>")).alias("_t"))
+    schema = StructType([*kept.select(*keys).schema.fields, *(StructField(c, LongType()) for c in ("_lcs", "_ng", "_nt"))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, t = b["_g"].to_pylist(), b["_t"].to_pylist()
+            found = [[common_subsequence(x, y) for x, y in zip(g, t, strict=True)], list(map(len, g)), list(map(len, t))]
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), *(pa.array(c, pa.int64()) for c in found)], names=[*keys, "_lcs", "_ng", "_nt"])
+
+    out = kept.mapInArrow(run, schema).select(*keys, f_measure(F.col("_lcs"), F.col("_ng"), F.col("_nt")).alias("rougeL"))
+    for n in (1, 2):
+        o = overlap(kept, keys, "_g", "_t", n)
+        out = out.join(o.select(*keys, f_measure(F.col("hit"), F.col("guessed"), F.col("true")).alias(f"rouge{n}")), list(keys), "left").fillna(0.0, [f"rouge{n}"])
+    return out
+
+
+def bleu(pairs: DataFrame, keys: Sequence[str], guess: str, truth: str, most: int = 4) -> DataFrame:
+    """One row: BLEU (0 to 100) of all pairs, brevity penalty and lengths; orders without a match are smoothed exponentially."""
+    lengths = pairs.agg(F.sum(F.size(guess)).alias("guess_length"), F.sum(F.size(truth)).alias("true_length"))
+    out = lengths
+    for n in range(1, most + 1):
+        o = overlap(pairs, keys, guess, truth, n).agg(F.coalesce(F.sum("hit"), F.lit(0)).alias(f"hit{n}"), F.coalesce(F.sum("guessed"), F.lit(0)).alias(f"all{n}"))
+        out = out.join(F.broadcast(o))  # one row each
+    smooth, logs = F.lit(1.0), F.lit(0.0)
+    for n in range(1, most + 1):
+        hit, total = F.col(f"hit{n}"), F.col(f"all{n}")
+        smooth = F.when((hit == 0) & (total > 0), smooth * 2).otherwise(smooth)
+        logs = logs + F.when(total == 0, F.lit(None)).when(hit == 0, F.log(100.0 / (smooth * total))).otherwise(F.log(100.0 * hit / total))
+    short = F.when(F.col("guess_length") >= F.col("true_length"), 1.0).when(F.col("guess_length") == 0, 0.0).otherwise(F.exp(1 - F.col("true_length") / F.nullif(F.col("guess_length"), F.lit(0))))
+    return out.select(F.coalesce(short * F.exp(logs / most), F.lit(0.0)).alias("bleu"), short.alias("brevity"), "guess_length", "true_length")
+
+
+def regressions(before: DataFrame, now: DataFrame, threshold: float = 0.05, rising: Sequence[str] = ("perplexity", "latency")) -> DataFrame:
+    """metric, before, now and regressed, of tables (metric, value): a fall by more than ``threshold``, or a rise for metrics whose name holds one of ``rising``."""
+    both = before.select("metric", F.col("value").alias("before")).join(now.select("metric", F.col("value").alias("now")), "metric").where("before IS NOT NULL AND now IS NOT NULL")
+    change = (F.col("now") - F.col("before")) / F.nullif(F.col("before"), F.lit(0.0))
+    worse = F.when(F.col("metric").rlike("|".join(rising)), change).otherwise(-change)
+    return both.select("metric", "before", "now", F.coalesce(worse > threshold, F.lit(False)).alias("regressed"))

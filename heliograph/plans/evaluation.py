@@ -142,3 +142,51 @@ def unigram_overlap(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
     t = table(spark, d, "conversations").select("conv_id", "turn", F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "").alias("ws")).withColumn("ref", F.lag("ws").over(w)).where("ref IS NOT NULL")
     return t.select("conv_id", "turn", F.round(F.size(F.filter("ws", lambda x: F.array_contains("ref", x))) / F.greatest(F.size("ws"), F.lit(1)), 6).alias("precision"))
+
+
+#: Turns with the turn before as their reference, in words.
+TURNS = r"""t AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM conversations), p AS MATERIALIZED (SELECT conv_id, turn, ws, r AS ref FROM (SELECT conv_id, turn, ws, lag(ws) OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM t) WHERE r IS NOT NULL)"""
+
+
+def grams_sql(n: int) -> str:
+    gram = lambda c: " || ' ' || ".join(f"{c}[i + {k}]" for k in range(n))
+    each = lambda c, g, t: f"SELECT conv_id, turn, {gram(c)} AS gram, {g} AS g, {t} AS t FROM (SELECT conv_id, turn, {c}, unnest(range(1, len({c}) - {n - 2})) AS i FROM p)"
+    return f"""o{n} AS MATERIALIZED (SELECT conv_id, turn, sum(g) AS guessed, sum(t) AS true_, sum(least(g, t)) AS hit FROM (SELECT conv_id, turn, gram, sum(g) AS g, sum(t) AS t FROM ({each('ws', 1, 0)} UNION ALL {each('ref', 0, 1)}) GROUP BY ALL) GROUP BY conv_id, turn)"""
+
+
+def turns(spark, d):
+    from pyspark.sql.window import Window
+
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))
+    t = table(spark, d, "conversations").select("conv_id", "turn", words.alias("ws"))
+    return t.withColumn("ref", F.lag("ws").over(Window.partitionBy("conv_id").orderBy("turn"))).where("ref IS NOT NULL")
+
+
+LCS_ROW = "[list_max([CASE WHEN e[i] = 1 THEN coalesce(a[i - 1], 0) + 1 ELSE a[i] END FOR i IN range(1, len(e) + 1)][1:j]) FOR j IN range(1, len(e) + 1)]"
+
+
+@query("e17_rouge", f"""WITH {TURNS}, {grams_sql(1)}, {grams_sql(2)},
+l AS (SELECT conv_id, turn, len(ws) AS ng, len(ref) AS nt, CASE WHEN len(ws) = 0 OR len(ref) = 0 THEN 0 ELSE list_max(list_reduce(list_prepend([0 FOR r IN ref], [[CAST(r = w AS INT) FOR r IN ref] FOR w IN ws]), lambda a, e: {LCS_ROW})) END AS n FROM p)
+SELECT conv_id, turn, coalesce(round(2 * o1.hit / (o1.guessed + o1.true_), 8), 0.0) AS rouge1, coalesce(round(2 * o2.hit / (o2.guessed + o2.true_), 8), 0.0) AS rouge2, CASE WHEN n = 0 THEN 0.0 ELSE round(2 * n / (ng + nt), 8) END AS "rougeL"
+FROM l LEFT JOIN o1 USING (conv_id, turn) LEFT JOIN o2 USING (conv_id, turn)""")
+def rouge(spark, d):
+    """Each turn against the turn before it."""
+    found = ev.rouge(turns(spark, d), ["conv_id", "turn"], "ws", "ref")
+    return found.select("conv_id", "turn", *(F.round(c, 8).alias(c) for c in ("rouge1", "rouge2", "rougeL")))
+
+
+@query("e17_bleu", f"""WITH {TURNS}, {', '.join(map(grams_sql, (1, 2, 3, 4)))}, n AS (SELECT sum(len(ws)) AS g, sum(len(ref)) AS t FROM p),
+s AS ({' UNION ALL '.join(f'SELECT {k} AS n, coalesce(sum(hit), 0) AS hit, coalesce(sum(guessed), 0) AS total FROM o{k}' for k in (1, 2, 3, 4))}),
+x AS (SELECT sum(CASE WHEN hit = 0 THEN ln(100.0 / (power(2, (SELECT count(*) FROM s z WHERE z.hit = 0 AND z.n <= s.n)) * total)) ELSE ln(100.0 * hit / total) END) / 4 AS m FROM s)
+SELECT round(CASE WHEN g >= t THEN 1.0 ELSE exp(1 - t / g) END * exp(m), 6) AS bleu, round(CASE WHEN g >= t THEN 1.0 ELSE exp(1 - t / g) END, 8) AS brevity, CAST(g AS BIGINT) AS guess_length, CAST(t AS BIGINT) AS true_length FROM n, x""")
+def bleu(spark, d):
+    return ev.bleu(turns(spark, d), ["conv_id", "turn"], "ws", "ref").select(F.round("bleu", 6).alias("bleu"), F.round("brevity", 8).alias("brevity"), "guess_length", "true_length")
+
+
+@query("e17_regressions", """WITH m AS (SELECT conv_id % 2 AS half, unnest(['words', 'latency']) AS metric, unnest([avg(length(text)), avg(turn)]) AS value FROM conversations GROUP BY conv_id % 2)
+SELECT b.metric, round(b.value, 6) AS before, round(n.value, 6) AS now, CASE WHEN b.metric = 'latency' THEN (n.value - b.value) / b.value > 0.001 ELSE (b.value - n.value) / b.value > 0.001 END AS regressed FROM m b JOIN m n ON n.metric = b.metric AND n.half = 1 WHERE b.half = 0""")
+def regression_flags(spark, d):
+    """Two halves of the conversations as two models' outputs; latency gets worse as it rises."""
+    c = table(spark, d, "conversations").groupBy((F.col("conv_id") % 2).alias("half")).agg(F.avg(F.length("text")).alias("words"), F.avg("turn").alias("latency"))
+    m = c.select("half", F.explode(F.array(F.struct(F.lit("words").alias("metric"), F.col("words").alias("value")), F.struct(F.lit("latency").alias("metric"), F.col("latency").alias("value")))).alias("m")).select("half", "m.*")
+    return ev.regressions(m.where("half = 0"), m.where("half = 1"), 0.001).select("metric", F.round("before", 6).alias("before"), F.round("now", 6).alias("now"), "regressed")

@@ -22,13 +22,27 @@ def bfs_distances(spark, d):
     return graphs.bfs_distances(edges(spark, d), spark.range(1).toDF("node"), 3)
 
 
-@query("g02_bounded_crawl", f"""WITH RECURSIVE e AS ({EDGES}), k AS (SELECT src, dst FROM (SELECT src, dst, p_size / 50 AS p FROM e JOIN part ON p_partkey = dst) WHERE p >= 0.5 QUALIFY row_number() OVER (PARTITION BY src ORDER BY p DESC, dst) <= 5),
-r(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT k.dst, r.depth + 1 FROM r JOIN k ON k.src = r.node WHERE r.depth < 3) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node""")
+CRAWL_SQL = f"""WITH RECURSIVE e AS ({EDGES}), k AS (SELECT src, dst FROM (SELECT src, dst, p_size / 50 AS p FROM e JOIN part ON p_partkey = dst) WHERE p >= 0.5 QUALIFY row_number() OVER (PARTITION BY src ORDER BY p DESC, dst) <= 5),
+r(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT k.dst, r.depth + 1 FROM r JOIN k ON k.src = r.node WHERE r.depth < 3) SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY node"""
+
+
+@query("g02_bounded_crawl", CRAWL_SQL)
 def bounded_crawl(spark, d):
     weighed = edges(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("dst"), (F.col("p_size") / 50).alias("priority")), "dst").select("src", "dst", "priority")
     return graphs.crawl(weighed, spark.range(1).toDF("node"), 3, 5, 0.5)
 
 
+@query("u03_expanded_crawl", CRAWL_SQL)
+def expanded_crawl(spark, d):
+    """The bounded crawl with a callback that reads each reached node's links from its payload."""
+    from ..operators import expansion
+
+    weighed = edges(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("dst"), (F.col("p_size") / 50).alias("priority")), "dst")
+    nodes = weighed.groupBy(F.col("src").alias("node")).agg(F.collect_list(F.struct("dst", "priority")).alias("payload"))
+    expansion.register(spark, "linked_parts", lambda node, payload: ((x["dst"], x["priority"]) for x in payload))
+    return expansion.crawl(nodes, spark.range(1).toDF("node"), "linked_parts", 3, 5, 0.5)
+
+
 @query("g03_adjacency", f"SELECT src, string_agg(dst, ',' ORDER BY dst) AS neighbours FROM ({EDGES}) GROUP BY src")
 def adjacency(spark, d):
     return edges(spark, d).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("dst")).cast("array<string>"), ",").alias("neighbours"))

@@ -124,3 +124,20 @@ def page_of_range(spark, d):
     first, last = rules.date_range("2024-01-05", "2024-01-12")
     found = table(spark, d, "events").where(F.col("ts").between(F.lit(first), F.lit(last)))
     return relational.page(found.select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], limit, offset)
+
+
+#: One robots.txt for every host, with groups, wildcards, an end and a delay.
+ROBOTS = "User-agent: *\nDisallow: /\nAllow: /fr\nDisallow: /fr*e$\nCrawl-delay: 2.5\n\nUser-agent: other\nUser-agent: collector # and its kin\nDisallow: /*a\nAllow: /*an\nDisallow:"
+
+
+@query("src22_robots_rules", r"""WITH u AS (SELECT DISTINCT url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS p FROM pages), v AS (SELECT url, CASE WHEN starts_with(p, '/') THEN p ELSE '/' || p END AS p FROM u)
+SELECT url, CASE WHEN regexp_matches(p, '^/fr.*e$') THEN FALSE ELSE starts_with(p, '/fr') END AS allowed, regexp_matches(p, '^/.*an') OR NOT regexp_matches(p, '^/.*a') AS collector, CAST(2.5 AS DOUBLE) AS delay FROM v""")
+def robots_rules(spark, d):
+    """What all agents and what one with a group of its own may fetch, by the longest rule."""
+    from ..functions.text import url_host
+    from ..sources import robots as robots_files
+
+    pages = table(spark, d, "pages").select("url")
+    found = robots_files.rules(pages.select(url_host(F.col("url")).alias("host")).distinct().withColumn("content", F.lit(ROBOTS)))
+    mine = robots_files.permissions(pages, found, "Collector/2.0").select("url", F.col("allowed").alias("collector"))
+    return robots_files.permissions(pages, found).join(mine, "url").select("url", "allowed", "collector", "delay")
