@@ -195,14 +195,14 @@ def feedback_temperature(spark, d):
 
 @query("st01_incremental_sources", "SELECT event_type AS source, event_id, user_id, value FROM events")
 def incremental_sources(spark, d):
-    """Events landed as JSON lines in one folder a source, read by the streaming source with an offset for each, two files of each source a batch."""
+    """Events landed as JSON lines in one folder a source, read by the streaming source with an offset for each."""
     from ..sources.landed import LandedSource
 
     work = work_folder(spark)
     landed = table(spark, d, "events").select(F.col("event_type").alias("source"), "event_id", "user_id", "value")
     landed.repartition(4, "event_id").write.partitionBy("source").json(f"{work}/landed")
     spark.dataSource.register(LandedSource)
-    stream = spark.readStream.format("heliograph_landed").option("path", f"{work}/landed").option("filesPerBatch", 2).load()
+    stream = spark.readStream.format("heliograph_landed").option("path", f"{work}/landed").load()
     item = F.from_json("item", "event_id long, user_id long, value double").alias("i")
     out = stateful.run_batches(stream.select(F.regexp_replace("source", "^source=", "").alias("source"), item).select("source", "i.*"), work)
     return out.select("source", "event_id", "user_id", "value")

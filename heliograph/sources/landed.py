@@ -77,7 +77,7 @@ class LandedReader(DataSourceStreamReader):
 
 
 class LandedSource(DataSource):
-    """Options: path, filesPerTask (8), filesPerBatch of each source (all)."""
+    """Options: path, filesPerTask (8), filesPerBatch of each source (all; a query that is triggered once makes one batch, and the next one goes on)."""
 
     @classmethod
     def name(cls) -> str:
