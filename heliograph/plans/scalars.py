@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import claims as conflicts
 from ..functions import rules, scores, text
 from ..operators import relational
 from .registry import SIGNALS, query, signals, table
@@ -264,6 +265,31 @@ def contradictions(spark, d):
     return c.where("turn2 = turn + 1 AND neg <> neg2 AND size(array_intersect(ws, ws2)) >= 2").select("conv_id", "turn", F.lit("MAJOR").alias("severity"))
 
 
+STOPS_SQL = "[" + ", ".join(f"'{w}'" for w in text.FINGERPRINT_STOP_WORDS) + "]"
+NEGATION_SQL = "|".join(conflicts.NEGATIONS).replace("'", "''")
+ANTONYM_SQL = "[" + ", ".join(f"['{x}', '{y}']" for p in conflicts.ANTONYMS for x, y in (p, p[::-1])) + "]"
+
+
+@query("f37_contradiction_patterns", rf"""WITH b AS (SELECT conv_id, turn, lower(text) AS t FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT conv_id, turn, regexp_matches(t, '(?:^|[^\p{{L}}\p{{N}}_])(?:{NEGATION_SQL})(?:[^\p{{L}}\p{{N}}_]|$)') AS neg,
+ list_distinct([w FOR w IN regexp_split_to_array(regexp_replace(t, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+') IF length(w) >= 3 AND NOT list_contains({STOPS_SQL}, w)]) AS ws, [w FOR w IN regexp_split_to_array(t, '\s+') IF w <> ''] AS ps FROM b),
+g AS (SELECT conv_id, turn, neg, ws, ps, [CASE WHEN regexp_matches(w, '^\p{{L}}+$') AND NOT list_contains({STOPS_SQL}, w) THEN w END FOR w IN [regexp_replace(p, '[^\p{{L}}\p{{N}}_]', '', 'g') FOR p IN ps]] AS good FROM c),
+n AS (SELECT conv_id, turn, anchor, arg_max(v, i) AS v FROM (SELECT conv_id, turn, i, ps[i] AS v, coalesce(CASE WHEN i > 1 THEN good[i - 1] END, CASE WHEN i > 2 THEN good[i - 2] END, CASE WHEN i > 3 THEN good[i - 3] END) AS anchor FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM g) WHERE regexp_matches(ps[i], '{conflicts.NUMBER}')) WHERE anchor IS NOT NULL GROUP BY ALL),
+k AS (SELECT DISTINCT x.conv_id, x.turn FROM n x JOIN n y ON x.conv_id = y.conv_id AND y.turn = x.turn + 1 AND x.anchor = y.anchor AND x.v <> y.v),
+p AS (SELECT a.conv_id, a.turn, a.neg <> b.neg AS differ, a.ws AS aw, b.ws AS bw, list_intersect(a.ws, b.ws) AS common, k.turn IS NOT NULL AS number FROM g a JOIN g b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 LEFT JOIN k ON k.conv_id = a.conv_id AND k.turn = a.turn),
+r AS (SELECT conv_id, turn, CASE WHEN differ AND len(common) >= 2 THEN 'negation_conflict' WHEN number THEN 'number_conflict' WHEN len([x FOR x IN {ANTONYM_SQL} IF list_contains(aw, x[1]) AND list_contains(bw, x[2]) AND len([w FOR w IN common IF w <> x[1] AND w <> x[2]]) >= 1]) > 0 THEN 'antonym_conflict' END AS pattern FROM p)
+SELECT conv_id, turn, pattern, CASE pattern WHEN 'negation_conflict' THEN 'MAJOR' WHEN 'number_conflict' THEN 'MODERATE' ELSE 'MINOR' END AS severity FROM r WHERE pattern IS NOT NULL""")
+def contradiction_patterns(spark, d):
+    """Neighbouring turns that contradict each other, by the first of three patterns."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t = F.col("text")
+    c = table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", conflicts.negated(t).alias("negated"), conflicts.content(t).alias("content"), conflicts.numbers(t).alias("numbers"))
+    names = ("negated", "content", "numbers")
+    c = c.withColumns({f"next_{n}": F.lead(n).over(w) for n in (*names, "turn")}).where("next_turn = turn + 1")
+    found = conflicts.conflict({n: F.col(n) for n in names}, {n: F.col(f"next_{n}") for n in names})
+    return c.select("conv_id", "turn", found.alias("pattern")).where("pattern IS NOT NULL").withColumn("severity", conflicts.severity(F.col("pattern")))
+
+
 @query("f38_grounded_summary", "SELECT conv_id, CAST(count(*) AS BIGINT) AS sources, round(avg(least(length(text) / 1000, 1)), 6) AS confidence FROM conversations GROUP BY conv_id")
 def grounded_summary(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("sources"), F.round(F.avg(F.least(F.length("text") / 1000, F.lit(1.0))), 6).alias("confidence"))
