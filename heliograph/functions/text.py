@@ -81,9 +81,19 @@ def cleaned_url(url: Column) -> Column:
 
 
 def semver(version: Column) -> Column:
-    """major, minor and patch of a version such as v1.2.3-rc1 or 1.2; zeros if it can't be read."""
-    part = lambda i: F.coalesce(F.regexp_extract(F.trim(version), r"^v?(\d+)\.(\d+)\.?(\d+)?(?:[-+].+)?$", i).try_cast("int"), F.lit(0))
-    return F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"))
+    """major, minor and patch of a version such as v1.2.3-rc1 or 1.2; zeros if it can't be read.
+
+    What follows the first - or + is its suffix. The rest, without a leading v, is two numbers with a dot between, and maybe a third.
+    """
+    whole = F.trim(version)
+    core = F.substring_index(F.substring_index(whole, "-", 1), "+", 1)
+    numbers = F.split(F.when(core.startswith("v"), F.substring(core, 2, 1_000_000)).otherwise(core), "[.]")
+    last = F.element_at(numbers, -1)
+    counted = F.when((F.size(numbers) == 3) & (last == ""), F.slice(numbers, 1, 2)).otherwise(numbers)
+    suffix = F.length(whole) - F.length(core)
+    good = F.size(counted).between(2, 3) & F.forall(counted, lambda x: (x != "") & (F.translate(x, "0123456789", "") == "")) & (suffix != 1)
+    part = lambda i: F.coalesce(F.when(good, F.get(counted, i).try_cast("int")), F.lit(0))
+    return F.struct(part(F.lit(0)).alias("major"), part(F.lit(1)).alias("minor"), part(F.lit(2)).alias("patch"))
 
 
 def version_change(before: Column, after: Column, breaking: Column) -> Column:

@@ -295,9 +295,14 @@ def grounded_summary(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("sources"), F.round(F.avg(F.least(F.length("text") / 1000, F.lit(1.0))), 6).alias("confidence"))
 
 
-@query("f39_semver_change", r"""WITH v AS (SELECT p_partkey AS id, 'v' || p_size % 3 || '.' || p_partkey % 4 || '.' || p_partkey % 5 AS a, p_size % 2 || '.' || p_partkey % 3 || CASE WHEN p_partkey % 7 = 0 THEN '-rc1' WHEN p_partkey % 11 = 0 THEN ' beta' ELSE '.' || p_partkey % 5 END AS b, p_size = 50 AS breaking, p_size > 45 AS security FROM part),
-x AS (SELECT *, regexp_extract(trim(a), '^v?(\d+)\.(\d+)\.?(\d+)?(?:[-+].+)?$', ['x', 'y', 'z']) AS p, regexp_extract(trim(b), '^v?(\d+)\.(\d+)\.?(\d+)?(?:[-+].+)?$', ['x', 'y', 'z']) AS q FROM v),
-c AS (SELECT *, CASE WHEN breaking THEN 'breaking' WHEN coalesce(try_cast(p.x AS INT), 0) <> coalesce(try_cast(q.x AS INT), 0) THEN 'major' WHEN coalesce(try_cast(p.y AS INT), 0) <> coalesce(try_cast(q.y AS INT), 0) THEN 'minor' WHEN coalesce(try_cast(p.z AS INT), 0) <> coalesce(try_cast(q.z AS INT), 0) THEN 'patch' ELSE 'unknown' END AS change FROM x)
+def version_sql(c: str, i: int) -> str:
+    """The i-th number of a version without its suffix, in DuckDB; 0 if the version can't be read."""
+    numbers = f"string_split(ltrim(split_part(split_part(trim({c}), '-', 1), '+', 1), 'v'), '.')"
+    return f"CASE WHEN len({numbers}) BETWEEN 2 AND 3 AND len([x FOR x IN {numbers} IF try_cast(x AS UINTEGER) IS NULL]) = 0 THEN coalesce(try_cast({numbers}[{i}] AS INT), 0) ELSE 0 END"
+
+
+@query("f39_semver_change", f"""WITH v AS (SELECT p_partkey AS id, 'v' || p_size % 3 || '.' || p_partkey % 4 || '.' || p_partkey % 5 AS a, p_size % 2 || '.' || p_partkey % 3 || CASE WHEN p_partkey % 7 = 0 THEN '-rc1' WHEN p_partkey % 11 = 0 THEN ' beta' ELSE '.' || p_partkey % 5 END AS b, p_size = 50 AS breaking, p_size > 45 AS security FROM part),
+c AS (SELECT *, CASE WHEN breaking THEN 'breaking' WHEN {version_sql("a", 1)} <> {version_sql("b", 1)} THEN 'major' WHEN {version_sql("a", 2)} <> {version_sql("b", 2)} THEN 'minor' WHEN {version_sql("a", 3)} <> {version_sql("b", 3)} THEN 'patch' ELSE 'unknown' END AS change FROM v)
 SELECT id, change, CAST(CASE WHEN security THEN least(u + 0.3, 1) ELSE u END AS DOUBLE) AS urgency FROM (SELECT *, CASE change WHEN 'breaking' THEN 0.80 WHEN 'major' THEN 0.65 WHEN 'minor' THEN 0.40 WHEN 'patch' THEN 0.20 ELSE 0.30 END AS u FROM c)""")
 def semver_change(spark, d):
     """Versions are put together from the keys and sizes of parts; some can't be read."""

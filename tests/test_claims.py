@@ -30,3 +30,11 @@ def test_conflicts_both_ways(spark, a, b, pattern):
 def test_severities(spark):
     df = spark.createDataFrame([("negation_conflict",), ("number_conflict",), ("antonym_conflict",), (None,)], "p string")
     assert [r[0] for r in df.select(claims.severity(F.col("p"))).collect()] == ["MAJOR", "MODERATE", "MINOR", None]
+
+
+@pytest.mark.parametrize("version, parts", [("v1.2.3", (1, 2, 3)), (" 1.2 ", (1, 2, 0)), ("1.2.", (1, 2, 0)), ("1.2.3-rc.1+b2", (1, 2, 3)), ("1.2+x", (1, 2, 0)), ("1.2-", (0, 0, 0)), ("1", (0, 0, 0)), ("1.2.3.4", (0, 0, 0)), ("1.2 beta", (0, 0, 0)), ("vv1.2", (0, 0, 0)), ("1..2", (0, 0, 0)), ("", (0, 0, 0)), (None, (0, 0, 0)), ("99999999999.1", (0, 1, 0))])
+def test_versions(spark, version, parts):
+    from heliograph.functions import text
+
+    row = spark.createDataFrame([(version,)], "v string").select(text.semver(F.col("v")).alias("s")).first()["s"]
+    assert tuple(row) == parts
