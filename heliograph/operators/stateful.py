@@ -152,3 +152,79 @@ def calibrated(confidence: Column, temperature: Column, steps: Column, full: int
     t = share * F.coalesce(temperature, F.lit(1.0)) + (1 - share)
     p = F.greatest(F.least(confidence, F.lit(1 - 1e-6)), F.lit(1e-6))
     return 1 / (1 + F.exp(-F.log(p / (1 - p)) / t))
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
+
+
+class EventClusters(StatefulProcessor):
+    """Open clusters of a key: title of the first event, all entities, latest hour; and for each token the clusters that have it.
+
+    An event looks at clusters that share a token with it only: time alone can't reach the threshold. Clusters whose latest event is
+    ``horizon`` hours behind the watermark are closed and their state goes.
+    """
+
+    def __init__(self, key: str, least: float, weights: tuple[float, float, float], decay: float, horizon: float | None):
+        self.key, self.least, self.weights, self.decay, self.horizon = key, least, weights, decay, horizon
+        if weights[2] > least:
+            raise ValueError("time alone must not reach the threshold")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.clusters = handle.getMapState("clusters", "k int", "title array<string>, entities array<string>, hour double")
+        self.holders = handle.getMapState("holders", "token string", "ks array<int>")
+        self.next = handle.getValueState("next", "n int")
+
+    def held(self, token: str) -> list[int]:
+        return list(self.holders.getValue((token,))[0]) if self.holders.containsKey((token,)) else []
+
+    def close_old(self, watermark: float) -> None:
+        old = {k[0]: v for k, v in self.clusters.iterator() if v[2] < watermark - self.horizon}
+        for k, (title, entities, _) in old.items():
+            for token in {*(f"t:{w}" for w in title), *(f"e:{w}" for w in entities)}:
+                left = [x for x in self.held(token) if x != k]
+                self.holders.updateValue((token,), (left,)) if left else self.holders.removeKey((token,))
+            self.clusters.removeKey((k,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.horizon is not None and self.clusters.exists():
+            self.close_old(timerValues.getCurrentWatermarkInMs() / 3_600_000)
+        n, out = self.next.get()[0] if self.next.exists() else 0, []
+        for r in pd.concat(list(rows)).sort_values(["hour", "id"]).itertuples():
+            title, entities = set(r.title), set(r.entities)
+            marks = {*(f"t:{w}" for w in title), *(f"e:{w}" for w in entities)}
+            best, at = self.least, None
+            for k in sorted({k for m in marks for k in self.held(m)}):
+                t, e, hour = self.clusters.getValue((k,))
+                near = self.weights[0] * jaccard(title, set(t)) + self.weights[1] * jaccard(entities, set(e)) + self.weights[2] * math.exp(-abs(r.hour - hour) / self.decay)
+                if near > best:
+                    best, at = near, k
+            if at is None:
+                at, n, known = n, n + 1, set()
+                now = (list(title), list(entities), float(r.hour))
+            else:
+                t, e, hour = self.clusters.getValue((at,))
+                known = {*(f"t:{w}" for w in t), *(f"e:{w}" for w in e)}
+                now = (list(t), sorted({*e, *entities}), max(hour, float(r.hour)))
+                marks = {f"e:{w}" for w in entities}
+            self.clusters.updateValue((at,), now)
+            for m in marks - known:
+                self.holders.updateValue((m,), ([*self.held(m), at],))
+            out.append((key[0], r.id, at))
+        self.next.update((n,))
+        yield pd.DataFrame(out, columns=[self.key, "id", "cluster"])
+
+    def close(self) -> None:
+        pass
+
+
+def event_clusters(stream: DataFrame, key: str, id_: Column, hour: Column, title: Column, entities: Column, least: float = 0.3, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), decay: float = 48, horizon: float | None = None) -> DataFrame:
+    """key, id and the number of the event cluster within its key that each row joins as it arrives.
+
+    ``hour`` orders rows and ages clusters; with a ``horizon`` (hours) the stream needs a watermark. Titles and entities are arrays of strings, null as empty.
+    """
+    kinds = dict(stream.select(key, id_.alias("_id")).dtypes)
+    none = F.array().cast("array<string>")
+    read = stream.select(key, id_.alias("id"), hour.cast("double").alias("hour"), F.coalesce(title, none).alias("title"), F.coalesce(entities, none).alias("entities"), *([F.col(c) for c in ("at",) if horizon is not None]))
+    made = EventClusters(key, least, weights, decay, horizon)
+    return read.groupBy(key).transformWithStateInPandas(made, f"{key} {kinds[key]}, id {kinds['_id']}, cluster long", "Append", "EventTime" if horizon is not None else "None")

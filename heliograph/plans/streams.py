@@ -206,3 +206,16 @@ def incremental_sources(spark, d):
     item = F.from_json("item", "event_id long, user_id long, value double").alias("i")
     out = stateful.run_batches(stream.select(F.regexp_replace("source", "^source=", "").alias("source"), item).select("source", "i.*"), work)
     return out.select("source", "event_id", "user_id", "value")
+
+
+@query("st11_event_clusters")
+def event_clusters(spark, d):
+    """Turns of each conversation as they arrive, joined to the open event clusters; in one run the same as the batch clusters of cl01."""
+    from ..functions import text
+
+    schema = spark.read.parquet(f"{d}/conversations.parquet").schema
+    stream = streams.read_stream(spark, f"{d}/conversations.parq[u]et", schema)
+    names = F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), F.lit(0))
+    found = stateful.event_clusters(stream, "conv_id", F.col("turn"), F.col("turn"), text.title_tokens(F.col("text")), names)
+    out = stateful.run_batches(found, work_folder(spark), state=True)
+    return out.select("conv_id", F.col("id").alias("turn"), "cluster")

@@ -96,3 +96,66 @@ def test_session_options_come_back(spark):
     with stateful.options(spark, {"spark.sql.shuffle.partitions": "3", "spark.some.option": "x"}):
         assert spark.conf.get("spark.sql.shuffle.partitions") == "3"
     assert spark.conf.get("spark.sql.shuffle.partitions") == "8" and spark.conf.get("spark.some.option", None) is None
+
+
+def titled(n, seed):
+    import datetime
+
+    rnd, t = random.Random(seed), datetime.datetime(2024, 1, 1)
+    words = [f"w{i}" for i in range(12)]
+    return [(i, rnd.randrange(2), [rnd.choice(words) for _ in range(rnd.randrange(5))], [rnd.choice("ABCDE") for _ in range(rnd.randrange(3))], t + datetime.timedelta(hours=i)) for i in range(n)]
+
+
+def greedy(rows, horizon, batch):
+    """All clusters are looked at; those that end ``horizon`` hours before the latest event of the batches before are closed."""
+    import math
+
+    bundles, out, latest = {}, {}, None
+    for n, (i, user, title, entities, at) in enumerate(rows):
+        if n % batch == 0 and n:
+            latest = rows[n - 1][4].timestamp() / 3600
+        h, mine, best, where = at.timestamp() / 3600, bundles.setdefault(user, []), 0.3, None
+        for k, (t, e, when) in enumerate(mine):
+            if horizon is not None and latest is not None and mine[k][2] < latest - horizon:
+                mine[k] = (set(), set(), -math.inf)
+                continue
+            s = 0.4 * stateful.jaccard(set(title), t) + 0.4 * stateful.jaccard(set(entities), e) + 0.2 * math.exp(-abs(h - when) / 48)
+            if s > best:
+                best, where = s, k
+        if where is None:
+            where = len(mine)
+            mine.append((set(title), set(entities), h))
+        else:
+            t, e, when = mine[where]
+            mine[where] = (t, e | set(entities), max(when, h))
+        out[i] = where
+    return out
+
+
+@pytest.mark.parametrize("horizon", [None, 60.0])
+def test_event_clusters_equal_the_greedy_ones(spark, tmp_path, horizon):
+    rows, path, work = titled(160, 4), str(tmp_path / "in"), str(tmp_path / "work")
+    schema = "event_id long, user_id long, title array<string>, entities array<string>, ts timestamp"
+
+    def land(some):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(path)
+
+    def make():
+        s = source(spark, path, spark.read.parquet(path).schema)
+        s = s.withColumn("at", F.col("ts")).withWatermark("at", "0 seconds") if horizon is not None else s
+        return stateful.event_clusters(s, "user_id", F.col("event_id"), F.unix_micros("ts") / 3.6e9, F.col("title"), F.col("entities"), horizon=horizon)
+
+    for part in range(4):
+        land(rows[part * 40 : part * 40 + 40])
+        out = stateful.run_batches(make(), work, state=True)
+    got = {r["id"]: r["cluster"] for r in out.collect()}
+    want = greedy(rows, horizon, 40)
+    assert got == want
+    assert horizon is None or want != greedy(rows, None, 40)
+
+
+def test_stream_clusters_equal_the_batch_ones(spark, sf):
+    from heliograph.plans import registry
+
+    rows = lambda q: sorted((r["conv_id"], r["turn"], r["cluster"]) for r in registry.QUERIES[q](spark, sf).collect())
+    assert rows("st11_event_clusters") == rows("cl01_online_clusters")
