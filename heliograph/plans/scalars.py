@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import claims as conflicts
-from ..functions import rules, scores, text
+from ..functions import rules, sanitizing, scores, text
 from ..operators import relational
 from .registry import SIGNALS, query, signals, table
 
@@ -69,6 +69,13 @@ def sanitize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(rules.sanitized(F.col("text"), ("ignore (all|previous) instructions", "system prompt"))).alias("body"))
 
 
+@query("f09_sanitized_pages", sanitizing.oracle_sql("pages", "page_id", "html"))
+def sanitized_pages(spark, d):
+    """Raw pages through all patterns, with the hits of each threat class."""
+    found = table(spark, d, "pages").select("page_id", sanitizing.sanitized(F.col("html")).alias("s"))
+    return found.select("page_id", F.md5("s.text").alias("body"), "s.modified", *(f"s.{c}" for c in sanitizing.classes()))
+
+
 @query("f10_engagement", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.score') AS BIGINT), TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS engagement FROM events")
 def engagement(spark, d):
     return table(spark, d, "events").select("event_id", rules.engagement(F.col("props"), ("score", "k")).alias("engagement"))
