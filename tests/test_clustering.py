@@ -208,7 +208,7 @@ def connected(nodes, edges):
     return seen == set(nodes)
 
 
-@pytest.mark.parametrize("seed", [0, 1])
+@pytest.mark.parametrize("seed", [0])
 def test_communities_against_brute_force(spark, seed):
     rnd = random.Random(seed)
     edges = [(a, b, float(rnd.choice([1, 2]))) for a in range(8) for b in range(a) if rnd.random() < (0.9 if a // 4 == b // 4 else 0.25)]
