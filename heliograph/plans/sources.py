@@ -141,3 +141,24 @@ def robots_rules(spark, d):
     found = robots_files.rules(pages.select(url_host(F.col("url")).alias("host")).distinct().withColumn("content", F.lit(ROBOTS)))
     mine = robots_files.permissions(pages, found, "Collector/2.0").select("url", F.col("allowed").alias("collector"))
     return robots_files.permissions(pages, found).join(mine, "url").select("url", "allowed", "collector", "delay")
+
+
+@query("src20_platform_priors", "SELECT doc_id, t AS signal_type, CAST(p AS DOUBLE) AS prior FROM documents JOIN (VALUES ('src0', 'support_request', 0.3), ('src0', 'feature_request', 0.2), ('src0', 'competitor_mention', 0.15), ('src0', 'alternative_seeking', 0.15), ('src1', 'competitor_mention', 0.25), ('src1', 'complaint', 0.2), ('src1', 'churn_risk', 0.15)) AS v(s, t, p) ON source = s")
+def platform_priors(spark, d):
+    """Documents of two sources, which stand for platforms, with the built-in priors, since no file is there."""
+    from ..sources import exemplars
+
+    docs = table(spark, d, "documents").select("doc_id", F.when(F.col("source") == "src0", "Reddit").when(F.col("source") == "src1", "Twitter").alias("p"))
+    return exemplars.candidates(docs.where("p IS NOT NULL"), exemplars.load_priors(spark, None), F.col("p")).select("doc_id", "signal_type", "prior")
+
+
+@query("src20_exemplar_bank", "SELECT CAST(label AS VARCHAR) AS signal_type, count(*) AS exemplars, round(avg(len(embedding)), 6) AS dims FROM embeddings GROUP BY label")
+def exemplar_bank(spark, d):
+    """All embeddings saved as a bank of exemplars and loaded again."""
+    from ..sources import exemplars
+
+    path = f"{shared_dir(spark).rstrip('/')}/bank-{uuid.uuid4().hex}"
+    e = table(spark, d, "embeddings")
+    exemplars.save_bank(e.select(F.col("label").cast("string").alias("signal_type"), F.concat(F.lit("vector "), "vec_id").alias("text"), F.col("embedding").cast("array<double>").alias("embedding"), F.array(F.lit("x")).alias("entities"), F.lit("p").alias("platform")), path)
+    bank = exemplars.load_bank(spark, path)
+    return bank.groupBy("signal_type").agg(F.count("*").alias("exemplars"), F.round(F.avg(F.size("embedding")), 6).alias("dims"))

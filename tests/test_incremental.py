@@ -133,3 +133,26 @@ def test_regressions(spark):
     before = spark.createDataFrame([("bleu", 30.0), ("perplexity", 10.0), ("latency_ms", 5.0), ("f1", 0.5), ("none", None)], "metric string, value double")
     now = spark.createDataFrame([("bleu", 28.0), ("perplexity", 10.4), ("latency_ms", 6.0), ("f1", 0.6), ("none", 1.0)], "metric string, value double")
     assert {r["metric"]: r["regressed"] for r in evaluation.regressions(before, now).collect()} == {"bleu": True, "perplexity": False, "latency_ms": True, "f1": False}
+
+
+def test_exemplar_banks_and_priors(spark, tmp_path):
+    from heliograph.sources import exemplars
+
+    rows = [("bug", "it broke", [0.1, 0.2], None, None), ("ask", "how", [1.0], ["X"], "reddit")]
+    exemplars.save_bank(spark.createDataFrame(rows, exemplars.BANK), str(tmp_path / "bank"))
+    got = {r["signal_type"]: r for r in exemplars.load_bank(spark, str(tmp_path / "bank"), ["bug", "ask"]).collect()}
+    assert got["bug"]["embedding"] == [0.1, 0.2] and got["bug"]["entities"] == [] and got["bug"]["platform"] == ""
+    assert exemplars.load_bank(spark, str(tmp_path / "bank"), ["bug"]).count() == 0
+    assert exemplars.load_bank(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "array.json").write_text(json.dumps([{"signal_type": "bug", "text": "t", "embedding": [1.5]}, {"signal_type": "bug", "text": "u", "embedding": [2]}], indent=1))
+    assert exemplars.load_bank(spark, str(tmp_path / "array.json")).count() == 2
+    (tmp_path / "half.json").write_text(json.dumps([{"signal_type": "bug", "text": "t"}]))
+    assert exemplars.load_bank(spark, str(tmp_path / "half.json")).count() == 0
+
+    built_in = {(p, t): v for p, ts in exemplars.PRIORS.items() for t, v in ts.items()}
+    table = lambda df: {(r["platform"], r["signal_type"]): r["prior"] for r in df.collect()}
+    (tmp_path / "priors.json").write_text(json.dumps({"Reddit": {"bug": 0.5}, "x": {"ask": 0.25, "bug": 1}}, indent=2))
+    assert table(exemplars.load_priors(spark, str(tmp_path / "priors.json"))) == {("reddit", "bug"): 0.5, ("x", "ask"): 0.25, ("x", "bug"): 1.0}
+    (tmp_path / "bad.json").write_text("{not json")
+    for path, types in ((None, None), (str(tmp_path / "none"), None), (str(tmp_path / "bad.json"), None), (str(tmp_path / "priors.json"), ["bug"])):
+        assert table(exemplars.load_priors(spark, path, types)) == built_in
