@@ -159,3 +159,39 @@ def test_stream_clusters_equal_the_batch_ones(spark, sf):
 
     rows = lambda q: sorted((r["conv_id"], r["turn"], r["cluster"]) for r in registry.QUERIES[q](spark, sf).collect())
     assert rows("st11_event_clusters") == rows("cl01_online_clusters")
+
+
+def test_a_key_s_state_is_read_and_written_once_a_batch():
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        held = None
+
+        def __getattr__(self, name):
+            def call(*args):
+                calls.append(name)
+                if name == "update":
+                    self.held = args[0]
+                return {"exists": self.held is not None, "get": self.held, "iterator": iter(()), "containsKey": False}.get(name)
+
+            return call
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        getMapState = getValueState
+
+    made = stateful.EventClusters("user_id", 0.3, (0.4, 0.4, 0.2), 48, None)
+    made.init(Handle())
+    rows, got = [(i, float(i), [f"w{i % 5}", f"x{i % 3}"], [f"E{i % 7}"]) for i in range(60)], []
+    for part in (rows[:30], rows[30:]):
+        got += [x for f in made.handleInputRows((1,), iter([pd.DataFrame(part, columns=["id", "hour", "title", "entities"])]), None) for x in f["cluster"]]
+    import datetime
+
+    zero = datetime.datetime(2024, 1, 1)
+    want = greedy([(i, 1, t, e, zero + datetime.timedelta(hours=i)) for i, _, t, e in rows], None, 100)
+    assert got == [want[i] for i in range(60)]
+    assert len(calls) == 4
