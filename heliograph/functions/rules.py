@@ -44,10 +44,12 @@ def quality_completeness(body: Column, title: Column, author: Column, metadata:
 
 
 def sentiment(text: Column, lexicon: dict[str, float], cut: float = 0.2) -> Column:
-    """Sum of the words' values over the root of their number, cut at +- ``cut``."""
-    table = F.create_map(*(F.lit(x) for pair in lexicon.items() for x in pair))
+    """Sum of the words' values over the root of their number, cut at +- ``cut``. Values (up to nine decimals) are summed exactly, so that sums on a cut fall on its side."""
+    exact = lambda x: F.lit(str(x)).cast("decimal(38,9)")
+    table = F.create_map(*(x for word, value in lexicon.items() for x in (F.lit(word), exact(value))))
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    s = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.element_at(table, w), F.lit(0.0))) / F.sqrt(F.greatest(F.size(words), F.lit(1)))
+    total = F.aggregate(words, exact(0), lambda a, w: (a + F.coalesce(F.element_at(table, w), exact(0))).cast("decimal(38,9)"))
+    s = total.cast("double") / F.sqrt(F.greatest(F.size(words), F.lit(1)))
     return F.when(s >= cut, "positive").when(s <= -cut, "negative").otherwise("neutral")
 
 

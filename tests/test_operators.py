@@ -221,3 +221,9 @@ def test_page_and_range_checks():
     for ends in (("2024-02-01", "2024-01-01"), ("soon", None)):
         with pytest.raises(ValueError):
             rules.date_range(*ends)
+
+
+def test_sentiment_on_a_cut(spark):
+    lexicon = {"a": 0.5, "b": 0.3, "c": -0.8, "d": 0.4, "f": -0.7}
+    df = spark.createDataFrame([("a c d b",), ("A a f\nf",), ("b x x",), ("",), (None,)], "text string")
+    assert [r[0] for r in df.select(rules.sentiment(F.col("text"), lexicon)).collect()] == ["positive", "negative", "neutral", "neutral", "neutral"]
