@@ -22,7 +22,7 @@ def changelog_sections(spark, d):
 @query("src15_docs_monitor", r"""SELECT url, hash FROM (SELECT url, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<nav\b.*?</nav>', ' ', 'gis'), '<script\b.*?</script>', ' ', 'gis'), '<style\b.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))) AS hash FROM pages) WHERE NOT contains(url, '?')""")
 def docs_monitor(spark, d):
     """Pages with parameters were seen before, unchanged."""
-    p = table(spark, d, "pages")
+    p = table(spark, d, "pages").where("url IS NOT NULL")
     seen = p.where(F.contains("url", F.lit("?"))).select("url", connectors.page_hash(F.col("html")).alias("hash"))
     return connectors.changed_pages(p, seen)
 

@@ -95,10 +95,10 @@ def page_hash(html: Column) -> Column:
 
 
 def changed_pages(now: DataFrame, before: DataFrame, key: str = "url", html: str = "html") -> DataFrame:
-    """Pages that are new or whose text differs from the last hashes (key, hash), with their new hash."""
+    """Pages that are new or whose text differs from the last hashes (key, hash), with their new hash; of a key with several hashes any may match."""
     hashed = now.select(key, page_hash(F.col(html)).alias("hash"))
-    old = before.select(key, F.col("hash").alias("old"))
-    return hashed.join(old, key, "left").where(F.col("old").isNull() | (F.col("old") != F.col("hash"))).select(key, "hash")
+    old = before.select(F.col(key).alias("_key"), F.col("hash").alias("_old"))
+    return hashed.join(old, (F.col(key) == F.col("_key")) & F.col("hash").eqNullSafe(F.col("_old")), "left_anti")
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -227,3 +227,11 @@ def test_sentiment_on_a_cut(spark):
     lexicon = {"a": 0.5, "b": 0.3, "c": -0.8, "d": 0.4, "f": -0.7}
     df = spark.createDataFrame([("a c d b",), ("A a f\nf",), ("b x x",), ("",), (None,)], "text string")
     assert [r[0] for r in df.select(rules.sentiment(F.col("text"), lexicon)).collect()] == ["positive", "negative", "neutral", "neutral", "neutral"]
+
+
+def test_changed_pages_with_urls_that_come_twice(spark):
+    pages = spark.createDataFrame([("u?1", "<p>a</p>"), ("u?1", "<p>b</p>"), ("v", "a"), ("v", "c"), ("w?", "a"), ("w?", "a")], "url string, html string")
+    seen = pages.where("url <> 'v'").select("url", connectors.page_hash(F.col("html")).alias("hash"))
+    now = pages.union(spark.createDataFrame([("u?1", "d"), ("n?", None)], "url string, html string"))
+    got = sorted(r["url"] for r in connectors.changed_pages(now, seen).collect())
+    assert got == ["n?", "u?1", "v", "v"]
