@@ -12,12 +12,12 @@ from ..functions import text
 from .folds import ordered_fold
 
 
-def acquisition_filter(df: DataFrame, platforms: Sequence[str] = (), block: Sequence[str] = (), allow: Sequence[str] = (), least_engagement: int = 0, least_length: int = 20, trending_only: bool = False, window_hours: float = 24.0) -> DataFrame:
+def acquisition_filter(df: DataFrame, platforms: Sequence[str] = (), block: Sequence[str] = (), allow: Sequence[str] = (), least_engagement: int = 0, least_length: int = 20, trending_only: bool = False, window_hours: float = 24.0, ties: Sequence[str] = ()) -> DataFrame:
     """Adds drop_stage: the first of eight stages that drops a post, null if it is taken.
 
     Columns: user_id, platform, author, url, title, raw_text, engagement, is_trending, seen_at. A post is a duplicate if
     its fingerprint came up for the same user since the last ``window_hours`` began counting; dropping one doesn't start the time anew.
-    Posts that an earlier stage drops aren't remembered, later stages don't matter.
+    Posts that an earlier stage drops aren't remembered, later stages don't matter. Of posts seen at one time the first by ``ties`` counts; without that any.
     """
     body = text.filled(F.col("raw_text"), F.col("title"))
     low = F.lower(body)
@@ -33,7 +33,7 @@ def acquisition_filter(df: DataFrame, platforms: Sequence[str] = (), block: Sequ
         again = kept is not None and row["_at"] - kept < window_hours * 3.6e9
         return (kept if again else row["_at"]), {"_again": again}
 
-    marked = ordered_fold(marked, ["user_id", "_fp"], ["_at"], lambda: None, step, "_again boolean")
+    marked = ordered_fold(marked, ["user_id", "_fp"], ["_at", *ties], lambda: None, step, "_again boolean")
     again = F.col("_again")
     stage = F.coalesce("_early", F.when(again, "deduplication"), F.when(text.likely_bot(F.coalesce("raw_text", F.lit(""))), "bot_detection"), F.when(F.length(body) < least_length, "min_text_length"), F.when(F.lit(trending_only) & ~F.coalesce("is_trending", F.lit(False)), "trending_gate"))
     return marked.withColumn("drop_stage", stage).drop("_early", "_fp", "_at", "_again")

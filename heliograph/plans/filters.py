@@ -34,10 +34,10 @@ SELECT drop_stage, count(*) AS n FROM (SELECT CASE WHEN early IS NOT NULL THEN e
  WHEN length(regexp_replace(body, '[^\p{Lu}]', '', 'g')) >= 0.7 * length(regexp_replace(body, '[^\p{L}]', '', 'g')) AND length(regexp_replace(body, '[^\p{L}]', '', 'g')) > 0 THEN 'bot_detection' WHEN length(body) < 20 THEN 'min_text_length' END AS drop_stage FROM q) GROUP BY drop_stage""")
 def acquisition_filter(spark, d):
     docs = table(spark, d, "documents").select(
-        F.col("lang").alias("user_id"), F.col("source").alias("platform"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"),
+        "doc_id", F.col("lang").alias("user_id"), F.col("source").alias("platform"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"),
         F.col("text").alias("raw_text"), F.lit(0).alias("engagement"), F.lit(False).alias("is_trending"), F.lit("2024-01-15 12:00:00").cast("timestamp").alias("seen_at"),
     )
-    kept = relational.acquisition_filter(docs, platforms=[f"src{i}" for i in range(20) if i != 9], block=["thing"])
+    kept = relational.acquisition_filter(docs, platforms=[f"src{i}" for i in range(20) if i != 9], block=["thing"], ties=["doc_id"])
     return kept.groupBy("drop_stage").agg(F.count("*").alias("n"))
 
 

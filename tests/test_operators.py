@@ -235,3 +235,12 @@ def test_changed_pages_with_urls_that_come_twice(spark):
     now = pages.union(spark.createDataFrame([("u?1", "d"), ("n?", None)], "url string, html string"))
     got = sorted(r["url"] for r in connectors.changed_pages(now, seen).collect())
     assert got == ["n?", "u?1", "v", "v"]
+
+
+def test_of_posts_seen_at_one_time_the_first_by_ties_is_kept(spark):
+    t0 = datetime(2024, 1, 15, 12)
+    rows = [(i, "u", "p", "a", None, None, f"{'x' * 64} text {i}", 0, False, t0) for i in (7, 3, 9, 1, 5)]
+    df = spark.createDataFrame(rows, "id long, user_id string, platform string, author string, url string, title string, raw_text string, engagement int, is_trending boolean, seen_at timestamp")
+    for order, first in (("id", 1), ("down", 9)):
+        got = relational.acquisition_filter(df.withColumn("down", -F.col("id")), ties=[order]).where("drop_stage IS NULL").collect()
+        assert [r["id"] for r in got] == [first]
