@@ -244,3 +244,12 @@ def test_of_posts_seen_at_one_time_the_first_by_ties_is_kept(spark):
     for order, first in (("id", 1), ("down", 9)):
         got = relational.acquisition_filter(df.withColumn("down", -F.col("id")), ties=[order]).where("drop_stage IS NULL").collect()
         assert [r["id"] for r in got] == [first]
+
+
+def test_recommendations_are_asked_for_a_fiftieth_of_the_users(spark, sf):
+    from heliograph.plans import registry
+
+    got = registry.QUERIES["e14_als"](spark, sf).groupBy("user").agg(F.countDistinct("item").alias("n")).collect()
+    users = spark.read.parquet(f"{sf}/orders.parquet").join(spark.read.parquet(f"{sf}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_custkey % 50 = 0")
+    assert {r["user"] for r in got} == {r[0] for r in users.select("o_custkey").distinct().collect()}
+    assert all(r["n"] == 5 for r in got)
