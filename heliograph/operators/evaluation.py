@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import scores
 
+#: Pairs of texts whose words are Python objects at once.
+ROWS = 256
+
 
 def ece(df: DataFrame, p: str, y: str, bins: int) -> DataFrame:
     """Expected calibration error over half-open bins: p = 1 is in no bin but counts in the total."""
@@ -61,17 +67,30 @@ def fit_temperature(df: DataFrame, p: str, y: str, rate: float, steps: int, star
     return t
 
 
-def ngrams(words: Column, n: int) -> Column:
-    """The n-grams of an array of words, joined by blanks."""
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.concat_ws(" ", F.slice(words, i, n)))
-    return F.when(F.size(words) >= n, each).otherwise(F.array().cast("array<string>"))
+def matches(guess: list[str], truth: list[str], n: int) -> tuple[int, int, int]:
+    """Numbers of n-grams of both and of their matches, counted no oftener than in the other one."""
+    g, t = (Counter(zip(*(words[k:] for k in range(n)), strict=False)) for words in (guess, truth))
+    return g.total(), t.total(), (g & t).total()
+
 
+def overlaps(pairs: DataFrame, keys: Sequence[str], guess: str, truth: str, orders: Sequence[int], subsequence: bool = False) -> DataFrame:
+    """keys and for each pair of texts (arrays of words, null as empty) and each n of ``orders`` guessed, true and hit with that n behind; ng and nt, the numbers of words; with ``subsequence`` lcs.
+
+    A pair's n-grams are counted in its row, so that they are neither shuffled nor sorted.
+    """
+    kept = pairs.select(*keys, F.coalesce(guess, F.array().cast("array<string>")).alias("_g"), F.coalesce(truth, F.array().cast("array<string>")).alias("_t"))
+    names = [*(f"{c}{n}" for n in orders for c in ("guessed", "true", "hit")), "ng", "nt", *(["lcs"] if subsequence else [])]
+    schema = StructType([*kept.select(*keys).schema.fields, *(StructField(c, LongType()) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
+                found = []
+                for g, t in zip(b["_g"].to_pylist(), b["_t"].to_pylist(), strict=True):
+                    found.append([*(x for n in orders for x in matches(g, t, n)), len(g), len(t), *([common_subsequence(g, t)] if subsequence else [])])
+                yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], names=[*keys, *names])
 
-def overlap(pairs: DataFrame, keys: Sequence[str], guess: str, truth: str, n: int) -> DataFrame:
-    """For each pair of texts (arrays of words) the n-grams of both, matches counted no oftener than in the other one: guessed, true, hit."""
-    each = lambda c, g, t: pairs.select(*keys, F.explode(ngrams(F.col(c), n)).alias("gram"), F.lit(g).alias("g"), F.lit(t).alias("t"))
-    both = each(guess, 1, 0).unionByName(each(truth, 0, 1)).groupBy(*keys, "gram").agg(F.sum("g").alias("g"), F.sum("t").alias("t"))
-    return both.groupBy(*keys).agg(F.sum("g").alias("guessed"), F.sum("t").alias("true"), F.sum(F.least("g", "t")).alias("hit"))
+    return kept.mapInArrow(run, schema)
 
 
 def f_measure(hit: Column, guessed: Column, true: Column) -> Column:
@@ -93,34 +112,17 @@ def common_subsequence(guess: list[str], truth: list[str]) -> int:
 
 def rouge(pairs: DataFrame, keys: Sequence[str], guess: str, truth: str) -> DataFrame:
     """keys, rouge1, rouge2 and rougeL: F-measures of shared words, word pairs and the longest common subsequence."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    kept = pairs.select(*keys, F.coalesce(guess, F.array().cast("array<string>")).alias("_g"), F.coalesce(truth, F.array().cast("array<string>")).alias("_t"))
-    schema = StructType([*kept.select(*keys).schema.fields, *(StructField(c, LongType()) for c in ("_lcs", "_ng", "_nt"))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g, t = b["_g"].to_pylist(), b["_t"].to_pylist()
-            found = [[common_subsequence(x, y) for x, y in zip(g, t, strict=True)], list(map(len, g)), list(map(len, t))]
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in keys), *(pa.array(c, pa.int64()) for c in found)], names=[*keys, "_lcs", "_ng", "_nt"])
-
-    out = kept.mapInArrow(run, schema).select(*keys, f_measure(F.col("_lcs"), F.col("_ng"), F.col("_nt")).alias("rougeL"))
-    for n in (1, 2):
-        o = overlap(kept, keys, "_g", "_t", n)
-        out = out.join(o.select(*keys, f_measure(F.col("hit"), F.col("guessed"), F.col("true")).alias(f"rouge{n}")), list(keys), "left").fillna(0.0, [f"rouge{n}"])
-    return out
+    found = overlaps(pairs, keys, guess, truth, (1, 2), True)
+    each = [f_measure(F.col(f"hit{n}"), F.col(f"guessed{n}"), F.col(f"true{n}")).alias(f"rouge{n}") for n in (1, 2)]
+    return found.select(*keys, *each, f_measure(F.col("lcs"), F.col("ng"), F.col("nt")).alias("rougeL"))
 
 
 def bleu(pairs: DataFrame, keys: Sequence[str], guess: str, truth: str, most: int = 4) -> DataFrame:
     """One row: BLEU (0 to 100) of all pairs, brevity penalty and lengths; orders without a match are smoothed exponentially."""
-    lengths = pairs.agg(F.sum(F.size(guess)).alias("guess_length"), F.sum(F.size(truth)).alias("true_length"))
-    out = lengths
-    for n in range(1, most + 1):
-        o = overlap(pairs, keys, guess, truth, n).agg(F.coalesce(F.sum("hit"), F.lit(0)).alias(f"hit{n}"), F.coalesce(F.sum("guessed"), F.lit(0)).alias(f"all{n}"))
-        out = out.join(F.broadcast(o))  # one row each
+    orders = range(1, most + 1)
+    none = F.lit(0).cast("long")
+    sums = [F.coalesce(F.sum(f"{of}{n}"), none).alias(f"{name}{n}") for n in orders for of, name in (("hit", "hit"), ("guessed", "all"))]
+    out = overlaps(pairs, keys, guess, truth, orders).agg(F.sum("ng").alias("guess_length"), F.sum("nt").alias("true_length"), *sums)
     smooth, logs = F.lit(1.0), F.lit(0.0)
     for n in range(1, most + 1):
         hit, total = F.col(f"hit{n}"), F.col(f"all{n}")

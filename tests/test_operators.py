@@ -253,3 +253,17 @@ def test_recommendations_are_asked_for_a_fiftieth_of_the_users(spark, sf):
     users = spark.read.parquet(f"{sf}/orders.parquet").join(spark.read.parquet(f"{sf}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey")).where("o_custkey % 50 = 0")
     assert {r["user"] for r in got} == {r[0] for r in users.select("o_custkey").distinct().collect()}
     assert all(r["n"] == 5 for r in got)
+
+
+def test_scores_of_texts_are_counted_in_the_row(spark):
+    words = "a b c a b d".split()
+    rnd = random.Random(3)
+    rows = [(i, [rnd.choice(words) for _ in range(rnd.randrange(9))], [rnd.choice(words) for _ in range(rnd.randrange(9))]) for i in range(600)] + [(600, None, ["a"]), (601, [], [])]
+    df = spark.createDataFrame(rows, "id long, g array<string>, t array<string>").coalesce(1)
+    found = evaluation.overlaps(df, ["id"], "g", "t", (1, 2))
+    assert "Exchange" not in evaluation.rouge(df, ["id"], "g", "t")._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        g, t = (x or [] for x in rows[r["id"]][1:])
+        for n in (1, 2):
+            a, b = ([tuple(x[i : i + n]) for i in range(len(x) - n + 1)] for x in (g, t))
+            assert (r[f"guessed{n}"], r[f"true{n}"], r[f"hit{n}"]) == (len(a), len(b), sum(min(a.count(x), b.count(x)) for x in set(a)))
