@@ -89,10 +89,28 @@ def trending_topics(df: DataFrame, topics: str, platform: str, at: str, n: int |
     return out.limit(n) if n else out
 
 
-def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float]) -> DataFrame:
-    """Nearest-rank percentiles of each group: the value at place ceil(p / 100 * n)."""
-    places = [f"percentile_disc({x / 100}) WITHIN GROUP (ORDER BY {value})" for x in percents]
-    return df.groupBy(*keys).agg(*map(F.expr, places)).toDF(*keys, *(f"p{x:g}" for x in percents))
+def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[float], parts: int = 16) -> DataFrame:
+    """Nearest-rank percentiles of each group: the value at place ceil(p / 100 * n); nulls don't count.
+
+    Values are counted first, and the counts cut into ``parts`` squared ranges, so that a large group isn't one task's. The cuts come from
+    a sketch and only decide where values are ranked; the ranges' exact sizes tell which of them holds a place, and only those are ranked.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    every = parts * parts
+    cuts = counts.agg(F.percentile_approx("_v", [i / every for i in range(1, every)], 100 * every).alias("_cuts"))
+    below = lambda xs: F.size(F.filter(xs, lambda x: x < F.col("_v")))
+    coarse = counts.join(F.broadcast(cuts)).withColumn("_at", below(F.array(*(F.col("_cuts")[i * parts - 1] for i in range(1, parts)))))  # one row of cuts
+    dealt = coarse.withColumn("_part", F.col("_at") * parts + below(F.slice("_cuts", F.col("_at") * parts + 1, parts - 1))).drop("_at", "_cuts")
+    group = Window.partitionBy(*keys)
+    sizes = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_size")).withColumns({"_to": F.sum("_size").over(group.orderBy("_part")), "_all": F.sum("_size").over(group)})
+    places = F.array(*(F.struct(F.lit(i).alias("_i"), F.greatest(F.ceil(F.col("_all") * (x / 100)), F.lit(1)).alias("_place")) for i, x in enumerate(percents)))
+    asked = sizes.select("*", F.explode(places).alias("_p")).where("_p._place <= _to AND _p._place > _to - _size").groupBy(*keys, "_part").agg(F.first(F.col("_to") - F.col("_size")).alias("_before"), F.collect_list("_p").alias("_ps"))
+    asked = asked.toDF(*(f"_key{i}" for i in range(len(keys))), "_of", "_before", "_ps")
+    held = dealt.join(asked, [F.col("_part") == F.col("_of"), *(F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys))])
+    ranked = held.withColumn("_to", F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v")))
+    hit = ranked.select(*keys, "_v", "_n", "_to", F.explode("_ps").alias("_p")).where("_p._place <= _to AND _p._place > _to - _n").select(*keys, "_v", "_p._i")
+    groups = df.select(*keys).distinct().select(*keys, F.lit(None).cast(counts.schema["_v"].dataType).alias("_v"), F.lit(-1).alias("_i"))
+    return hit.unionByName(groups).groupBy(*keys).agg(*(F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"p{x:g}") for i, x in enumerate(percents)))
 
 
 def runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column) -> DataFrame:

@@ -267,3 +267,16 @@ def test_scores_of_texts_are_counted_in_the_row(spark):
         for n in (1, 2):
             a, b = ([tuple(x[i : i + n]) for i in range(len(x) - n + 1)] for x in (g, t))
             assert (r[f"guessed{n}"], r[f"true{n}"], r[f"hit{n}"]) == (len(a), len(b), sum(min(a.count(x), b.count(x)) for x in set(a)))
+
+
+def test_nearest_rank_of_one_large_group(spark):
+    rnd = random.Random(5)
+    rows = [("a", float(rnd.randrange(3000))) for _ in range(20_000)] + [("b", 1.0)] * 7 + [(None, float(i)) for i in range(10)] + [("n", None)] * 3 + [("a", None), ("i", float("inf")), ("i", -1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    out = relational.nearest_rank(df, ["k"], "v", [1, 50, 95, 100])
+    got = {r["k"]: tuple(r)[1:] for r in out.collect()}
+    for k in {r[0] for r in rows}:
+        vs = sorted(v for key, v in rows if key == k and v is not None)
+        assert got[k] == tuple(vs[max(math.ceil(p / 100 * len(vs)), 1) - 1] if vs else None for p in (1, 50, 95, 100))
+    # the large group's values aren't sorted by one task
+    assert "percentile_disc" not in out._jdf.queryExecution().optimizedPlan().toString()
