@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import text
@@ -142,3 +146,22 @@ def trailing_counts(df: DataFrame, keys: Sequence[str], at: str, spans: dict[str
     same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
     out = running.join(base, [F.col("_slice").eqNullSafe(F.col("_of")), *same])
     return out.select(*df.columns, *((F.col(f"_{n}") + F.col(f"_base_{n}")).alias(n) for n in names))
+
+
+def frequent_words(df: DataFrame, lowered: str, added: str, most: int, least_length: int, stop: Sequence[str]) -> DataFrame:
+    """Adds the ``most`` frequent words ``[a-z0-9]+`` of a text, of equals the first ones, sorted and joined by commas; null for null. A text is counted in its row."""
+    schema, left_out = StructType([*df.schema.fields, StructField(added, StringType())]), frozenset(stop)
+
+    def found(text: str | None) -> str | None:
+        if text is None:
+            return None
+        # of equal counts most_common gives the word that came first
+        counts = Counter(w for w in re.findall("[a-z0-9]+", text) if len(w) >= least_length and w not in left_out)
+        return ",".join(sorted(w for w, _ in counts.most_common(most)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = pa.array((found(x.as_py()) for x in b[lowered]), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns, words], names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -136,11 +136,9 @@ k AS (SELECT doc_id, w FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORD
 SELECT d.doc_id, CASE WHEN d.lang <> 'en' THEN lower(d.lang) ELSE coalesce((SELECT string_agg(w, ',' ORDER BY w) FROM k WHERE k.doc_id = d.doc_id), '') END AS fingerprint FROM documents d""")
 def content_fingerprint(spark, d):
     """Topics where there are any (here the languages other than English stand for them), else the 30 most frequent words."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    w = docs.where("lang = 'en'").select("doc_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("pos", "w"))
-    counts = w.where((F.length("w") >= 3) & ~F.col("w").isin(*text.FINGERPRINT_STOP_WORDS)).groupBy("doc_id", "w").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    top = relational.top_per_group(counts, ["doc_id"], [F.desc("n"), F.col("first")], 30).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("w")), ",").alias("words"))
-    return docs.select("doc_id", "lang").join(top, "doc_id", "left").select("doc_id", F.when(F.col("lang") != "en", F.lower("lang")).otherwise(F.coalesce("words", F.lit(""))).alias("fingerprint"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.when(F.col("lang") == "en", F.lower("text")).alias("low"))
+    top = relational.frequent_words(docs, "low", "words", 30, 3, text.FINGERPRINT_STOP_WORDS)
+    return top.select("doc_id", F.when(F.col("lang") != "en", F.lower("lang")).otherwise(F.coalesce("words", F.lit(""))).alias("fingerprint"))
 
 
 @query("f19_levenshtein", "SELECT p_partkey AS id, levenshtein(p_name, p_type) AS distance FROM part")

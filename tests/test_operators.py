@@ -280,3 +280,10 @@ def test_nearest_rank_of_one_large_group(spark):
         assert got[k] == tuple(vs[max(math.ceil(p / 100 * len(vs)), 1) - 1] if vs else None for p in (1, 50, 95, 100))
     # the large group's values aren't sorted by one task
     assert "percentile_disc" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_frequent_words_are_counted_in_the_row(spark):
+    df = spark.createDataFrame([(1, "bbb aaa the aaa cc ccc ccc bbb ddd"), (2, None), (3, "")], "id long, low string")
+    out = relational.frequent_words(df, "low", "words", 2, 3, ["the"])
+    assert {r["id"]: r["words"] for r in out.collect()} == {1: "aaa,bbb", 2: None, 3: ""}
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
