@@ -16,12 +16,13 @@ from ..functions import text
 from .folds import ordered_fold
 
 
-def acquisition_filter(df: DataFrame, platforms: Sequence[str] = (), block: Sequence[str] = (), allow: Sequence[str] = (), least_engagement: int = 0, least_length: int = 20, trending_only: bool = False, window_hours: float = 24.0, ties: Sequence[str] = ()) -> DataFrame:
+def acquisition_filter(df: DataFrame, platforms: Sequence[str] = (), block: Sequence[str] = (), allow: Sequence[str] = (), least_engagement: int = 0, least_length: int = 20, trending_only: bool = False, window_hours: float = 24.0, ties: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
     """Adds drop_stage: the first of eight stages that drops a post, null if it is taken.
 
     Columns: user_id, platform, author, url, title, raw_text, engagement, is_trending, seen_at. A post is a duplicate if
     its fingerprint came up for the same user since the last ``window_hours`` began counting; dropping one doesn't start the time anew.
     Posts that an earlier stage drops aren't remembered, later stages don't matter. Of posts seen at one time the first by ``ties`` counts; without that any.
+    With ``keep`` only these columns come back, so that texts aren't moved.
     """
     body = text.filled(F.col("raw_text"), F.col("title"))
     low = F.lower(body)
@@ -29,7 +30,10 @@ def acquisition_filter(df: DataFrame, platforms: Sequence[str] = (), block: Sequ
     early = F.when(F.lit(bool(platforms)) & ~F.col("platform").isin(*platforms), "platform_gate")
     early = early.when(has(block) if block else F.lit(False), "keyword_blocklist").when(~has(allow) if allow else F.lit(False), "keyword_allowlist")
     early = early.when(F.lit(least_engagement > 0) & (F.coalesce("engagement", F.lit(0)) < least_engagement), "engagement_threshold")
-    marked = df.withColumns({"_early": early, "_fp": text.fingerprint(F.col("url"), F.col("platform"), F.col("author"), body), "_at": F.unix_micros("seen_at")})
+    late = F.coalesce(F.when(text.likely_bot(F.coalesce("raw_text", F.lit(""))), "bot_detection"), F.when(F.length(body) < least_length, "min_text_length"), F.when(F.lit(trending_only) & ~F.coalesce("is_trending", F.lit(False)), "trending_gate"))
+    marked = df.withColumns({"_early": early, "_fp": text.fingerprint(F.col("url"), F.col("platform"), F.col("author"), body), "_at": F.unix_micros("seen_at"), "_late": late})
+    if keep is not None:
+        marked = marked.select(*dict.fromkeys([*keep, *ties, "user_id"]), "_early", "_fp", "_at", "_late")
 
     def step(kept, row: dict):
         if row["_early"] is not None:
@@ -38,9 +42,9 @@ def acquisition_filter(df: DataFrame, platforms: Sequence[str] = (), block: Sequ
         return (kept if again else row["_at"]), {"_again": again}
 
     marked = ordered_fold(marked, ["user_id", "_fp"], ["_at", *ties], lambda: None, step, "_again boolean")
-    again = F.col("_again")
-    stage = F.coalesce("_early", F.when(again, "deduplication"), F.when(text.likely_bot(F.coalesce("raw_text", F.lit(""))), "bot_detection"), F.when(F.length(body) < least_length, "min_text_length"), F.when(F.lit(trending_only) & ~F.coalesce("is_trending", F.lit(False)), "trending_gate"))
-    return marked.withColumn("drop_stage", stage).drop("_early", "_fp", "_at", "_again")
+    stage = F.coalesce("_early", F.when(F.col("_again"), "deduplication"), "_late")
+    out = marked.withColumn("drop_stage", stage).drop("_early", "_fp", "_at", "_again", "_late")
+    return out if keep is None else out.select(*keep, "drop_stage")
 
 
 def char_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], chars: str, most: int) -> DataFrame:
@@ -54,20 +58,24 @@ def char_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], chars:
     return ordered_fold(df, keys, order, lambda: 0, step, "taken boolean")
 
 
-def connector_filter(df: DataFrame, order: Sequence[str], most_chars: int, **stages) -> DataFrame:
+def connector_filter(df: DataFrame, order: Sequence[str], most_chars: int, keep: Sequence[str] | None = None, **stages) -> DataFrame:
     """Adds drop_stage as ``acquisition_filter`` does for what a connector fetched, then ``char_budget`` for posts that their user's budget has no room for.
 
     ``engagement`` and ``is_trending`` are taken as 0 and false where they are missing; image and video captions
-    (``visual_text``, where there is such a column) are read behind a post's own text.
+    (``visual_text``, where there is such a column) are read behind a post's own text. With ``keep`` only these columns come back: a user's
+    posts are tried in one task, which then reads no texts.
     """
     made = df
     for name, default in (("engagement", F.lit(0)), ("is_trending", F.lit(False))):
         made = made.withColumn(name, F.coalesce(name, default) if name in df.columns else default)
     if "visual_text" in df.columns:
         made = made.withColumn("raw_text", F.nullif(F.concat_ws("\n", "raw_text", "visual_text"), F.lit("")))
-    marked = acquisition_filter(made, **stages).withColumn("_chars", F.when(F.col("drop_stage").isNull(), F.length(text.filled(F.col("raw_text"), F.col("title")))).otherwise(0))
+    made = made.withColumn("_chars", F.length(text.filled(F.col("raw_text"), F.col("title"))))
+    marked = acquisition_filter(made, keep=keep if keep is None else [*dict.fromkeys([*keep, *order, "user_id"]), "_chars"], **stages)
+    marked = marked.withColumn("_chars", F.when(F.col("drop_stage").isNull(), F.col("_chars")).otherwise(0))
     tried = char_budget(marked, ["user_id"], order, "_chars", most_chars)
-    return tried.withColumn("drop_stage", F.coalesce("drop_stage", F.when(~F.col("taken"), "char_budget"))).drop("_chars", "taken")
+    out = tried.withColumn("drop_stage", F.coalesce("drop_stage", F.when(~F.col("taken"), "char_budget"))).drop("_chars", "taken")
+    return out if keep is None else out.select(*keep, "drop_stage")
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -37,7 +37,7 @@ def acquisition_filter(spark, d):
         "doc_id", F.col("lang").alias("user_id"), F.col("source").alias("platform"), F.lit(None).cast("string").alias("author"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("title"),
         F.col("text").alias("raw_text"), F.lit(0).alias("engagement"), F.lit(False).alias("is_trending"), F.lit("2024-01-15 12:00:00").cast("timestamp").alias("seen_at"),
     )
-    kept = relational.acquisition_filter(docs, platforms=[f"src{i}" for i in range(20) if i != 9], block=["thing"], ties=["doc_id"])
+    kept = relational.acquisition_filter(docs, platforms=[f"src{i}" for i in range(20) if i != 9], block=["thing"], ties=["doc_id"], keep=["doc_id"])
     return kept.groupBy("drop_stage").agg(F.count("*").alias("n"))
 
 
@@ -212,5 +212,5 @@ def connector_filter(spark, d):
     """Documents as what a connector fetched for four users, a millisecond apart."""
     at = F.timestamp_micros(F.lit(1_705_320_000_000_000) + F.col("doc_id") * 1000)
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("user_id"), F.col("source").alias("platform"), *(F.lit(None).cast("string").alias(c) for c in ("author", "url", "title")), F.col("text").alias("raw_text"), at.alias("seen_at"))
-    found = relational.connector_filter(docs, ["doc_id"], 200_000, platforms=[f"src{i}" for i in range(20) if i != 9], block=["thing"])
+    found = relational.connector_filter(docs, ["doc_id"], 200_000, keep=["doc_id"], platforms=[f"src{i}" for i in range(20) if i != 9], block=["thing"])
     return found.select("doc_id", "drop_stage")

@@ -287,3 +287,17 @@ def test_frequent_words_are_counted_in_the_row(spark):
     out = relational.frequent_words(df, "low", "words", 2, 3, ["the"])
     assert {r["id"]: r["words"] for r in out.collect()} == {1: "aaa,bbb", 2: None, 3: ""}
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_connector_filter_moves_no_texts(spark, sf):
+    from heliograph.plans import registry
+
+    rows = [(i, "u", "p", f"{i % 40} {'long text ' * (i % 50)}", datetime(2024, 1, 15, 12) + timedelta(minutes=i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, user_id string, platform string, raw_text string, seen_at timestamp").selectExpr("*", "CAST(NULL AS string) author", "CAST(NULL AS string) url", "CAST(NULL AS string) title")
+    whole = relational.connector_filter(df, ["id"], 9000)
+    few = relational.connector_filter(df, ["id"], 9000, keep=["id"])
+    assert few.columns == ["id", "drop_stage"] and "raw_text" in whole.columns
+    assert sorted(map(tuple, few.collect())) == sorted((r["id"], r["drop_stage"]) for r in whole.collect())
+    for name in ("flt06_connector_filter", "flt04_acquisition_filter"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "MapInArrow" in line and "raw_text" in line]
