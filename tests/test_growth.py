@@ -2,10 +2,13 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 
-from heliograph.operators import setjoin
+from heliograph.operators import density, neighbours, setjoin
+from heliograph.operators.neighbours import NeighbourGraph
 
 
 @pytest.mark.parametrize("least", [0.3, 0.55, 0.7, 0.9])
@@ -20,3 +23,46 @@ def test_set_join_moves_no_pairs(spark, least):
     assert sorted(got) == sorted(want)
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Exchange hashpartitioning\((a|b)#", plan)
+
+
+def test_links_are_made_in_bounded_memory():
+    n = 20_000
+    v = np.random.default_rng(1).normal(size=(n, 8)).astype(np.float32)
+    tracemalloc.start()
+    links = neighbours.linked(v / np.linalg.norm(v, axis=1, keepdims=True), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(links) == n and peak < 4 * neighbours.TOGETHER * n * 4  # a few blocks of similarities
+
+
+def test_best_of_many_columns():
+    s = np.random.default_rng(2).normal(size=(50, 5003)).astype(np.float32)
+    s[:, 17] = s[:, 4000]
+    for k in (1, 7, 33, 200):
+        at = neighbours.best(s, k)
+        assert (np.take_along_axis(s, at, 1) == -np.sort(-s, axis=1)[:, :k]).all() and all(len(set(a)) == k for a in at.tolist())
+
+
+def test_index_without_links_is_exact(spark):
+    x = np.random.default_rng(3).normal(size=(900, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    got = {}
+    index = NeighbourGraph.build(rows, keep=["label"], links=0, part_rows=500)
+    for r in index.near_pairs(5).collect():
+        got.setdefault(r["src"], set()).add(r["dst"])
+    assert got == {i: set(np.argsort(-s[i])[:5].tolist()) for i in range(len(x))}
+    other = index.search(rows.withColumnRenamed("vec_id", "query_id"), 1, apart="label").collect()
+    s[np.arange(900)[:, None] % 2 == np.arange(900)[None, :] % 2] = -2
+    assert {r["query_id"]: r["vec_id"] for r in other} == {i: int(s[i].argmax()) for i in range(len(x))}
+
+
+def test_dense_rows_that_know_all_near_rows_ask_no_more(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + rng.normal(size=(8, 8)) * 0.01 for c in rng.normal(size=(6, 8))])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(density, "outside", lambda *_, **__: pytest.fail("asked"))
+    found = density.dense_clusters(NeighbourGraph.build(rows), 0.01, 5, neighbours=12).collect()
+    assert {r["node"]: r["component"] for r in found} == {i: i // 8 * 8 for i in range(48)}
