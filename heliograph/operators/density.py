@@ -257,18 +257,21 @@ def tree_clusters(index: NeighbourGraph, smallest: int = 2, least_samples: int =
 def dense_clusters(index: NeighbourGraph, eps: float = 0.5, least: int = 5, neighbours: int = 16, **options) -> DataFrame:
     """DBSCAN by cosine distance: node and component (its smallest core row); noise has no row.
 
-    A row with ``least`` rows within ``eps``, itself included, is a core row. Core rows are linked along the neighbour graph; then components look
-    for the nearest core row of another one until none is within ``eps``. A border row goes to the component of its nearest core row.
+    A row with ``least`` rows within ``eps``, itself included, is a core row. Core rows are linked along the neighbour graph; then rows
+    that may have more rows within ``eps`` than they know look for the nearest such row of another component until none is within ``eps``. A border row goes to the component of its nearest core row.
     """
-    near = index.near_pairs(max(neighbours, least), **options).where(F.col("distance") <= eps)
+    k = max(neighbours, least)
+    near = index.near_pairs(k, **options).where(F.col("distance") <= eps)
     core = kept(near.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") + 1 >= least).select("node"))
     if core.isEmpty():
         return core.select("node", F.col("node").alias("component"))
     both = near.join(core.toDF("src"), "src").join(core.toDF("dst"), "dst").select("src", "dst")
     loops = core.select(F.col("node").alias("src"), F.col("node").alias("dst"))
     labels = kept(connected_components(both.unionByName(loops)).toDF("node", "comp"))
-    while labels.select("comp").distinct().limit(2).count() > 1:
-        links = outside(index, labels, None, where=True, **options).where(F.col("w") <= eps)
+    # a row with fewer than k others within eps knows them all: only two rows with k may be linked unseen
+    full = kept(near.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node").join(core, "node"))
+    while (asked := kept(labels.join(full, "node"))).select("comp").distinct().limit(2).count() > 1:
+        links = outside(index, asked, None, where=True, **options).where(F.col("w") <= eps)
         more, labels = spanning_forest_once(labels, kept(links))
         if more is None:
             break
