@@ -168,14 +168,14 @@ def loose_density_clusters(spark, d):
 
 def figures(spark, d, eps, least):
     e = table(spark, d, "embeddings")
-    found = density.cluster_figures(e, density.dense_clusters(neighbour_index(spark, d), eps, least))
+    found = density.cluster_figures(e, density.dense_clusters(neighbour_index(spark, d, links=0), eps, least))
     return found.select("component", "size", F.size("centroid").alias("dims"), F.round("density", 5).alias("density"), F.round("coherence", 5).alias("coherence"))
 
 
 @query("cl07_communities")
 def graph_communities(spark, d):
     """Communities among vectors linked with their ten nearest ones, weighted by similarity: size, internal and external links, share of the modularity."""
-    near = neighbour_index(spark, d).near_pairs(10)
+    near = neighbour_index(spark, d, links=0).near_pairs(10)
     ends = near.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), (1 - F.col("distance")).alias("weight"))
     edges = written(ends.groupBy("src", "dst").agg(F.max("weight").alias("weight")), "links")
     found = written(communities.communities(edges), "communities")
@@ -185,7 +185,7 @@ def graph_communities(spark, d):
 @query("cl08_ward")
 def ward(spark, d):
     """Eight Ward clusters, merged along the links of each vector's ten nearest ones."""
-    links = neighbour_index(spark, d).near_pairs(10).select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    links = neighbour_index(spark, d, links=0).near_pairs(10).select(F.col("src").alias("u"), F.col("dst").alias("v"))
     return agglomerative.ward_clusters(table(spark, d, "embeddings"), links, 8)
 
 
@@ -209,4 +209,4 @@ def community_edges(spark, d):
 @query("cl04_density_tree")
 def density_tree(spark, d):
     """HDBSCAN as the reference sets it: cosine distance, clusters of two rows or more, noise left out."""
-    return density.tree_clusters(neighbour_index(spark, d), 2, 1)
+    return density.tree_clusters(neighbour_index(spark, d, links=0), 2, 1)
