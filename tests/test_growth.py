@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from heliograph.operators import density, neighbours, setjoin
+from heliograph.operators import agglomerative, density, neighbours, setjoin
 from heliograph.operators.neighbours import NeighbourGraph
 
 
@@ -66,3 +66,21 @@ def test_dense_rows_that_know_all_near_rows_ask_no_more(spark, monkeypatch):
     monkeypatch.setattr(density, "outside", lambda *_, **__: pytest.fail("asked"))
     found = density.dense_clusters(NeighbourGraph.build(rows), 0.01, 5, neighbours=12).collect()
     assert {r["node"]: r["component"] for r in found} == {i: i // 8 * 8 for i in range(48)}
+
+
+def test_ward_ends_in_one_task_with_the_merges_of_its_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(3 * i, v.tolist()) for i, v in enumerate(x)] + [(1000, None)], "vec_id long, embedding array<double>")
+    near = {(3 * i, 3 * int(j)) for i, v in enumerate(x) for j in np.argsort(((x - v) ** 2).sum(1))[1:6]}
+    links = spark.createDataFrame([*near, (0, 1000)], "u long, v long")
+    ran = []
+    kept = agglomerative.kept
+    monkeypatch.setattr(agglomerative, "kept", lambda df: ran.append(1) or kept(df))
+    found = []
+    for few in (4096, 25, 0):  # at once, after some rounds, never
+        monkeypatch.setattr(agglomerative, "CLUSTERS", few)
+        ran.append(0)
+        found.append(sorted((r["a"], r["b"], r["size"], round(r["height"], 9)) for r in agglomerative.ward_merges(rows, links).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) >= 50
+    assert sum(ran[1 : ran.index(0, 1)]) <= 4 < sum(ran[ran.index(0, 1) :])
