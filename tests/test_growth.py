@@ -7,7 +7,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from heliograph.operators import agglomerative, density, neighbours, setjoin
+from heliograph.operators import agglomerative, density, neighbours, setjoin, stateful
 from heliograph.operators.neighbours import NeighbourGraph
 
 
@@ -84,3 +84,9 @@ def test_ward_ends_in_one_task_with_the_merges_of_its_rounds(spark, monkeypatch)
         found.append(sorted((r["a"], r["b"], r["size"], round(r["height"], 9)) for r in agglomerative.ward_merges(rows, links).collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) >= 50
     assert sum(ran[1 : ran.index(0, 1)]) <= 4 < sum(ran[ran.index(0, 1) :])
+
+
+def test_a_users_classes_are_one_group_of_state(spark):
+    joined = spark.readStream.format("rate").load().selectExpr("value AS user_id", "'a' AS class", "0.5 AS p", "true AS right", "timestamp AS told", "value AS outcome_id")
+    plan = stateful.user_temperatures(joined)._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"FlatMapGroupsInPandasWithState step\(user_id#\d+L, class#", plan) and not re.search(r"\[user_id#\d+L, class#\d+\], ", plan)
