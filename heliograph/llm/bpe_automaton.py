@@ -21,11 +21,12 @@ Words of no bytes have no tokens; there are no nulls at this level.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 
 ROOT = 0
-#: States and answers about arcs that a worker keeps; when full, they are made anew. A state takes some 300 bytes.
+#: States and answers about arcs that a worker keeps; when full, they are made anew. A state takes some 200 bytes, an answer some 100.
 STATES_KEPT, ARCS_KEPT = 200_000, 200_000
 
 
@@ -81,12 +82,12 @@ class TokenAutomaton:
                 continue
             self.made[c], self.left[c], self.older[c] = time, a, b
             self.removed.setdefault(a, {}).setdefault(b, time)
-        self._known: dict[tuple[int, int], bool] = {}
+        self._known: dict[int, bool] = {}
 
     def allows(self, t: int, x: int) -> bool:
         if t < 0:
             return True
-        key = (t, x)
+        key = t << 24 | x
         known = self._known.get(key)
         if known is None:
             if len(self._known) > ARCS_KEPT:
@@ -119,7 +120,7 @@ class SymbolTransducer:
     """Table-driven encoder and token counter for many words at a time.
 
     A beginning that can go on is kept in a state's key as one integer: its place in the token trie, the token before it
-    plus one, and the token count before it relative to now. Arcs lie in an open hash table of arrays, so that all words
+    plus one, and the token count before it relative to now. A key is the bytes of these, of the last token and of the count emitted. Arcs lie in an open hash table of arrays, so that all words
     take a step at once; those met for the first time are compiled. The table is emptied at ``max_states``.
     """
 
@@ -144,8 +145,8 @@ class SymbolTransducer:
         self.reset()
 
     def reset(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.keys: list[tuple] = []
+        self.numbers: dict[bytes, int] = {}
+        self.keys: list[bytes] = []
         self.last, self.emits = np.empty(1024, np.int32), np.empty(1024, np.int64)
         self.arcs, self.arc_from, self.arc_to = 0, np.full(1 << 14, -1, np.int64), np.empty(1 << 14, np.int32)
         self.state((self.packed(ROOT, -1, 0),), -1, 0)  # number 0, where words begin
@@ -156,10 +157,11 @@ class SymbolTransducer:
 
     def state(self, key: tuple, last: int, emits: int) -> int:
         # the annotations are of the arc into the state, so they tell states apart, too
-        got = self.numbers.get((key, last, emits))
+        packed = array("q", (*key, last, emits)).tobytes()
+        got = self.numbers.get(packed)
         if got is None:
-            got = self.numbers[key, last, emits] = len(self.keys)
-            self.keys.append(key)
+            got = self.numbers[packed] = len(self.keys)
+            self.keys.append(packed)
             if got == len(self.last):
                 self.last, self.emits = np.resize(self.last, 2 * got), np.resize(self.emits, 2 * got)
             self.last[got], self.emits[got] = last, emits
@@ -167,7 +169,7 @@ class SymbolTransducer:
 
     def compiled(self, state: int, symbol: int) -> int:
         last, count, still = -1, 0, []
-        for entry in self.keys[state]:
+        for entry in array("q", self.keys[state])[:-2]:
             node, before, n = entry >> 40, (entry >> 16 & 0xFFFFFF) - 1, (entry & 0xFFFF) - 32768
             nxt = self.child.get(node << 9 | symbol)
             if nxt is None:
@@ -200,7 +202,7 @@ class SymbolTransducer:
     def add(self, arcs: np.ndarray, to: np.ndarray) -> None:
         """Put new arcs, each once, into the table."""
         if 2 * (self.arcs + len(arcs)) > len(self.arc_from):
-            size = 1 << (4 * (self.arcs + len(arcs))).bit_length()
+            size = 1 << (2 * (self.arcs + len(arcs))).bit_length()
             old = self.arc_from >= 0
             arcs, to = np.concatenate([self.arc_from[old], arcs]), np.concatenate([self.arc_to[old], to])
             self.arcs, self.arc_from, self.arc_to = 0, np.full(size, -1, np.int64), np.empty(size, np.int32)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import common
-from .tokens import WordCodec, binary_of, loaded
+from .tokens import WordCodec, binary_of
 
 #: Sequence ids of a partition begin at its number times this.
 PARTITION_STRIDE = 1 << 40
@@ -110,7 +110,7 @@ def pack(df: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, blo
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, end = loaded(WordCodec, tokenizer), array("I", [end_id]).tobytes()
+        codec, end = common.loaded(WordCodec, tokenizer), array("I", [end_id]).tobytes()
         packer = Packer(TaskContext.get().partitionId() * PARTITION_STRIDE, length, block_sequences, linear, quadratic)
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
         names = ("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")

@@ -23,16 +23,6 @@ from .bpe_automaton import SymbolTransducer, Vocabulary
 ASK_FROM = 0x250
 STOPS = frozenset(".,;:!?")
 
-_loaded: dict[tuple[str, str], object] = {}
-
-
-def loaded(kind, path: str):
-    """One ``kind(path)`` for each Python worker."""
-    key = (kind.__name__, path)
-    if key not in _loaded:
-        _loaded[key] = kind(path)
-    return _loaded[key]
-
 
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places of runs that begin at ``starts``, one run after another."""
@@ -155,7 +145,7 @@ def encode_decode(df: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit) and the decoded text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = loaded(WordCodec, tokenizer)
+        codec = common.loaded(WordCodec, tokenizer)
         for batch in batches:
             flat, counts = codec.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
@@ -388,7 +378,7 @@ def count_tokens(df: DataFrame, tokenizer: str, group_chars: int = 1_000_000) ->
     """doc_id, n_bytes (UTF-8) and n_tokens of every row; ``group_chars`` characters are counted at a time, or one whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = loaded(TokenCounter, tokenizer)
+        counter = common.loaded(TokenCounter, tokenizer)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             counts: list[int] = []

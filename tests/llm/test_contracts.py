@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 from array import array
 from collections import defaultdict
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from heliograph.llm import jaccard, licenses, media, packing, pii, quality, queries, secrets, tokens, warc
+from heliograph.llm import common, jaccard, licenses, media, packing, pii, quality, queries, secrets, tokens, warc
 from tests.compare import compare
 from tests.llm import brute
 
@@ -444,6 +445,28 @@ def test_states_may_be_dropped():
         assert a.tolist() == b.tolist() and m.tolist() == n.tolist() == small.counts(*args).tolist()
 
 
+def test_states_are_small():
+    made = tokens.SymbolTransducer(tokens.Vocabulary(public_tokenizers.path("word_bpe_49k.json")))
+    words = pa.array([random.Random(i).choice(["", "un", "inter"]) + format(i * 7919, "x") for i in range(3000)], pa.string())
+    made.encode(*tokens.buffers(words))
+    held = sum(map(sys.getsizeof, made.numbers)) + sum(sys.getsizeof(x) for key in made.numbers for x in key if type(key) is tuple)
+    assert len(made.keys) > 500 and held < 110 * len(made.keys)
+
+
+def test_a_worker_drops_what_another_operator_has_loaded(spark):
+    def held(module: str, load: bool) -> int:
+        def fn(batches):
+            for _ in batches:
+                if load:
+                    common.loaded(list, "some file")
+                yield pa.RecordBatch.from_arrays([pa.array([len(common._loaded)], pa.int64())], names=["n"])
+
+        fn.__module__ = module
+        return common.map_arrow(spark.range(0, 1, 1, 1), fn, "n long").first()["n"]
+
+    assert [held("one", True), held("two", False), held("two", True), held("three", False)] == [1, 0, 1, 0]
+
+
 def test_state_maps_carry_counts():
     """Whatever the width of the chunks, composed maps give the counts of the whole, in any grouping."""
     path = public_tokenizers.path("byte_bpe_50k.json")
