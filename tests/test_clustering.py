@@ -236,6 +236,14 @@ def test_communities_of_planted_groups_and_figures(spark):
     assert communities.communities(df.where("false")).count() == 0
 
 
+def test_last_levels_in_one_task_are_the_same(spark):
+    rnd = random.Random(11)
+    edges = [(a, b, rnd.random()) for a in range(150) for b in range(a) if rnd.random() < (0.3 if a % 15 == b % 15 else 0.02)]
+    df = spark.createDataFrame([*edges, (900, 900, 1.0)], "src long, dst long, weight double")
+    whole, ended = ({r["node"]: r["community"] for r in communities.communities(df, rounds=1, levels=2, last=last).collect()} for last in (-1, 1_000_000))
+    assert whole == ended and set(whole) == {x for a, b, _ in edges for x in (a, b)} | {900} and 1 < len(set(whole.values())) < 100
+
+
 def brute_ward(x):
     clusters, out = {i: (1, v) for i, v in enumerate(x)}, []
     while len(clusters) > 1:
