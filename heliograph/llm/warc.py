@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Iterator
+from functools import reduce
 from html.entities import name2codepoint
 
 import pyarrow as pa
@@ -29,6 +30,10 @@ DECIMAL, HEXADECIMAL = "^#[0-9]{1,7}$", "^#[xX][0-9A-Fa-f]{1,6}$"
 #: What is left out: comments and silent elements, closed or not.
 DROPPED = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{x}\b.*?(?:</{x}\s*>|\z)" for x in SILENT)
 LINE, TAG, LINK, TITLE = rf"(?i)</?(?:{BLOCKS})\b[^>]*>", r"<[A-Za-z/!?][^>]*>", r"""(?i)<a\s[^>]*?href\s*=\s*("[^">]*"|'[^'>]*'|[^\s"'>]+)""", r"(?is)<title[^>]*>(.*?)</title"
+#: DROPPED for Java, which tries every branch at every character: here only at a "<". SPACES finds only runs that aren't one space or one line end.
+JAVA_DROPPED = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{x}\b.*?(?:</{x}\s*>|\z)" for x in SILENT) + ")"
+SPACES = " +(\n)[ \n]*|(\n)[ \n]+|( ) +"
+SEPARATORS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -64,14 +69,19 @@ def unescaped(text: Column) -> Column:
     def part(p: Column, i: Column) -> Column:
         return common.let(F.substring_index(p, ";", 1), lambda name: F.coalesce(F.when((i > 0) & (F.length(name) < F.length(p)), F.concat(char(name), F.substr(p, F.length(name) + 2))), F.when(i > 0, F.concat(F.lit("&"), p)).otherwise(p)))
 
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), part), "")).otherwise(text)
+    return common.let(text, lambda t: F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&"), part), "")).otherwise(t))
+
+
+def trimmed(text: Column) -> Column:
+    """Without Unicode's space separators at both ends, as SQL trims."""
+    return F.btrim(text, F.lit(SEPARATORS))
 
 
 def plain_text(html: Column) -> Column:
     """Text without markup: lines at block elements, single spaces, no empty lines."""
-    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, DROPPED, " "), LINE, "\n"), TAG, "")
-    text = F.regexp_replace(unescaped(text), "[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, " ?\n[ \n]*", "\n"), r"^\n+|\n+$", ""))
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, JAVA_DROPPED, " "), LINE, "\n"), TAG, "")
+    text = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\r\f", unescaped(text))
+    return trimmed(F.btrim(F.regexp_replace(text, SPACES, "$1$2$3"), F.lit("\n")))
 
 
 def json_string(text: Column) -> Column:
@@ -84,7 +94,7 @@ def json_string(text: Column) -> Column:
 def derivatives(source: DataFrame) -> DataFrame:
     """Metadata and conversion records: record_id, type, refers_to, target_uri, date, content_type, block, block_digest, source_block_digest, source_payload_digest."""
     links = F.transform(F.regexp_extract_all("payload", F.lit(LINK), F.lit(1)), lambda x: json_string(unescaped(F.regexp_replace(x, "^[\"']|[\"']$", ""))))
-    title = F.trim(F.regexp_replace(unescaped(F.regexp_extract("payload", TITLE, 1)), "[ \t\r\n\f]+", " "))
+    title = trimmed(F.regexp_replace(unescaped(F.regexp_extract("payload", TITLE, 1)), "[ \t\r\n\f]+", " "))
     pair = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
     metadata = F.concat(
         F.lit("{"),

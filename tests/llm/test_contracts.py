@@ -7,6 +7,7 @@ import zlib
 from array import array
 from collections import defaultdict
 
+import duckdb
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -395,6 +396,19 @@ def test_warc_awkward_tables(spark):
     assert warc.derivatives(warc.responses(df.where("false"))).count() == 0
 
 
+def test_warc_text_is_taken_once_and_as_in_sql(spark, tmp_path):
+    """Markup is removed once for each page, and awkward spaces, line ends and open elements are read as the SQL reads them."""
+    rnd = random.Random(3)
+    bits = [" ", "  ", "\t", "\r\n", "\n", "\f", "\u0085", "\u2028", "\xa0", "&nbsp;", "&#10;", "&#9;", "a", "\u00e9", "<p>", "</P >", "<b>", "<br/>", "< p", "<!-- x", "-->", "<script>", "</script >", "<scripts>", "<STYLE a='>'>", "</style>", "<a <p> x>", "&amp;", "<", ">"]
+    pages = [(i, f"u{i}", "".join(rnd.choices(bits, k=rnd.randrange(12)))) for i in range(1500)] + [(5000, "u", "a<p>\u0085"), (5001, "u", "a\n\u2028")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    made = queries.op3_warc_derivatives(spark, str(tmp_path))
+    want = duckdb.sql(warc.oracle_sql().replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")).fetchall()
+    assert sorted(map(tuple, made.collect())) == sorted(want)
+    text = warc.derivatives(warc.responses(spark.read.parquet(str(tmp_path / "pages.parquet")))).select("block")
+    assert text._jdf.queryExecution().optimizedPlan().toString().count("-->") == 1
+
+
 def test_warc_reading(spark, tmp_path):
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
     (tmp_path / "x.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://x\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block))
