@@ -1,7 +1,7 @@
 """Density-based clusters over a neighbour graph: spanning trees, condensed trees with stability, and connected dense rows.
 
 A minimum spanning tree is grown by Boruvka rounds: each component takes its least edge to another one. Where the graph of near
-neighbours doesn't connect components, the index is searched for the nearest row of another component. The tree's edges are then
+neighbours leaves it open which edge that is, the index is searched for the nearest row of another component. The tree's edges are then
 read in blocks of bounded size by ascending distance, which gives the condensed tree from its leaves to its root; clusters
 are chosen where they are more stable than what they are made of.
 """
@@ -21,6 +21,8 @@ from .state import written
 
 #: Smaller distances count as this one, so that exact copies have a finite weight.
 LEAST = 1e-6
+#: How many of the nearest rows a search with core distances looks at.
+SEEN = 32
 EDGES = "a long, b long, w double, u long, v long"
 
 
@@ -51,75 +53,79 @@ def merge(labels: DataFrame, up: DataFrame) -> DataFrame:
     return kept(labels.join(up, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
 
 
-def spanning_forest(labels: DataFrame, near: DataFrame, radius: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Boruvka rounds over each row's near rows (u, v, w): the edges taken, and the labels (node, comp) they lead to.
+def largest(labels: DataFrame):
+    return labels.groupBy("comp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "comp").first()["comp"]
 
-    ``radius`` (node, r) says how far the near rows of a node reach. A component takes its least edge only if that isn't longer than the radius of any
-    of its rows whose near rows are all inside, since those might have a shorter one that isn't known.
-    """
-    taken = []
-    open_ = near.join(labels.toDF("u", "a"), "u").join(labels.toDF("v", "b"), "v").select("a", "b", "w", "u", "v")
-    while True:
-        open_ = kept(open_.where("a <> b"))
-        shut = labels.join(radius, "node").join(open_.select(F.col("u").alias("node")).distinct(), "node", "left_anti").groupBy("comp").agg(F.min("r").alias("r"))
-        chosen = kept(least_edges(open_).join(shut, "comp", "left").where("r IS NULL OR w <= r").drop("r"))
-        if chosen.isEmpty():
-            return taken, labels
-        taken.append(chosen.select("u", "v", "w").distinct())
-        up = roots(chosen)
-        labels = merge(labels, up)
-        open_ = open_.join(up.toDF("a", "ra"), "a", "left").join(up.toDF("b", "rb"), "b", "left")
-        open_ = open_.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "w", "u", "v")
-
-
-def outside(index: NeighbourGraph, labels: DataFrame, core: DataFrame | None, where=None, **options) -> DataFrame:
-    """For each row outside the largest component its nearest row of another one, with core distances some of the nearest: u, v and w, the mutual reachability."""
+
+def outside(index: NeighbourGraph, labels: DataFrame, core: DataFrame | None, where=None, asked: DataFrame | None = None, **options) -> DataFrame:
+    """For each row outside the largest component, or each ``asked`` one (node), its nearest row of another one, with core distances some of the nearest: u, v, d and w, the mutual reachability."""
     row = index.row_id
-    largest = labels.groupBy("comp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "comp").first()["comp"]
     marked = index.labelled(labels.toDF(row, "comp"), "comp")
     marked.rows = marked.rows.where("comp IS NOT NULL") if where is None else marked.rows
-    asked = marked.rows.where((F.col("comp").isNotNull()) & (F.col("comp") != largest)).select(F.col(row).alias("query_id"), index.vector, "comp")
-    found = marked.search(asked, 1 if core is None else 32, F.col("comp").isNotNull(), apart="comp", **options)
-    found = found.select(F.col("query_id").alias("u"), F.col(row).alias("v"), F.greatest(F.lit(LEAST), 1 - F.col("similarity")).alias("w"))
-    return reach(found, core)
+    some = marked.rows.where((F.col("comp").isNotNull()) & (F.col("comp") != largest(labels))) if asked is None else marked.rows.join(asked.toDF(row), row, "left_semi")
+    some = some.select(F.col(row).alias("query_id"), index.vector, "comp")
+    found = marked.search(some, 1 if core is None else SEEN, F.col("comp").isNotNull(), apart="comp", **options)
+    found = found.select(F.col("query_id").alias("u"), F.col(row).alias("v"), F.greatest(F.lit(LEAST), 1 - F.col("similarity")).alias("d"))
+    return reach(found.withColumn("w", F.col("d")), core)
 
 
 def reach(pairs: DataFrame, core: DataFrame | None) -> DataFrame:
     """Mutual reachability of pairs (u, v, w): never less than the core distance of either end."""
     if core is None:
-        return pairs.select("u", "v", "w")
+        return pairs
     both = pairs.join(core.toDF("u", "cu"), "u").join(core.toDF("v", "cv"), "v")
-    return both.select("u", "v", F.greatest("w", "cu", "cv").alias("w"))
+    return both.withColumn("w", F.greatest("w", "cu", "cv")).select(*pairs.columns)
 
 
 def spanning_tree(index: NeighbourGraph, neighbours: int = 10, least_samples: int = 1, **options) -> DataFrame:
     """The minimum spanning tree (u, v, w) of mutual reachability by cosine distance, as exact as the index finds neighbours.
 
-    The core distance of a row is that to its ``least_samples``-th nearest other row.
+    The core distance of a row is that to its ``least_samples``-th nearest other row. Boruvka rounds over the known edges: a row's edges to other components
+    are known as far as its radius. A row is unsure if it may have an edge shorter than those it knows, and a component takes its least edge only if no unsure row
+    has a smaller radius. Where none takes one, only such rows search the index, which adds edges and widens their radius.
     """
     from pyspark.sql.window import Window
 
     near = index.near_pairs(max(neighbours, least_samples), **options).select("src", "dst", F.greatest("distance", F.lit(LEAST)).alias("w"))
     place = F.row_number().over(Window.partitionBy("src").orderBy("w", "dst"))
     core = kept(near.withColumn("place", place).where(F.col("place") == least_samples).select(F.col("src").alias("node"), "w")) if least_samples > 1 else None
-    radius = near.groupBy(F.col("src").alias("node")).agg(F.max("w").alias("r"))
-    edges = kept(reach(near.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w"), core))
+    radius = kept(near.groupBy(F.col("src").alias("node")).agg(F.max("w").alias("r")))
     labels = index.rows.select(F.col(index.row_id).alias("node"), F.col(index.row_id).alias("comp"))
-    taken, labels = spanning_forest(labels, edges, kept(radius))
-    while labels.select("comp").distinct().limit(2).count() > 1:
-        links = kept(outside(index, labels, core, **options))
-        more, labels = spanning_forest_once(labels, links)
-        if more is None:
+    ends = lambda pairs: pairs.join(labels.toDF("u", "a"), "u").join(labels.toDF("v", "b"), "v").select("a", "b", "w", "u", "v")
+    open_ = ends(reach(near.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w"), core))
+    taken = []
+    while True:
+        open_ = kept(open_.where("a <> b"))
+        least = kept(least_edges(open_))
+        known = open_.groupBy(F.col("u").alias("node")).agg(F.min("w").alias("m"))
+        unsure = labels.join(radius, "node", "left").join(known, "node", "left").select("node", "comp", F.coalesce("r", F.lit(0.0)).alias("r"), "m").where("m IS NULL OR m > r")
+        chosen = kept(least.join(unsure.groupBy("comp").agg(F.min("r").alias("r")), "comp", "left").where("r IS NULL OR w <= r").drop("r"))
+        if not chosen.isEmpty():
+            taken.append(chosen.select("u", "v", "w").distinct())
+            up = roots(chosen)
+            labels = merge(labels, up)
+            open_ = open_.join(up.toDF("a", "ra"), "a", "left").join(up.toDF("b", "rb"), "b", "left")
+            open_ = open_.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"), "w", "u", "v")
+            continue
+        if labels.select("comp").distinct().limit(2).count() < 2:
+            break
+        asked = unsure.where(F.col("comp") != largest(labels)).join(least.select("comp", "w"), "comp", "left")
+        asked = kept(asked.where("w IS NULL OR r < w").select("node"))
+        links = kept(outside(index, labels, core, asked=asked, **options))
+        if links.isEmpty():
             break
-        taken.append(more)
-    return kept(reduce(DataFrame.unionByName, taken)) if taken else edges.limit(0)
+        # what is left unknown lies beyond the farthest one found, if as many were found as looked for
+        full = F.when(F.count("*") >= (1 if core is None else SEEN), F.greatest(F.max("d"), F.min("w")))
+        wider = asked.join(links.groupBy(F.col("u").alias("node")).agg(full.alias("far")), "node", "left").select("node", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+        radius = kept(labels.select("node").join(radius, "node", "left").join(wider, "node", "left").select("node", F.coalesce("far", "r").alias("r")))
+        open_ = open_.unionByName(ends(links))
+    return kept(reduce(DataFrame.unionByName, taken)) if taken else near.select(F.col("src").alias("u"), F.col("dst").alias("v"), "w").limit(0)
 
 
 def spanning_forest_once(labels: DataFrame, links: DataFrame) -> tuple[DataFrame | None, DataFrame]:
     """One Boruvka round: only components that were asked take their least link."""
     ends = links.join(labels.toDF("u", "a"), "u").join(labels.toDF("v", "b"), "v").select("a", "b", "w", "u", "v")
-    sizes = labels.groupBy("comp").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "comp").first()["comp"]
-    chosen = kept(least_edges(ends).where(F.col("comp") != sizes))  # the largest one wasn't asked
+    chosen = kept(least_edges(ends).where(F.col("comp") != largest(labels)))  # the largest one wasn't asked
     if chosen.isEmpty():
         return None, labels
     return chosen.select("u", "v", "w").distinct(), merge(labels, roots(chosen))

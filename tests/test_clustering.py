@@ -151,6 +151,22 @@ def test_density_tree_against_brute_force(spark, least_samples, smallest, block)
     assert all(c == min(v) for c, v in found.items())
 
 
+def test_spanning_tree_asks_only_unsure_rows(spark, monkeypatch):
+    """Rows whose known edges reach as far as their component's least one aren't searched again; the tree is as long as by brute force."""
+    x, asked, search = blobs(400, 5, 8, 0.25, 9), [], NeighbourGraph.search
+
+    def counted(self, queries, *args, **options):
+        if options.get("apart"):
+            asked.append(queries.count())
+        return search(self, queries, *args, **options)
+
+    monkeypatch.setattr(NeighbourGraph, "search", counted)
+    got = density.spanning_tree(NeighbourGraph.build(frame(spark, x), links=0), 6).collect()
+    assert len(got) == len(x) - 1
+    assert sum(r["w"] for r in got) == pytest.approx(sum(w for w, _, _ in brute_tree(mutual(x, 1))), rel=1e-4)
+    assert asked and sum(asked) < len(x), asked
+
+
 def test_dense_clusters_against_brute_force(spark):
     x = blobs(300, 5, 8, 0.3, 6)
     d = mutual(x, 1)
