@@ -3,6 +3,7 @@
 import math
 import random
 from datetime import datetime, timedelta
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,6 +256,32 @@ def test_recommendations_are_asked_for_a_fiftieth_of_the_users(spark, sf):
     assert all(r["n"] == 5 for r in got)
 
 
+def test_every_user_gets_recommendations(spark, sf):
+    from heliograph.plans import registry
+
+    got = registry.QUERIES["e14_als"](spark, sf).groupBy("user").agg(F.count("*").alias("rows"), F.countDistinct("item").alias("n")).collect()
+    users = spark.read.parquet(f"{sf}/orders.parquet").join(spark.read.parquet(f"{sf}/lineitem.parquet"), F.col("o_orderkey") == F.col("l_orderkey"))
+    assert {r["user"] for r in got} == {r[0] for r in users.select("o_custkey").distinct().collect()}
+    assert all(r["n"] == r["rows"] == 5 for r in got)
+
+
+@pytest.mark.parametrize("head", [3, 40, 1000])
+def test_largest_inner_products_are_exact(spark, head):
+    rnd = random.Random(4)
+    rows = [(i, [rnd.gauss(0, 1) * (1 + i % 7) for _ in range(5)]) for i in range(300)]
+    rows += [(1000 + i, v) for i, v in rows[:60]] + [(2000, [0.0] * 5), (2001, [0.0] * 5)]
+    asked = [(i, [rnd.gauss(0.5, 1) for _ in range(5)]) for i in range(90)] + [(90, [0.0] * 5), (91, [-9.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, features array<float>")
+    queries = spark.createDataFrame(asked, "query_id long, features array<float>")
+    out = vectors.best_products(df, queries, 4, head=head, part_rows=50, block=25)
+    items, want, got = {r["id"]: r["features"] for r in df.collect()}, {}, {}
+    for q in queries.collect():
+        want[q["query_id"]] = sorted((-reduce(lambda s, x: s + x[0] * x[1], zip(q["features"], v, strict=True), 0.0), i) for i, v in items.items())[:4]
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["id"]))
+    assert got == want
+
+
 def test_scores_of_texts_are_counted_in_the_row(spark):
     words = "a b c a b d".split()
     rnd = random.Random(3)
